@@ -120,3 +120,53 @@ def line_kpis(spark, sf_dir):
     lines = tables.line_exposures(spark, sf_dir)
     scored = scoring.score(lines, Scenario(), tables.LINES_AS_OF)
     return rounded(rollups.kpis(scored))
+
+
+# --- cleansing and the quality gate -----------------------------------------
+
+from ..operators import cleanse, quality  # noqa: E402
+from ..sources import derived  # noqa: E402
+
+
+def faulty_suppliers(spark, sf_dir) -> DataFrame:
+    return derived.faulty_facts(tables.supplier_facts(spark, sf_dir, keep_key=True), "s_suppkey")
+
+
+def line_keyed(spark, sf_dir) -> DataFrame:
+    lines = tables.line_exposures(spark, sf_dir)
+    return lines.withColumn("line_key", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+
+
+@register("clean_suppliers")
+def clean_suppliers(spark, sf_dir):
+    dirty = derived.dirty_text(tables.supplier_facts(spark, sf_dir, keep_key=True), "s_suppkey")
+    return rounded(cleanse.clean_suppliers(dirty))
+
+
+@register("clean_lines")
+def clean_lines(spark, sf_dir):
+    dirty = derived.dirty_text(line_keyed(spark, sf_dir), "line_key")
+    return rounded(cleanse.clean_suppliers(dirty))
+
+
+@register("gate_failures")
+def gate_failures(spark, sf_dir):
+    return quality.failures(faulty_suppliers(spark, sf_dir).drop("s_suppkey"))
+
+
+@register("gate_clean")
+def gate_clean(spark, sf_dir):
+    faulty = faulty_suppliers(spark, sf_dir)
+    contract = quality.supplier_contract()
+    # s_suppkey is carried along as a lineage key; the contract is strict
+    # about extra columns, so it is checked on the nine columns only.
+    contract = quality.Contract(dtypes={**contract.dtypes, "s_suppkey": "bigint"},
+                                nullable=contract.nullable | {"s_suppkey"},
+                                unique=contract.unique, checks=contract.checks)
+    passing, _ = quality.split(faulty, contract)
+    return rounded(passing)
+
+
+@register("duplicate_ids")
+def duplicate_ids(spark, sf_dir):
+    return quality.duplicate_keys(faulty_suppliers(spark, sf_dir), "supplier_id")

@@ -208,3 +208,171 @@ SELECT CAST(count(*) AS BIGINT) AS total_suppliers,
   CAST(count(*) FILTER (WHERE composite_risk >= 0.7e0) AS BIGINT) AS high_risk_count,
   CAST(count(*) FILTER (WHERE composite_risk >= 0.85e0) AS BIGINT) AS critical_count
 FROM scored"""
+
+# --- cleansing and the quality gate -----------------------------------------
+
+FACTS_KEYED_CTE = FACTS_CTE.replace(
+    "SELECT p.supplier_id, p.supplier_name,", "SELECT p.s_suppkey, p.supplier_id, p.supplier_name,")
+
+LINES_KEYED_CTE = LINES_CTE + """,
+line_keyed AS (SELECT l_orderkey * 8 + l_linenumber AS line_key, * FROM line_exposures)"""
+
+
+def dirty_sql(src: str, key: str) -> str:
+    k = key
+    s = lambda c: f"CAST({c} AS VARCHAR)"
+    return f"""SELECT {k},
+  CASE WHEN {k} % 5 = 0 THEN '  ' || {s('supplier_id')} || ' '
+       WHEN {k} % 5 = 1 THEN substr({s('supplier_id')}, 1, 4) || ' ' || substr({s('supplier_id')}, 5)
+       WHEN {k} % 5 = 2 THEN chr(160) || {s('supplier_id')}
+       ELSE {s('supplier_id')} END AS supplier_id,
+  CASE WHEN {k} % 9 = 0 THEN 'N/A'
+       WHEN {k} % 4 = 0 THEN ' ' || {s('supplier_name')} || chr(8195)
+       WHEN {k} % 4 = 2 THEN 'N U L L'
+       ELSE {s('supplier_name')} END AS supplier_name,
+  CASE WHEN {k} % 6 = 0 THEN ' ' || {s('risk_score')} || ' '
+       WHEN {k} % 6 = 1 THEN substr({s('risk_score')}, 1, 1) || ' ' || substr({s('risk_score')}, 2)
+       WHEN {k} % 6 = 2 THEN {s('risk_score')} || 'd'
+       WHEN {k} % 6 = 3 THEN 'N/A'
+       ELSE {s('risk_score')} END AS risk_score,
+  CASE WHEN {k} % 7 = 0 THEN {s('latitude')} || 'e0'
+       WHEN {k} % 7 = 1 THEN ''
+       ELSE {s('latitude')} END AS latitude,
+  CASE WHEN {k} % 8 = 0 THEN '+' || {s('longitude')} ELSE {s('longitude')} END AS longitude,
+  CASE WHEN {k} % 10 = 1 THEN substr({s('region')}, 1, 2) || ' ' || substr({s('region')}, 3)
+       WHEN {k} % 10 = 2 THEN 'N U L L'
+       WHEN {k} % 10 = 3 THEN 'NULL'
+       WHEN {k} % 3 = 0 THEN '  ' || {s('region')} || chr(9)
+       ELSE {s('region')} END AS region,
+  CASE WHEN {k} % 5 = 3 THEN {s('tier')} || '.0'
+       WHEN {k} % 5 = 4 THEN ' ' || {s('tier')}
+       ELSE {s('tier')} END AS tier,
+  CASE WHEN {k} % 4 = 3 THEN substr({s('annual_spend_usd')}, 1, 1) || ' ' || substr({s('annual_spend_usd')}, 2)
+       ELSE {s('annual_spend_usd')} END AS annual_spend_usd,
+  CASE WHEN {k} % 11 = 0 THEN 'null'
+       WHEN {k} % 3 = 1 THEN ' ' || {s('last_audit_date')} || ' '
+       WHEN {k} % 3 = 2 THEN replace({s('last_audit_date')}, '-', ' - ')
+       ELSE {s('last_audit_date')} END AS last_audit_date
+FROM {src}"""
+
+
+# Unicode White_Space, spelled out for RE2 (whose \\s is ASCII-only).
+_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NULLS = "('NULL', 'null', 'N/A', ' ', '')"
+_DEC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_INT = r"^[+-]?[0-9]+$"
+
+
+def _clean_str(c: str, despace: bool) -> str:
+    t = f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+    t = f"CASE WHEN {t} IN {_NULLS} THEN NULL ELSE {t} END"
+    if despace:
+        t = f"regexp_replace({t}, '{_WS}+', '', 'g')"
+    return f"{t} AS {c}"
+
+
+def _clean_num(c: str, typ: str, pattern: str) -> str:
+    t = f"regexp_replace({c}, '{_WS}+', '', 'g')"
+    return f"CASE WHEN regexp_matches({t}, '{pattern}') THEN TRY_CAST({t} AS {typ}) END AS {c}"
+
+
+def clean_sql(src: str, key: str) -> str:
+    return f"""SELECT {key}, {_clean_str('supplier_id', True)}, {_clean_str('supplier_name', False)},
+  {_clean_num('risk_score', 'DOUBLE', _DEC)}, {_clean_num('latitude', 'DOUBLE', _DEC)},
+  {_clean_num('longitude', 'DOUBLE', _DEC)}, {_clean_str('region', True)},
+  {_clean_num('tier', 'BIGINT', _INT)}, {_clean_num('annual_spend_usd', 'DOUBLE', _DEC)},
+  {_clean_str('last_audit_date', True)}
+FROM {src}"""
+
+
+_CLEAN_OUT = ", ".join([
+    "{k}", "supplier_id", "supplier_name", R6("risk_score"), R6("latitude"), R6("longitude"),
+    "region", "tier", R6("annual_spend_usd"), "last_audit_date"])
+
+ORACLE["clean_suppliers"] = f"""WITH {FACTS_KEYED_CTE},
+dirty AS ({dirty_sql('supplier_facts', 's_suppkey')}),
+cleaned AS ({clean_sql('dirty', 's_suppkey')})
+SELECT {_CLEAN_OUT.format(k='s_suppkey')} FROM cleaned"""
+
+ORACLE["clean_lines"] = f"""WITH {LINES_KEYED_CTE},
+dirty AS ({dirty_sql('line_keyed', 'line_key')}),
+cleaned AS ({clean_sql('dirty', 'line_key')})
+SELECT {_CLEAN_OUT.format(k='line_key')} FROM cleaned"""
+
+FAULTY_CTE = FACTS_KEYED_CTE + """,
+faulty AS (
+  SELECT s_suppkey,
+    CASE WHEN s_suppkey % 19 = 7 THEN 'SUP-' || lpad(CAST(s_suppkey - 1 AS VARCHAR), 6, '0') ELSE supplier_id END AS supplier_id,
+    CASE WHEN s_suppkey % 29 = 3 THEN '' ELSE supplier_name END AS supplier_name,
+    CASE WHEN s_suppkey % 17 = 5 THEN risk_score + 1.5e0
+         WHEN s_suppkey % 23 = 11 THEN CAST(NULL AS DOUBLE) ELSE risk_score END AS risk_score,
+    CASE WHEN s_suppkey % 31 = 2 THEN latitude + 200.0e0 ELSE latitude END AS latitude,
+    CASE WHEN s_suppkey % 37 = 9 THEN CAST('NaN' AS DOUBLE) ELSE longitude END AS longitude,
+    CASE WHEN s_suppkey % 13 = 4 THEN 'MARS'
+         WHEN s_suppkey % 41 = 6 THEN CAST(NULL AS VARCHAR) ELSE region END AS region,
+    CASE WHEN s_suppkey % 11 = 10 THEN CAST(5 AS BIGINT) ELSE tier END AS tier,
+    CASE WHEN s_suppkey % 43 = 12 THEN -CAST(s_suppkey % 1000 AS DOUBLE) - 0.5e0 ELSE annual_spend_usd END AS annual_spend_usd,
+    CASE WHEN s_suppkey % 7 = 3 THEN replace(last_audit_date, '-', '/')
+         WHEN s_suppkey % 47 = 20 THEN '2025-02-30' ELSE last_audit_date END AS last_audit_date
+  FROM supplier_facts
+)"""
+
+
+def _miss(c: str, dbl: bool) -> str:
+    return f"({c} IS NULL OR isnan({c}))" if dbl else f"({c} IS NULL)"
+
+
+# (column, check, failing condition given presence, reported value, needed (col, is_double))
+_CHECKS = [
+    ("supplier_id", "str_length(3, 20)", "NOT (length(supplier_id) BETWEEN 3 AND 20)", "supplier_id", [("supplier_id", False)]),
+    ("supplier_name", "str_length(1, 200)", "NOT (length(supplier_name) BETWEEN 1 AND 200)", "supplier_name", [("supplier_name", False)]),
+    ("risk_score", "in_range(0.0, 1.0)", "NOT (risk_score BETWEEN 0.0e0 AND 1.0e0)", "risk_score", [("risk_score", True)]),
+    ("latitude", "in_range(-90.0, 90.0)", "NOT (latitude BETWEEN -90.0e0 AND 90.0e0)", "latitude", [("latitude", True)]),
+    ("longitude", "in_range(-180.0, 180.0)", "NOT (longitude BETWEEN -180.0e0 AND 180.0e0)", "longitude", [("longitude", True)]),
+    ("region", "isin(EMEA, APAC, NA, LATAM)", "region NOT IN ('EMEA', 'APAC', 'NA', 'LATAM')", "region", [("region", False)]),
+    ("tier", "in_range(1, 4)", "NOT (tier BETWEEN 1 AND 4)", "tier", [("tier", False)]),
+    ("annual_spend_usd", "greater_than_or_equal_to(0.0)", "NOT (annual_spend_usd >= 0.0e0)", "annual_spend_usd", [("annual_spend_usd", True)]),
+    ("last_audit_date", "str_matches(^\\d{4}-\\d{2}-\\d{2}$)", "NOT regexp_full_match(last_audit_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}')", "last_audit_date", [("last_audit_date", False)]),
+    ("annual_spend_usd", "spend_matches_tier_floor", "NOT (tier <> 1 OR annual_spend_usd >= 10000.0e0)", "annual_spend_usd", [("tier", False), ("annual_spend_usd", True)]),
+]
+_NOT_NULL = [("supplier_id", False), ("supplier_name", False), ("risk_score", True), ("latitude", True),
+             ("longitude", True), ("region", False), ("tier", False), ("annual_spend_usd", True)]
+
+
+def _fail_parts(src: str) -> list[str]:
+    parts = []
+    for c, dbl in _NOT_NULL:
+        parts.append(f"SELECT supplier_id, '{c}' AS \"column\", 'not_nullable' AS \"check\", "
+                     f"CAST(NULL AS VARCHAR) AS failure_case FROM {src} WHERE {_miss(c, dbl)}")
+    for col, chk, bad, val, needs in _CHECKS:
+        present = " AND ".join(f"NOT {_miss(c, d)}" for c, d in needs)
+        chk_sql = chk.replace("'", "''")
+        parts.append(f"SELECT supplier_id, '{col}' AS \"column\", '{chk_sql}' AS \"check\", "
+                     f"CAST({val} AS VARCHAR) AS failure_case FROM {src} WHERE {present} AND ({bad})")
+    return parts
+
+
+def _row_bad(src_alias: str = "") -> str:
+    conds = [_miss(c, d) for c, d in _NOT_NULL]
+    for col, chk, bad, val, needs in _CHECKS:
+        present = " AND ".join(f"NOT {_miss(c, d)}" for c, d in needs)
+        conds.append(f"({present} AND ({bad}))")
+    return " OR ".join(f"COALESCE({c}, false)" for c in conds)
+
+
+ORACLE["gate_failures"] = f"""WITH {FAULTY_CTE},
+dups AS (SELECT supplier_id FROM faulty WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(*) > 1)
+{' UNION ALL '.join(_fail_parts('faulty'))}
+UNION ALL SELECT supplier_id, 'supplier_id' AS "column", 'unique' AS "check", supplier_id AS failure_case
+FROM faulty WHERE supplier_id IN (SELECT supplier_id FROM dups)"""
+
+ORACLE["gate_clean"] = f"""WITH {FAULTY_CTE},
+dups AS (SELECT supplier_id FROM faulty WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(*) > 1)
+SELECT s_suppkey, supplier_id, supplier_name, {R6('risk_score')}, {R6('latitude')}, {R6('longitude')},
+  region, tier, {R6('annual_spend_usd')}, last_audit_date
+FROM faulty
+WHERE NOT ({_row_bad()}) AND (supplier_id IS NULL OR supplier_id NOT IN (SELECT supplier_id FROM dups))"""
+
+ORACLE["duplicate_ids"] = f"""WITH {FAULTY_CTE}
+SELECT supplier_id, CAST(count(*) AS BIGINT) AS n FROM faulty
+WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(*) > 1"""
