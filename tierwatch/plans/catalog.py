@@ -170,3 +170,54 @@ def gate_clean(spark, sf_dir):
 @register("duplicate_ids")
 def duplicate_ids(spark, sf_dir):
     return quality.duplicate_keys(faulty_suppliers(spark, sf_dir), "supplier_id")
+
+
+# --- sanctions, map payloads, escaping --------------------------------------
+
+from ..functions.text import html_escape as _html_escape  # noqa: E402
+from ..operators import geo, screening  # noqa: E402
+
+
+@register("sanctions_screen")
+def sanctions_screen(spark, sf_dir):
+    facts = tables.supplier_facts(spark, sf_dir)
+    return rounded(screening.screen(facts, tables.sanctions_lists(spark, sf_dir)))
+
+
+@register("sanctions_one_row")
+def sanctions_one_row(spark, sf_dir):
+    facts = tables.supplier_facts(spark, sf_dir)
+    return rounded(screening.screen(facts, tables.sanctions_lists(spark, sf_dir),
+                                    one_row_per_supplier=True))
+
+
+@register("map_points")
+def map_points(spark, sf_dir):
+    return rounded(geo.map_points(scored_suppliers(spark, sf_dir)))
+
+
+@register("map_points_lines")
+def map_points_lines(spark, sf_dir):
+    lines = tables.line_exposures(spark, sf_dir)
+    scored = scoring.score(lines, Scenario(), tables.LINES_AS_OF)
+    sc = Scenario(scenario_name="Line map", max_map_points=1000)
+    return rounded(geo.map_points(scored, sc, tie_keys=("l_orderkey", "l_linenumber")))
+
+
+@register("map_center")
+def map_center(spark, sf_dir):
+    return rounded(geo.map_center(geo.map_points(scored_suppliers(spark, sf_dir))))
+
+
+@register("cluster_payload")
+def cluster_payload(spark, sf_dir):
+    lines = tables.line_exposures(spark, sf_dir)
+    scored = scoring.score(lines, Scenario(), tables.LINES_AS_OF)
+    return rounded(geo.cluster_payload(geo.with_popup(scored)))
+
+
+@register("html_escape")
+def html_escape_pages(spark, sf_dir):
+    pages = tables.load(spark, sf_dir, "pages")
+    return pages.select("page_id", _html_escape("url").alias("url_escaped"),
+                        _html_escape("html").alias("html_escaped"))

@@ -376,3 +376,84 @@ WHERE NOT ({_row_bad()}) AND (supplier_id IS NULL OR supplier_id NOT IN (SELECT
 ORACLE["duplicate_ids"] = f"""WITH {FAULTY_CTE}
 SELECT supplier_id, CAST(count(*) AS BIGINT) AS n FROM faulty
 WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(*) > 1"""
+
+# --- sanctions, map payloads, escaping --------------------------------------
+
+SANCTIONS_CTE = """
+sanctions AS (
+  SELECT 'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS entity_id, s_name AS entity_name, 'OFAC' AS list_source
+  FROM supplier WHERE s_suppkey % 5 = 0
+  UNION ALL
+  SELECT 'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), s_name, 'EU' FROM supplier WHERE s_suppkey % 15 = 0
+  UNION ALL
+  SELECT 'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), s_name, CAST(NULL AS VARCHAR) FROM supplier WHERE s_suppkey % 35 = 0
+)"""
+
+_FACT_COLS = ("supplier_id, supplier_name, round(risk_score, 6) AS risk_score, round(latitude, 6) AS latitude, "
+              "round(longitude, 6) AS longitude, region, tier, round(annual_spend_usd, 6) AS annual_spend_usd, "
+              "last_audit_date")
+
+ORACLE["sanctions_screen"] = f"""WITH {FACTS_CTE}, {SANCTIONS_CTE}
+SELECT {_FACT_COLS}, x.entity_id IS NOT NULL AS is_sanctioned,
+  COALESCE(x.list_source, 'NONE') AS sanctions_list_source
+FROM supplier_facts s LEFT JOIN sanctions x ON s.supplier_id = x.entity_id"""
+
+ORACLE["sanctions_one_row"] = f"""WITH {FACTS_CTE}, {SANCTIONS_CTE},
+folded AS (
+  SELECT entity_id, nullif(array_to_string(list_sort(list_distinct(list(list_source) FILTER (WHERE list_source IS NOT NULL))), ','), '') AS list_source
+  FROM sanctions GROUP BY entity_id
+)
+SELECT {_FACT_COLS}, x.entity_id IS NOT NULL AS is_sanctioned,
+  COALESCE(x.list_source, 'NONE') AS sanctions_list_source
+FROM supplier_facts s LEFT JOIN folded x ON s.supplier_id = x.entity_id"""
+
+
+def esc_sql(c: str) -> str:
+    out = c
+    for raw, rep in C.HTML_ESCAPES:
+        out = f"replace({out}, '{raw.replace(chr(39), chr(39) * 2)}', '{rep}')"
+    return out
+
+
+def _rgb_sql(r: str) -> str:
+    def arr(name):
+        x, y, z = C.RISK_RGB[name]
+        return f"[{x}, {y}, {z}, {C.RGB_ALPHA}]"
+    parts = " ".join(f"WHEN {r} >= {lo}e0 THEN {arr(name)}" for name, lo in C.BANDS)
+    return f"CASE {parts} ELSE {arr('LOW')} END"
+
+
+def map_select(src: str, extra: str = "") -> str:
+    r = "COALESCE(CASE WHEN isnan(composite_risk) THEN 0.0e0 ELSE composite_risk END, 0.0e0)"
+    return f"""SELECT {extra}
+  {esc_sql("COALESCE(CAST(supplier_id AS VARCHAR), 'ENTITY')")} AS supplier_id,
+  {esc_sql("COALESCE(CAST(supplier_name AS VARCHAR), 'Unknown Entity')")} AS supplier_name,
+  {esc_sql("COALESCE(CAST(region AS VARCHAR), '-')")} AS region,
+  round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+  CAST(round_even({r}, 3) AS VARCHAR) AS risk_display,
+  {_rgb_sql(r)} AS risk_rgb,
+  round({C.RADIUS_BASE}e0 + {r} * {C.RADIUS_SCALE}e0, 6) AS risk_radius
+FROM {src}"""
+
+
+ORACLE["map_points"] = f"""WITH {BAL},
+capped AS (SELECT * FROM scored ORDER BY composite_risk DESC NULLS LAST, supplier_id ASC NULLS LAST LIMIT 50000)
+{map_select('capped')}"""
+
+ORACLE["map_points_lines"] = f"""WITH {LINES_SCORED},
+capped AS (SELECT * FROM scored ORDER BY composite_risk DESC NULLS LAST, l_orderkey ASC NULLS LAST,
+           l_linenumber ASC NULLS LAST LIMIT 1000)
+{map_select('capped', 'l_orderkey, l_linenumber,')}"""
+
+ORACLE["map_center"] = f"""WITH {BAL},
+capped AS (SELECT * FROM scored ORDER BY composite_risk DESC NULLS LAST, supplier_id ASC NULLS LAST LIMIT 50000)
+SELECT round(COALESCE(avg(latitude), 0.0e0), 6) AS center_latitude,
+  round(COALESCE(avg(longitude), 0.0e0), 6) AS center_longitude FROM capped"""
+
+ORACLE["cluster_payload"] = f"""WITH {LINES_SCORED}
+SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+  {esc_sql("COALESCE(CAST(supplier_name AS VARCHAR), 'Unknown Entity')")} || ' (' ||
+  CAST(round_even(COALESCE(CASE WHEN isnan(composite_risk) THEN 0.0e0 ELSE composite_risk END, 0.0e0), 3) AS VARCHAR) || ')' AS popup_text
+FROM scored"""
+
+ORACLE["html_escape"] = f"""SELECT page_id, {esc_sql('url')} AS url_escaped, {esc_sql('html')} AS html_escaped FROM pages"""

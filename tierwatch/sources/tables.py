@@ -11,29 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
 
 # FIXED VALUES of the derivation (shared with the SQL oracle).
 AUDIT_EPOCH = "1998-01-01"
 AUDIT_SPAN_DAYS = 1460
 AS_OF = "2001-12-31"          # scoring date for supplier_facts
 LINES_AS_OF = "1999-06-30"    # scoring date for line_exposures
-# Dimension tables that may be broadcast: nation and region are fixed-size
-# in the TPC-H model; the bound is checked, not assumed.
-DIM_ROWS_MAX = 10_000
+
+
+_LOADED: dict = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table ``name`` under ``sf_dir``.  The resolved DataFrame is
+    reused within a session (file listing and footer reads happen once)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    df = _LOADED.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _LOADED[key] = df
+    return df
 
 
 def _supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation + region names, broadcast when (provably) small."""
+    """nation + region names.  No hint: the planner broadcasts them from
+    their file statistics (and AQE from runtime statistics) when they are
+    under spark.sql.autoBroadcastJoinThreshold, else it shuffles."""
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nr = nation.join(bounded_broadcast(region, DIM_ROWS_MAX),
-                     F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return bounded_broadcast(nr, DIM_ROWS_MAX)
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
 
 
 def _region_label() -> Column:
@@ -102,3 +109,19 @@ def line_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("last_audit_date"))
     prof = supplier_profile(spark, sf_dir).drop("last_audit_date")
     return li.join(prof, F.col("l_suppkey") == F.col("s_suppkey"), "inner").drop("s_suppkey")
+
+
+def sanctions_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, entity_name, list_source derived from supplier: every 5th
+    supplier on OFAC, every 15th also on EU (fan-out), every 35th also on a
+    list without a source name."""
+    k = F.col("s_suppkey")
+    base = load(spark, sf_dir, "supplier").select(
+        k, F.concat(F.lit("SUP-"), F.lpad(k.cast("string"), 6, "0")).alias("entity_id"),
+        F.col("s_name").alias("entity_name"))
+    parts = [(5, F.lit("OFAC")), (15, F.lit("EU")), (35, F.lit(None).cast("string"))]
+    out = None
+    for mod, src in parts:
+        p = base.where(k % mod == 0).select("entity_id", "entity_name", src.alias("list_source"))
+        out = p if out is None else out.unionByName(p)
+    return out
