@@ -221,3 +221,79 @@ def html_escape_pages(spark, sf_dir):
     pages = tables.load(spark, sf_dir, "pages")
     return pages.select("page_id", _html_escape("url").alias("url_escaped"),
                         _html_escape("html").alias("html_escaped"))
+
+
+# --- news, weather, logs ----------------------------------------------------
+
+from ..operators import logs as logops  # noqa: E402
+from ..operators import news, weather  # noqa: E402
+from ..sources import events as ev  # noqa: E402
+from ..sources import feeds  # noqa: E402
+
+NEWS_KEYWORDS = "ouch, Zuver , license,, Strike"
+NEWS_SOURCES = ("src1", "src3", "src5", "src7")
+ITEM_COLS = ["doc_id", "title", "url", "source", "published", "summary"]
+
+
+def news_items(spark, sf_dir) -> DataFrame:
+    return feeds.items_from_documents(tables.load(spark, sf_dir, "documents"))
+
+
+def _items_out(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "published" else c
+                       for c in ITEM_COLS])
+
+
+@register("news_filter")
+def news_filter(spark, sf_dir):
+    return _items_out(news.keyword_filter(news_items(spark, sf_dir), NEWS_KEYWORDS))
+
+
+@register("latest_news")
+def latest_news(spark, sf_dir):
+    return _items_out(news.latest_news(news_items(spark, sf_dir), NEWS_SOURCES))
+
+
+@register("digest_lines")
+def digest_lines(spark, sf_dir):
+    items = news.keyword_filter(news_items(spark, sf_dir), NEWS_KEYWORDS)
+    return news.digest_lines(news.latest_news(items))
+
+
+@register("worst_hour")
+def worst_hour(spark, sf_dir):
+    obs = ev.weather_observations(tables.load(spark, sf_dir, "events"))
+    out = weather.worst_hour(obs, "location_id", "hour", "wind", "precip", "temp", "code",
+                             tie="event_id")
+    return rounded(out)
+
+
+@register("shipping_risk")
+def shipping_risk(spark, sf_dir):
+    from ..functions.weather import shipping_risk as rule
+    obs = ev.weather_observations(tables.load(spark, sf_dir, "events"))
+    w = F.coalesce(F.col("wind"), F.lit(0.0))
+    return rounded(obs.select("location_id", "event_id", w.alias("wind_kmh"),
+                              F.col("precip").alias("precip_prob_pct"),
+                              rule(w, F.col("precip")).alias("risk_level")))
+
+
+def app_logs(spark, sf_dir) -> DataFrame:
+    return logops.normalise_logs(ev.log_records(tables.load(spark, sf_dir, "events")))
+
+
+@register("error_categories")
+def error_categories(spark, sf_dir):
+    return logops.error_categories(app_logs(spark, sf_dir))
+
+
+@register("recent_logs")
+def recent_logs(spark, sf_dir):
+    recent = logops.recent_logs(app_logs(spark, sf_dir), ordinal="event_id")
+    return logops.format_logs(recent).select("event_id", "request_id", "supplier_id",
+                                             "batch_id", "line")
+
+
+@register("format_logs")
+def format_logs(spark, sf_dir):
+    return logops.format_logs(app_logs(spark, sf_dir)).select("event_id", "level", "line")

@@ -457,3 +457,127 @@ SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
 FROM scored"""
 
 ORACLE["html_escape"] = f"""SELECT page_id, {esc_sql('url')} AS url_escaped, {esc_sql('html')} AS html_escaped FROM pages"""
+
+# --- news, weather, logs ----------------------------------------------------
+
+from ..sources import events as EV  # noqa: E402
+
+_FEED_URL = "CASE source " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in C.FEED_SOURCES.items()) + " ELSE source END"
+
+ITEMS_CTE = f"""
+items AS (
+  SELECT doc_id,
+    COALESCE(NULLIF(split_part(text, chr(10), 1), ''), '{C.UNTITLED}') AS title,
+    {_FEED_URL} AS url,
+    source,
+    CASE WHEN doc_id % 50 <> 7 THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(doc_id * 3600)
+         ELSE TIMESTAMP '1970-01-01 00:00:00' END AS published,
+    NULLIF(text, '') AS summary
+  FROM documents
+)"""
+
+_KW = ["ouch", "zuver", "license", "strike"]
+_KW_COND = " OR ".join(
+    f"contains(lower(title || ' ' || COALESCE(summary, '')), '{k}')" for k in _KW)
+_ITEM_COLS = "doc_id, title, url, source, published, summary"
+
+ORACLE["news_filter"] = f"WITH {ITEMS_CTE}\nSELECT {_ITEM_COLS} FROM items WHERE {_KW_COND}"
+
+ORACLE["latest_news"] = f"""WITH {ITEMS_CTE}
+SELECT {_ITEM_COLS} FROM items WHERE source IN ('src1', 'src3', 'src5', 'src7')
+ORDER BY published DESC, url, title LIMIT 25"""
+
+ORACLE["digest_lines"] = f"""WITH {ITEMS_CTE},
+latest AS (SELECT * FROM items WHERE {_KW_COND} ORDER BY published DESC, url, title LIMIT 25)
+SELECT CAST(count(*) AS BIGINT) AS n_items,
+  COALESCE(string_agg('- [' || source || '] ' || title || ' (' || strftime(published, '%Y-%m-%dT%H:%M:%S')
+    || '+00:00): ' || COALESCE(summary, ''), chr(10) ORDER BY published DESC, url, title), '') AS digest
+FROM latest"""
+
+_CODE = "CASE event_type " + " ".join(
+    f"WHEN '{k}' THEN {v}" for k, v in EV.EVENT_WEATHER_CODE.items()) + " END"
+_CONDITIONS = ", ".join(f"({k}, '{v}')" for k, v in sorted(C.WEATHER_CONDITIONS.items()))
+
+
+def risk_sql(w: str, p: str) -> str:
+    parts = " ".join(f"WHEN {w} >= {a}e0 OR {p} >= {b}e0 THEN '{lvl}'" for lvl, a, b in C.SHIPPING_RISK)
+    return f"CASE {parts} ELSE '{C.SHIPPING_RISK_DEFAULT}' END"
+
+
+OBS_CTE = f"""
+obs AS (
+  SELECT user_id AS location_id, event_id, ts AS hour,
+    CASE WHEN event_id % 97 <> 0 THEN value END AS wind,
+    CAST((event_id * 37) % 101 AS DOUBLE) AS precip,
+    CAST(((event_id * 13) % 60) - 10 AS DOUBLE) AS temp,
+    CAST({_CODE} AS INTEGER) AS code
+  FROM events
+)"""
+
+ORACLE["worst_hour"] = f"""WITH {OBS_CTE},
+conditions(code, condition) AS (VALUES {_CONDITIONS}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY location_id
+    ORDER BY COALESCE(wind, 0.0e0) DESC, hour ASC, event_id ASC) AS rn
+  FROM obs
+),
+best AS (
+  SELECT location_id, hour, COALESCE(temp, 20.0e0) AS temperature_c, COALESCE(wind, 0.0e0) AS wind_kmh,
+    COALESCE(precip, 0.0e0) AS precip_prob_pct, COALESCE(code, 0) AS weather_code
+  FROM ranked WHERE rn = 1
+)
+SELECT b.location_id, b.hour, round(b.temperature_c, 6) AS temperature_c, round(b.wind_kmh, 6) AS wind_kmh,
+  round(b.precip_prob_pct, 6) AS precip_prob_pct, b.weather_code,
+  COALESCE(c.condition, '{C.CONDITION_UNKNOWN}') AS condition, {risk_sql('b.wind_kmh', 'b.precip_prob_pct')} AS risk_level
+FROM best b LEFT JOIN conditions c ON b.weather_code = c.code"""
+
+ORACLE["shipping_risk"] = f"""WITH {OBS_CTE}
+SELECT location_id, event_id, round(COALESCE(wind, 0.0e0), 6) AS wind_kmh, round(precip, 6) AS precip_prob_pct,
+  {risk_sql('COALESCE(wind, 0.0e0)', 'precip')} AS risk_level
+FROM obs"""
+
+_STATUS = "[" + ", ".join(str(s) for s in EV.ERROR_STATUS) + "]"
+_MSGS = "[" + ", ".join(f"'{m}'" for m in EV.ERROR_MESSAGES) + "]"
+_LEVEL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EV.EVENT_LEVEL.items()) + " ELSE 'INFO' END"
+
+LOGS_CTE = f"""
+logs AS (
+  SELECT event_id, ts AS "timestamp", {_LEVEL} AS level,
+    CASE WHEN event_type = 'error' THEN {_MSGS}[event_id % {len(EV.ERROR_MESSAGES)} + 1]
+         ELSE event_type || ' event ' || props END AS message,
+    CASE WHEN event_type = 'error' THEN {_STATUS}[event_id % {len(EV.ERROR_STATUS)} + 1] END AS status,
+    CAST(event_id AS VARCHAR) AS request_id,
+    'SUP-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS supplier_id,
+    CASE WHEN event_id % 3 = 0 THEN 'B' || CAST(event_id // 100 AS VARCHAR) END AS batch_id,
+    'event_type=' || event_type || ' k=' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR) AS extra_text
+  FROM events
+),
+lines AS (
+  SELECT *, strftime("timestamp", '%H:%M:%S') || ' | ' ||
+    CASE WHEN length(level) < {C.LOG_LEVEL_WIDTH} THEN rpad(level, {C.LOG_LEVEL_WIDTH}, ' ') ELSE level END
+    || ' | ' || message || ' | ' || extra_text AS line
+  FROM logs
+)"""
+
+
+def classify_sql(status: str, message: str) -> str:
+    m = f"lower(COALESCE({message}, ''))"
+    parts = []
+    for cat, codes in C.STATUS_CATEGORIES:
+        parts.append(f"WHEN {status} IN ({', '.join(str(c) for c in codes)}) THEN '{cat}'")
+    for cat, words in C.MESSAGE_CATEGORIES:
+        cond = " OR ".join(f"contains({m}, '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{cat}'")
+    return "CASE " + " ".join(parts) + f" ELSE '{C.CAT_FALLBACK}' END"
+
+
+ORACLE["error_categories"] = f"""WITH {LOGS_CTE}
+SELECT {classify_sql('status', 'message')} AS category, CAST(count(*) AS BIGINT) AS n FROM logs GROUP BY 1"""
+
+ORACLE["recent_logs"] = f"""WITH {LOGS_CTE}
+SELECT event_id, request_id, supplier_id, batch_id, line FROM lines
+ORDER BY "timestamp" DESC, event_id DESC LIMIT 1000"""
+
+ORACLE["format_logs"] = f"""WITH {LOGS_CTE}
+SELECT event_id, level, line FROM lines"""
