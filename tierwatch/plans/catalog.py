@@ -297,3 +297,101 @@ def recent_logs(spark, sf_dir):
 @register("format_logs")
 def format_logs(spark, sf_dir):
     return logops.format_logs(app_logs(spark, sf_dir)).select("event_id", "level", "line")
+
+
+# --- narratives, prompts, report --------------------------------------------
+
+from ..functions.text import estimate_tokens, fold_text  # noqa: E402
+from ..operators import narrative, report  # noqa: E402
+
+CHUNK_BUDGET = 256
+
+
+def scored_keyed(spark, sf_dir) -> DataFrame:
+    facts = tables.supplier_facts(spark, sf_dir, keep_key=True)
+    return scoring.score(facts, Scenario(), tables.AS_OF)
+
+
+def narratives(spark, sf_dir) -> DataFrame:
+    return derived.narratives_from_scored(scored_keyed(spark, sf_dir), "s_suppkey").drop("s_suppkey")
+
+
+@register("attribute_narratives")
+def attribute_narratives(spark, sf_dir):
+    return narrative.attribute(narratives(spark, sf_dir), tables.supplier_facts(spark, sf_dir, True),
+                               ordinal="ordinal", supplier_ordinal="s_suppkey")
+
+
+@register("top_narratives")
+def top_narratives(spark, sf_dir):
+    att = narrative.attribute(narratives(spark, sf_dir), tables.supplier_facts(spark, sf_dir, True),
+                              ordinal="ordinal", supplier_ordinal="s_suppkey")
+    return narrative.top_narratives(att)
+
+
+@register("narrative_contract")
+def narrative_contract(spark, sf_dir):
+    return quality.failures(narratives(spark, sf_dir), narrative.narrative_contract())
+
+
+@register("narrative_input")
+def narrative_input(spark, sf_dir):
+    return rounded(narrative.narrative_input(scored_suppliers(spark, sf_dir)))
+
+
+@register("supplier_picker")
+def supplier_picker(spark, sf_dir):
+    facts = tables.supplier_facts(spark, sf_dir, keep_key=True)
+    out = narrative.labelled(facts.select("s_suppkey", "supplier_id", "supplier_name",
+                                          "latitude", "longitude"), ordinal="s_suppkey")
+    return rounded(out)
+
+
+def conversation_tokens(spark, sf_dir) -> DataFrame:
+    conv = tables.load(spark, sf_dir, "conversations")
+    return conv.withColumn("tokens", estimate_tokens("text"))
+
+
+@register("token_estimate")
+def token_estimate(spark, sf_dir):
+    return conversation_tokens(spark, sf_dir).select("conv_id", "turn", "role", "tokens")
+
+
+def chunked_conversations(spark, sf_dir) -> DataFrame:
+    return narrative.chunk_rows(conversation_tokens(spark, sf_dir), "conv_id", "turn", "tokens",
+                                CHUNK_BUDGET)
+
+
+@register("chunk_assign")
+def chunk_assign(spark, sf_dir):
+    return chunked_conversations(spark, sf_dir).select("conv_id", "turn", "tokens", "chunk_id")
+
+
+@register("chunk_stats")
+def chunk_stats(spark, sf_dir):
+    batches = narrative.prompt_batches(chunked_conversations(spark, sf_dir), "conv_id", "turn",
+                                       "tokens", ["role", "text"])
+    return batches.drop("prompt")
+
+
+@register("prompts")
+def prompts(spark, sf_dir):
+    return narrative.prompt_batches(chunked_conversations(spark, sf_dir), "conv_id", "turn",
+                                    "tokens", ["role", "text"]).select(
+        "conv_id", "chunk_id", "n_rows", "prompt")
+
+
+@register("report_kpis")
+def report_kpis(spark, sf_dir):
+    return report.kpi_table(scored_suppliers(spark, sf_dir))
+
+
+@register("report_top")
+def report_top(spark, sf_dir):
+    return report.top_table(scored_suppliers(spark, sf_dir))
+
+
+@register("fold_text")
+def fold_text_docs(spark, sf_dir):
+    docs = tables.load(spark, sf_dir, "documents")
+    return docs.select("doc_id", fold_text("text").alias("text_latin1"))

@@ -581,3 +581,106 @@ ORDER BY "timestamp" DESC, event_id DESC LIMIT 1000"""
 
 ORACLE["format_logs"] = f"""WITH {LOGS_CTE}
 SELECT event_id, level, line FROM lines"""
+
+# --- narratives, prompts, report --------------------------------------------
+
+from ..sources import derived as DV  # noqa: E402
+
+SCORED_KEYED = scored_cte("balanced", base_cte=FACTS_KEYED_CTE)
+_RISK_LIST = "[" + ", ".join(
+    f"{{'n': '{n}', 'v': round(component_{n}, 6)}}" for n in DV.RISK_NAMES) + "]"
+
+NARR_CTE = SCORED_KEYED + f""",
+narr_base AS (
+  SELECT s_suppkey,
+    CASE WHEN s_suppkey % 7 = 0 THEN CAST(NULL AS VARCHAR)
+         WHEN s_suppkey % 11 = 0 THEN 'SUP-X' || CAST(s_suppkey AS VARCHAR) ELSE supplier_id END AS supplier_id,
+    CASE WHEN s_suppkey % 11 = 0 AND s_suppkey % 2 = 0 THEN 'Ghost ' || CAST(s_suppkey AS VARCHAR)
+         ELSE supplier_name END AS supplier_name,
+    CASE WHEN s_suppkey % 23 = 0 THEN 'SEVERE' ELSE {band_sql('composite_risk')} END AS overall_risk,
+    list_transform(list_filter({_RISK_LIST}, lambda x: x.v >= 0.5), lambda x: x.n) AS key_risks,
+    'Review ' || supplier_name AS recommendation,
+    CASE WHEN s_suppkey % 29 = 0 THEN 1.2e0 ELSE round(composite_risk, 3) END AS confidence,
+    s_suppkey * 2 AS ordinal
+  FROM scored
+),
+narr AS (
+  SELECT supplier_id, supplier_name, overall_risk, key_risks, recommendation, confidence, ordinal FROM narr_base
+  UNION ALL
+  SELECT supplier_id, supplier_name, overall_risk, key_risks, 'Escalate ' || supplier_name,
+    round(confidence / 2, 3), ordinal + 1 FROM narr_base WHERE s_suppkey % 13 = 0
+),
+valid AS (SELECT DISTINCT supplier_id AS vid FROM supplier_facts WHERE supplier_id IS NOT NULL),
+names AS (SELECT supplier_name AS nm, arg_max(supplier_id, s_suppkey) AS nid FROM supplier_facts
+          WHERE supplier_name IS NOT NULL GROUP BY supplier_name),
+resolved AS (
+  SELECT COALESCE(v.vid, n2.nid, '{C.UNKNOWN_SUPPLIER}') AS resolved_id, narr.*
+  FROM narr LEFT JOIN valid v ON narr.supplier_id = v.vid LEFT JOIN names n2 ON narr.supplier_name = n2.nm
+),
+attributed AS (
+  SELECT resolved_id, supplier_id, supplier_name, overall_risk, key_risks, recommendation, confidence
+  FROM (SELECT *, row_number() OVER (PARTITION BY resolved_id ORDER BY ordinal DESC) AS rn FROM resolved)
+  WHERE rn = 1
+)"""
+
+ORACLE["attribute_narratives"] = f"WITH {NARR_CTE}\nSELECT * FROM attributed"
+
+_SEV = "CASE overall_risk " + " ".join(
+    f"WHEN '{k}' THEN {v}" for k, v in C.SEVERITY_RANK.items()) + f" ELSE {C.SEVERITY_OTHER} END"
+
+ORACLE["top_narratives"] = f"""WITH {NARR_CTE}
+SELECT *, {_SEV} AS severity_rank FROM attributed
+ORDER BY severity_rank, confidence DESC NULLS LAST, resolved_id LIMIT 5"""
+
+ORACLE["narrative_contract"] = f"""WITH {NARR_CTE}
+SELECT supplier_id, 'supplier_name' AS "column", 'not_nullable' AS "check", CAST(NULL AS VARCHAR) AS failure_case FROM narr WHERE supplier_name IS NULL
+UNION ALL SELECT supplier_id, 'overall_risk', 'not_nullable', NULL FROM narr WHERE overall_risk IS NULL
+UNION ALL SELECT supplier_id, 'key_risks', 'not_nullable', NULL FROM narr WHERE key_risks IS NULL
+UNION ALL SELECT supplier_id, 'confidence', 'not_nullable', NULL FROM narr WHERE confidence IS NULL OR isnan(confidence)
+UNION ALL SELECT supplier_id, 'overall_risk', 'isin(LOW, MEDIUM, HIGH, CRITICAL)', overall_risk FROM narr
+  WHERE overall_risk IS NOT NULL AND overall_risk NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')
+UNION ALL SELECT supplier_id, 'key_risks', 'max_length({C.MAX_KEY_RISKS})', CAST(key_risks AS VARCHAR) FROM narr
+  WHERE key_risks IS NOT NULL AND len(key_risks) > {C.MAX_KEY_RISKS}
+UNION ALL SELECT supplier_id, 'confidence', 'in_range(0.0, 1.0)', CAST(confidence AS VARCHAR) FROM narr
+  WHERE confidence IS NOT NULL AND NOT isnan(confidence) AND NOT (confidence BETWEEN 0.0e0 AND 1.0e0)"""
+
+ORACLE["narrative_input"] = f"""WITH {BAL}
+SELECT {SUPPLIER_SELECT} FROM scored ORDER BY supplier_id LIMIT 10"""
+
+ORACLE["supplier_picker"] = f"""WITH {FACTS_KEYED_CTE}
+SELECT supplier_id || ' · ' || supplier_name AS label,
+  arg_max(s_suppkey, s_suppkey) AS s_suppkey, arg_max(supplier_id, s_suppkey) AS supplier_id,
+  arg_max(supplier_name, s_suppkey) AS supplier_name, round(arg_max(latitude, s_suppkey), 6) AS latitude,
+  round(arg_max(longitude, s_suppkey), 6) AS longitude
+FROM supplier_facts GROUP BY 1"""
+
+ORACLE["token_estimate"] = """SELECT conv_id, turn, role, CAST(length(text) // 4 AS BIGINT) AS tokens FROM conversations"""
+
+_B = 256
+CHUNK_CTE = f"""RECURSIVE t AS (
+  SELECT conv_id, turn, CAST(length(text) // 4 AS BIGINT) AS tokens, COALESCE(length(text) // 4, 0) AS tok,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
+  FROM conversations
+),
+r AS (
+  SELECT conv_id, rn, turn, tokens, tok, LEAST(tok, {_B + 1}) AS cur, CAST(0 AS BIGINT) AS chunk_id FROM t WHERE rn = 1
+  UNION ALL
+  SELECT t.conv_id, t.rn, t.turn, t.tokens, t.tok,
+    CASE WHEN r.cur + t.tok > {_B} THEN LEAST(t.tok, {_B + 1}) ELSE LEAST(r.cur + t.tok, {_B + 1}) END,
+    CASE WHEN r.cur + t.tok > {_B} THEN r.chunk_id + 1 ELSE r.chunk_id END
+  FROM r JOIN t ON t.conv_id = r.conv_id AND t.rn = r.rn + 1
+)"""
+
+ORACLE["chunk_assign"] = f"WITH {CHUNK_CTE}\nSELECT conv_id, turn, tokens, chunk_id FROM r"
+
+ORACLE["chunk_stats"] = f"""WITH {CHUNK_CTE}
+SELECT conv_id, chunk_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(tokens) AS BIGINT) AS chunk_tokens,
+  min(turn) AS first_turn, max(turn) AS last_turn
+FROM r GROUP BY conv_id, chunk_id"""
+
+ORACLE["report_kpis"] = f"""WITH {BAL}, k AS (
+  SELECT count(*) AS total, COALESCE(avg(composite_risk), 0.0e0) AS avg_risk,
+    count(*) FILTER (WHERE composite_risk >= 0.7e0) AS high, count(*) FILTER (WHERE composite_risk >= 0.85e0) AS crit
+  FROM scored)
+SELECT format('{{:,}}', total) AS total_suppliers_text, printf('%.3f', avg_risk) AS avg_risk_text,
+  format('{{:,}}', high) AS high_risk_text, format('{{:,}}', crit) AS critical_text FROM k"""

@@ -96,3 +96,39 @@ def faulty_facts(df: DataFrame, key: str) -> DataFrame:
          .when(k % 47 == 20, F.lit("2025-02-30"))
          .otherwise(F.col("last_audit_date")).alias("last_audit_date"),
     )
+
+
+# Component short names used as narrative key risks (in component order).
+RISK_NAMES = ("base", "financial", "operational", "geopolitical", "audit_staleness")
+
+
+def narratives_from_scored(scored: DataFrame, key: str) -> DataFrame:
+    """Stand-in model output, one narrative per scored supplier plus a later
+    second one for every 13th: some without an echoed id (resolved by name),
+    some with an unknown id and name (UNKNOWN), and contract breaches
+    (unknown level, four key risks, confidence above 1)."""
+    from ..functions.bands import risk_band
+    k = F.col(key)
+    comps = F.array(*[F.struct(F.lit(n).alias("n"), F.round(F.col(f"component_{n}"), 6).alias("v"))
+                      for n in RISK_NAMES])
+    key_risks = F.transform(F.filter(comps, lambda x: x["v"] >= 0.5), lambda x: x["n"])
+    base = scored.select(
+        k.alias(key),
+        F.when(k % 7 == 0, F.lit(None).cast("string"))
+         .when(k % 11 == 0, F.concat(F.lit("SUP-X"), k.cast("string")))
+         .otherwise(F.col("supplier_id")).alias("supplier_id"),
+        F.when((k % 11 == 0) & (k % 2 == 0), F.concat(F.lit("Ghost "), k.cast("string")))
+         .otherwise(F.col("supplier_name")).alias("supplier_name"),
+        F.when(k % 23 == 0, F.lit("SEVERE"))
+         .otherwise(risk_band("composite_risk")).alias("overall_risk"),
+        key_risks.alias("key_risks"),
+        F.concat(F.lit("Review "), F.col("supplier_name")).alias("recommendation"),
+        F.when(k % 29 == 0, F.lit(1.2))
+         .otherwise(F.round(F.col("composite_risk"), 3)).alias("confidence"),
+        (k * 2).alias("ordinal"),
+    )
+    later = (base.where(k % 13 == 0)
+             .withColumn("recommendation", F.concat(F.lit("Escalate "), F.col("supplier_name")))
+             .withColumn("confidence", F.round(F.col("confidence") / 2, 3))
+             .withColumn("ordinal", F.col("ordinal") + 1))
+    return base.unionByName(later)
