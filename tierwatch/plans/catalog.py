@@ -395,3 +395,83 @@ def report_top(spark, sf_dir):
 def fold_text_docs(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents")
     return docs.select("doc_id", fold_text("text").alias("text_latin1"))
+
+
+# --- incremental work and streams -------------------------------------------
+
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming import incremental, streams  # noqa: E402
+
+
+def scratch_dir(spark, tag: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tierwatch-{tag}-{uuid.uuid4().hex[:12]}"
+
+
+@register("stale_caches")
+def stale_caches(spark, sf_dir):
+    ev_ = tables.load(spark, sf_dir, "events")
+    last = ev_.groupBy("user_id").agg(F.max("ts").alias("last_fetch"))
+    now = ev_.agg(F.max("ts").alias("now"))
+    out = last.crossJoin(F.broadcast(now))   # one-row aggregate
+    return out.select("user_id", "last_fetch",
+                      incremental.stale(F.col("last_fetch"), F.col("now")).alias("is_stale"))
+
+
+@register("pending_work")
+def pending_work(spark, sf_dir):
+    ev_ = tables.load(spark, sf_dir, "events")
+    work = ev_.select("user_id", "event_type").distinct()
+    done = ev_.where(F.col("value") > 50).select("user_id", "event_type")
+    return incremental.pending(work, done, ["user_id", "event_type"])
+
+
+@register("new_files")
+def new_files(spark, sf_dir):
+    hashes = incremental.file_hashes(spark, sf_dir, glob="*.parquet")
+    ledger = hashes.where(F.col("path").rlike(r"/(region|nation)\.parquet$")).select(
+        "content_sha256")
+    return incremental.new_files(hashes, ledger).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "content_sha256")
+
+
+@register("stream_suppliers")
+def stream_suppliers(spark, sf_dir):
+    root = scratch_dir(spark, "uploads")
+    src, ckpt = f"{root}/landing", f"{root}/_checkpoint"
+    sinks = {k: f"{root}/{k}" for k in ("accepted", "scored", "rejected", "failures")}
+    facts = tables.supplier_facts(spark, sf_dir, keep_key=True)
+    good, _ = quality.split(facts.drop("s_suppkey"))
+    text = lambda df: df.select(*[F.col(c).cast("string") for c in SUPPLIER_OUT])
+    # First upload: rows that pass the contract; second: rows with faults.
+    text(good).write.option("header", True).mode("append").csv(src)
+    q = streams.stream_suppliers(spark, src, sinks, ckpt, Scenario(), tables.AS_OF)
+    q.awaitTermination()
+    text(faulty_suppliers(spark, sf_dir)).write.option("header", True).mode("append").csv(src)
+    q = streams.stream_suppliers(spark, src, sinks, ckpt, Scenario(), tables.AS_OF)
+    q.awaitTermination()
+    scored = spark.read.parquet(sinks["scored"])
+    return rounded(scored.select(*SUPPLIER_OUT, *scoring.C.COMPONENTS, "composite_risk"))
+
+
+@register("stream_news")
+def stream_news(spark, sf_dir):
+    root = scratch_dir(spark, "feeds")
+    src, sink, ckpt = f"{root}/landing", f"{root}/items", f"{root}/_checkpoint"
+    items = news_items(spark, sf_dir)
+    landed = items.select(
+        F.when(F.col("title") != "Untitled", F.col("title")).alias("title"),
+        F.lit(None).cast("string").alias("link"),
+        F.date_format("published", "EEE, d MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"),
+        F.lit(None).cast("string").alias("updated"),
+        F.col("summary").alias("description"),
+        "source")
+    landed.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(src)
+    schema = streams.RSS_SCHEMA.add("source", "string")
+    q = streams.stream_news(spark, src, sink, ckpt, keywords=NEWS_KEYWORDS, schema=schema)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("title", "url", "source",
+                      F.col("published").cast("timestamp_ntz").alias("published"), "summary")

@@ -684,3 +684,14 @@ ORACLE["report_kpis"] = f"""WITH {BAL}, k AS (
   FROM scored)
 SELECT format('{{:,}}', total) AS total_suppliers_text, printf('%.3f', avg_risk) AS avg_risk_text,
   format('{{:,}}', high) AS high_risk_text, format('{{:,}}', crit) AS critical_text FROM k"""
+
+# --- incremental work -------------------------------------------------------
+
+ORACLE["stale_caches"] = f"""WITH last AS (SELECT user_id, max(ts) AS last_fetch FROM events GROUP BY user_id),
+now AS (SELECT max(ts) AS now FROM events)
+SELECT user_id, last_fetch,
+  COALESCE(epoch_us(now) - epoch_us(last_fetch) > {C.NEWS_TTL_SECONDS} * 1000000, true) AS is_stale
+FROM last CROSS JOIN now"""
+
+ORACLE["pending_work"] = """SELECT DISTINCT user_id, event_type FROM events
+EXCEPT SELECT user_id, event_type FROM events WHERE value > 50"""
