@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,6 @@ def _haystack() -> Column:
 
 
 def _automaton_udf(words: list[str]):
-    import pandas as pd
-
     @F.pandas_udf(T.BooleanType())
     def any_word(s: pd.Series) -> pd.Series:
         import ahocorasick
