@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
+
 
 # FIXED VALUES of the derivation (shared with the SQL oracle).
 AUDIT_EPOCH = "1998-01-01"
@@ -20,6 +22,31 @@ LINES_AS_OF = "1999-06-30"    # scoring date for line_exposures
 
 
 _LOADED: dict = {}
+# Per-supplier tables are broadcast to the lineitem side up to this many
+# rows (checked); beyond it the join is a shuffle join.
+PROFILE_BROADCAST_ROWS = 2_000_000
+# A scan smaller than this is never split further (dimension tables).
+SPLIT_MIN_BYTES = 4 << 20
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # noqa: BLE001 - no statistics available
+        return 0
+
+
+def widen_scan(df: DataFrame) -> DataFrame:
+    """Spread a large scan that yields fewer splits than the session has
+    task slots (one file with one row group is read by one task).
+
+    On a cluster the fact tables come in many files and row groups, so
+    this is a no-op there; it only adds a round-robin exchange for inputs
+    that would otherwise run every narrow stage in a single task."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots or _estimated_bytes(df) < SPLIT_MIN_BYTES:
+        return df
+    return df.repartition(slots)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +56,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, path)
     df = _LOADED.get(key)
     if df is None:
-        df = spark.read.parquet(path)
+        df = widen_scan(spark.read.parquet(path))
         _LOADED[key] = df
     return df
 
@@ -107,7 +134,8 @@ def line_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("annual_spend_usd"),
         F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("last_audit_date"))
-    prof = supplier_profile(spark, sf_dir).drop("last_audit_date")
+    prof = bounded_broadcast(supplier_profile(spark, sf_dir).drop("last_audit_date"),
+                             PROFILE_BROADCAST_ROWS)
     return li.join(prof, F.col("l_suppkey") == F.col("s_suppkey"), "inner").drop("s_suppkey")
 
 
