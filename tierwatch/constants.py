@@ -23,6 +23,15 @@ NULL_TOKENS = ("NULL", "null", "N/A", " ", "")
 
 REGIONS = ("EMEA", "APAC", "NA", "LATAM")
 
+# Unicode White_Space (the set Java's (?U)\s and Rust's is_whitespace use):
+# tab..carriage return, space, NEL, NBSP, OGHAM SPACE MARK, EN QUAD..HAIR
+# SPACE, LINE/PARAGRAPH SEPARATOR, NARROW NBSP, MEDIUM MATH SPACE,
+# IDEOGRAPHIC SPACE.
+WHITESPACE = "".join(
+    [chr(c) for c in range(0x09, 0x0E)] + ["\u0020", "\u0085", "\u00a0", "\u1680"]
+    + [chr(c) for c in range(0x2000, 0x200B)]
+    + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"])
+
 # --- FIXED VALUES: scoring --------------------------------------------------
 
 COMPONENTS = (

@@ -16,10 +16,8 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 
-# Java's (?U) switches \s to Unicode White_Space (NBSP, EM SPACE, NEL ...);
-# a plain \s and Spark's trim() only see ASCII.
-_EDGE_WS = r"(?U)^\s+|\s+$"
-_ANY_WS = r"(?U)\s+"
+# Whitespace is Unicode White_Space (NBSP, EM SPACE, NEL ...); a plain \s
+# regex and Spark's trim() only see ASCII.
 # Plain decimal text; rejects Java suffixes such as "12d" that try_cast accepts.
 DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INTEGER_TEXT = r"^[+-]?\d+$"
@@ -30,8 +28,9 @@ def _c(col) -> Column:
 
 
 def trim_ws(col) -> Column:
-    """Strip leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), _EDGE_WS, "")
+    """Strip leading/trailing Unicode whitespace (character-set trim, no
+    regex)."""
+    return F.btrim(_c(col), F.lit(C.WHITESPACE))
 
 
 def null_tokens(col, tokens=C.NULL_TOKENS) -> Column:
@@ -41,8 +40,9 @@ def null_tokens(col, tokens=C.NULL_TOKENS) -> Column:
 
 
 def strip_inner_ws(col) -> Column:
-    """Remove every whitespace character, inner ones included."""
-    return F.regexp_replace(_c(col), _ANY_WS, "")
+    """Remove every whitespace character, inner ones included (character
+    deletion with translate, no regex)."""
+    return F.translate(_c(col), C.WHITESPACE, "")
 
 
 def to_number(col, dtype: str = "double") -> Column:

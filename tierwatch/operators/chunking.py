@@ -16,11 +16,11 @@ Instead:
    rows up to the first point where the slice alone overflows the budget,
    plus the outcome of a fresh chunk starting at each of those rows, so
    the summary holds at most min(rows, budget + 2) entries;
-3. per key, the slice summaries are folded in order (one small group per
-   key: one summary per slice, not the rows) -> start state and chunk
-   offset of every slice;
-4. every slice is relabelled from its start state (cogroup of the slice's
-   rows with its one-row start record).
+3. per key, the slice summaries are folded in order (one summary per
+   slice, not the rows) -> start state and chunk offset of every slice;
+4. every slice is relabelled from its start state.
+
+Steps 2 and 4 run once per partition (``mapInPandas``), not once per key.
 """
 
 from __future__ import annotations
@@ -31,30 +31,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import bounded_broadcast, ensure_checkpoint_dir
 
 EMPTY = -1
+# Slice start records are broadcast to the row side up to this many.
+STARTS_BROADCAST_ROWS = 2_000_000
+
+
+def _next_start(t: np.ndarray, budget: int):
+    """prefix sums and, for a chunk starting at row j, the row where the
+    next chunk starts (>= len(t) when none)."""
+    m = len(t)
+    prefix = np.concatenate([[0], np.cumsum(t, dtype=np.int64)])  # prefix[i] = sum t[:i]
+    nxt = np.searchsorted(prefix, prefix[:-1] + budget, side="right") - 1
+    return prefix, np.maximum(nxt, np.arange(m) + 1)
 
 
 def _fresh_outcomes(t: np.ndarray, budget: int):
     """For each row j: (end state, chunk starts after j) when a chunk starts
     at j.  Backward recursion over the next chunk start."""
     m = len(t)
-    prefix = np.concatenate([[0], np.cumsum(t, dtype=np.int64)])  # prefix[i] = t[0..i-1]
-    # next start after j: first k > j with prefix[k+1] - prefix[j] > budget
-    nxt = np.searchsorted(prefix, prefix[:-1] + budget, side="right") - 1
-    nxt = np.maximum(nxt, np.arange(m) + 1)
-    end = np.empty(m, dtype=np.int64)
-    cnt = np.empty(m, dtype=np.int64)
-    cap = budget + 1
+    prefix, nxt = _next_start(t, budget)
+    nxt_l, pre = nxt.tolist(), prefix.tolist()
+    end, cnt = [0] * m, [0] * m
+    cap, total = budget + 1, pre[m]
     for j in range(m - 1, -1, -1):
-        k = nxt[j]
+        k = nxt_l[j]
         if k < m:
             end[j] = end[k]
             cnt[j] = cnt[k] + 1
         else:
-            end[j] = min(prefix[m] - prefix[j], cap)
-            cnt[j] = 0
+            end[j] = min(total - pre[j], cap)
     return prefix, end, cnt
 
 
@@ -63,12 +70,12 @@ def summarize_slice(t: np.ndarray, budget: int) -> dict:
     m = len(t)
     # Rows that can be the first chunk start for some start state: those
     # up to and including the first row where the slice alone overflows.
-    over = np.searchsorted(prefix[1:], budget, side="right")  # first k with prefix[k+1] > budget
+    over = int(np.searchsorted(prefix[1:], budget, side="right"))
     w = min(m, over + 1)
     return {
-        "win_prefix": prefix[1:w + 1].tolist(),   # prefix sums t[0..k]
-        "win_end": end[:w].tolist(),
-        "win_cnt": cnt[:w].tolist(),
+        "win_prefix": prefix[1:w + 1].tolist(),   # sum t[:k+1]
+        "win_end": end[:w],
+        "win_cnt": cnt[:w],
         "total": int(prefix[m]),
         "empty_end": int(end[0]),
         "empty_cnt": int(cnt[0]),
@@ -78,26 +85,29 @@ def summarize_slice(t: np.ndarray, budget: int) -> dict:
 def apply_summary(s: dict, state: int, budget: int) -> tuple[int, int]:
     """(end state, chunk starts inside the slice) from ``state``."""
     if state == EMPTY:
-        return s["empty_end"], s["empty_cnt"]
-    win = s["win_prefix"]
-    k = int(np.searchsorted(np.asarray(win, dtype=np.int64), budget - state, side="right"))
+        return int(s["empty_end"]), int(s["empty_cnt"])
+    win = np.asarray(s["win_prefix"], dtype=np.int64)
+    k = int(np.searchsorted(win, budget - state, side="right"))
     if k < len(win):
         return int(s["win_end"][k]), int(s["win_cnt"][k]) + 1
-    return min(state + s["total"], budget + 1), 0
+    return min(state + int(s["total"]), budget + 1), 0
 
 
 def label_slice(t: np.ndarray, state: int, base: int, budget: int) -> np.ndarray:
-    """Chunk id of every row of a slice given its start state and offset."""
-    out = np.empty(len(t), dtype=np.int64)
-    chunk, cur, nonempty = base, (0 if state == EMPTY else state), state != EMPTY
-    for i, x in enumerate(t):
-        if nonempty and cur + x > budget:
-            chunk += 1
-            cur = 0
-        cur = min(cur + int(x), budget + 1)
-        nonempty = True
-        out[i] = chunk
-    return out
+    """Chunk id of every row of a slice given its start state and offset:
+    follow the chain of chunk starts, then a cumulative sum."""
+    m = len(t)
+    prefix, nxt = _next_start(t, budget)
+    starts = np.zeros(m, dtype=np.int64)
+    if state == EMPTY:
+        k = int(nxt[0]) if m else m
+    else:
+        k = int(np.searchsorted(prefix[1:], budget - state, side="right"))
+    nxt_l = nxt.tolist()
+    while k < m:
+        starts[k] = 1
+        k = nxt_l[k]
+    return base + np.cumsum(starts)
 
 
 _SUMMARY_SCHEMA = T.StructType([
@@ -118,6 +128,12 @@ _START_SCHEMA = T.StructType([
 ])
 
 
+def _whole_partition(batches) -> pd.DataFrame | None:
+    """All Arrow batches of one (bounded) partition as one frame."""
+    frames = [b for b in batches if len(b)]
+    return pd.concat(frames, ignore_index=True) if frames else None
+
+
 def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
           name: str = "chunk_id", num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``name``: the 0-based chunk index of each row within its key."""
@@ -125,44 +141,65 @@ def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.withColumn("_key", F.col(key).cast("string"))
+              .withColumn("_tok", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
               .repartitionByRange(n, F.col("_key").asc_nulls_last(), F.col(order).asc_nulls_last())
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ord", kind="mergesort")
-        s = summarize_slice(pdf["_tok"].to_numpy(dtype=np.int64), budget)
-        return pd.DataFrame([{"_key": pdf["_key"].iloc[0], "_pid": int(pdf["_pid"].iloc[0]), **s}])
-
-    summaries = (ranged.select("_key", "_pid", F.col(order).alias("_ord"),
-                               F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_tok"))
-                 .groupBy("_key", "_pid").applyInPandas(summarize, _SUMMARY_SCHEMA))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pid")
-        state, base, rows = EMPTY, 0, []
-        for rec in pdf.to_dict("records"):
-            rows.append((rec["_key"], rec["_pid"], state, base))
-            state, c = apply_summary(rec, state, budget)
-            base += c
-        return pd.DataFrame(rows, columns=["_key", "_pid", "_start", "_base"])
-
-    starts = summaries.groupBy("_key").applyInPandas(fold, _START_SCHEMA)
-
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField(name, T.LongType())])
-    order_name = order
-
-    def relabel(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_schema.fields})
-        rows = rows.sort_values(order_name, kind="mergesort")
-        st, base = int(start["_start"].iloc[0]), int(start["_base"].iloc[0])
-        tok = rows[tokens].fillna(0).to_numpy(dtype=np.int64)
-        rows = rows.copy()
-        rows[name] = label_slice(tok, st, base, budget)
-        return rows
-
-    labelled = (ranged.groupBy("_key", "_pid")
-                .cogroup(starts.groupBy("_key", "_pid"))
-                .applyInPandas(relabel, out_schema))
-    return labelled.drop("_key", "_pid")
+    def summarize(batches):
+        pdf = _whole_partition(batches)
+        if pdf is None:
+            return
+        pdf = pdf.sort_values(["_key", "_ord"], kind="mergesort")
+        rows = []
+        for k, g in pdf.groupby("_key", sort=False, dropna=False):
+            s = summarize_slice(g["_tok"].to_numpy(dtype=np.int64), budget)
+            rows.append({"_key": k, "_pid": int(g["_pid"].iloc[0]), **s})
+        yield pd.DataFrame(rows)
+
+    summaries = (ranged.select("_key", "_pid", F.col(order).alias("_ord"), "_tok")
+                 .mapInPandas(summarize, _SUMMARY_SCHEMA))
+
+    def fold(batches):
+        pdf = _whole_partition(batches)
+        if pdf is None:
+            return
+        pdf = pdf.sort_values(["_key", "_pid"], kind="mergesort")
+        out = []
+        for k, g in pdf.groupby("_key", sort=False, dropna=False):
+            state, base = EMPTY, 0
+            for rec in g.to_dict("records"):
+                out.append((k, rec["_pid"], state, base))
+                state, c = apply_summary(rec, state, budget)
+                base += c
+        yield pd.DataFrame(out, columns=["_key", "_pid", "_start", "_base"])
+
+    # One small record per slice; all slices of a key meet in one partition.
+    starts = (summaries.repartition(n, "_key").mapInPandas(fold, _START_SCHEMA))
+
+    starts_b = bounded_broadcast(starts, STARTS_BROADCAST_ROWS)
+    joined = ranged.join(starts_b, ["_key", "_pid"], "inner")
+    if starts_b is starts:   # too many slices to broadcast: co-locate by slice
+        joined = joined.repartition(n, "_key", "_pid")
+
+    out_schema = T.StructType([f for f in joined.schema.fields
+                               if f.name not in ("_start", "_base", "_tok")]
+                              + [T.StructField(name, T.LongType())])
+    cols = [f.name for f in out_schema.fields]
+
+    def relabel(batches):
+        pdf = _whole_partition(batches)
+        if pdf is None:
+            return
+        pdf = pdf.sort_values(["_key", "_pid", order], kind="mergesort")
+        labels = np.empty(len(pdf), dtype=np.int64)
+        pos = 0
+        for _, g in pdf.groupby(["_key", "_pid"], sort=False, dropna=False):
+            labels[pos:pos + len(g)] = label_slice(
+                g["_tok"].to_numpy(dtype=np.int64), int(g["_start"].iloc[0]),
+                int(g["_base"].iloc[0]), budget)
+            pos += len(g)
+        pdf[name] = labels
+        yield pdf[cols]
+
+    return joined.mapInPandas(relabel, out_schema).drop("_key", "_pid")
