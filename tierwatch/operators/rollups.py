@@ -77,3 +77,10 @@ def risk_matrix(scored: DataFrame) -> DataFrame:
     return scored.select(
         "supplier_id", "supplier_name", "region", "tier", "annual_spend_usd", RISK,
         F.when(spend > 0, F.log10(spend)).alias("log_spend"))
+
+
+def sample_rows(df: DataFrame, n: int = 500, order: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows by an explicit order (a demo/preview sample);
+    a bounded top-k, merged from per-task top-k lists."""
+    keys = order or ["supplier_id"]
+    return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(n)

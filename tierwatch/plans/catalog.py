@@ -475,3 +475,17 @@ def stream_news(spark, sf_dir):
     out = spark.read.parquet(sink)
     return out.select("title", "url", "source",
                       F.col("published").cast("timestamp_ntz").alias("published"), "summary")
+
+
+@register("demo_sample")
+def demo_sample(spark, sf_dir):
+    lines = tables.line_exposures(spark, sf_dir)
+    return rounded(rollups.sample_rows(lines, 500, ["l_orderkey", "l_linenumber"]))
+
+
+@register("retryable_errors")
+def retryable_errors(spark, sf_dir):
+    from ..functions.errors import is_retryable
+    logs_ = app_logs(spark, sf_dir).where(F.col("status").isNotNull())
+    return (logs_.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("retryable", is_retryable("status")))

@@ -695,3 +695,13 @@ FROM last CROSS JOIN now"""
 
 ORACLE["pending_work"] = """SELECT DISTINCT user_id, event_type FROM events
 EXCEPT SELECT user_id, event_type FROM events WHERE value > 50"""
+
+ORACLE["demo_sample"] = f"""WITH {LINES_CTE}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(annual_spend_usd, 6) AS annual_spend_usd,
+  last_audit_date, supplier_id, supplier_name, round(risk_score, 6) AS risk_score,
+  round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, region, tier
+FROM line_exposures ORDER BY l_orderkey, l_linenumber LIMIT 500"""
+
+ORACLE["retryable_errors"] = f"""WITH {LOGS_CTE}
+SELECT status, CAST(count(*) AS BIGINT) AS n, status IN ({', '.join(str(s) for s in C.RETRYABLE_STATUS)}) AS retryable
+FROM logs WHERE status IS NOT NULL GROUP BY status"""
