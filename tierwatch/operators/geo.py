@@ -18,7 +18,7 @@ from ..functions.text import html_escape
 from ..scenario import Scenario
 from .ranking import global_rank
 
-TOPK_MERGE_MAX = 10_000
+TOPK_MERGE_MAX = 1_000
 MAP_COLUMNS = ["supplier_id", "supplier_name", "region", "latitude", "longitude",
                "risk_display", "risk_rgb", "risk_radius"]
 

@@ -63,8 +63,11 @@ def audit_component(as_of) -> Column:
 
 
 def spend_max(df: DataFrame) -> DataFrame:
-    """One-row frame holding max(log1p(spend)) over the whole input."""
-    return df.agg(F.max(log_spend()).alias(_MAX_COL))
+    """One-row frame holding max(log1p(spend)) over the whole input.
+
+    log1p is monotonic, so this is log1p(max(spend)): the partial
+    aggregates only compare numbers (log1p runs once, on the result)."""
+    return df.agg(F.log1p(F.max(_filled("annual_spend_usd"))).alias(_MAX_COL))
 
 
 def with_components(df: DataFrame, as_of, spend_max_value: float | None = None) -> DataFrame:
