@@ -154,3 +154,9 @@ def test_supplier_stream(spark, tmp_path):
     assert [r["supplier_name"] for r in scored] == ["Acme"]
     fails = spark.read.parquet(sinks["failures"]).collect()
     assert [(r["column"], r["failure_case"]) for r in fails] == [("region", "MARS")]
+
+
+def test_chunk_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 0, 5), (None, 1, 5), (1, 0, 9)], "k int, o int, t long")
+    out = sorted((r["k"] is None, r["o"], r["chunk_id"]) for r in chunking.chunk(df, "k", "o", "t", 8).collect())
+    assert out == [(False, 0, 0), (True, 0, 0), (True, 1, 1)]

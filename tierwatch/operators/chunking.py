@@ -31,11 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 
 EMPTY = -1
-# Slice start records are broadcast to the row side up to this many.
-STARTS_BROADCAST_ROWS = 2_000_000
 
 
 def _next_start(t: np.ndarray, budget: int):
@@ -140,7 +138,10 @@ def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.withColumn("_key", F.col(key).cast("string"))
+    # Internal key, never null: "v" + key, or "n" for a null key.
+    ikey = F.when(F.col(key).isNull(), F.lit("n")).otherwise(
+        F.concat(F.lit("v"), F.col(key).cast("string")))
+    ranged = (df.withColumn("_key", ikey)
               .withColumn("_tok", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
               .repartitionByRange(n, F.col("_key").asc_nulls_last(), F.col(order).asc_nulls_last())
               .withColumn("_pid", F.spark_partition_id())
@@ -177,10 +178,10 @@ def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
     # One small record per slice; all slices of a key meet in one partition.
     starts = (summaries.repartition(n, "_key").mapInPandas(fold, _START_SCHEMA))
 
-    starts_b = bounded_broadcast(starts, STARTS_BROADCAST_ROWS)
-    joined = ranged.join(starts_b, ["_key", "_pid"], "inner")
-    if starts_b is starts:   # too many slices to broadcast: co-locate by slice
-        joined = joined.repartition(n, "_key", "_pid")
+    # Each slice has exactly one start record, so whatever join the planner
+    # picks (broadcast either way, or a shuffle on the slice key) keeps all
+    # rows of a slice inside one partition.
+    joined = ranged.join(starts, ["_key", "_pid"], "inner")
 
     out_schema = T.StructType([f for f in joined.schema.fields
                                if f.name not in ("_start", "_base", "_tok")]
