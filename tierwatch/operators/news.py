@@ -27,14 +27,28 @@ def _haystack() -> Column:
     return F.lower(F.concat_ws(" ", F.col("title"), F.coalesce(F.col("summary"), F.lit(""))))
 
 
-def _automaton_udf(words: list[str]):
-    @F.pandas_udf(T.BooleanType())
-    def any_word(s: pd.Series) -> pd.Series:
+_AUTOMATA: dict = {}
+
+
+def _automaton(words: tuple[str, ...]):
+    """One automaton per keyword list per Python worker (not per batch)."""
+    auto = _AUTOMATA.get(words)
+    if auto is None:
         import ahocorasick
         auto = ahocorasick.Automaton()
         for w in words:
             auto.add_word(w, w)
         auto.make_automaton()
+        _AUTOMATA[words] = auto
+    return auto
+
+
+def _automaton_udf(words: list[str]):
+    key = tuple(words)
+
+    @F.pandas_udf(T.BooleanType())
+    def any_word(s: pd.Series) -> pd.Series:
+        auto = _automaton(key)
 
         def hit(text):
             if text is None:
@@ -95,10 +109,11 @@ def digest_line() -> Column:
                     F.coalesce(F.col("summary"), F.lit("")))
 
 
-def digest_lines(items: DataFrame) -> DataFrame:
-    """One row: the digest text, one line per item, newest first.  Meant for
-    a bounded list (e.g. ``latest_news``), as the text is one value."""
-    keyed = items.select(F.struct(
+def digest_lines(items: DataFrame, max_items: int = C.NEWS_LIMIT) -> DataFrame:
+    """One row: the digest text, one line per item, newest first, over the
+    newest ``max_items`` items (the text is one value, so its input is
+    bounded by a top-k first)."""
+    keyed = latest_news(items, n=max_items).select(F.struct(
         (-F.unix_micros("published")).alias("k0"), F.col("url").alias("k1"),
         F.col("title").alias("k2"), digest_line().alias("line")).alias("e"))
     return keyed.agg(
