@@ -132,3 +132,13 @@ def test_clean_and_validate_50k_csv(spark, tmp_path):
     ok = quality.gate(cleanse.clean_suppliers(read_suppliers(spark, str(p))))
     assert ok.count() == 50_000
     assert time.time() - t0 < 60
+
+
+def test_failure_count_matches_failure_rows(suppliers):
+    df = suppliers([
+        ("SUP-1", "", 1.5, 95.0, 0.0, "MARS", 1, 5.0, "x"),
+        ("SUP-1", "B", None, 0.0, float("nan"), None, 7, -1.0, None),
+        ("SUP-2", "C", 0.5, 0.0, 0.0, "EMEA", 2, 10.0, "2025-01-01"),
+    ])
+    assert quality.failure_count(df) == quality.failures(df).count() > 0
+    assert quality.failure_count(df.drop("tier")) == quality.failures(df.drop("tier")).count()

@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .cache import column_cache
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+@column_cache
 def risk_band(col) -> Column:
     """CRITICAL >= .85, HIGH >= .70, MEDIUM >= .40, else (null too) LOW."""
     c = _c(col)
@@ -22,6 +24,7 @@ def risk_band(col) -> Column:
     return out.otherwise(F.lit("LOW"))
 
 
+@column_cache
 def band_rank(col) -> Column:
     """0 for CRITICAL ... 3 for LOW (display order)."""
     c = _c(col)
@@ -31,6 +34,7 @@ def band_rank(col) -> Column:
     return out
 
 
+@column_cache
 def risk_rgb(col) -> Column:
     """[r, g, b, 210] of the band of ``col``."""
     c = _c(col)
@@ -46,15 +50,18 @@ def risk_rgb(col) -> Column:
     return out.otherwise(rgba("LOW"))
 
 
+@column_cache
 def fill_risk(col) -> Column:
     """null / NaN -> 0.0."""
     return F.coalesce(F.nanvl(_c(col).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+@column_cache
 def risk_radius(col) -> Column:
     return F.lit(C.RADIUS_BASE) + _c(col) * F.lit(C.RADIUS_SCALE)
 
 
+@column_cache
 def risk_display(col) -> Column:
     """Risk rounded half-even to 3 places, as text."""
     return F.bround(_c(col), 3).cast("string")

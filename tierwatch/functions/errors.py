@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .cache import column_cache
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+@column_cache
 def classify_error(status, message) -> Column:
     """Typed status first, then ordered substring rules on the lower-cased
     message; everything else is CAT_FALLBACK."""
@@ -30,5 +32,6 @@ def classify_error(status, message) -> Column:
     return out.otherwise(F.lit(C.CAT_FALLBACK))
 
 
+@column_cache
 def is_retryable(status) -> Column:
     return F.coalesce(_c(status).isin(*C.RETRYABLE_STATUS), F.lit(False))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from .cache import column_cache
 
 # Whitespace is Unicode White_Space (NBSP, EM SPACE, NEL ...); a plain \s
 # regex and Spark's trim() only see ASCII.
@@ -27,6 +28,7 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+@column_cache
 def trim_ws(col) -> Column:
     """Strip leading/trailing Unicode whitespace (character-set trim, no
     regex)."""
@@ -39,12 +41,14 @@ def null_tokens(col, tokens=C.NULL_TOKENS) -> Column:
     return F.when(c.isin(*tokens), F.lit(None).cast("string")).otherwise(c)
 
 
+@column_cache
 def strip_inner_ws(col) -> Column:
     """Remove every whitespace character, inner ones included (character
     deletion with translate, no regex)."""
     return F.translate(_c(col), C.WHITESPACE, "")
 
 
+@column_cache
 def to_number(col, dtype: str = "double") -> Column:
     """Whitespace-free tolerant cast: text that is not a plain number -> null."""
     s = strip_inner_ws(col)
@@ -52,6 +56,7 @@ def to_number(col, dtype: str = "double") -> Column:
     return F.when(s.rlike(pattern), s.try_cast(dtype))
 
 
+@column_cache
 def html_escape(col) -> Column:
     """Escape the five HTML specials, ampersand first."""
     c = _c(col)
@@ -60,6 +65,7 @@ def html_escape(col) -> Column:
     return c
 
 
+@column_cache
 def estimate_tokens(col) -> Column:
     """~4 characters per token, rounded down."""
     return F.floor(F.char_length(_c(col)) / F.lit(C.CHARS_PER_TOKEN)).cast("bigint")
@@ -74,6 +80,7 @@ def _nfkd_latin1(s: pd.Series) -> pd.Series:
     return s.map(fold)
 
 
+@column_cache
 def replace_typography(col) -> Column:
     """The fixed typographic replacements, JVM-side."""
     c = _c(col)
@@ -82,6 +89,7 @@ def replace_typography(col) -> Column:
     return c
 
 
+@column_cache
 def fold_text(col, width: int | None = None) -> Column:
     """Latin-1 safe text: cut to ``width`` first, then replacements, NFKD,
     and drop what latin-1 cannot hold."""

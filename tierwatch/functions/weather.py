@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from .cache import column_cache
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+@column_cache
 def shipping_risk(wind, precip) -> Column:
     """SEVERE / HIGH / MODERATE / LOW from wind km/h and precipitation %."""
     w, p = _c(wind), _c(precip)

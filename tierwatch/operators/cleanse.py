@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.cache import column_cache
 from ..functions.text import null_tokens, strip_inner_ws, to_number, trim_ws
 
 DEFAULT_TYPES = {
@@ -29,6 +30,7 @@ DEFAULT_TYPES = {
 }
 
 
+@column_cache
 def clean_column(name: str, final_type: str = "string") -> Column:
     c = F.col(name).cast("string")
     if name in C.STRING_COLUMNS:

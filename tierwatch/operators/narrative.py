@@ -9,6 +9,8 @@ returned narratives to suppliers (``attribute``), their contract checks
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,7 @@ def top_narratives(attributed: DataFrame, n: int = C.TOP_NARRATIVES) -> DataFram
             .limit(n))
 
 
+@lru_cache(maxsize=None)
 def narrative_contract() -> Contract:
     """Model-output contract: level enum, at most three key risks,
     confidence in [0, 1], a supplier name."""
@@ -107,6 +110,7 @@ def narrative_contract() -> Contract:
         ))
 
 
+@lru_cache(maxsize=None)
 def digest_contract() -> Contract:
     """News digest contract: at most five disruptions, confidence in [0, 1]."""
     return Contract(

@@ -11,6 +11,7 @@ or mistyped columns) come from the schema alone and are added as rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,7 @@ def _in_range(col, lo, hi):
     return lambda: F.col(col).between(lo, hi)
 
 
+@lru_cache(maxsize=None)
 def supplier_contract() -> Contract:
     checks = (
         Check("supplier_id", "str_length(3, 20)",
@@ -102,31 +104,64 @@ def _fail(column, check, value: Column) -> Column:
                     value.cast("string").alias("failure_case"))
 
 
-def _row_failures(df: DataFrame, contract: Contract) -> Column:
-    present = set(df.columns)
-    dtypes = dict(df.dtypes)
-    items = []
+_CHECK_CACHE: dict = {}
+
+
+def _row_checks(df: DataFrame, contract: Contract) -> list[tuple[Column, Column]]:
+    """(fails, failure struct) per applicable row rule.  Plain boolean
+    columns and structs, no lambdas: the expressions stay small for the
+    optimizer and code generator.  Built once per (schema, contract)."""
+    key = (tuple(df.dtypes), id(contract))
+    hit = _CHECK_CACHE.get(key)
+    if hit is not None and hit[0] is contract:
+        return hit[1]
+    out = _build_checks(dict(df.dtypes), contract)
+    _CHECK_CACHE[key] = (contract, out)
+    return out
+
+
+def _build_checks(dtypes: dict, contract: Contract) -> list[tuple[Column, Column]]:
+    present = set(dtypes)
+    out = []
     for c, want in contract.dtypes.items():
         if c not in present or dtypes[c] != want:
             continue
         if c not in contract.nullable:
-            items.append(F.when(_missing(c, want), _fail(c, "not_nullable", F.lit(None))))
+            out.append((_missing(c, want), _fail(c, "not_nullable", F.lit(None))))
     for chk in contract.checks:
         cols = chk.needs or ((chk.column,) if chk.column else ())
         if any(c not in present or dtypes[c] != contract.dtypes.get(c, dtypes[c]) for c in cols):
             continue
-        ok = chk.passes()
         # A missing value is reported by not_nullable only.
         skip = None
         for c in cols:
             m = _missing(c, contract.dtypes.get(c, dtypes[c]))
             skip = m if skip is None else (skip | m)
-        value_col = chk.value or chk.column
-        items.append(F.when(~skip & ~F.coalesce(ok, F.lit(True)),
-                            _fail(chk.column, chk.name, F.col(value_col))))
-    if not items:
-        return F.array().cast("array<struct<column:string,check:string,failure_case:string>>")
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+        fails = ~skip & ~F.coalesce(chk.passes(), F.lit(True))
+        out.append((fails, _fail(chk.column, chk.name, F.col(chk.value or chk.column))))
+    return out
+
+
+_FAIL_ARRAY = "array<struct<column:string,check:string,failure_case:string>>"
+
+
+def _row_failures(df: DataFrame, contract: Contract) -> Column:
+    """Array of this row's failure structs (empty when it passes)."""
+    checks = _row_checks(df, contract)
+    if not checks:
+        return F.array().cast(_FAIL_ARRAY)
+    return F.array_compact(F.array(*[F.when(f, st) for f, st in checks]))
+
+
+def _row_failure_count(df: DataFrame, contract: Contract) -> Column:
+    checks = _row_checks(df, contract)
+    if not checks:
+        return F.lit(0)
+    total = None
+    for f, _ in checks:
+        x = F.when(f, F.lit(1)).otherwise(F.lit(0))
+        total = x if total is None else total + x
+    return total
 
 
 def schema_failures(df: DataFrame, contract: Contract) -> list[tuple]:
@@ -162,8 +197,11 @@ def failures(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     """Every failing value: (supplier_id, column, check, failure_case)."""
     contract = contract or supplier_contract()
     spark = df.sparkSession
-    rows = df.select(_key_col(df, contract).alias("supplier_id"),
-                     F.inline(_row_failures(df, contract)))
+    checks = _row_checks(df, contract)
+    arr = (F.array(*[F.when(f, st) for f, st in checks]) if checks
+           else F.array().cast(_FAIL_ARRAY))
+    rows = (df.select(_key_col(df, contract).alias("supplier_id"), F.inline(arr))
+            .where(F.col("check").isNotNull()))
     parts = [rows]
     for u in contract.unique:
         if u in df.columns:
@@ -210,6 +248,20 @@ class GateError(Exception):
         self.failure_cases = failure_cases
 
 
+def failure_count(df: DataFrame, contract: Contract | None = None) -> int:
+    """Number of failure rows ``failures`` would produce, from one job of
+    two small aggregates (no semi-join, no failure rows materialised)."""
+    contract = contract or supplier_contract()
+    n_schema = len(schema_failures(df, contract))
+    aggs = df.agg(F.coalesce(F.sum(_row_failure_count(df, contract)), F.lit(0)).alias("n"))
+    for u in contract.unique:
+        if u in df.columns:
+            dup = duplicate_keys(df, u).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"d_{u}"))
+            aggs = aggs.crossJoin(dup)
+    row = aggs.first()
+    return n_schema + sum(int(v or 0) for v in row)
+
+
 def gate(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     """Accept the whole batch or raise ``GateError`` with all failures.
 
@@ -219,13 +271,13 @@ def gate(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     contract = contract or supplier_contract()
     df = df.persist()
     try:
-        fails = failures(df, contract)
-        n = fails.count()
+        n = failure_count(df, contract)
     except Exception as exc:  # noqa: BLE001 - any materialisation error
         df.unpersist()
         raise GateError("Supplier data could not be materialised for validation.") from exc
     if n:
-        raise GateError(f"Supplier data failed schema validation: {n} error(s).", fails)
+        raise GateError(f"Supplier data failed schema validation: {n} error(s).",
+                        failures(df, contract))
     return df
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.cache import column_cache
 from ..scenario import Scenario, weight_table
 from .ranking import global_rank
 
@@ -70,6 +71,18 @@ def spend_max(df: DataFrame) -> DataFrame:
     return df.agg(F.log1p(F.max(_filled("annual_spend_usd"))).alias(_MAX_COL))
 
 
+@column_cache
+def _component_columns(as_of: str, spend_max_value) -> tuple:
+    max_col = F.col(_MAX_COL) if spend_max_value is None else F.lit(float(spend_max_value))
+    return (
+        base_component().alias(C.COMPONENTS[0]),
+        financial_component(max_col).alias(C.COMPONENTS[1]),
+        operational_component().alias(C.COMPONENTS[2]),
+        geopolitical_component().alias(C.COMPONENTS[3]),
+        audit_component(as_of).alias(C.COMPONENTS[4]),
+    )
+
+
 def with_components(df: DataFrame, as_of, spend_max_value: float | None = None) -> DataFrame:
     """Add the five component columns.  The financial normaliser is the max
     over the *whole* input (before any filter) unless ``spend_max_value``
@@ -77,20 +90,11 @@ def with_components(df: DataFrame, as_of, spend_max_value: float | None = None)
     if spend_max_value is None:
         # One-row aggregate, broadcast to every task of the probe side.
         df = df.crossJoin(F.broadcast(spend_max(df)))
-        max_col = F.col(_MAX_COL)
-    else:
-        max_col = F.lit(float(spend_max_value))
-    out = df.select(
-        "*",
-        base_component().alias(C.COMPONENTS[0]),
-        financial_component(max_col).alias(C.COMPONENTS[1]),
-        operational_component().alias(C.COMPONENTS[2]),
-        geopolitical_component().alias(C.COMPONENTS[3]),
-        audit_component(as_of).alias(C.COMPONENTS[4]),
-    )
+    out = df.select("*", *_component_columns(str(as_of), spend_max_value))
     return out.drop(_MAX_COL) if spend_max_value is None else out
 
 
+@column_cache
 def composite(weights) -> Column:
     """sum(w_i * c_i) folded left to right from 0.0, clipped to [0, 1]."""
     total = reduce(lambda acc, wc: acc + F.lit(float(wc[0])) * F.col(wc[1]),
@@ -119,14 +123,17 @@ def sweep(df: DataFrame, as_of, weightings=None, key: str = "supplier_id") -> Da
     """Composite under several weight presets at once: components are
     computed once, then joined with the (fixed, tiny) preset table."""
     comps = with_components(df, as_of)
-    w = weight_table(df.sparkSession, weightings)
+    w = weight_table(df.sparkSession, tuple(weightings) if weightings else None)
     joined = comps.crossJoin(F.broadcast(w))
+    return joined.select("weighting", key, *C.COMPONENTS, _sweep_composite())
+
+
+@column_cache
+def _sweep_composite() -> Column:
     total = reduce(
         lambda acc, c: acc + F.col(f"w_{c.removeprefix('component_')}") * F.col(c),
         C.COMPONENTS, F.lit(0.0))
-    return joined.select(
-        "weighting", key, *C.COMPONENTS,
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("composite_risk"))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("composite_risk")
 
 
 def rank_by_scenario(swept: DataFrame, key: str = "supplier_id") -> DataFrame:

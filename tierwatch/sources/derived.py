@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cache import column_cache
+
 NBSP = "\u00a0"
 EM_SPACE = "\u2003"
 TAB = "\t"
@@ -27,11 +29,16 @@ def dirty_text(df: DataFrame, key: str) -> DataFrame:
     """All nine supplier columns as messy text: padding (ASCII, NBSP, EM
     SPACE, tab), inner spaces, null tokens, Java numeric suffixes and
     fractional tiers."""
+    return df.select(*_dirty_columns(key))
+
+
+@column_cache
+def _dirty_columns(key: str) -> tuple:
     k = F.col(key)
     sid, name, region = _s("supplier_id"), _s("supplier_name"), _s("region")
     risk, lat, lon = _s("risk_score"), _s("latitude"), _s("longitude")
     tier, spend, audit = _s("tier"), _s("annual_spend_usd"), _s("last_audit_date")
-    return df.select(
+    return (
         k.alias(key),
         F.when(k % 5 == 0, F.concat(F.lit("  "), sid, F.lit(" ")))
          .when(k % 5 == 1, F.concat(F.substring(sid, 1, 4), F.lit(" "), _tail(sid, 5)))
@@ -72,9 +79,14 @@ def faulty_facts(df: DataFrame, key: str) -> DataFrame:
     """Supplier facts with rule violations injected by key: duplicate ids,
     empty names, out-of-range and missing numbers, unknown regions, bad
     tiers, negative spend and malformed audit dates."""
+    return df.select(*_faulty_columns(key))
+
+
+@column_cache
+def _faulty_columns(key: str) -> tuple:
     k = F.col(key)
     prev_id = F.concat(F.lit("SUP-"), F.lpad((k - 1).cast("string"), 6, "0"))
-    return df.select(
+    return (
         k.alias(key),
         F.when(k % 19 == 7, prev_id).otherwise(F.col("supplier_id")).alias("supplier_id"),
         F.when(k % 29 == 3, F.lit("")).otherwise(F.col("supplier_name")).alias("supplier_name"),

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cache import column_cache
+
 # FIXED VALUES of the derivation (shared with the SQL oracle).
 EVENT_WEATHER_CODE = {"view": 0, "click": 61, "error": 95, "purchase": 3, "signup": 100}
 ERROR_STATUS = (500, 502, 503, 504, 401, 403, 429)
@@ -30,9 +32,14 @@ def weather_observations(events: DataFrame) -> DataFrame:
     """location_id = user, one observation per event: wind = value (null on
     every 97th event), precipitation and temperature from the event id,
     weather code from the event type."""
+    return events.select(*_observation_columns())
+
+
+@column_cache
+def _observation_columns() -> tuple:
     eid = F.col("event_id")
     code_map = F.create_map(*[F.lit(x) for kv in EVENT_WEATHER_CODE.items() for x in kv])
-    return events.select(
+    return (
         F.col("user_id").alias("location_id"),
         eid,
         F.col("ts").alias("hour"),
@@ -45,6 +52,11 @@ def weather_observations(events: DataFrame) -> DataFrame:
 
 def log_records(events: DataFrame) -> DataFrame:
     """timestamp, level, message, module, function, line, status, extra."""
+    return events.select(*_log_columns())
+
+
+@column_cache
+def _log_columns() -> tuple:
     eid, et = F.col("event_id"), F.col("event_type")
     is_err = et == "error"
     status = F.element_at(F.array(*[F.lit(s) for s in ERROR_STATUS]),
@@ -59,7 +71,7 @@ def log_records(events: DataFrame) -> DataFrame:
         F.lit("batch_id"), F.when(eid % 3 == 0, F.concat(F.lit("B"), F.floor(eid / 100).cast("string"))),
         F.lit("event_type"), et,
         F.lit("k"), _k().cast("string")), lambda k, v: v.isNotNull())
-    return events.select(
+    return (
         eid,
         F.col("ts").cast("timestamp").alias("timestamp"),
         level.alias("level"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cache import column_cache
 from ..session import bounded_broadcast
 
 
@@ -79,14 +80,19 @@ def _region_label() -> Column:
 
 def supplier_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-supplier attributes except spend: s_suppkey + 8 supplier columns."""
-    k = F.col("s_suppkey")
     sup = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     sup = sup.join(_supplier_geo(spark, sf_dir),
                    F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return sup.select(*_profile_columns())
+
+
+@column_cache
+def _profile_columns() -> tuple:
+    k = F.col("s_suppkey")
     audit = F.date_format(
         F.date_add(F.lit(AUDIT_EPOCH).cast("date"), ((k * 37) % AUDIT_SPAN_DAYS).cast("int")),
         "yyyy-MM-dd")
-    return sup.select(
+    return (
         k,
         F.concat(F.lit("SUP-"), F.lpad(k.cast("string"), 6, "0")).alias("supplier_id"),
         F.col("s_name").alias("supplier_name"),
@@ -134,8 +140,13 @@ def line_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("annual_spend_usd"),
         F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("last_audit_date"))
-    prof = bounded_broadcast(supplier_profile(spark, sf_dir).drop("last_audit_date"),
-                             PROFILE_BROADCAST_ROWS)
+    prof = supplier_profile(spark, sf_dir).drop("last_audit_date")
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, "profile_fits")
+    fits = _LOADED.get(key)
+    if fits is None:      # checked once per session and input folder
+        fits = bounded_broadcast(prof, PROFILE_BROADCAST_ROWS) is not prof
+        _LOADED[key] = fits
+    prof = F.broadcast(prof) if fits else prof
     return li.join(prof, F.col("l_suppkey") == F.col("s_suppkey"), "inner").drop("s_suppkey")
 
 

@@ -38,10 +38,9 @@ def supplier_batch(df: DataFrame, batch_id: int, scenario: Scenario, as_of: str,
     only comparable with a fixed normaliser."""
     cleaned = cleanse.clean_suppliers(df).persist()
     try:
-        fails = quality.failures(cleaned)
-        n_fail = fails.count()
+        n_fail = quality.failure_count(cleaned)
         if n_fail:
-            fails.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+            quality.failures(cleaned).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
                 _batch_path(sinks["failures"], batch_id))
             cleaned.write.mode("overwrite").parquet(_batch_path(sinks["rejected"], batch_id))
             return
