@@ -160,3 +160,45 @@ def test_chunk_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 0, 5), (None, 1, 5), (1, 0, 9)], "k int, o int, t long")
     out = sorted((r["k"] is None, r["o"], r["chunk_id"]) for r in chunking.chunk(df, "k", "o", "t", 8).collect())
     assert out == [(False, 0, 0), (True, 0, 0), (True, 1, 1)]
+
+
+def test_hot_key_is_split_into_slices(spark):
+    """One key with most of the rows is cut into several slices (no task
+    holds the whole key) and still gets the serial greedy labels."""
+    rng = random.Random(11)
+    hot = [(0, i, rng.choice([0, 3, 8, 15, 40])) for i in range(3000)]
+    cold = [(k, i, rng.choice([1, 5])) for k in range(1, 40) for i in range(20)]
+    df = spark.createDataFrame(hot + cold, "k int, o int, t long")
+    out = chunking.chunk(df, "k", "o", "t", budget=50, num_partitions=8)
+    got = {(r["k"], r["o"]): r["chunk_id"] for r in out.collect()}
+    expect = _greedy([t for _, _, t in hot], 50)
+    assert [got[(0, o)] for _, o, _ in hot] == expect
+    slices = (df.withColumn("_key", F.concat(F.lit("v"), F.col("k").cast("string")))
+              .repartitionByRange(8, "_key", "o").withColumn("_pid", F.spark_partition_id())
+              .where("k = 0").select("_pid").distinct().count())
+    assert slices > 1
+
+
+def test_rank_with_a_dominant_group(spark):
+    from tierwatch.operators.ranking import global_rank
+    rows = [("big", float(i % 97), i) for i in range(5000)] + [("small", float(i), i) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, v double, id int")
+    out = global_rank(df, ["g"], [F.col("v").desc(), F.col("id").asc()], "rk", num_partitions=6)
+    got = {(r["g"], r["id"]): r["rk"] for r in out.collect()}
+    for g in ("big", "small"):
+        ordered = sorted([r for r in rows if r[0] == g], key=lambda r: (-r[1], r[2]))
+        assert [got[(g, r[2])] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_news_stream(spark, tmp_path):
+    from tierwatch.streaming import streams as st
+    src = tmp_path / "feeds"
+    src.mkdir()
+    item = "<item><title>{t}</title><link>{l}</link><pubDate>Mon, 05 Jan 2026 10:00:00 GMT</pubDate>" \
+           "<description>{d}</description></item>"
+    (src / "JOC.xml").write_text("<rss><channel>" + item.format(t="Port strike", l="https://x/1", d="a")
+                                 + item.format(t="Calm day", l="https://x/2", d="b") + "</channel></rss>")
+    q = st.stream_news(spark, str(src), str(tmp_path / "sink"), str(tmp_path / "ckpt"), keywords="strike")
+    q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "sink")).collect()
+    assert [(r["title"], r["source"]) for r in rows] == [("Port strike", "JOC")]
