@@ -127,3 +127,35 @@ def test_log_normalise_format_recent(spark):
     assert lines[2] == "09:05:08 | CRITICALX | boom"
     assert norm.where("ord = 1").first()["request_id"] == "r1"
     assert [r["ord"] for r in logs.recent_logs(norm, n=1, ordinal="ord").collect()] == [2]
+
+
+ATOM = """<?xml version="1.0" encoding="utf-8"?>
+<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>
+<entry><title>Canal closure</title><link href="https://y/1"/><updated>2026-01-07T08:00:00Z</updated>
+<summary>Ships wait</summary></entry>
+<entry><title>Rates</title><link href="https://y/2"/><published>2026-01-08T09:15:00+01:00</published>
+<updated>2026-01-09T00:00:00Z</updated><summary></summary></entry>
+</feed>"""
+
+
+def test_atom_feed(spark, tmp_path):
+    from tierwatch.sources.feeds import read_atom
+    (tmp_path / "FreightWaves.xml").write_text(ATOM)
+    rows = news.latest_news(normalise_items(read_atom(spark, str(tmp_path / "FreightWaves.xml")))).collect()
+    assert [(r["title"], r["url"]) for r in rows] == [("Rates", "https://y/2"), ("Canal closure", "https://y/1")]
+    assert rows[0]["published"] == dt.datetime(2026, 1, 8, 8, 15)     # published wins over updated
+    assert rows[1]["published"] == dt.datetime(2026, 1, 7, 8, 0)      # falls back to updated
+    assert rows[0]["summary"] is None and rows[0]["source"] == "FreightWaves"
+
+
+def test_news_stream_dedup_within_watermark(spark, tmp_path):
+    from tierwatch.streaming import streams as st
+    src = tmp_path / "feeds"
+    src.mkdir()
+    item = "<item><title>{t}</title><link>https://x/1</link><pubDate>Mon, 05 Jan 2026 10:00:00 GMT</pubDate></item>"
+    (src / "A.xml").write_text("<rss><channel>" + item.format(t="first") + "</channel></rss>")
+    (src / "B.xml").write_text("<rss><channel>" + item.format(t="again") + "</channel></rss>")
+    q = st.stream_news(spark, str(src), str(tmp_path / "sink"), str(tmp_path / "ckpt"),
+                       dedup_watermark="1 day")
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 1

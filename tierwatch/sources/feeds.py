@@ -19,6 +19,14 @@ RSS_SCHEMA = T.StructType([
     T.StructField("updated", T.StringType()),
     T.StructField("description", T.StringType()),
 ])
+# Atom entries: the link is an attribute, the dates are ISO 8601.
+ATOM_SCHEMA = T.StructType([
+    T.StructField("title", T.StringType()),
+    T.StructField("link", T.StructType([T.StructField("_href", T.StringType())])),
+    T.StructField("published", T.StringType()),
+    T.StructField("updated", T.StringType()),
+    T.StructField("summary", T.StringType()),
+])
 ITEM_SCHEMA = T.StructType([
     T.StructField("title", T.StringType(), False),
     T.StructField("url", T.StringType(), False),
@@ -42,6 +50,17 @@ def read_feed(spark: SparkSession, path, row_tag: str = "item") -> DataFrame:
     return raw.withColumn("source", F.url_decode(name))
 
 
+def read_atom(spark: SparkSession, path) -> DataFrame:
+    """Atom feed files, mapped onto the RSS entry columns (link from its
+    href attribute, published -> pubDate, summary -> description)."""
+    raw = (spark.read.format("xml").option("rowTag", "entry")
+           .option("mode", "DROPMALFORMED").schema(ATOM_SCHEMA).load(path))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    return raw.select(
+        "title", F.col("link._href").alias("link"), F.col("published").alias("pubDate"),
+        "updated", F.col("summary").alias("description"), F.url_decode(name).alias("source"))
+
+
 def parse_published(col) -> Column:
     c = F.regexp_replace(F.trim(col), r"^[A-Za-z]{3},\s*", "")
     tries = [F.try_to_timestamp(c, F.lit(p)) for p in _RFC822]
