@@ -74,3 +74,15 @@ def test_cluster_payload_columns(spark):
     out = geo.cluster_payload(df)
     assert out.columns == ["latitude", "longitude", "popup_text"]
     assert out.count() == 50_000
+
+
+def test_top_n_threshold_path_is_exact(spark):
+    from tierwatch.operators.ranking import top_n
+    import random
+    rng = random.Random(5)
+    rows = [(i, float(rng.choice(range(50)))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id int, r double")
+    got = sorted(r["id"] for r in top_n(df, "r", ["id"], 1500).collect())
+    expect = sorted(i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:1500])
+    assert got == expect
+    assert top_n(df, "r", ["id"], 7000).count() == 6000

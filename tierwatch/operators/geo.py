@@ -1,10 +1,10 @@
 """Map-ready payloads: capped, escaped points with colour and radius; the
 map centre; and the three-column cluster payload.
 
-The cap keeps a deterministic top-N (riskiest first).  Small caps use
-Spark's top-k (per-task top-N, merged in one task); caps above
-``TOPK_MERGE_MAX`` use the distributed rank so that no single task
-receives N rows from every partition.
+The cap keeps a deterministic top-N (riskiest first), see
+``ranking.top_n``: Spark's top-k for small caps; for large caps a
+threshold-pruned distributed rank, so no task receives N rows from every
+partition and the whole table is not sorted.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from .. import constants as C
 from ..functions.bands import fill_risk, risk_display, risk_radius, risk_rgb
 from ..functions.text import html_escape
 from ..scenario import Scenario
-from .ranking import global_rank
+from .ranking import top_n
 
-TOPK_MERGE_MAX = 1_000
 MAP_COLUMNS = ["supplier_id", "supplier_name", "region", "latitude", "longitude",
                "risk_display", "risk_rgb", "risk_radius"]
 
@@ -27,20 +26,11 @@ def risk_column(df: DataFrame) -> str:
     return "composite_risk" if "composite_risk" in df.columns else "risk_score"
 
 
-def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Exact first ``n`` rows under ``order``."""
-    if n <= TOPK_MERGE_MAX:
-        return df.orderBy(*order).limit(n)
-    ranked = global_rank(df, [], order, "_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
-
-
 def map_points(scored: DataFrame, scenario: Scenario | None = None,
                tie_keys: tuple[str, ...] = ("supplier_id",)) -> DataFrame:
     scenario = scenario or Scenario()
     rc = risk_column(scored)
-    order = [F.col(rc).desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in tie_keys]
-    capped = top_n(scored, order, int(scenario.max_map_points))
+    capped = top_n(scored, rc, list(tie_keys), int(scenario.max_map_points))
     risk = fill_risk(rc)
     name = (F.col("supplier_name").cast("string") if "supplier_name" in scored.columns
             else F.lit(None).cast("string"))

@@ -46,3 +46,40 @@ def global_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     joined = ordered.join(offsets, on=["_pid", *group_cols], how="inner")
     rank = (F.col("_before") + (F.col("_loc") - F.col("_first")) + F.lit(1)).cast("bigint")
     return joined.withColumn(name, rank).drop("_mid", "_pid", "_loc", "_first", "_before")
+
+
+# Up to this many rows, Spark's own top-k (per-task top-n, merged in one
+# task) is used; above it the merge would pull n rows from every task.
+TOPK_MERGE_MAX = 1_000
+QUANTILE_ACCURACY = 10_000
+
+
+def top_n(df: DataFrame, score: str, tie_cols: list[str], n: int,
+          score_desc: bool = True) -> DataFrame:
+    """Exact first ``n`` rows by ``score`` (desc by default, nulls last) then
+    ``tie_cols`` ascending, as an unordered set.
+
+    Large ``n`` avoids sorting the whole input: when it all fits it is
+    returned as is; otherwise an approximate quantile proposes a score
+    threshold, a count checks that at least ``n`` rows clear it (so the
+    exact top-n lies inside that superset), and only the superset is
+    ranked.  If the check fails, the whole input is ranked."""
+    s = F.col(score)
+    order = ([s.desc_nulls_last() if score_desc else s.asc_nulls_last()]
+             + [F.col(c).asc_nulls_last() for c in tie_cols])
+    if n <= TOPK_MERGE_MAX:
+        return df.orderBy(*order).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    frac = n * 2.0 / total
+    q = (1.0 - frac) if score_desc else frac
+    threshold = df.agg(F.percentile_approx(s, F.lit(max(0.0, min(1.0, q))),
+                                           F.lit(QUANTILE_ACCURACY))).first()[0]
+    pool = df
+    if threshold is not None:
+        cand = df.where(s >= threshold) if score_desc else df.where(s <= threshold)
+        if cand.count() >= n:
+            pool = cand
+    ranked = global_rank(pool, [], order, "_rank")
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
