@@ -142,3 +142,9 @@ def test_failure_count_matches_failure_rows(suppliers):
     ])
     assert quality.failure_count(df) == quality.failures(df).count() > 0
     assert quality.failure_count(df.drop("tier")) == quality.failures(df.drop("tier")).count()
+
+
+def test_expand_counts_blocks(spark):
+    counts = spark.createDataFrame([("a", 5), ("b", 2)], "k string, n long")
+    out = quality.expand_counts(counts, block=2).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in out} == {"a": 5, "b": 2}

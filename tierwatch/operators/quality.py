@@ -2,10 +2,10 @@
 
 Row rules are evaluated in one pass: each row yields an array holding a
 failure struct per broken rule, and ``inline`` turns that into failure
-rows.  Uniqueness needs a shuffle on the key: a partial count per id,
-then a left-semi join of the rows whose id occurs more than once (AQE
-splits a hot id on the left side).  Schema-level problems (missing, extra
-or mistyped columns) come from the schema alone and are added as rows.
+rows.  Uniqueness is a partial count per id (one value per task for a
+hot id) whose duplicates are expanded back into failure rows in bounded
+blocks.  Schema-level problems (missing, extra or mistyped columns) come
+from the schema alone and are added as rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..session import bounded_broadcast
 
 FAILURE_SCHEMA = T.StructType([
     T.StructField("supplier_id", T.StringType()),
@@ -193,8 +194,32 @@ def _key_col(df: DataFrame, contract: Contract) -> Column:
     return F.lit(None).cast("string")
 
 
+# Duplicate-id failure rows are expanded from the per-id counts in blocks
+# of at most this many rows, so a hot id never becomes one huge array.
+EXPAND_BLOCK = 100_000
+DUPLICATES_BROADCAST_ROWS = 1_000_000
+
+
+def expand_counts(counts: DataFrame, n_col: str = "n", block: int = EXPAND_BLOCK) -> DataFrame:
+    """One output row per unit of ``n_col`` (``n`` copies of each input
+    row), in bounded blocks: first one row per block, spread round-robin
+    across tasks, then each block expanded."""
+    n = F.col(n_col).cast("long")
+    blocks = counts.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                          F.floor((n - 1) / block).cast("long"))))
+    size = F.least(F.lit(block).cast("long"), n - F.col("_b") * block)
+    spread = blocks.repartition(counts.sparkSession.sparkContext.defaultParallelism)
+    return (spread.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+            .drop("_b", "_i"))
+
+
 def failures(df: DataFrame, contract: Contract | None = None) -> DataFrame:
-    """Every failing value: (supplier_id, column, check, failure_case)."""
+    """Every failing value: (supplier_id, column, check, failure_case).
+
+    Row rules come from one pass over the rows.  A duplicated id fails on
+    every row that carries it; those rows hold nothing but the id, so they
+    are generated from the per-id counts instead of joining the whole input
+    back to its duplicates."""
     contract = contract or supplier_contract()
     spark = df.sparkSession
     checks = _row_checks(df, contract)
@@ -205,11 +230,18 @@ def failures(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     parts = [rows]
     for u in contract.unique:
         if u in df.columns:
-            dup = duplicate_keys(df, u).select(u)
-            parts.append(df.join(dup, u, "left_semi").select(
-                _key_col(df, contract).alias("supplier_id"),
-                F.lit(u).alias("column"), F.lit("unique").alias("check"),
-                F.col(u).cast("string").alias("failure_case")))
+            dup = expand_counts(duplicate_keys(df, u))
+            key = (F.col(u).cast("string") if contract.key == u
+                   else F.lit(None).cast("string"))
+            if contract.key and contract.key != u:
+                # The row key differs from the unique column: it has to come
+                # from the rows themselves.
+                dup_ids = duplicate_keys(df, u).select(u)
+                dup = df.join(dup_ids, u, "left_semi")
+                key = _key_col(df, contract)
+            parts.append(dup.select(
+                key.alias("supplier_id"), F.lit(u).alias("column"),
+                F.lit("unique").alias("check"), F.col(u).cast("string").alias("failure_case")))
     sf = schema_failures(df, contract)
     if sf:
         parts.append(spark.createDataFrame(sf, FAILURE_SCHEMA))
@@ -228,6 +260,8 @@ def split(df: DataFrame, contract: Contract | None = None) -> tuple[DataFrame, D
     flagged = df.withColumn("_failures", _row_failures(df, contract))
     for u in contract.unique:
         dup = duplicate_keys(df, u).select(u, F.lit(True).alias(f"_dup_{u}"))
+        # Duplicated ids are usually few: broadcast them when the count says so.
+        dup = bounded_broadcast(dup, DUPLICATES_BROADCAST_ROWS)
         flagged = (flagged.join(dup, u, "left")
                    .withColumn("_failures", F.when(
                        F.col(f"_dup_{u}"),
