@@ -287,13 +287,13 @@ def failure_count(df: DataFrame, contract: Contract | None = None) -> int:
     two small aggregates (no semi-join, no failure rows materialised)."""
     contract = contract or supplier_contract()
     n_schema = len(schema_failures(df, contract))
-    aggs = df.agg(F.coalesce(F.sum(_row_failure_count(df, contract)), F.lit(0)).alias("n"))
+    total = F.coalesce(F.sum(_row_failure_count(df, contract)), F.lit(0))
     for u in contract.unique:
         if u in df.columns:
-            dup = duplicate_keys(df, u).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"d_{u}"))
-            aggs = aggs.crossJoin(dup)
-    row = aggs.first()
-    return n_schema + sum(int(v or 0) for v in row)
+            # duplicate rows as a scalar subquery of the per-id counts
+            dup = duplicate_keys(df, u).agg(F.coalesce(F.sum("n"), F.lit(0)))
+            total = total + dup.scalar()
+    return n_schema + int(df.agg(total.alias("n")).first()[0] or 0)
 
 
 def gate(df: DataFrame, contract: Contract | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Five-part weighted supplier risk score.
 
 Plan shape: the only non-local step is the global max of log1p(spend)
-used to normalise the financial component.  It is computed as a separate
-one-row aggregate (partial max per task, one-row exchange) and attached
-with a broadcast nested-loop join, never as an unpartitioned window.
+used to normalise the financial component.  It is a scalar subquery: a
+one-row aggregate (partial max per task, one-row exchange) evaluated once
+and inlined into the projection as a value -- no join, and never an
+unpartitioned window.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.cache import column_cache
-from ..scenario import Scenario, weight_table
+from ..scenario import Scenario
 from .ranking import global_rank
 
 _MAX_COL = "_log_spend_max"
@@ -72,11 +73,10 @@ def spend_max(df: DataFrame) -> DataFrame:
 
 
 @column_cache
-def _component_columns(as_of: str, spend_max_value) -> tuple:
-    max_col = F.col(_MAX_COL) if spend_max_value is None else F.lit(float(spend_max_value))
+def _plain_components(as_of: str) -> tuple:
+    """The four components that need no global value."""
     return (
         base_component().alias(C.COMPONENTS[0]),
-        financial_component(max_col).alias(C.COMPONENTS[1]),
         operational_component().alias(C.COMPONENTS[2]),
         geopolitical_component().alias(C.COMPONENTS[3]),
         audit_component(as_of).alias(C.COMPONENTS[4]),
@@ -88,10 +88,12 @@ def with_components(df: DataFrame, as_of, spend_max_value: float | None = None)
     over the *whole* input (before any filter) unless ``spend_max_value``
     (a stored snapshot, e.g. for streaming batches) is given."""
     if spend_max_value is None:
-        # One-row aggregate, broadcast to every task of the probe side.
-        df = df.crossJoin(F.broadcast(spend_max(df)))
-    out = df.select("*", *_component_columns(str(as_of), spend_max_value))
-    return out.drop(_MAX_COL) if spend_max_value is None else out
+        max_col = spend_max(df).scalar()      # scalar subquery over the whole input
+    else:
+        max_col = F.lit(float(spend_max_value))
+    base, op, geo, audit = _plain_components(str(as_of))
+    fin = financial_component(max_col).alias(C.COMPONENTS[1])
+    return df.select("*", base, fin, op, geo, audit)
 
 
 @column_cache
@@ -121,11 +123,21 @@ def score(df: DataFrame, scenario: Scenario, as_of, apply_filters: bool = True,
 
 def sweep(df: DataFrame, as_of, weightings=None, key: str = "supplier_id") -> DataFrame:
     """Composite under several weight presets at once: components are
-    computed once, then joined with the (fixed, tiny) preset table."""
+    computed once, then each row is repeated once per preset by exploding
+    a literal array of the (fixed) preset weights -- a generator, no join."""
     comps = with_components(df, as_of)
-    w = weight_table(df.sparkSession, tuple(weightings) if weightings else None)
-    joined = comps.crossJoin(F.broadcast(w))
-    return joined.select("weighting", key, *C.COMPONENTS, _sweep_composite())
+    presets = _preset_array(tuple(weightings or C.WEIGHTS))
+    expanded = comps.select(key, *C.COMPONENTS, F.inline(presets))
+    return expanded.select("weighting", key, *C.COMPONENTS, _sweep_composite())
+
+
+@column_cache
+def _preset_array(names: tuple) -> Column:
+    return F.array(*[
+        F.struct(F.lit(n).alias("weighting"),
+                 *[F.lit(float(w)).alias(f"w_{c.removeprefix('component_')}")
+                   for w, c in zip(C.WEIGHTS[n], C.COMPONENTS)])
+        for n in names])
 
 
 @column_cache

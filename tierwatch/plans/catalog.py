@@ -414,10 +414,9 @@ def scratch_dir(spark, tag: str) -> str:
 def stale_caches(spark, sf_dir):
     ev_ = tables.load(spark, sf_dir, "events")
     last = ev_.groupBy("user_id").agg(F.max("ts").alias("last_fetch"))
-    now = ev_.agg(F.max("ts").alias("now"))
-    out = last.crossJoin(F.broadcast(now))   # one-row aggregate
-    return out.select("user_id", "last_fetch",
-                      incremental.stale(F.col("last_fetch"), F.col("now")).alias("is_stale"))
+    now = ev_.agg(F.max("ts")).scalar()      # latest event time, one value
+    return last.select("user_id", "last_fetch",
+                       incremental.stale(F.col("last_fetch"), now).alias("is_stale"))
 
 
 @register("pending_work")
