@@ -41,7 +41,8 @@ def summarise(text: str) -> dict:
         pf = re.search(r"PushedFilters: (.*)", block)
         scans.append((os.path.basename(loc.group(1)) if loc else "?", rs.group(1) if rs else "",
                       pf.group(1) if pf else ""))
-    return {"ops": ops, "exchanges": exchanges, "scans": scans}
+    subqueries = len(re.findall(r"^Subquery:\d+ ", text, re.M))
+    return {"ops": ops, "exchanges": exchanges, "scans": scans, "subqueries": subqueries}
 
 
 def main():
@@ -69,6 +70,8 @@ def main():
         lines.append("")
         ops = ", ".join(f"{k} x{v}" for k, v in sorted(s["ops"].items()) if k in keep)
         lines.append(f"* operators: {ops or '-'}")
+        if s["subqueries"]:
+            lines.append(f"* scalar subqueries (one-row aggregates evaluated once): {s['subqueries']}")
         if s["exchanges"]:
             shuffles = collections.Counter(re.sub(r"\(.*", "", e) for e in s["exchanges"])
             lines.append("* shuffles: " + ", ".join(f"{k} x{v}" for k, v in sorted(shuffles.items())))
