@@ -30,7 +30,10 @@ def map_points(scored: DataFrame, scenario: Scenario | None = None,
                tie_keys: tuple[str, ...] = ("supplier_id",)) -> DataFrame:
     scenario = scenario or Scenario()
     rc = risk_column(scored)
-    capped = top_n(scored, rc, list(tie_keys), int(scenario.max_map_points))
+    # Only the columns the payload needs travel through the cap.
+    needed = [c for c in dict.fromkeys([rc, *tie_keys, "supplier_id", "supplier_name", "region",
+                                        "latitude", "longitude"]) if c in scored.columns]
+    capped = top_n(scored.select(*needed), rc, list(tie_keys), int(scenario.max_map_points))
     risk = fill_risk(rc)
     name = (F.col("supplier_name").cast("string") if "supplier_name" in scored.columns
             else F.lit(None).cast("string"))

@@ -69,6 +69,10 @@ def top_n(df: DataFrame, score: str, tie_cols: list[str], n: int,
              + [F.col(c).asc_nulls_last() for c in tie_cols])
     if n <= TOPK_MERGE_MAX:
         return df.orderBy(*order).limit(n)
+    # Several passes follow: materialise the input once (reliable checkpoint
+    # in the shared folder) instead of recomputing it for each pass.
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     total = df.count()
     if total <= n:
         return df

@@ -54,13 +54,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+# Above this planner size estimate a side is never broadcast (no count job).
+BROADCAST_MAX_ESTIMATE = 2 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (file sizes through the plan)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows, so it is cheap for the
-    small dimension tables it is meant for.  Beyond the bound the frame is
-    returned unhinted and the join falls back to a shuffle join (which AQE
-    may still turn into a broadcast from runtime statistics).
+    A clearly large input (by the optimizer's size estimate) is returned
+    unhinted without running anything; otherwise a count of at most
+    ``max_rows + 1`` rows decides.  Beyond the bound the join falls back to
+    a shuffle join (which AQE may still turn into a broadcast from runtime
+    statistics).
     """
+    est = estimated_bytes(df)
+    if est is not None and est > BROADCAST_MAX_ESTIMATE:
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

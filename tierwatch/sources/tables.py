@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cache import column_cache
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, estimated_bytes
 
 
 # FIXED VALUES of the derivation (shared with the SQL oracle).
@@ -30,13 +30,6 @@ PROFILE_BROADCAST_ROWS = 2_000_000
 SPLIT_MIN_BYTES = 4 << 20
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001 - no statistics available
-        return 0
-
-
 def widen_scan(df: DataFrame) -> DataFrame:
     """Spread a large scan that yields fewer splits than the session has
     task slots (one file with one row group is read by one task).
@@ -45,7 +38,7 @@ def widen_scan(df: DataFrame) -> DataFrame:
     this is a no-op there; it only adds a round-robin exchange for inputs
     that would otherwise run every narrow stage in a single task."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots or _estimated_bytes(df) < SPLIT_MIN_BYTES:
+    if df.rdd.getNumPartitions() >= slots or (estimated_bytes(df) or 0) < SPLIT_MIN_BYTES:
         return df
     return df.repartition(slots)
 
