@@ -148,3 +148,18 @@ def test_expand_counts_blocks(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 2)], "k string, n long")
     out = quality.expand_counts(counts, block=2).groupBy("k").count().collect()
     assert {r["k"]: r["count"] for r in out} == {"a": 5, "b": 2}
+
+
+def test_string_column_type_override(spark):
+    df = spark.createDataFrame([(" 42 ", "2.5", "EMEA")], "supplier_id string, risk_score string, region string")
+    out = cleanse.clean_suppliers(df, {"supplier_id": "bigint", "risk_score": "string"}).first()
+    assert out["supplier_id"] == 42             # string columns honour an override
+    assert out["risk_score"] == 2.5             # numeric targets are fixed
+
+
+def test_quoted_newline_needs_multiline(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('supplier_id,supplier_name\nSUP-1,"Acme\nMetals"\nSUP-2,Beta\n')
+    assert read_suppliers(spark, str(p)).count() == 3           # record split by default
+    rows = read_suppliers(spark, str(p), multi_line=True).collect()
+    assert [(r["supplier_id"], r["supplier_name"]) for r in rows] == [("SUP-1", "Acme\nMetals"), ("SUP-2", "Beta")]
