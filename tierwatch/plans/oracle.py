@@ -705,3 +705,15 @@ FROM line_exposures ORDER BY l_orderkey, l_linenumber LIMIT 500"""
 ORACLE["retryable_errors"] = f"""WITH {LOGS_CTE}
 SELECT status, CAST(count(*) AS BIGINT) AS n, status IN ({', '.join(str(s) for s in C.RETRYABLE_STATUS)}) AS retryable
 FROM logs WHERE status IS NOT NULL GROUP BY status"""
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+ORACLE["prompts"] = f"""WITH {CHUNK_CTE},
+rows_ AS (SELECT r.conv_id, r.chunk_id, r.turn, c.role, c.text
+          FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn)
+SELECT conv_id, chunk_id, CAST(count(*) AS BIGINT) AS n_rows,
+  {_sql_text(C.NARRATIVE_PROMPT)} || CAST(to_json(list({{'role': role, 'text': text}} ORDER BY turn)) AS VARCHAR) AS prompt
+FROM rows_ GROUP BY conv_id, chunk_id"""
