@@ -76,13 +76,17 @@ def test_cluster_payload_columns(spark):
     assert out.count() == 50_000
 
 
-def test_top_n_threshold_path_is_exact(spark):
-    from tierwatch.operators.ranking import top_n
+def test_top_n_threshold_path_is_exact(spark, monkeypatch):
+    from tierwatch.operators import ranking
     import random
+    monkeypatch.setattr(ranking, "MERGE_ROWS_MAX", 10)   # force the distributed path
     rng = random.Random(5)
     rows = [(i, float(rng.choice(range(50)))) for i in range(6000)]
-    df = spark.createDataFrame(rows, "id int, r double")
-    got = sorted(r["id"] for r in top_n(df, "r", ["id"], 1500).collect())
-    expect = sorted(i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:1500])
+    df = spark.createDataFrame(rows, "id int, r double").repartition(4)
+    order = [F.col("r").desc(), F.col("id").asc()]
+    got = [r["id"] for r in ranking.top_n(df, order, 1500, score="r", ordered=True).collect()]
+    expect = [i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:1500]]
     assert got == expect
-    assert top_n(df, "r", ["id"], 7000).count() == 6000
+    got = sorted(r["id"] for r in ranking.top_n(df, order, 1500).collect())   # no score: full rank
+    assert got == sorted(expect)
+    assert ranking.top_n(df, order, 7000).count() == 6000

@@ -33,7 +33,8 @@ def map_points(scored: DataFrame, scenario: Scenario | None = None,
     # Only the columns the payload needs travel through the cap.
     needed = [c for c in dict.fromkeys([rc, *tie_keys, "supplier_id", "supplier_name", "region",
                                         "latitude", "longitude"]) if c in scored.columns]
-    capped = top_n(scored.select(*needed), rc, list(tie_keys), int(scenario.max_map_points))
+    order = [F.col(rc).desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in tie_keys]
+    capped = top_n(scored.select(*needed), order, int(scenario.max_map_points), score=rc)
     risk = fill_risk(rc)
     name = (F.col("supplier_name").cast("string") if "supplier_name" in scored.columns
             else F.lit(None).cast("string"))

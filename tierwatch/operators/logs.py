@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.errors import classify_error
+from .ranking import top_n
 
 
 def normalise_logs(df: DataFrame, extra: str = "extra") -> DataFrame:
@@ -43,7 +44,7 @@ def recent_logs(df: DataFrame, n: int = C.LOG_BUFFER, ts: str = "timestamp",
     order = [F.col(ts).desc_nulls_last()]
     if ordinal:
         order.append(F.col(ordinal).desc_nulls_last())
-    return df.orderBy(*order).limit(n)
+    return top_n(df, order, n, ordered=True)
 
 
 def with_category(df: DataFrame, status: str | None = "status", message: str = "message") -> DataFrame:

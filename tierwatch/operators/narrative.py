@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.text import estimate_tokens
 from . import chunking
+from .ranking import top_n
 from .quality import Check, Contract
 
 
 def narrative_input(scored: DataFrame, n: int = 10, order: str = "supplier_id") -> DataFrame:
     """The rows handed to the model: the first ``n`` in input order (an
     explicit ordinal column, since DataFrames carry no order)."""
-    return scored.orderBy(F.col(order).asc_nulls_last()).limit(n)
+    return top_n(scored, [F.col(order).asc_nulls_last()], n, ordered=True)
 
 
 def row_tokens(df: DataFrame, cols: list[str] | None = None) -> Column:
@@ -86,10 +87,9 @@ def severity_rank(col: str = "overall_risk") -> Column:
 
 def top_narratives(attributed: DataFrame, n: int = C.TOP_NARRATIVES) -> DataFrame:
     """CRITICAL, HIGH, MEDIUM, LOW, other; higher confidence first."""
-    return (attributed.withColumn("severity_rank", severity_rank())
-            .orderBy("severity_rank", F.col("confidence").desc_nulls_last(),
-                     F.col("resolved_id").asc_nulls_last())
-            .limit(n))
+    ranked = attributed.withColumn("severity_rank", severity_rank())
+    return top_n(ranked, [F.col("severity_rank").asc(), F.col("confidence").desc_nulls_last(),
+                          F.col("resolved_id").asc_nulls_last()], n, ordered=True)
 
 
 @lru_cache(maxsize=None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from .ranking import top_n
 
 # Up to this many keywords the filter is an OR of JVM ``contains`` calls
 # (whole-stage codegen); beyond it an Aho-Corasick automaton runs inside an
@@ -93,7 +94,7 @@ def recency_order() -> list[Column]:
 
 def latest_news(items: DataFrame, sources=None, n: int = C.NEWS_LIMIT) -> DataFrame:
     """Newest first, optionally restricted to sources, first ``n``."""
-    return source_filter(items, sources).orderBy(*recency_order()).limit(n)
+    return top_n(source_filter(items, sources), recency_order(), n, ordered=True)
 
 
 def iso_utc(ts: Column) -> Column:

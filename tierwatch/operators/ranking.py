@@ -48,42 +48,42 @@ def global_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     return joined.withColumn(name, rank).drop("_mid", "_pid", "_loc", "_first", "_before")
 
 
-# Up to this many rows, Spark's own top-k (per-task top-n, merged in one
-# task) is used; above it the merge would pull n rows from every task.
-TOPK_MERGE_MAX = 1_000
+# Spark's top-k (``orderBy().limit(n)``) keeps n rows per task and merges
+# them in ONE task: n x partitions rows.  Up to this many it is used as is;
+# above it the distributed path below takes over.
+MERGE_ROWS_MAX = 10_000_000
 QUANTILE_ACCURACY = 10_000
 
 
-def top_n(df: DataFrame, score: str, tie_cols: list[str], n: int,
-          score_desc: bool = True) -> DataFrame:
-    """Exact first ``n`` rows by ``score`` (desc by default, nulls last) then
-    ``tie_cols`` ascending, as an unordered set.
+def top_n(df: DataFrame, order: list, n: int, score: str | None = None,
+          score_desc: bool = True, ordered: bool = False) -> DataFrame:
+    """Exact first ``n`` rows of ``df`` under ``order``.
 
-    Large ``n`` avoids sorting the whole input: when it all fits it is
-    returned as is; otherwise an approximate quantile proposes a score
-    threshold, a count checks that at least ``n`` rows clear it (so the
-    exact top-n lies inside that superset), and only the superset is
-    ranked.  If the check fails, the whole input is ranked."""
-    s = F.col(score)
-    order = ([s.desc_nulls_last() if score_desc else s.asc_nulls_last()]
-             + [F.col(c).asc_nulls_last() for c in tie_cols])
-    if n <= TOPK_MERGE_MAX:
+    Small ``n x partitions`` uses Spark's top-k.  Otherwise the input is
+    checkpointed once (a narrow projection is the caller's job) and:
+    returned whole when it has at most ``n`` rows; else, when ``score``
+    (the leading numeric sort key) is given, an approximate quantile
+    proposes a threshold that a count verifies to leave at least ``n`` rows,
+    so only that superset is ranked; else everything is ranked
+    (``global_rank``).  ``ordered`` sorts the (at most ``n``) result."""
+    if n * max(1, df.rdd.getNumPartitions()) <= MERGE_ROWS_MAX:
         return df.orderBy(*order).limit(n)
-    # Several passes follow: materialise the input once (reliable checkpoint
-    # in the shared folder) instead of recomputing it for each pass.
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint(eager=True)
     total = df.count()
     if total <= n:
-        return df
-    frac = n * 2.0 / total
-    q = (1.0 - frac) if score_desc else frac
-    threshold = df.agg(F.percentile_approx(s, F.lit(max(0.0, min(1.0, q))),
-                                           F.lit(QUANTILE_ACCURACY))).first()[0]
-    pool = df
-    if threshold is not None:
-        cand = df.where(s >= threshold) if score_desc else df.where(s <= threshold)
-        if cand.count() >= n:
-            pool = cand
-    ranked = global_rank(pool, [], order, "_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+        out = df
+    else:
+        pool = df
+        if score is not None:
+            s = F.col(score)
+            frac = n * 2.0 / total
+            q = (1.0 - frac) if score_desc else frac
+            threshold = df.agg(F.percentile_approx(s, F.lit(max(0.0, min(1.0, q))),
+                                                   F.lit(QUANTILE_ACCURACY))).first()[0]
+            if threshold is not None:
+                cand = df.where(s >= threshold) if score_desc else df.where(s <= threshold)
+                if cand.count() >= n:
+                    pool = cand
+        out = global_rank(pool, [], order, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return out.orderBy(*order) if ordered else out

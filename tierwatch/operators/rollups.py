@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.bands import band_rank, risk_band
+from .ranking import top_n
 
 RISK = "composite_risk"
 
@@ -64,8 +65,9 @@ def top_risks(scored: DataFrame, n: int = C.TOP_RISKS) -> DataFrame:
     """Top-n by composite with band (per-task top-n, then a merge).
     Without a composite column, the first n rows by id."""
     if RISK not in scored.columns:
-        return scored.orderBy(F.col("supplier_id").asc_nulls_last()).limit(n)
-    top = scored.orderBy(F.col(RISK).desc(), F.col("supplier_id").asc_nulls_last()).limit(n)
+        return top_n(scored, [F.col("supplier_id").asc_nulls_last()], n, ordered=True)
+    top = top_n(scored, [F.col(RISK).desc(), F.col("supplier_id").asc_nulls_last()], n,
+                score=RISK, ordered=True)
     return top.select("supplier_id", "supplier_name", RISK, "region",
                       risk_band(RISK).alias("band"))
 
@@ -83,4 +85,4 @@ def sample_rows(df: DataFrame, n: int = 500, order: list[str] | None = None) ->
     """The first ``n`` rows by an explicit order (a demo/preview sample);
     a bounded top-k, merged from per-task top-k lists."""
     keys = order or ["supplier_id"]
-    return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(n)
+    return top_n(df, [F.col(k).asc_nulls_last() for k in keys], n, ordered=True)
