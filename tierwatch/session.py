@@ -66,17 +66,23 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    A clearly large input (by the optimizer's size estimate) is returned
-    unhinted without running anything; otherwise a count of at most
-    ``max_rows + 1`` rows decides.  Beyond the bound the join falls back to
-    a shuffle join (which AQE may still turn into a broadcast from runtime
-    statistics).
-    """
+def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` provably holds at most ``max_rows`` rows.
+
+    A clearly large input (by the optimizer's size estimate) is rejected
+    without running anything; otherwise a count of at most ``max_rows + 1``
+    rows decides.  Without table statistics Spark estimates a join as the
+    product of its inputs, so pass the base table that bounds the row count
+    where there is one."""
     est = estimated_bytes(df)
     if est is not None and est > BROADCAST_MAX_ESTIMATE:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+        return False
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows
+    (see ``fits_broadcast``).  Beyond the bound the join falls back to a
+    shuffle join (which AQE may still turn into a broadcast from runtime
+    statistics)."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df

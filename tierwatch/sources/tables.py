@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cache import column_cache
-from ..session import bounded_broadcast, estimated_bytes
+from ..session import estimated_bytes, fits_broadcast
 
 
 # FIXED VALUES of the derivation (shared with the SQL oracle).
@@ -137,7 +137,8 @@ def line_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir, "profile_fits")
     fits = _LOADED.get(key)
     if fits is None:      # checked once per session and input folder
-        fits = bounded_broadcast(prof, PROFILE_BROADCAST_ROWS) is not prof
+        # one profile row per supplier row: the supplier table bounds it
+        fits = fits_broadcast(load(spark, sf_dir, "supplier"), PROFILE_BROADCAST_ROWS)
         _LOADED[key] = fits
     prof = F.broadcast(prof) if fits else prof
     return li.join(prof, F.col("l_suppkey") == F.col("s_suppkey"), "inner").drop("s_suppkey")
