@@ -54,7 +54,7 @@ def prompt_batches(chunked: DataFrame, key: str, order: str, tokens: str,
     return agg.select(
         key, "chunk_id", "n_rows", "chunk_tokens", "first_" + order, "last_" + order,
         F.concat(F.lit(C.NARRATIVE_PROMPT),
-                 F.to_json(F.transform("_rows", lambda x: x["r"]))).alias("prompt"))
+                 F.to_json(F.col("_rows").getField("r"))).alias("prompt"))
 
 
 def attribute(narratives: DataFrame, suppliers: DataFrame, ordinal: str = "ordinal",

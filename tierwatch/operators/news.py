@@ -119,6 +119,5 @@ def digest_lines(items: DataFrame, max_items: int = C.NEWS_LIMIT) -> DataFrame:
         F.col("title").alias("k2"), digest_line().alias("line")).alias("e"))
     return keyed.agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list("e")),
-                                            lambda x: x["line"]), "\n"),
+        F.coalesce(F.array_join(F.array_sort(F.collect_list("e")).getField("line"), "\n"),
                    F.lit("")).alias("digest"))

@@ -121,9 +121,8 @@ def narratives_from_scored(scored: DataFrame, key: str) -> DataFrame:
     (unknown level, four key risks, confidence above 1)."""
     from ..functions.bands import risk_band
     k = F.col(key)
-    comps = F.array(*[F.struct(F.lit(n).alias("n"), F.round(F.col(f"component_{n}"), 6).alias("v"))
-                      for n in RISK_NAMES])
-    key_risks = F.transform(F.filter(comps, lambda x: x["v"] >= 0.5), lambda x: x["n"])
+    key_risks = F.array_compact(F.array(*[
+        F.when(F.round(F.col(f"component_{n}"), 6) >= 0.5, F.lit(n)) for n in RISK_NAMES]))
     base = scored.select(
         k.alias(key),
         F.when(k % 7 == 0, F.lit(None).cast("string"))
