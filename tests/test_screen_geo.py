@@ -90,3 +90,15 @@ def test_top_n_threshold_path_is_exact(spark, monkeypatch):
     got = sorted(r["id"] for r in ranking.top_n(df, order, 1500).collect())   # no score: full rank
     assert got == sorted(expect)
     assert ranking.top_n(df, order, 7000).count() == 6000
+
+
+def test_payload_and_report_sinks(spark, tmp_path, scenario_four):
+    from tierwatch.operators import report, scoring
+    from tierwatch.sources.sinks import write_table, write_tables
+    scored = scoring.score(scenario_four, Scenario(), "2025-06-30")
+    path = write_table(geo.cluster_payload(geo.with_popup(scored)), str(tmp_path / "cluster"), "json")
+    back = spark.read.json(path)
+    assert sorted(back.columns) == ["latitude", "longitude", "popup_text"] and back.count() == 4
+    paths = write_tables(report.report_tables(scored), str(tmp_path / "report"))
+    assert set(paths) == {"kpis", "regions", "top"}
+    assert spark.read.parquet(paths["top"]).count() == 4
