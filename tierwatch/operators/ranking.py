@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, estimated_bytes
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -55,6 +55,33 @@ MERGE_ROWS_MAX = 10_000_000
 QUANTILE_ACCURACY = 10_000
 
 
+def planned_partitions(df: DataFrame) -> int:
+    """Number of partitions the plan will produce, read from the physical
+    plan without running it (``df.rdd`` would execute the shuffle stages
+    under AQE).  When the plan does not say, the base inputs stand in: the
+    sum of the leaf relations' sizes over the split size (the optimizer's
+    estimate of a join is a product, so it is not used here), and at least
+    the shuffle partition count."""
+    spark = df.sparkSession
+    qe = df._jdf.queryExecution()
+    try:
+        n = int(qe.executedPlan().outputPartitioning().numPartitions())
+    except Exception:  # noqa: BLE001
+        n = 0
+    if n > 0:
+        return n
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    total = 0
+    try:
+        leaves = qe.optimizedPlan().collectLeaves()
+        for i in range(leaves.size()):
+            total += int(leaves.apply(i).stats().sizeInBytes())
+    except Exception:  # noqa: BLE001
+        total = estimated_bytes(df) or 0
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, shuffle, total // max(1, split) + 1)
+
+
 def top_n(df: DataFrame, order: list, n: int, score: str | None = None,
           score_desc: bool = True, ordered: bool = False) -> DataFrame:
     """Exact first ``n`` rows of ``df`` under ``order``.
@@ -66,7 +93,7 @@ def top_n(df: DataFrame, order: list, n: int, score: str | None = None,
     proposes a threshold that a count verifies to leave at least ``n`` rows,
     so only that superset is ranked; else everything is ranked
     (``global_rank``).  ``ordered`` sorts the (at most ``n``) result."""
-    if n * max(1, df.rdd.getNumPartitions()) <= MERGE_ROWS_MAX:
+    if n * max(1, planned_partitions(df)) <= MERGE_ROWS_MAX:
         return df.orderBy(*order).limit(n)
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint(eager=True)
