@@ -39,3 +39,27 @@ def test_no_window_over_the_whole_input_for_sweeps(spark):
     swept = scoring.sweep(tables.supplier_facts(spark, SF_CHECK), tables.AS_OF)
     plan = _plan(swept)
     assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_widen_scan_only_for_large_single_split_inputs(spark):
+    from tierwatch.sources import tables
+    small = spark.read.parquet(f"{SF_CHECK}/nation.parquet")
+    assert tables.widen_scan(small) is small                       # too small to matter
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism)
+    assert tables.widen_scan(wide) is wide                          # already enough splits
+
+
+def test_fits_broadcast_checks_rows(spark):
+    from tierwatch.session import fits_broadcast
+    df = spark.range(100)
+    assert fits_broadcast(df, 100) and not fits_broadcast(df, 99)
+
+
+def test_hot_duplicate_id_expands_across_tasks(spark):
+    from pyspark.sql import functions as F
+    from tierwatch.operators import quality
+    counts = spark.createDataFrame([("HOT", 250_000), ("x", 2)], "k string, n long")
+    out = quality.expand_counts(counts, block=10_000)
+    assert out.count() == 250_002
+    per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 250_000
