@@ -18,9 +18,6 @@ from ..functions.text import html_escape
 from ..scenario import Scenario
 from .ranking import top_n
 
-MAP_COLUMNS = ["supplier_id", "supplier_name", "region", "latitude", "longitude",
-               "risk_display", "risk_rgb", "risk_radius"]
-
 
 def risk_column(df: DataFrame) -> str:
     return "composite_risk" if "composite_risk" in df.columns else "risk_score"
