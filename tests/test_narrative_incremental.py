@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tierwatch.operators import chunking, narrative, quality, report, scoring
