@@ -152,3 +152,14 @@ def test_score_50k_rows_budget(spark):
     n = scoring.score(df, Scenario(), AS_OF, apply_filters=False).count()
     assert n == 50_000
     assert time.time() - t0 < 30
+
+
+def test_spend_max_snapshot(spark, scenario_four, tmp_path):
+    path = scoring.store_spend_max(scenario_four, str(tmp_path / "snap"))
+    snap = scoring.load_spend_max(spark, path)
+    assert snap == pytest.approx(math.log1p(1_000_000))
+    one = scenario_four.where("supplier_id = 'SUP-GEO'")
+    alone = scoring.score(one, Scenario(), AS_OF).first()["component_financial"]
+    fixed = scoring.score(one, Scenario(), AS_OF, spend_max_value=snap).first()["component_financial"]
+    assert alone == pytest.approx(1.0)                         # its own max
+    assert fixed == pytest.approx(math.log1p(1000) / math.log1p(1e6))   # the stored scale

@@ -85,8 +85,9 @@ def _plain_components(as_of: str) -> tuple:
 
 def with_components(df: DataFrame, as_of, spend_max_value: float | None = None) -> DataFrame:
     """Add the five component columns.  The financial normaliser is the max
-    over the *whole* input (before any filter) unless ``spend_max_value``
-    (a stored snapshot, e.g. for streaming batches) is given."""
+    of log1p(spend) over the *whole* input (before any filter) unless
+    ``spend_max_value`` (that value from a stored snapshot, see
+    ``store_spend_max`` / ``load_spend_max``) is given."""
     if spend_max_value is None:
         max_col = spend_max(df).scalar()      # scalar subquery over the whole input
     else:
@@ -156,3 +157,16 @@ def rank_by_scenario(swept: DataFrame, key: str = "supplier_id") -> DataFrame:
     return global_rank(swept, ["weighting"],
                        [F.col("composite_risk").desc(), F.col(key).asc_nulls_last()],
                        "scenario_rank")
+
+
+def store_spend_max(df: DataFrame, path: str) -> str:
+    """Write the normaliser of ``df`` (one row) as a snapshot table, so later
+    batches (e.g. stream micro-batches) can be scored on the same scale."""
+    spend_max(df).write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_spend_max(spark, path: str) -> float | None:
+    """Read a stored normaliser snapshot (one value)."""
+    row = spark.read.parquet(path).first()
+    return None if row is None or row[0] is None else float(row[0])

@@ -54,9 +54,12 @@ def supplier_batch(df: DataFrame, batch_id: int, scenario: Scenario, as_of: str,
 def stream_suppliers(spark: SparkSession, source_dir: str, sinks: dict, checkpoint: str,
                      scenario: Scenario | None = None, as_of: str = "2001-12-31",
                      available_now: bool = True, spend_max_value: float | None = None,
-                     max_files_per_trigger: int | None = None):
-    """Start the upload stream; returns the StreamingQuery."""
+                     max_files_per_trigger: int | None = None, spend_max_path: str | None = None):
+    """Start the upload stream; returns the StreamingQuery.  With
+    ``spend_max_path`` every batch is scored against that stored normaliser."""
     scenario = scenario or Scenario()
+    if spend_max_path and spend_max_value is None:
+        spend_max_value = scoring.load_spend_max(spark, spend_max_path)
     reader = (spark.readStream.schema(SUPPLIER_TEXT_SCHEMA)
               .option("header", True).option("enforceSchema", False))
     if max_files_per_trigger:
