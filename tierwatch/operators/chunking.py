@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 EMPTY = -1
 
@@ -137,6 +137,7 @@ def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
     """``df`` plus ``name``: the 0-based chunk index of each row within its key."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Internal key, never null: "v" + key, or "n" for a null key.
     ikey = F.when(F.col(key).isNull(), F.lit("n")).otherwise(
