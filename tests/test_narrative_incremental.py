@@ -201,3 +201,14 @@ def test_news_stream(spark, tmp_path):
     q.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "sink")).collect()
     assert [(r["title"], r["source"]) for r in rows] == [("Port strike", "JOC")]
+
+
+def test_staleness_of_wall_clock_times_across_dst(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(
+            [(dt.datetime(2024, 3, 10, 1, 50), dt.datetime(2024, 3, 10, 3, 4))],   # 74 min of wall clock
+            "last timestamp_ntz, now timestamp_ntz")
+        assert df.select(incremental.stale(F.col("last"), F.col("now"), 4000)).first()[0] is True
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

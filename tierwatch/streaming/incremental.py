@@ -84,5 +84,7 @@ def result_keys(upload_hash: Column, scenario: Scenario | None = None,
 def stale(last: Column, now: Column, ttl_seconds: int = C.NEWS_TTL_SECONDS) -> Column:
     """True when never fetched or ``now - last`` exceeds the TTL
     (microsecond precision: 900.5 s is stale at TTL 900)."""
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
+    # timestamp_diff is exact and type-aware: wall-clock (ntz) inputs are not
+    # shifted through the session time zone (no DST hour gained or lost).
+    age = F.timestamp_diff("MICROSECOND", last, now)
     return F.coalesce(age > F.lit(int(ttl_seconds) * 1_000_000), F.lit(True))
