@@ -78,6 +78,9 @@ def keyword_match(keywords) -> Column | None:
 def keyword_filter(items: DataFrame, keywords) -> DataFrame:
     """Keep items whose lower-cased ``title + ' ' + summary`` contains any
     keyword literally; no keywords = no filter."""
+    if len(parse_keywords(keywords)) > INLINE_KEYWORDS_MAX:
+        from ..session import ship_package
+        ship_package(items.sparkSession)       # the automaton runs on the workers
     cond = keyword_match(keywords)
     return items if cond is None else items.where(cond)
 

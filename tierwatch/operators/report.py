@@ -27,6 +27,8 @@ def kpi_table(scored: DataFrame) -> DataFrame:
 def top_table(scored: DataFrame, n: int = C.TOP_RISKS) -> DataFrame:
     """Top-n rows as report cells: cut to 22/40/16 characters, then folded
     to latin-1; risk with 3 decimals and its band."""
+    from ..session import ship_package
+    ship_package(scored.sparkSession)          # text folding runs on the workers
     top = rollups.top_risks(scored, n)
     return top.select(
         fold_text("supplier_id", C.REPORT_ID_WIDTH).alias("entity_id"),
