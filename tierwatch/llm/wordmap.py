@@ -141,15 +141,15 @@ def _meet(finish: Finish):
 
 def map_words(docs: DataFrame, words: Column, make_encode: Callable[[], Encode],
               finish: Finish, schema: str) -> DataFrame:
-    """``docs`` (doc_id first, any further columns) with ``words`` evaluated
-    to array<string>; ``make_encode()`` builds, once per task, the function
+    """``words`` (array<string>) evaluated over ``docs``; only doc_id travels
+    with the positions; ``make_encode()`` builds, once per task, the function
     from distinct words to an aligned Arrow array; ``finish(rows, values,
     offsets, codes)`` yields result batches, where document i's words have
     the values ``values[codes[offsets[i]:offsets[i+1]]]`` (``values`` is None
     for a block without words).  Rows may repeat; no row is lost."""
     spark = docs.sparkSession
     n = shuffle_width(spark)
-    src = docs.withColumn("words", words)
+    src = docs.select("doc_id", words.alias("words"))
     asked = src.mapInArrow(_requests(n), _REQUEST).repartition(n, "bucket")
     answered = asked.mapInArrow(_answers(make_encode), _ANSWER)
     placed = src.mapInArrow(_positions(n), _ANSWER)
