@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, linededup, packing
+from . import bpe, chat, fingerprints, jaccard, linededup, packing
 from .common import read_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op8_jaccard": op8_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 
