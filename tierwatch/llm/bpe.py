@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,17 +95,24 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_words(texts(docs), words, _encoder(path, pattern), _finish, "doc_id bigint, ids binary")
 
 
+@lru_cache(maxsize=4)
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, lengths): the bytes of every id, once per worker."""
+    ranks = read_ranks(path)
+    lens = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        lens[i] = len(token)
+    starts = np.cumsum(lens) - lens
+    flat = np.zeros(int(lens.sum()), np.uint8)
+    for token, i in ranks.items():
+        flat[starts[i]:starts[i] + len(token)] = np.frombuffer(token, np.uint8)
+    return flat, starts, lens
+
+
 def _decode(path: str):
     def run(batches):
-        ranks = read_ranks(path)
-        size = max(ranks.values()) + 1
-        lens = np.zeros(size, np.int64)
-        for token, i in ranks.items():
-            lens[i] = len(token)
-        starts = np.cumsum(lens) - lens
-        flat = np.zeros(int(lens.sum()), np.uint8)
-        for token, i in ranks.items():
-            flat[starts[i]:starts[i] + len(token)] = np.frombuffer(token, np.uint8)
+        flat, starts, lens = token_table(path)
+        size = len(lens)
         for batch in batches:
             raw, off = flat_strings(batch.column("ids"))
             for a, b in doc_slices(np.diff(off), 4 * _SLICE):
@@ -130,7 +138,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Digest row per document of its ids and of the decoded bytes."""
-    return decode(encode(docs, path, pattern), path).select(
+    """Digest row per document of its ids and of the decoded bytes.  Decoding
+    follows encoding in the same Python worker (one worker a task)."""
+    def finish(rows, values, offsets, codes):
+        return _decode(path)(_finish(rows, values, offsets, codes))
+    words = F.regexp_extract_all(F.col("text"), F.lit("(?U)" + pattern), F.lit(0))
+    both = map_words(texts(docs), words, _encoder(path, pattern), finish, "doc_id bigint, ids binary, decoded binary")
+    return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -123,6 +123,16 @@ def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
+def block_name(*parts: np.ndarray) -> int:
+    """A signed 64-bit name of a block of documents, from its own contents."""
+    name = U64(0)
+    with np.errstate(over="ignore"):
+        for k, p in enumerate(parts):
+            spot = position_keys(len(p), 101 + k)
+            name = name + (mix(np.asarray(p).astype(U64) + U64(k + 1)) * spot).sum(dtype=U64) + U64(len(p))
+    return int(np.asarray(name, U64).view(np.int64))
+
+
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
 

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_strings, mix, pack, shuffle_width, unpack
+from .common import block_name, hash_strings, pack, shuffle_width, small_batches, unpack
 
 _REQUEST = "bucket int, block bigint, payload binary"
 _ANSWER = "block bigint, kind int, part int, size bigint, payload binary"
-_FLUSH = 32 << 20
+_FLUSH = 16 << 20
+BLOCK_ROWS = 5000         # documents in a block, unless Arrow's own limit in bytes comes first
 
 Encode = Callable[[pa.Array], pa.Array]
 Finish = Callable[[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
@@ -43,17 +44,14 @@ def _coded(batch: pa.RecordBatch, buckets: int):
     vocab = coded.dictionary
     hashes = hash_strings(vocab)
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((hashes, bucket))
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     docs = batch.drop_columns(["words"])
     ids = docs.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-    spot = np.arange(len(ids), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        name = mix(ids.astype(np.uint64) + mix(spot + np.uint64(1))).sum(dtype=np.uint64) + np.uint64(len(ids))
-    return docs, counts, codes, vocab.take(pa.array(order)), bounds, int(name.astype(np.int64))
+    return docs, counts, codes, vocab.take(pa.array(order)), bounds, block_name(ids, counts, hashes[order])
 
 
 def _requests(buckets: int):
@@ -149,6 +147,7 @@ def map_words(docs: DataFrame, words: Column, make_encode: Callable[[], Encode],
     for a block without words).  Rows may repeat; no row is lost."""
     spark = docs.sparkSession
     n = shuffle_width(spark)
+    small_batches(spark, BLOCK_ROWS)
     src = docs.select("doc_id", words.alias("words"))
     asked = src.mapInArrow(_requests(n), _REQUEST).repartition(n, "bucket")
     answered = asked.mapInArrow(_answers(make_encode), _ANSWER)
