@@ -41,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_name, by_size, flat_strings, hash_ragged, mix, pack, ragged_index, shuffle_width, unpack
+from .common import block_name, by_size, flat_strings, hash_ragged, mix, pack, ragged_index, shuffle_width, small_batches, unpack
 
 MIN_LENGTH = 50
 GRAM = 20
 _W = MIN_LENGTH - GRAM + 1              # grams in a string
 _BLOCK = 16 << 20
 _STEP = 1 << 18
+_HASHED = 1 << 13
+_TEXT = 512 << 10                       # bytes of contexts in one transform
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _TO_RANGE = "bucket int, block bigint, kind int, payload binary"
@@ -232,8 +234,9 @@ def _send_contexts(buckets: int):
             doc = np.searchsorted(off, start, "right") - 1
             ids = docs.column("sort_id").to_numpy()[doc]
             name = np.empty(len(h), _U)
-            for a in range(0, len(h), 1 << 16):
-                name[a:a + (1 << 16)] = hash_ragged(raw, start[a:a + (1 << 16)], length[a:a + (1 << 16)], 7)
+            for a in range(0, len(h), _HASHED):
+                x = slice(a, a + _HASHED)
+                name[x] = hash_ragged(raw, start[x], length[x], 7)
             order = np.lexsort((ids, name, h))
             oh, on, oi = h[order], name[order], ids[order]
             new = np.append(True, (oh[1:] != oh[:-1]) | (on[1:] != on[:-1]))
@@ -408,7 +411,7 @@ def _passed(done):
                               ["block", "kind", "part", "payload"])
 
 
-def _anchor_runs(h: np.ndarray, length: np.ndarray, limit: int = 2 << 20):
+def _anchor_runs(h: np.ndarray, length: np.ndarray, limit: int = _TEXT):
     """Runs of whole anchors whose contexts hold about ``limit`` bytes."""
     if not len(h):
         return
@@ -463,6 +466,7 @@ def remove_repeats(docs: DataFrame, *carry: str) -> DataFrame:
     """(doc_id, the ``carry`` columns, n_bytes, n_removed, n_spans, kept):
     ``kept`` are the remaining bytes, n_spans the maximal removed runs."""
     width = shuffle_width(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     buckets = 4 * width
     src = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text"),
                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("sort_id"))
