@@ -38,7 +38,7 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 SUBSET, STEPS, MIN_GROUP = 0.75, 3, 60
 CUTOFF = 60.0                 # squared distance in 4 dimensions; a normal row exceeds it once in 3e11
 STATS = ("s_words", "s_length", "s_symbols", "s_lines")
-FLOORS = (0.35, 0.06, 0.02, 0.02)      # smallest standard deviation of each statistic
+FLOORS = (0.35, 0.06, 0.02, 0.11)      # smallest standard deviation of each statistic
 _MEDIAN_CHI2 = 3.3567         # of 4 degrees of freedom
 
 

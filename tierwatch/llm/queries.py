@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, jaccard, langid, linededup, packing, suffixdedup, toxicity
+from . import bpe, chat, fingerprints, jaccard, langid, linededup, packing, quality, suffixdedup, toxicity
 from .common import read_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard": op8_jaccard,
