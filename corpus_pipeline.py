@@ -1,4 +1,14 @@
-"""Corpus pipeline: the stages a training corpus passes, in order."""
+"""Corpus pipeline: the stages a training corpus passes, in order.
+
+    toxicity       documents scored 0.5 or more go
+    line dedup     lines of earlier documents go, texts are rewritten
+    n-gram join    of each group of near duplicates the smallest id stays
+    suffix dedup   bytes of strings that start in an earlier document go
+    packing        what is left, tokenised and placed in windows of 4096 ids
+
+Every stage reads what the one before wrote and works on all of it.  All but
+the last return the columns of ``documents``; n_chars is kept true.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +16,56 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from tierwatch.llm import packing  # noqa: E402
+from tierwatch.llm import jaccard, linededup, packing, suffixdedup, toxicity as tox  # noqa: E402
 from tierwatch.llm.common import read_table, shared_path  # noqa: E402
 from tierwatch.llm.queries import WORD_BPE  # noqa: E402
 
 
+def _rewritten(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, with n_chars counted anew."""
+    return docs.select(*[F.length("text").cast(like.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+                         for c in like.columns])
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = tox.fit(docs, read_table(spark, sf_dir, "labels"))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return tox.score(docs, model, *rest).where("score < 0.5").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _rewritten(linededup.drop_repeated_lines(docs), docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a group: that of the smallest id; rows without id link to
+    nothing and stay."""
+    stays = (jaccard.link_components(docs).where("doc_id = component_id").select("doc_id").distinct())
+    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = suffixdedup.remove_repeats(docs, *rest, as_text=True)
+    return _rewritten(cut.drop("text").withColumnRenamed("kept", "text"), docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents kept, placed in windows of 4096 ids."""
     return packing.pack_documents(docs, WORD_BPE)
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_join),
+    ("suffix-array dedup", suffix_dedup),
     ("packing", packed),
 ]
 
@@ -30,7 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage is written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
+        path = shared_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

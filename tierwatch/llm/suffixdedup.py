@@ -428,6 +428,22 @@ def _anchor_runs(h: np.ndarray, length: np.ndarray, limit: int = _TEXT):
 
 # ------------------------------------------------------------------ the cut
 
+def _whole_characters(kept: pa.Array) -> pa.Array:
+    """The bytes as text; a character that was cut in part is left out."""
+    try:
+        out = kept.cast(pa.string())
+        out.validate(full=True)
+        return out
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+
+def _cut_texts(batches):
+    for batch in _cut(batches):
+        at = batch.schema.get_field_index("kept")
+        yield batch.set_column(at, "kept", _whole_characters(batch.column("kept")))
+
+
 def _cut(batches):
     for parts, docs, raw, off, _ in _meetings(batches):
         cover = np.zeros(len(raw) + 1, np.int32)
@@ -462,9 +478,10 @@ def _cut(batches):
                                "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *carry: str) -> DataFrame:
+def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False) -> DataFrame:
     """(doc_id, the ``carry`` columns, n_bytes, n_removed, n_spans, kept):
-    ``kept`` are the remaining bytes, n_spans the maximal removed runs."""
+    ``kept`` are the remaining bytes, n_spans the maximal removed runs.
+    ``as_text`` gives ``kept`` as a string, without characters cut in part."""
     width = shuffle_width(docs.sparkSession)
     small_batches(docs.sparkSession, 2000)
     buckets = 4 * width
@@ -482,8 +499,8 @@ def remove_repeats(docs: DataFrame, *carry: str) -> DataFrame:
     spans = to_range(asked).mapInArrow(_settle, _TO_BLOCK)
     kinds = dict(src.dtypes)
     out = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)]
-                    + ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept binary"])
-    return meet(spans, src.mapInArrow(_texts, _TO_BLOCK)).mapInArrow(_cut, out)
+                    + ["n_bytes bigint", "n_removed bigint", "n_spans bigint", f"kept {'string' if as_text else 'binary'}"])
+    return meet(spans, src.mapInArrow(_texts, _TO_BLOCK)).mapInArrow(_cut_texts if as_text else _cut, out)
 
 
 def digests(docs: DataFrame) -> DataFrame:
