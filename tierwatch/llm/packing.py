@@ -22,6 +22,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,6 @@ from .wordmap import map_words
 
 CAPACITY = 4096
 END_ID = 2
-BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 # ------------------------------------------------------------- tokenisation
@@ -83,8 +83,9 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY,
     """(doc_id, start, length, doc_tokens, ids): windows of each document's
     ids; ids as little-endian unsigned 32-bit.  The tokenizer drops white
     space and never merges across it, so blank-separated words are encoded."""
-    return map_words(texts(docs), F.split("text", BLANKS), _word_encoder(path), _pieces(capacity, end_id),
-                     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    return map_words(texts(docs), F.col("text"), _word_encoder(path), _pieces(capacity, end_id),
+                     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary",
+                     split=pc.ascii_split_whitespace)
 
 
 # ---------------------------------------------------------------- the plan

@@ -32,13 +32,16 @@ _FLUSH = 16 << 20
 BLOCK_ROWS = 5000         # documents in a block, unless Arrow's own limit in bytes comes first
 
 Encode = Callable[[pa.Array], pa.Array]
+Split = Callable[[pa.Array], pa.Array]
 Finish = Callable[[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
-def _coded(batch: pa.RecordBatch, buckets: int):
+def _coded(batch: pa.RecordBatch, buckets: int, split: Split | None):
     """Documents without words, counts per document, codes, word list in
     bucket order, bucket bounds and the block's name."""
     words = batch.column("words")
+    if split is not None:
+        words = split(words)
     counts = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
     vocab = coded.dictionary
@@ -54,12 +57,12 @@ def _coded(batch: pa.RecordBatch, buckets: int):
     return docs, counts, codes, vocab.take(pa.array(order)), bounds, block_name(ids, counts, hashes[order])
 
 
-def _requests(buckets: int):
+def _requests(buckets: int, split: Split | None):
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            _, _, _, vocab, bounds, block = _coded(batch, buckets)
+            _, _, _, vocab, bounds, block = _coded(batch, buckets, split)
             rows = [(b, block, pack(pa.record_batch([vocab.slice(bounds[b], bounds[b + 1] - bounds[b])], ["w"])))
                     for b in range(buckets) if bounds[b + 1] > bounds[b]]
             if rows:
@@ -100,12 +103,12 @@ def _answers(make_encode: Callable[[], Encode]):
     return run
 
 
-def _positions(buckets: int):
+def _positions(buckets: int, split: Split | None):
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            docs, counts, codes, vocab, _, block = _coded(batch, buckets)
+            docs, counts, codes, vocab, _, block = _coded(batch, buckets, split)
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             blob = pack(docs.append_column("codes", pa.ListArray.from_arrays(offsets, pa.array(codes))))
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([1], pa.int32()),
@@ -138,9 +141,9 @@ def _meet(finish: Finish):
 
 
 def map_words(docs: DataFrame, words: Column, make_encode: Callable[[], Encode],
-              finish: Finish, schema: str) -> DataFrame:
-    """``words`` (array<string>) evaluated over ``docs``; only doc_id travels
-    with the positions; ``make_encode()`` builds, once per task, the function
+              finish: Finish, schema: str, split: Split | None = None) -> DataFrame:
+    """``words`` (array<string>, or a string that ``split`` cuts in the worker)
+    evaluated over ``docs``; only doc_id travels with the positions; ``make_encode()`` builds, once per task, the function
     from distinct words to an aligned Arrow array; ``finish(rows, values,
     offsets, codes)`` yields result batches, where document i's words have
     the values ``values[codes[offsets[i]:offsets[i+1]]]`` (``values`` is None
@@ -149,9 +152,9 @@ def map_words(docs: DataFrame, words: Column, make_encode: Callable[[], Encode],
     n = shuffle_width(spark)
     small_batches(spark, BLOCK_ROWS)
     src = docs.select("doc_id", words.alias("words"))
-    asked = src.mapInArrow(_requests(n), _REQUEST).repartition(n, "bucket")
+    asked = src.mapInArrow(_requests(n, split), _REQUEST).repartition(n, "bucket")
     answered = asked.mapInArrow(_answers(make_encode), _ANSWER)
-    placed = src.mapInArrow(_positions(n), _ANSWER)
+    placed = src.mapInArrow(_positions(n, split), _ANSWER)
     return (answered.unionByName(placed).repartition(n, "block")
             .sortWithinPartitions("block", "kind", "part")
             .mapInArrow(_meet(finish), schema))
