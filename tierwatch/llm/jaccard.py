@@ -1,18 +1,18 @@
 """Exact Jaccard self-join of word shingle sets, as link components.
 
-    sets      distinct w-word shingles of every text, as sorted 64-bit hashes
+    sets      distinct w-word shingles of every text, as sorted 64-bit hashes,
+              with a parity bitmap of them
     prefixes  two sets of similarity t share one of the first n - ceil(t n) + 1
               shingles of any common order; shingles frequent in a bounded
               sample come last in it (the order changes speed, never results)
     groups    sets that share a prefix shingle, sorted by size
-    parents   each set is first compared exactly with the one group member it
-              meets most often, which collapses families of near copies
+    parents   each set first meets its nearest smaller and the smallest fitting
+              member of its groups, which collapses families of near copies
     tiles     what is still apart in a group is cut into size-banded tiles;
-              every tile pair compares parity bitmaps, whose differing bits
-              bound the symmetric difference from below, i.e. the overlap from
-              above; only pairs that may link and are in different components
-              leave a tile
-    exact     those are intersected as sorted arrays
+              only pairs of different components leave a tile pair
+    bitmaps   differing parity bits bound the symmetric difference from below,
+              i.e. the overlap from above: pairs that can't link end here
+    exact     the others are intersected as sorted arrays
 
 No pair inside one component needs a second proof, so a family of m near
 copies costs about m comparisons; no link between different components is
@@ -112,13 +112,22 @@ def _u64(a) -> pa.Array:
     return pa.array(np.asarray(a, _U).view(np.int64))
 
 
-def set_table(docs: DataFrame, w: int = WORDS) -> DataFrame:
-    """(doc_id, n, set_id)."""
+def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, n, set_id, bits, prefix): prefix holds the hashes by which a
+    set meets others, in an order that puts ``frequent`` ones last."""
+    def prefix(s: np.ndarray) -> bytes:
+        late = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
+        ordered = np.concatenate((s[~late], s[late])) if late.any() else s
+        return ordered[:len(s) - needed(len(s), percent) + 1 if len(s) else 0].tobytes()
+
     def run(batches):
         for ids, sets in _each(batches, w):
             yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
-                                   pa.array([set_name(s) for s in sets], pa.int64())], ["doc_id", "n", "set_id"])
-    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, set_id bigint")
+                                   pa.array([set_name(s) for s in sets], pa.int64()),
+                                   pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                                   pa.array([prefix(s) for s in sets], pa.binary())],
+                                  ["doc_id", "n", "set_id", "bits", "prefix"])
+    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary")
 
 
 def frequent_shingles(docs: DataFrame, w: int = WORDS) -> np.ndarray:
@@ -136,25 +145,17 @@ def frequent_shingles(docs: DataFrame, w: int = WORDS) -> np.ndarray:
 
 # --------------------------------------------------- prefix groups of sets
 
-def _prefixes(w: int, percent: int, frequent: np.ndarray, buckets: int):
+def _postings(buckets: int):
     def run(batches):
-        for _, sets in _each(batches, w):
-            seen, keys, names, sizes = set(), [], [], []
-            for s in sets:
-                name = set_name(s)
-                if not len(s) or name in seen:
-                    continue
-                seen.add(name)
-                late = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
-                ordered = np.concatenate((s[~late], s[late])) if late.any() else s
-                keys.append(ordered[:len(s) - needed(len(s), percent) + 1])
-                names.append(name)
-                sizes.append(len(s))
-            if not keys:
+        for batch in batches:
+            names, first = np.unique(batch.column("set_id").to_numpy(), return_index=True)
+            prefixes = batch.column("prefix").take(pa.array(first))
+            raw, off = flat_strings(prefixes)
+            if not len(raw):
                 continue
-            each = [len(k) for k in keys]
-            key = np.concatenate(keys)
-            name, size = np.repeat(names, each), np.repeat(np.array(sizes, np.int32), each)
+            key, each = raw.view(_U), np.diff(off) // 8
+            name = np.repeat(names, each)
+            size = np.repeat(batch.column("n").to_numpy()[first].astype(np.int32), each)
             bucket = (mix(key) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -190,11 +191,10 @@ def _groups(batches):
         yield shared(held)
 
 
-def prefix_groups(docs: DataFrame, w: int, percent: int) -> DataFrame:
+def prefix_groups(sets: DataFrame) -> DataFrame:
     """(shingle, set_id, n): sets that share a prefix shingle with another."""
-    width = shuffle_width(docs.sparkSession)
-    dealt = texts(docs).mapInArrow(_prefixes(w, percent, frequent_shingles(docs, w), 4 * width),
-                                   "bucket int, blob binary")
+    width = shuffle_width(sets.sparkSession)
+    dealt = sets.select("set_id", "n", "prefix").mapInArrow(_postings(4 * width), "bucket int, blob binary")
     return (dealt.repartition(width, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_groups, "shingle bigint, set_id bigint, n bigint"))
 
@@ -241,10 +241,33 @@ def fold(b: np.ndarray, words: int) -> np.ndarray:
     return b
 
 
-def _bitmaps(batches):
-    for batch in batches:
-        maps = [bitmap(np.frombuffer(m, _U)).tobytes() for m in batch.column("members").to_pylist()]
-        yield pa.record_batch([batch.column("set_id"), pa.array(maps, pa.binary())], ["set_id", "bits"])
+def may_link(n: np.ndarray, m: int, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets of sizes n and m, ``apart`` or more members different, link?
+    overlap <= (n + m - apart) / 2, union = n + m - overlap."""
+    total = n + m
+    return (100 * (total - apart) >= percent * (total + apart)) & (
+        100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def _open_pairs(percent: int):
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))):
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                width = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold(x, width) ^ fold(y, width)).sum())
+                keep[i] = may_link(np.int64(n), m, np.int64(apart), percent)
+            some = batch.filter(pa.array(keep))
+            yield pa.record_batch([some.column(c) for c in ("a", "b", "hits")], ["a", "b", "hits"])
+    return run
+
+
+def open_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, hits) that the bitmaps (set_id, n, bits) can't rule out."""
+    x = bitmaps.select(F.col("set_id").alias("a"), "n", F.col("bits").alias("x"))
+    y = bitmaps.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_open_pairs(percent), "a bigint, b bigint, hits bigint")
 
 
 def _tile_pairs(percent: int):
@@ -266,10 +289,7 @@ def _tile_pairs(percent: int):
                 if width not in folded:
                     folded[width] = fold(maps, width)
                 apart = np.bitwise_count(folded[width] ^ fold(own, width)).sum(axis=1, dtype=np.int64)
-                total = size + r[4]
-                # overlap <= (total - apart) / 2, union = total - overlap
-                may = 100 * (total - apart) >= percent * (total + apart)
-                may &= (100 * np.minimum(size, r[4]) >= percent * np.maximum(size, r[4])) & (root != r[5])
+                may = may_link(size, r[4], apart, percent) & (root != r[5])
                 out.update((min(r[7], int(n)), max(r[7], int(n))) for n in name[may])
         return out
 
@@ -306,7 +326,7 @@ def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int) -> Data
                                             & (100 * F.col("top") >= percent * F.col("bottom"))).select("shingle", "i", "j")
     sides = met.select("shingle", "i", "j", F.col("i").alias("tile"), F.lit(0).alias("side")).unionByName(
         met.where("i < j").select("shingle", "i", "j", F.col("j").alias("tile"), F.lit(1).alias("side")))
-    dealt = g.join(bitmaps, "set_id").join(sides, ["shingle", "tile"])
+    dealt = g.join(bitmaps.select("set_id", "bits"), "set_id").join(sides, ["shingle", "tile"])
     width = shuffle_width(groups.sparkSession)
     return (dealt.select("shingle", "i", "j", "side", "n", "root", "bits", "set_id")
             .repartition(width, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side")
@@ -361,37 +381,35 @@ def _chosen_arrays(docs: DataFrame, chosen: DataFrame, w: int) -> DataFrame:
     return rows.join(chosen, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]).select("set_id", "members")
 
 
-def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+def _proved(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, percent: int) -> DataFrame:
+    """``pairs`` compared exactly; arrays exist for their sets only."""
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    chosen = cut(reps.join(ends, "set_id").select("set_id", "doc_id"), "chosen")
+    return cut(exact(pairs, _chosen_arrays(docs, chosen, w), percent), "tested")
+
+
+def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, mates: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id
     reachable by links of at least ``percent`` % Jaccard similarity."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
-    sets = cut(set_table(docs, w), "sets")
-    groups = cut(prefix_groups(named, w, percent), "groups")
-    chosen = cut(sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-                 .join(groups.select("set_id").distinct(), "set_id", "left_semi"), "chosen")
-    arrays = cut(_chosen_arrays(named, chosen, w), "arrays")
-    pairs = cut(_parents(groups, percent), "parents")
-    tested = roots = None
-    for _ in range(rounds):
-        todo = pairs
-        if tested is not None:
-            ends = [roots.withColumnsRenamed({"node": x, "root": f"root_{x}"}) for x in "ab"]
-            todo = (pairs.join(tested, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-                    .where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))))
-        todo = todo.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
-        found = cut(exact(todo, arrays, percent), "tested")
-        tested = found if tested is None else tested.unionByName(found)
-        roots = components(tested.where("linked"))
+    sets = cut(set_table(docs, w, percent, frequent_shingles(named, w)), "sets")
+    linkable = sets.where("doc_id is not null")
+    groups = cut(prefix_groups(linkable), "groups")
+    reps = cut(linkable.join(groups.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
+    near = open_pairs(_parents(groups, percent), reps, percent)
+    rank = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
+    near = cut(near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= mates).select("a", "b"), "near")
+    tested = _proved(near, named, reps, w, percent)
+    roots = components(tested.where("linked"))
     apart = Window.partitionBy("shingle")
-    open_groups = (_rooted(groups, roots).withColumn("lo", F.min("root").over(apart))
-                   .withColumn("hi", F.max("root").over(apart)).where("lo <> hi").drop("lo", "hi"))
-    open_groups = cut(open_groups, "open")
-    bits = (arrays.join(open_groups.select("set_id").distinct(), "set_id", "left_semi")
-            .mapInArrow(_bitmaps, "set_id bigint, bits binary"))
-    rest = tile_candidates(open_groups, bits, percent).join(tested, ["a", "b"], "left_anti")
-    rest = cut(exact(rest, arrays, percent), "tested").where("linked")
-    roots = components(tested.where("linked").unionByName(rest))
+    open_groups = cut(_rooted(groups, roots).withColumn("lo", F.min("root").over(apart))
+                      .withColumn("hi", F.max("root").over(apart)).where("lo <> hi").drop("lo", "hi"), "open")
+    rest = cut(tile_candidates(open_groups, reps, percent).join(tested, ["a", "b"], "left_anti"), "rest")
+    more = _proved(rest, named, reps, w, percent).where("linked")
+    if not more.isEmpty():
+        roots = components(tested.where("linked").unionByName(more))
     rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "doc_id", "n", F.coalesce("root", "set_id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
