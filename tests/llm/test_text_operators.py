@@ -232,7 +232,7 @@ def test_tiles_find_links_that_parents_miss(spark, monkeypatch):
     base = [f"w{j}" for j in range(80)]
     texts = {i: " ".join(base[:20 + i] + [f"x{i}"] + base[21 + i:]) for i in range(0, 40, 3)}
     docs = spark.createDataFrame([(int(k), t) for k, t in texts.items()], "doc_id bigint, text string")
-    groups = jaccard.prefix_groups(docs, 5, 80)
+    groups = jaccard.prefix_groups(jaccard.set_table(docs, 5, 80, np.zeros(0, np.uint64)))
     sets = {jaccard.set_name(jaccard.shingle_sets(*_flat([t]))[0]): _shingles(t) for t in texts.values()}
     maps = spark.createDataFrame([(n, bytearray(jaccard.bitmap(jaccard.shingle_sets(*_flat([t]))[0]).tobytes()))
                                   for n, t in zip(sets, texts.values())], "set_id bigint, bits binary")
