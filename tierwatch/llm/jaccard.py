@@ -6,8 +6,10 @@
               shingles of any common order; shingles frequent in a bounded
               sample come last in it (the order changes speed, never results)
     groups    sets that share a prefix shingle, sorted by size
+              (groups of equal members, as a shared passage makes, count once)
     parents   each set first meets its nearest smaller and the smallest fitting
-              member of its groups, which collapses families of near copies
+              member of its groups, which collapses families of near copies and
+              settles groups of up to three
     tiles     what is still apart in a group is cut into size-banded tiles;
               only pairs of different components leave a tile pair
     bitmaps   differing parity bits bound the symmetric difference from below,
@@ -199,6 +201,16 @@ def prefix_groups(sets: DataFrame) -> DataFrame:
             .mapInArrow(_groups, "shingle bigint, set_id bigint, n bigint"))
 
 
+def distinct_groups(groups: DataFrame) -> DataFrame:
+    """One group of each member list, with its number of ``members`` and of
+    the shingles that had it (``times``); lists are told apart by 128 bits."""
+    name = groups.groupBy("shingle").agg(
+        F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"),
+        F.count("*").alias("members"))
+    once = name.groupBy("x", "y", "members").agg(F.min("shingle").alias("shingle"), F.count("*").alias("times"))
+    return groups.join(once.select("shingle", "members", "times"), "shingle")
+
+
 # ------------------------------------------------------- exact comparison
 
 def _linked(percent: int):
@@ -259,15 +271,15 @@ def _open_pairs(percent: int):
                 apart = int(np.bitwise_count(fold(x, width) ^ fold(y, width)).sum())
                 keep[i] = may_link(np.int64(n), m, np.int64(apart), percent)
             some = batch.filter(pa.array(keep))
-            yield pa.record_batch([some.column(c) for c in ("a", "b", "hits")], ["a", "b", "hits"])
+            yield pa.record_batch([some.column("a"), some.column("b")], ["a", "b"])
     return run
 
 
 def open_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, hits) that the bitmaps (set_id, n, bits) can't rule out."""
+    """The pairs (a, b) that the bitmaps (set_id, n, bits) can't rule out."""
     x = bitmaps.select(F.col("set_id").alias("a"), "n", F.col("bits").alias("x"))
     y = bitmaps.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(_open_pairs(percent), "a bigint, b bigint, hits bigint")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_open_pairs(percent), "a bigint, b bigint")
 
 
 def _tile_pairs(percent: int):
@@ -343,16 +355,15 @@ def _rooted(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _parents(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b, hits): each set with the smallest and with the next smaller set
-    of its groups within the size band."""
+    """(a, b): each set with the smallest set within the size band and with the
+    next smaller one of its groups."""
     scale = 1_000_000
     g = groups.withColumn("size", (F.log("n") * scale).cast("bigint"))
     order = Window.partitionBy("shingle").orderBy("size")
-    band = order.rangeBetween(int(np.log(percent / 100) * scale), 0)
+    band = order.rangeBetween(int(np.log(percent / 100) * scale) - 2, 0)      # rounding never narrows it
     near = g.withColumn("mate", F.array(F.first("set_id").over(band), F.lag("set_id").over(order)))
     near = near.select("set_id", F.explode("mate").alias("mate")).where("mate is not null and mate <> set_id")
-    return near.select(F.greatest("set_id", "mate").alias("a"), F.least("set_id", "mate").alias("b")).groupBy(
-        "a", "b").agg(F.count("*").alias("hits"))
+    return near.select(F.greatest("set_id", "mate").alias("a"), F.least("set_id", "mate").alias("b")).distinct()
 
 
 FILTER_BITS = 1 << 23       # of the filter of documents whose arrays are wanted: 1 MB, whatever the corpus
@@ -388,23 +399,21 @@ def _proved(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, percent:
     return cut(exact(pairs, _chosen_arrays(docs, chosen, w), percent), "tested")
 
 
-def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, mates: int = 2) -> DataFrame:
+def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id
     reachable by links of at least ``percent`` % Jaccard similarity."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     sets = cut(set_table(docs, w, percent, frequent_shingles(named, w)), "sets")
     linkable = sets.where("doc_id is not null")
-    groups = cut(prefix_groups(linkable), "groups")
+    groups = cut(distinct_groups(cut(prefix_groups(linkable), "postings")), "groups")
     reps = cut(linkable.join(groups.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
-    near = open_pairs(_parents(groups, percent), reps, percent)
-    rank = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
-    near = cut(near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= mates).select("a", "b"), "near")
+    near = cut(open_pairs(_parents(groups, percent), reps, percent), "near")
     tested = _proved(near, named, reps, w, percent)
     roots = components(tested.where("linked"))
     apart = Window.partitionBy("shingle")
-    open_groups = cut(_rooted(groups, roots).withColumn("lo", F.min("root").over(apart))
+    open_groups = cut(_rooted(groups.where("members > 3"), roots).withColumn("lo", F.min("root").over(apart))
                       .withColumn("hi", F.max("root").over(apart)).where("lo <> hi").drop("lo", "hi"), "open")
     rest = cut(tile_candidates(open_groups, reps, percent).join(tested, ["a", "b"], "left_anti"), "rest")
     more = _proved(rest, named, reps, w, percent).where("linked")
