@@ -43,9 +43,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches handed to Python: whole texts may be long."""
+def small_batches(spark: SparkSession, rows: int = 5000) -> None:
+    """Bound the Arrow batches handed to Python, in rows and in bytes: whole
+    texts and packed values may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def texts(df: DataFrame, *extra: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, position_keys, shuffle_width
+from .common import mix, position_keys, shuffle_width, small_batches
 
 BINS = 64
 FIRST_LEVEL, LEVELS = 2, 4
@@ -175,6 +175,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     each range knows all its successors and texts are shuffled once.  The
     bounds and range heads are one value per shuffle partition."""
     width = shuffle_width(docs.sparkSession)
+    small_batches(docs.sparkSession)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("sort_id"))
     shares = [i / width for i in range(1, width)]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, flat_strings, mix, pack, position_keys, shuffle_width, texts, unpack
+from .common import by_size, cut, flat_strings, mix, pack, position_keys, shuffle_width, small_batches, texts, unpack
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -403,6 +403,7 @@ def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) ->
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id
     reachable by links of at least ``percent`` % Jaccard similarity."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     named = docs.where("doc_id is not null")
     sets = cut(set_table(docs, w, percent, frequent_shingles(named, w)), "sets")
     linkable = sets.where("doc_id is not null")

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, mix, small_batches
 from .toxicity import fold
 
 MAX_DOCS = 1500
@@ -221,6 +221,7 @@ def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
 def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
     """(doc_id, the ``carry`` columns, lang_pred, score)."""
     src = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("_scored"))
+    small_batches(docs.sparkSession)
     names = ["doc_id", *carry]
     kinds = dict(src.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double"

@@ -460,15 +460,19 @@ def _cut(batches):
                 np.add.at(cover, start[s] + k, 1)
                 s, k = np.nonzero(last)
                 np.add.at(cover, start[s] + k + MIN_LENGTH, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        upto = np.concatenate(([0], np.cumsum(gone)))
-        removed = upto[off[1:]] - upto[off[:-1]]
+        np.cumsum(cover, out=cover)
+        gone = cover[:-1] > 0
+        del cover
+        filled = np.flatnonzero(np.diff(off) > 0)
+        heads = off[filled]
+        removed, spans = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
         begin = gone.copy()
         begin[1:] &= ~gone[:-1]
-        heads = off[:-1][np.diff(off) > 0]
         begin[heads] = gone[heads]
-        spans = np.concatenate(([0], np.cumsum(begin)))
-        spans = spans[off[1:]] - spans[off[:-1]]
+        if len(heads):
+            removed[filled] = np.add.reduceat(gone, heads, dtype=np.int64)
+            spans[filled] = np.add.reduceat(begin, heads, dtype=np.int64)
+        del begin
         ends = np.concatenate(([0], np.cumsum(np.diff(off) - removed))).astype(np.int32)
         kept = pa.Array.from_buffers(pa.binary(), len(removed), [None, pa.py_buffer(ends.tobytes()),
                                                                  pa.py_buffer(raw[~gone].tobytes())])

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 MAX_ROWS = 40_000
 MAX_NODES = 60_000            # of the learned trie, strongest first
@@ -273,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
     """(doc_id, the ``carry`` columns, score): one scan, no shuffle."""
     src = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("_scored"))
+    small_batches(docs.sparkSession)
     names = ["doc_id", *carry]
     kinds = dict(src.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double"
