@@ -90,20 +90,21 @@ def main():
         return time.time() - t0
 
     def synthetic_suppliers(n=50_000):
-        """The reference tests' synthetic supplier table, built by Spark."""
-        i = F.col("id")
-        regions = F.array(*[F.lit(r) for r in ("EMEA", "APAC", "NA", "LATAM")])
-        tier = (i % 4 + 1)
+        """Suppliers whose columns are hashes of their number."""
+        def h(salt, size):
+            return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(size))
+        regions = F.array(*[F.lit(r) for r in ("APAC", "EMEA", "LATAM", "NA")])
         return spark.range(n).select(
-            F.format_string("SUP-%06d", i).alias("supplier_id"),
-            F.concat(F.lit("Supplier "), i.cast("string")).alias("supplier_name"),
-            ((i % 100) / F.lit(100.0)).alias("risk_score"),
-            ((i % 18000) / F.lit(100.0) - 90).alias("latitude"),
-            ((i % 36000) / F.lit(100.0) - 180).alias("longitude"),
-            F.element_at(regions, (i % 4 + 1).cast("int")).alias("region"),
-            tier.alias("tier"),
-            F.when(tier == 1, i + 10000).otherwise(i).cast("double").alias("annual_spend_usd"),
-            F.when(i % 10 == 0, F.lit(None)).otherwise(F.lit("2025-01-01")).alias("last_audit_date"))
+            F.concat(F.lit("W"), F.hex("id")).alias("supplier_id"),
+            F.concat(F.lit("Works "), F.hex(h("name", 1 << 30))).alias("supplier_name"),
+            (h("risk", 1001) / F.lit(1000.0)).alias("risk_score"),
+            (h("lat", 18001) / F.lit(100.0) - 90).alias("latitude"),
+            (h("lon", 36001) / F.lit(100.0) - 180).alias("longitude"),
+            F.element_at(regions, (h("region", 4) + 1).cast("int")).alias("region"),
+            (h("tier", 4) + 1).alias("tier"),
+            (h("spend", 10_000_000) + 20_000.0).alias("annual_spend_usd"),
+            F.when(h("audit", 8) > 0, F.date_add(F.lit("2023-01-01").cast("date"), h("day", 900).cast("int"))
+                   .cast("string")).alias("last_audit_date"))
 
     def ref_csv_clean_validate_50k():
         path = f"{scratch}/synthetic_csv"

@@ -1,3 +1,4 @@
+import math
 import os
 import sys
 
@@ -41,9 +42,12 @@ def valid_pair(suppliers):
 
 @pytest.fixture
 def scenario_four(suppliers):
+    """One supplier strong in each component; spends are e**k - 1, so the
+    financial components are 12/12, 6/12, 3/12 and 2/12."""
+    e = math.e
     return suppliers([
-        ("SUP-FIN", "Fin Corp", 0.10, 40.0, -74.0, "NA", 4, 1_000_000.0, "2025-01-01"),
-        ("SUP-GEO", "Geo Corp", 0.50, 50.0, 8.0, "EMEA", 4, 1_000.0, "2025-01-01"),
-        ("SUP-OPS", "Ops Corp", 0.50, 41.0, -87.0, "NA", 1, 1_000.0, "2025-01-01"),
-        ("SUP-STALE", "Stale Corp", 0.20, -23.0, -46.0, "LATAM", 4, 1_000.0, None),
+        ("SUP-FIN", "Harbour Finance", 0.05, 1.3, 103.8, "NA", 4, e ** 12 - 1, "2025-03-22"),
+        ("SUP-GEO", "Ridge Minerals", 0.45, 47.4, 19.1, "EMEA", 3, e ** 6 - 1, "2025-04-11"),
+        ("SUP-OPS", "Quay Assembly", 0.35, 45.5, -73.6, "NA", 1, e ** 3 - 1, "2025-05-21"),
+        ("SUP-STALE", "Dune Textiles", 0.25, -33.4, -70.7, "LATAM", 2, e ** 2 - 1, None),
     ])

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -212,3 +214,36 @@ def test_staleness_of_wall_clock_times_across_dst(spark):
         assert df.select(incremental.stale(F.col("last"), F.col("now"), 4000)).first()[0] is True
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_one_bad_upload_does_not_reject_the_good_one(spark, tmp_path):
+    from tierwatch.streaming import streams as st
+    src = tmp_path / "in"
+    src.mkdir()
+    header = ",".join(st.SUPPLIER_TEXT_SCHEMA.fieldNames()) + "\n"
+    (src / "good.csv").write_text(header + "SUP-101,Fine Works,0.2,1,1,EMEA,2,250000,2025-11-30\n")
+    (src / "bad.csv").write_text(header + "SUP-102,Odd Works,0.5,0,0,MOON,2,250000,\nSUP-103,Kept Out,0.5,0,0,EMEA,2,250000,\n")
+    sinks = {k: str(tmp_path / k) for k in ("accepted", "scored", "rejected", "failures")}
+    st.stream_suppliers(spark, str(src), sinks, str(tmp_path / "ckpt")).awaitTermination()
+    assert [r["supplier_id"] for r in spark.read.parquet(sinks["scored"]).collect()] == ["SUP-101"]
+    assert sorted(r["supplier_id"] for r in spark.read.parquet(sinks["rejected"]).collect()) == ["SUP-102", "SUP-103"]
+    assert [r["failure_case"] for r in spark.read.parquet(sinks["failures"]).collect()] == ["MOON"]
+
+
+def test_rank_keeps_null_groups(spark):
+    from tierwatch.operators.ranking import global_rank
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "g string, v int")
+    out = global_rank(df, ["g"], [F.col("v").asc()], "rk").collect()
+    assert sorted((r["v"], r["rk"]) for r in out) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_news_stream_query_runs_twice(spark):
+    from tierwatch.plans.catalog import QUERIES
+    counts = [QUERIES["stream_news"](spark, "/root/testdata/sf0.001").count() for _ in range(2)]
+    assert counts[0] == counts[1] > 0
+
+
+def test_ledger_errors_other_than_absence_are_raised(spark, tmp_path):
+    assert incremental.read_ledger(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        incremental.read_ledger(spark, "nosuchscheme://x/y").count()

@@ -118,20 +118,25 @@ def test_gate_wraps_materialisation_errors(spark):
 
 def test_clean_and_validate_50k_csv(spark, tmp_path):
     import time
+    import random
+    rng = random.Random(50)
     lines = [HEADER]
-    regions = ["EMEA", "APAC", "NA", "LATAM"]
     for i in range(50_000):
-        tier = i % 4 + 1
-        spend = 10000 + i if tier == 1 else i
-        audit = "" if i % 10 == 0 else "2025-01-01"
-        lines.append(f"SUP-{i:06d},Supplier {i},{(i % 100) / 100},{(i % 18000) / 100 - 90},"
-                     f"{(i % 36000) / 100 - 180},{regions[i % 4]},{tier},{spend},{audit}")
+        tier = rng.choice((1, 2, 3, 4))
+        audit = rng.choice(("", f"20{rng.randint(20, 25)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"))
+        lines.append(f"W-{i:06x},Works number {i},{rng.random():.4f},{rng.uniform(-90, 90):.3f},"
+                     f"{rng.uniform(-180, 180):.3f},{rng.choice(('NA', 'EMEA', 'LATAM', 'APAC'))},"
+                     f"{tier},{rng.uniform(12_000, 9e6):.2f},{audit}")
     p = tmp_path / "big.csv"
     p.write_text("\n".join(lines) + "\n")
-    t0 = time.time()
-    ok = quality.gate(cleanse.clean_suppliers(read_suppliers(spark, str(p))))
-    assert ok.count() == 50_000
-    assert time.time() - t0 < 60
+    took = []
+    for _ in range(2):                       # within 3.0 s, the better of two runs
+        t0 = time.time()
+        ok = quality.gate(cleanse.clean_suppliers(read_suppliers(spark, str(p))))
+        assert ok.count() == 50_000
+        took.append(time.time() - t0)
+        ok.unpersist()
+    assert min(took) < 3.0
 
 
 def test_failure_count_matches_failure_rows(suppliers):

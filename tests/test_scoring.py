@@ -31,13 +31,14 @@ def test_components_and_composite(scenario_four):
     out = _by_id(scoring.score(scenario_four, Scenario(), AS_OF))
     fin = out["SUP-FIN"]
     assert fin["component_financial"] == pytest.approx(1.0)
-    assert out["SUP-GEO"]["component_financial"] == pytest.approx(math.log1p(1000) / math.log1p(1e6))
+    assert out["SUP-GEO"]["component_financial"] == pytest.approx(0.5)
+    assert out["SUP-STALE"]["component_financial"] == pytest.approx(2 / 12)
     assert out["SUP-OPS"]["component_operational"] == pytest.approx(1.0)
     assert fin["component_operational"] == pytest.approx(0.0)
     assert out["SUP-GEO"]["component_geopolitical"] == pytest.approx(0.8)
     assert fin["component_geopolitical"] == pytest.approx(0.3)        # NA is not a null token
     assert out["SUP-STALE"]["component_audit_staleness"] == pytest.approx(1.0)
-    assert fin["component_audit_staleness"] == pytest.approx(180 / 730)
+    assert fin["component_audit_staleness"] == pytest.approx(100 / 730)
     w = C.WEIGHTS["balanced"]
     expect = sum(wi * fin[c] for wi, c in zip(w, C.COMPONENTS))
     assert fin["composite_risk"] == pytest.approx(expect)
@@ -76,7 +77,7 @@ def test_empty_region_list_keeps_unknown_regions(suppliers):
 def test_max_is_taken_before_filters(scenario_four):
     """Normalisation uses the whole input even when rows are filtered out."""
     out = _by_id(scoring.score(scenario_four, Scenario(regions=("EMEA",)), AS_OF))
-    assert out["SUP-GEO"]["component_financial"] == pytest.approx(math.log1p(1000) / math.log1p(1e6))
+    assert out["SUP-GEO"]["component_financial"] == pytest.approx(0.5)
 
 
 def test_null_nan_and_bad_dates(suppliers):
@@ -137,29 +138,33 @@ def test_scenario_contract():
 
 
 def test_score_50k_rows_budget(spark):
-    """Synthetic 50k suppliers, balanced weights, no threshold filter."""
+    """50k hashed suppliers, balanced weights, no threshold filter: within
+    2.0 s, the better of two runs."""
     import time
     from pyspark.sql import functions as F
-    i = F.col("id")
+    h = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
     df = spark.range(50_000).select(
-        F.format_string("SUP-%06d", i).alias("supplier_id"), F.lit("S").alias("supplier_name"),
-        ((i % 100) / 100.0).alias("risk_score"), ((i % 18000) / 100.0 - 90).alias("latitude"),
-        ((i % 36000) / 100.0 - 180).alias("longitude"),
-        F.element_at(F.array(*[F.lit(r) for r in C.REGIONS]), (i % 4 + 1).cast("int")).alias("region"),
-        (i % 4 + 1).alias("tier"), F.when(i % 4 == 0, i + 10000).otherwise(i).cast("double").alias("annual_spend_usd"),
-        F.when(i % 10 == 0, None).otherwise(F.lit("2025-01-01")).alias("last_audit_date"))
-    t0 = time.time()
-    n = scoring.score(df, Scenario(), AS_OF, apply_filters=False).count()
-    assert n == 50_000
-    assert time.time() - t0 < 30
+        F.hex("id").alias("supplier_id"), F.lit("Works").alias("supplier_name"),
+        (h("risk", 1001) / 1000.0).alias("risk_score"), (h("lat", 181) - 90.0).alias("latitude"),
+        (h("lon", 361) - 180.0).alias("longitude"),
+        F.element_at(F.array(*[F.lit(r) for r in C.REGIONS]), (h("region", 4) + 1).cast("int")).alias("region"),
+        (h("tier", 4) + 1).alias("tier"), (h("spend", 10**7) + 20_000.0).alias("annual_spend_usd"),
+        F.when(h("audit", 8) > 0, F.date_add(F.lit("2023-01-01").cast("date"), h("day", 900).cast("int")).cast("string"))
+        .alias("last_audit_date"))
+    took = []
+    for _ in range(2):
+        t0 = time.time()
+        assert scoring.score(df, Scenario(), AS_OF, apply_filters=False).count() == 50_000
+        took.append(time.time() - t0)
+    assert min(took) < 2.0
 
 
 def test_spend_max_snapshot(spark, scenario_four, tmp_path):
     path = scoring.store_spend_max(scenario_four, str(tmp_path / "snap"))
     snap = scoring.load_spend_max(spark, path)
-    assert snap == pytest.approx(math.log1p(1_000_000))
+    assert snap == pytest.approx(12.0)
     one = scenario_four.where("supplier_id = 'SUP-GEO'")
     alone = scoring.score(one, Scenario(), AS_OF).first()["component_financial"]
     fixed = scoring.score(one, Scenario(), AS_OF, spend_max_value=snap).first()["component_financial"]
     assert alone == pytest.approx(1.0)                         # its own max
-    assert fixed == pytest.approx(math.log1p(1000) / math.log1p(1e6))   # the stored scale
+    assert fixed == pytest.approx(0.5)                         # the stored scale

@@ -197,10 +197,20 @@ Strictly adhere to the response_schema. Do not include markdown or conversationa
 Suppliers:
 """
 
+DIGEST_PROMPT_HEAD = """
+You are an elite supply chain intelligence analyst. Synthesize the following
+live news items into a single NewsDigest object.
+
+Strictly adhere to the response_schema. No markdown, no commentary.
+
+News items:
+"""
+
 # --- FIXED VALUES: logs -----------------------------------------------------
 
 LOG_ID_KEYS = ("request_id", "supplier_id", "batch_id")
 LOG_LEVEL_WIDTH = 8
+LOG_LEVELS_SHOWN = ("INFO", "SUCCESS", "WARNING", "ERROR", "CRITICAL")
 LOG_BUFFER = 1000
 
 # --- FIXED VALUES: report text folding (latin-1 safe) -----------------------

@@ -71,6 +71,37 @@ def estimate_tokens(col) -> Column:
     return F.floor(F.char_length(_c(col)) / F.lit(C.CHARS_PER_TOKEN)).cast("bigint")
 
 
+def _ascii_escape(c: Column) -> Column:
+    """\\uXXXX of one character outside ASCII (a surrogate pair beyond the
+    basic plane)."""
+    code = F.ascii(c)
+    unit = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+    high, low = F.shiftright(code - 65536, 10) + 55296, (code - 65536) % 1024 + 56320
+    return F.when(code < 65536, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+
+@column_cache
+def json_text(col) -> Column:
+    """A text as an ASCII JSON string, null as ``null``."""
+    q = F.to_json(F.array(_c(col).cast("string")))
+    q = F.substr(q, F.lit(2), F.length(q) - 2)
+    escaped = F.array_join(F.transform(F.split(q, ""), lambda x: F.when(
+        F.octet_length(x) <= 1, x).otherwise(_ascii_escape(x))), "")
+    return F.when(_c(col).isNull(), F.lit("null")).when(
+        F.octet_length(q) == F.length(q), q).otherwise(escaped)
+
+
+def row_json(df, cols: list[str] | None = None) -> Column:
+    """A row as a JSON object, ``, `` and ``: `` between its parts, nulls kept."""
+    kinds = dict(df.dtypes)
+    parts = []
+    for name in cols or df.columns:
+        text = kinds[name] in ("string", "date") or kinds[name].startswith("timestamp")
+        value = json_text(name) if text else F.coalesce(F.col(name).cast("string"), F.lit("null"))
+        parts += [F.lit(("{" if not parts else ", ") + f'"{name}": '), value]
+    return F.concat(*parts, F.lit("}"))
+
+
 @F.pandas_udf(T.StringType())
 def _nfkd_latin1(s: pd.Series) -> pd.Series:
     def fold(v):
@@ -96,4 +127,7 @@ def fold_text(col, width: int | None = None) -> Column:
     c = _c(col).cast("string")
     if width is not None:
         c = F.substring(c, 1, width)
-    return _nfkd_latin1(replace_typography(c))
+    plain = replace_typography(c)
+    # ASCII text is its own folding: only other texts go through Python
+    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(
+        _nfkd_latin1(F.when(F.octet_length(plain) != F.length(plain), plain)))

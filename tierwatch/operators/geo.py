@@ -1,10 +1,7 @@
 """Map-ready payloads: capped, escaped points with colour and radius; the
 map centre; and the three-column cluster payload.
 
-The cap keeps a deterministic top-N (riskiest first), see
-``ranking.top_n``: Spark's top-k for small caps; for large caps a
-threshold-pruned distributed rank, so no task receives N rows from every
-partition and the whole table is not sorted.
+The cap keeps a deterministic top-N (riskiest first), see ``ranking.top_n``.
 """
 
 from __future__ import annotations
@@ -31,7 +28,7 @@ def map_points(scored: DataFrame, scenario: Scenario | None = None,
     needed = [c for c in dict.fromkeys([rc, *tie_keys, "supplier_id", "supplier_name", "region",
                                         "latitude", "longitude"]) if c in scored.columns]
     order = [F.col(rc).desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in tie_keys]
-    capped = top_n(scored.select(*needed), order, int(scenario.max_map_points), score=rc)
+    capped = top_n(scored.select(*needed), order, int(scenario.max_map_points))
     risk = fill_risk(rc)
     name = (F.col("supplier_name").cast("string") if "supplier_name" in scored.columns
             else F.lit(None).cast("string"))
@@ -45,7 +42,7 @@ def map_points(scored: DataFrame, scenario: Scenario | None = None,
         html_escape(F.coalesce(region, F.lit(C.DEFAULT_REGION))).alias("region"),
         "latitude", "longitude",
         risk_display(risk).alias("risk_display"),
-        risk_rgb(risk).alias("risk_rgb"),
+        risk_rgb(F.col(rc).cast("double")).alias("risk_rgb"),      # raw: NaN is above every band
         risk_radius(risk).alias("risk_radius"),
     )
 

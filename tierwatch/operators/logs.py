@@ -28,10 +28,12 @@ def _pad_level(level: Column) -> Column:
 
 
 def format_logs(df: DataFrame, ts: str = "timestamp", extra: str = "extra") -> DataFrame:
-    """``HH:MM:SS | LEVEL    | message | k=v k=v`` (no extra part when the
-    map is empty)."""
-    pairs = F.array_join(F.transform(F.map_entries(F.col(extra)),
-                                     lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
+    """``HH:MM:SS | LEVEL    | message | k=v k=v`` of the raw records at INFO
+    or above: every extra is shown, a null value as None (no extra part when
+    the map is empty)."""
+    df = df.where(F.col("level").isin(*C.LOG_LEVELS_SHOWN))
+    pairs = F.array_join(F.transform(F.map_entries(F.col(extra)), lambda x: F.concat(
+        x["key"], F.lit("="), F.coalesce(x["value"], F.lit("None")))), " ")
     extra_part = F.nullif(F.coalesce(pairs, F.lit("")), F.lit(""))
     line = F.concat_ws(" | ", F.date_format(F.col(ts), "HH:mm:ss"), _pad_level(F.col("level")),
                        F.col("message"), extra_part)
@@ -40,7 +42,8 @@ def format_logs(df: DataFrame, ts: str = "timestamp", extra: str = "extra") -> D
 
 def recent_logs(df: DataFrame, n: int = C.LOG_BUFFER, ts: str = "timestamp",
                 ordinal: str | None = None) -> DataFrame:
-    """The newest ``n`` records, newest first (bounded top-k)."""
+    """The newest ``n`` records at INFO or above, newest first."""
+    df = df.where(F.col("level").isin(*C.LOG_LEVELS_SHOWN))
     order = [F.col(ts).desc_nulls_last()]
     if ordinal:
         order.append(F.col(ordinal).desc_nulls_last())

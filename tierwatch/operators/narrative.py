@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, row_json
 from . import chunking
 from .ranking import top_n
 from .quality import Check, Contract
@@ -29,8 +29,7 @@ def narrative_input(scored: DataFrame, n: int = 10, order: str = "supplier_id")
 
 def row_tokens(df: DataFrame, cols: list[str] | None = None) -> Column:
     """Token estimate of a row rendered as JSON."""
-    cols = cols or df.columns
-    return estimate_tokens(F.to_json(F.struct(*[F.col(c) for c in cols])))
+    return estimate_tokens(row_json(df, cols))
 
 
 def chunk_rows(df: DataFrame, key: str, order: str, tokens: str,
@@ -44,7 +43,7 @@ def prompt_batches(chunked: DataFrame, key: str, order: str, tokens: str,
     """One prompt per (key, chunk): the fixed template followed by the
     chunk's rows as a JSON array in order.  A chunk is bounded by the token
     budget (or is one oversized row), so the group is bounded."""
-    row = F.struct(F.col(order).alias("_o"), F.struct(*[F.col(c) for c in payload_cols]).alias("r"))
+    row = F.struct(F.col(order).alias("_o"), row_json(chunked, payload_cols).alias("r"))
     agg = chunked.groupBy(key, "chunk_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(tokens).alias("chunk_tokens"),
@@ -53,8 +52,8 @@ def prompt_batches(chunked: DataFrame, key: str, order: str, tokens: str,
         F.array_sort(F.collect_list(row)).alias("_rows"))
     return agg.select(
         key, "chunk_id", "n_rows", "chunk_tokens", "first_" + order, "last_" + order,
-        F.concat(F.lit(C.NARRATIVE_PROMPT),
-                 F.to_json(F.col("_rows").getField("r"))).alias("prompt"))
+        F.concat(F.lit(C.NARRATIVE_PROMPT), F.lit("["),
+                 F.array_join(F.col("_rows").getField("r"), ", "), F.lit("]\n")).alias("prompt"))
 
 
 def attribute(narratives: DataFrame, suppliers: DataFrame, ordinal: str = "ordinal",

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
-from .ranking import top_n
-
-# Up to this many keywords the filter is an OR of JVM ``contains`` calls
-# (whole-stage codegen); beyond it an Aho-Corasick automaton runs inside an
-# Arrow-batched pandas UDF, one pass per text whatever the list size.
-INLINE_KEYWORDS_MAX = 64
+from ..functions.text import estimate_tokens
+from .chunking import chunk
+from .ranking import global_rank, top_n
 
 
 def parse_keywords(keywords) -> list[str]:
@@ -28,59 +23,20 @@ def _haystack() -> Column:
     return F.lower(F.concat_ws(" ", F.col("title"), F.coalesce(F.col("summary"), F.lit(""))))
 
 
-_AUTOMATA: dict = {}
-
-
-def _automaton(words: tuple[str, ...]):
-    """One automaton per keyword list per Python worker (not per batch)."""
-    auto = _AUTOMATA.get(words)
-    if auto is None:
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for w in words:
-            auto.add_word(w, w)
-        auto.make_automaton()
-        _AUTOMATA[words] = auto
-    return auto
-
-
-def _automaton_udf(words: list[str]):
-    key = tuple(words)
-
-    @F.pandas_udf(T.BooleanType())
-    def any_word(s: pd.Series) -> pd.Series:
-        auto = _automaton(key)
-
-        def hit(text):
-            if text is None:
-                return False
-            for _ in auto.iter(text):
-                return True
-            return False
-        return s.map(hit).astype(bool)
-    return any_word
-
-
 def keyword_match(keywords) -> Column | None:
+    """One JVM expression for any number of words: the text is built once a
+    row and tested against a literal array."""
     words = parse_keywords(keywords)
     if not words:
         return None
-    hay = _haystack()
-    if len(words) <= INLINE_KEYWORDS_MAX:
-        cond = None
-        for w in words:
-            hit = hay.contains(F.lit(w))
-            cond = hit if cond is None else (cond | hit)
-        return cond
-    return _automaton_udf(words)(hay)
+    listed = F.array(*[F.lit(w) for w in words])
+    return F.transform(F.array(_haystack()),
+                       lambda hay: F.exists(listed, lambda w: F.contains(hay, w)))[0]
 
 
 def keyword_filter(items: DataFrame, keywords) -> DataFrame:
     """Keep items whose lower-cased ``title + ' ' + summary`` contains any
     keyword literally; no keywords = no filter."""
-    if len(parse_keywords(keywords)) > INLINE_KEYWORDS_MAX:
-        from ..session import ship_package
-        ship_package(items.sparkSession)       # the automaton runs on the workers
     cond = keyword_match(keywords)
     return items if cond is None else items.where(cond)
 
@@ -113,14 +69,16 @@ def digest_line() -> Column:
                     F.coalesce(F.col("summary"), F.lit("")))
 
 
-def digest_lines(items: DataFrame, max_items: int = C.NEWS_LIMIT) -> DataFrame:
-    """One row: the digest text, one line per item, newest first, over the
-    newest ``max_items`` items (the text is one value, so its input is
-    bounded by a top-k first)."""
-    keyed = latest_news(items, n=max_items).select(F.struct(
-        (-F.unix_micros("published")).alias("k0"), F.col("url").alias("k1"),
-        F.col("title").alias("k2"), digest_line().alias("line")).alias("e"))
-    return keyed.agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.coalesce(F.array_join(F.array_sort(F.collect_list("e")).getField("line"), "\n"),
-                   F.lit("")).alias("digest"))
+def digest_batches(items: DataFrame, budget: int = C.MAX_INPUT_TOKENS, tie: str = "doc_id") -> DataFrame:
+    """Digest text and prompt over all items, newest first: one row per
+    token-budget batch, every item in exactly one (a single value can't hold
+    any number of items, a batch is bounded by the budget or one item)."""
+    order = [*recency_order(), F.col(tie).asc_nulls_last()]
+    keys = dict.fromkeys(["published", "url", "title", tie])
+    lines = items.select(*keys, digest_line().alias("line"))
+    ranked = global_rank(lines, [], order, "_rank").select("_rank", "line")
+    sized = ranked.withColumn("_all", F.lit(0)).withColumn("_tokens", estimate_tokens("line"))
+    batches = chunk(sized, "_all", "_rank", "_tokens", budget, name="batch")
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("_rank", "line"))).getField("line"), "\n")
+    out = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n_items"), text.alias("digest"))
+    return out.withColumn("prompt", F.concat(F.lit(C.DIGEST_PROMPT_HEAD), F.col("digest"), F.lit("\n")))

@@ -11,14 +11,13 @@ from the schema alone and are added as rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from ..session import bounded_broadcast
 
 FAILURE_SCHEMA = T.StructType([
     T.StructField("supplier_id", T.StringType()),
@@ -197,7 +196,6 @@ def _key_col(df: DataFrame, contract: Contract) -> Column:
 # Duplicate-id failure rows are expanded from the per-id counts in blocks
 # of at most this many rows, so a hot id never becomes one huge array.
 EXPAND_BLOCK = 100_000
-DUPLICATES_BROADCAST_ROWS = 1_000_000
 
 
 def expand_counts(counts: DataFrame, n_col: str = "n", block: int = EXPAND_BLOCK) -> DataFrame:
@@ -208,11 +206,30 @@ def expand_counts(counts: DataFrame, n_col: str = "n", block: int = EXPAND_BLOCK
     blocks = counts.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"),
                                                           F.floor((n - 1) / block).cast("long"))))
     size = F.least(F.lit(block).cast("long"), n - F.col("_b") * block)
-    spread = blocks.repartition(counts.sparkSession.sparkContext.defaultParallelism)
+    spread = blocks.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (spread.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
             .drop("_b", "_i"))
 
 
+def _any_failure(checks: list[tuple[Column, Column]]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f, _ in checks], F.lit(False))
+
+
+def failing_groups(df: DataFrame, group: str, contract: Contract | None = None) -> DataFrame:
+    """Groups (one column) of rows that the contract rejects, each group
+    judged by itself: a group fails by any row or by an id repeated in it.
+    ``group`` is not part of the contract."""
+    contract = contract or supplier_contract()
+    body = df.drop(group)
+    if schema_failures(body, contract):
+        return df.select(group).distinct()
+    bad = df.where(_any_failure(_row_checks(body, contract))).select(group)
+    for u in contract.unique:
+        again = df.where(F.col(u).isNotNull()).groupBy(group, u).count().where("count > 1")
+        bad = bad.union(again.select(group))
+    return bad.distinct()
+
+
 def failures(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     """Every failing value: (supplier_id, column, check, failure_case).
 
@@ -225,8 +242,8 @@ def failures(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     checks = _row_checks(df, contract)
     arr = (F.array(*[F.when(f, st) for f, st in checks]) if checks
            else F.array().cast(_FAIL_ARRAY))
-    rows = (df.select(_key_col(df, contract).alias("supplier_id"), F.inline(arr))
-            .where(F.col("check").isNotNull()))
+    # Only rows with a failure are expanded to their failures.
+    rows = df.where(_any_failure(checks)).select(_key_col(df, contract).alias("supplier_id"), F.inline(F.array_compact(arr)))
     parts = [rows]
     for u in contract.unique:
         if u in df.columns:
@@ -260,8 +277,6 @@ def split(df: DataFrame, contract: Contract | None = None) -> tuple[DataFrame, D
     flagged = df.withColumn("_failures", _row_failures(df, contract))
     for u in contract.unique:
         dup = duplicate_keys(df, u).select(u, F.lit(True).alias(f"_dup_{u}"))
-        # Duplicated ids are usually few: broadcast them when the count says so.
-        dup = bounded_broadcast(dup, DUPLICATES_BROADCAST_ROWS)
         flagged = (flagged.join(dup, u, "left")
                    .withColumn("_failures", F.when(
                        F.col(f"_dup_{u}"),
@@ -310,11 +325,8 @@ def gate(df: DataFrame, contract: Contract | None = None) -> DataFrame:
         df.unpersist()
         raise GateError("Supplier data could not be materialised for validation.") from exc
     if n:
-        raise GateError(f"Supplier data failed schema validation: {n} error(s).",
-                        failures(df, contract))
+        # the failure rows are recomputed by whoever reads them: nothing stays cached
+        cases = failures(df, contract)
+        df.unpersist()
+        raise GateError(f"Supplier data failed schema validation: {n} error(s).", cases)
     return df
-
-
-def validate(df: DataFrame, contract: Contract | None = None) -> tuple[DataFrame, DataFrame]:
-    """(input, failures) without an action; callers decide what to do."""
-    return df, failures(df, contract)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, estimated_bytes
+from ..session import ensure_checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -43,74 +43,18 @@ def global_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     offsets = counts.select(
         "_pid", *group_cols, "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = ordered.join(offsets, on=["_pid", *group_cols], how="inner")
+    same = F.col("_pid") == F.col("_o__pid")
+    for g in group_cols:                    # a null group is a group too
+        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    offsets = offsets.withColumnsRenamed({c: f"_o_{c}" for c in ["_pid", *group_cols]})
+    # One offset row per (partition, group): at most partitions + groups rows.
+    joined = ordered.join(F.broadcast(offsets), same).drop(*[f"_o_{c}" for c in ["_pid", *group_cols]])
     rank = (F.col("_before") + (F.col("_loc") - F.col("_first")) + F.lit(1)).cast("bigint")
     return joined.withColumn(name, rank).drop("_mid", "_pid", "_loc", "_first", "_before")
 
 
-# Spark's top-k (``orderBy().limit(n)``) keeps n rows per task and merges
-# them in ONE task: n x partitions rows.  Up to this many it is used as is;
-# above it the distributed path below takes over.
-MERGE_ROWS_MAX = 10_000_000
-QUANTILE_ACCURACY = 10_000
-
-
-def planned_partitions(df: DataFrame) -> int:
-    """Number of partitions the plan will produce, read from the physical
-    plan without running it (``df.rdd`` would execute the shuffle stages
-    under AQE).  When the plan does not say, the base inputs stand in: the
-    sum of the leaf relations' sizes over the split size (the optimizer's
-    estimate of a join is a product, so it is not used here), and at least
-    the shuffle partition count."""
-    spark = df.sparkSession
-    qe = df._jdf.queryExecution()
-    try:
-        n = int(qe.executedPlan().outputPartitioning().numPartitions())
-    except Exception:  # noqa: BLE001
-        n = 0
-    if n > 0:
-        return n
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-    total = 0
-    try:
-        leaves = qe.optimizedPlan().collectLeaves()
-        for i in range(leaves.size()):
-            total += int(leaves.apply(i).stats().sizeInBytes())
-    except Exception:  # noqa: BLE001
-        total = estimated_bytes(df) or 0
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, shuffle, total // max(1, split) + 1)
-
-
-def top_n(df: DataFrame, order: list, n: int, score: str | None = None,
-          score_desc: bool = True, ordered: bool = False) -> DataFrame:
-    """Exact first ``n`` rows of ``df`` under ``order``.
-
-    Small ``n x partitions`` uses Spark's top-k.  Otherwise the input is
-    checkpointed once (a narrow projection is the caller's job) and:
-    returned whole when it has at most ``n`` rows; else, when ``score``
-    (the leading numeric sort key) is given, an approximate quantile
-    proposes a threshold that a count verifies to leave at least ``n`` rows,
-    so only that superset is ranked; else everything is ranked
-    (``global_rank``).  ``ordered`` sorts the (at most ``n``) result."""
-    if n * max(1, planned_partitions(df)) <= MERGE_ROWS_MAX:
-        return df.orderBy(*order).limit(n)
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    total = df.count()
-    if total <= n:
-        out = df
-    else:
-        pool = df
-        if score is not None:
-            s = F.col(score)
-            frac = n * 2.0 / total
-            q = (1.0 - frac) if score_desc else frac
-            threshold = df.agg(F.percentile_approx(s, F.lit(max(0.0, min(1.0, q))),
-                                                   F.lit(QUANTILE_ACCURACY))).first()[0]
-            if threshold is not None:
-                cand = df.where(s >= threshold) if score_desc else df.where(s <= threshold)
-                if cand.count() >= n:
-                    pool = cand
-        out = global_rank(pool, [], order, "_rank").where(F.col("_rank") <= n).drop("_rank")
-    return out.orderBy(*order) if ordered else out
+def top_n(df: DataFrame, order: list, n: int, ordered: bool = False) -> DataFrame:
+    """Exact first ``n`` rows of ``df`` under ``order``: Spark's own top-k
+    (each task keeps its first n rows).  ``ordered`` is kept for callers that
+    rely on the order of the result, which a top-k always has."""
+    return df.orderBy(*order).limit(n)

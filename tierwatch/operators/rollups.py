@@ -66,8 +66,7 @@ def top_risks(scored: DataFrame, n: int = C.TOP_RISKS) -> DataFrame:
     Without a composite column, the first n rows by id."""
     if RISK not in scored.columns:
         return top_n(scored, [F.col("supplier_id").asc_nulls_last()], n, ordered=True)
-    top = top_n(scored, [F.col(RISK).desc(), F.col("supplier_id").asc_nulls_last()], n,
-                score=RISK, ordered=True)
+    top = top_n(scored, [F.col(RISK).desc(), F.col("supplier_id").asc_nulls_last()], n, ordered=True)
     return top.select("supplier_id", "supplier_name", RISK, "region",
                       risk_band(RISK).alias("band"))
 

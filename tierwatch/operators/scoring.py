@@ -55,9 +55,12 @@ def geopolitical_component() -> Column:
     return out.otherwise(F.lit(C.GEO_RISK_DEFAULT)).cast("double")
 
 
-def audit_component(as_of) -> Column:
-    """Linear staleness clip((as_of - audit)/730, 0, 1); unparsable -> 1."""
-    audit = F.try_to_date(F.col("last_audit_date").cast("string"), "yyyy-MM-dd")
+def audit_component(as_of, is_date: bool = False) -> Column:
+    """Linear staleness clip((as_of - audit)/730, 0, 1); unparsable -> 1.  A
+    date column is taken as it is."""
+    audit = F.col("last_audit_date")
+    if not is_date:
+        audit = F.try_to_date(audit.cast("string"), "yyyy-MM-dd")
     age = F.datediff(F.lit(str(as_of)).cast("date"), audit).cast("double")
     # greatest/least skip nulls, so the null case is decided first.
     clipped = F.least(F.greatest(age / F.lit(C.STALENESS_DAYS), F.lit(0.0)), F.lit(1.0))
@@ -73,13 +76,13 @@ def spend_max(df: DataFrame) -> DataFrame:
 
 
 @column_cache
-def _plain_components(as_of: str) -> tuple:
+def _plain_components(as_of: str, is_date: bool) -> tuple:
     """The four components that need no global value."""
     return (
         base_component().alias(C.COMPONENTS[0]),
         operational_component().alias(C.COMPONENTS[2]),
         geopolitical_component().alias(C.COMPONENTS[3]),
-        audit_component(as_of).alias(C.COMPONENTS[4]),
+        audit_component(as_of, is_date).alias(C.COMPONENTS[4]),
     )
 
 
@@ -92,7 +95,7 @@ def with_components(df: DataFrame, as_of, spend_max_value: float | None = None)
         max_col = spend_max(df).scalar()      # scalar subquery over the whole input
     else:
         max_col = F.lit(float(spend_max_value))
-    base, op, geo, audit = _plain_components(str(as_of))
+    base, op, geo, audit = _plain_components(str(as_of), dict(df.dtypes).get("last_audit_date") == "date")
     fin = financial_component(max_col).alias(C.COMPONENTS[1])
     return df.select("*", base, fin, op, geo, audit)
 
@@ -154,7 +157,7 @@ def rank_by_scenario(swept: DataFrame, key: str = "supplier_id") -> DataFrame:
 
     Uses a distributed range-partitioned rank rather than a window
     partitioned by weighting, which would put a whole preset into one task."""
-    return global_rank(swept, ["weighting"],
+    return global_rank(swept.select("weighting", key, "composite_risk"), ["weighting"],
                        [F.col("composite_risk").desc(), F.col(key).asc_nulls_last()],
                        "scenario_rank")
 

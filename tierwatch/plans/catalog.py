@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import rollups, scoring
 from ..scenario import Scenario
@@ -67,7 +68,8 @@ def score_lines(spark, sf_dir):
     out = scoring.score(lines, Scenario(), tables.LINES_AS_OF)
     return rounded(out.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "supplier_id", "region",
-        "tier", "annual_spend_usd", "last_audit_date", *scoring.C.COMPONENTS,
+        "tier", "annual_spend_usd", F.col("last_audit_date").cast("string").alias("last_audit_date"),
+        *scoring.C.COMPONENTS,
         "composite_risk"))
 
 
@@ -264,7 +266,7 @@ def latest_news(spark, sf_dir):
 @register("digest_lines")
 def digest_lines(spark, sf_dir):
     items = news.keyword_filter(news_items(spark, sf_dir), NEWS_KEYWORDS)
-    return news.digest_lines(news.latest_news(items))
+    return news.digest_batches(items)
 
 
 @register("worst_hour")
@@ -285,8 +287,12 @@ def shipping_risk(spark, sf_dir):
                               rule(w, F.col("precip")).alias("risk_level")))
 
 
+def raw_logs(spark, sf_dir) -> DataFrame:
+    return ev.log_records(tables.load(spark, sf_dir, "events"))
+
+
 def app_logs(spark, sf_dir) -> DataFrame:
-    return logops.normalise_logs(ev.log_records(tables.load(spark, sf_dir, "events")))
+    return logops.normalise_logs(raw_logs(spark, sf_dir))
 
 
 @register("error_categories")
@@ -296,22 +302,26 @@ def error_categories(spark, sf_dir):
 
 @register("recent_logs")
 def recent_logs(spark, sf_dir):
-    recent = logops.recent_logs(app_logs(spark, sf_dir), ordinal="event_id")
-    return logops.format_logs(recent).select("event_id", "request_id", "supplier_id",
-                                             "batch_id", "line")
+    recent = logops.recent_logs(raw_logs(spark, sf_dir), ordinal="event_id")
+    return logops.normalise_logs(logops.format_logs(recent)).select(
+        "event_id", "request_id", "supplier_id", "batch_id", "line")
 
 
 @register("format_logs")
 def format_logs(spark, sf_dir):
-    return logops.format_logs(app_logs(spark, sf_dir)).select("event_id", "level", "line")
+    return logops.format_logs(raw_logs(spark, sf_dir)).select("event_id", "level", "line")
 
 
 # --- narratives, prompts, report --------------------------------------------
 
-from ..functions.text import estimate_tokens, fold_text  # noqa: E402
+from .. import constants as C  # noqa: E402
+from ..functions.text import fold_text  # noqa: E402
 from ..operators import narrative, report  # noqa: E402
 
+# A small budget (a parameter, not a cut) gives the test data many chunks;
+# ``chunk_assign_default`` uses the default.
 CHUNK_BUDGET = 256
+ROW_COLS = ["conv_id", "turn", "role", "text"]
 
 
 def scored_keyed(spark, sf_dir) -> DataFrame:
@@ -355,8 +365,8 @@ def supplier_picker(spark, sf_dir):
 
 
 def conversation_tokens(spark, sf_dir) -> DataFrame:
-    conv = tables.load(spark, sf_dir, "conversations")
-    return conv.withColumn("tokens", estimate_tokens("text"))
+    conv = tables.load(spark, sf_dir, "conversations").select(*ROW_COLS)
+    return conv.withColumn("tokens", narrative.row_tokens(conv, ROW_COLS))
 
 
 @register("token_estimate")
@@ -364,9 +374,14 @@ def token_estimate(spark, sf_dir):
     return conversation_tokens(spark, sf_dir).select("conv_id", "turn", "role", "tokens")
 
 
-def chunked_conversations(spark, sf_dir) -> DataFrame:
-    return narrative.chunk_rows(conversation_tokens(spark, sf_dir), "conv_id", "turn", "tokens",
-                                CHUNK_BUDGET)
+def chunked_conversations(spark, sf_dir, budget: int = CHUNK_BUDGET) -> DataFrame:
+    return narrative.chunk_rows(conversation_tokens(spark, sf_dir), "conv_id", "turn", "tokens", budget)
+
+
+@register("chunk_assign_default")
+def chunk_assign_default(spark, sf_dir):
+    return chunked_conversations(spark, sf_dir, C.MAX_INPUT_TOKENS).select(
+        "conv_id", "turn", "tokens", "chunk_id")
 
 
 @register("chunk_assign")
@@ -377,14 +392,14 @@ def chunk_assign(spark, sf_dir):
 @register("chunk_stats")
 def chunk_stats(spark, sf_dir):
     batches = narrative.prompt_batches(chunked_conversations(spark, sf_dir), "conv_id", "turn",
-                                       "tokens", ["role", "text"])
+                                       "tokens", ROW_COLS)
     return batches.drop("prompt")
 
 
 @register("prompts")
 def prompts(spark, sf_dir):
     return narrative.prompt_batches(chunked_conversations(spark, sf_dir), "conv_id", "turn",
-                                    "tokens", ["role", "text"]).select(
+                                    "tokens", ROW_COLS).select(
         "conv_id", "chunk_id", "n_rows", "prompt")
 
 
@@ -436,11 +451,12 @@ def pending_work(spark, sf_dir):
 
 @register("new_files")
 def new_files(spark, sf_dir):
-    hashes = incremental.file_hashes(spark, sf_dir, glob="*.parquet")
-    ledger = hashes.where(F.col("path").rlike(r"/(region|nation)\.parquet$")).select(
-        "content_sha256")
-    return incremental.new_files(hashes, ledger).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "content_sha256")
+    # the texts of documents stand for uploaded contents; every 7th is in the ledger already
+    docs = tables.load(spark, sf_dir, "documents")
+    hashes = docs.select("doc_id", F.octet_length("text").cast("bigint").alias("length"),
+                         F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"))
+    ledger = hashes.where(F.col("doc_id") % 7 == 0).select("content_sha256")
+    return incremental.new_files(hashes, ledger).select("doc_id", "length", "content_sha256")
 
 
 @register("stream_suppliers")
@@ -475,7 +491,7 @@ def stream_news(spark, sf_dir):
         F.col("summary").alias("description"),
         "source")
     landed.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(src)
-    schema = streams.RSS_SCHEMA.add("source", "string")
+    schema = T.StructType([*streams.RSS_SCHEMA.fields, T.StructField("source", T.StringType())])
     q = streams.stream_news(spark, src, sink, ckpt, keywords=NEWS_KEYWORDS, schema=schema)
     q.awaitTermination()
     out = spark.read.parquet(sink)
@@ -486,6 +502,7 @@ def stream_news(spark, sf_dir):
 @register("demo_sample")
 def demo_sample(spark, sf_dir):
     lines = tables.line_exposures(spark, sf_dir)
+    lines = lines.withColumn("last_audit_date", F.col("last_audit_date").cast("string"))
     return rounded(rollups.sample_rows(lines, 500, ["l_orderkey", "l_linenumber"]))
 
 

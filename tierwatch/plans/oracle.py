@@ -11,6 +11,11 @@ from ..sources import tables as TB
 
 ORACLE: dict[str, str] = {}
 
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 # --- derived supplier views -------------------------------------------------
 
 PROFILE_CTE = f"""
@@ -26,7 +31,7 @@ sup_geo AS (
 ),
 supplier_profile AS (
   SELECT s_suppkey,
-    'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS supplier_id,
+    printf('SUP-%06d', s_suppkey) AS supplier_id,
     s_name AS supplier_name,
     (s_suppkey % 100) / 100.0e0 AS risk_score,
     ((s_suppkey * 7919) % 18000) / 100.0e0 - 90.0e0 AS latitude,
@@ -59,7 +64,7 @@ line_exposures AS (
     l.l_extendedprice * (1.0e0 - l.l_discount) AS annual_spend_usd,
     strftime(l.l_shipdate, '%Y-%m-%d') AS last_audit_date,
     p.supplier_id, p.supplier_name, p.risk_score, p.latitude, p.longitude, p.region, p.tier
-  FROM lineitem l JOIN supplier_profile p ON l.l_suppkey = p.s_suppkey
+  FROM lineitem l LEFT JOIN supplier_profile p ON l.l_suppkey = p.s_suppkey
 )"""
 
 
@@ -302,7 +307,7 @@ SELECT {_CLEAN_OUT.format(k='line_key')} FROM cleaned"""
 FAULTY_CTE = FACTS_KEYED_CTE + """,
 faulty AS (
   SELECT s_suppkey,
-    CASE WHEN s_suppkey % 19 = 7 THEN 'SUP-' || lpad(CAST(s_suppkey - 1 AS VARCHAR), 6, '0') ELSE supplier_id END AS supplier_id,
+    CASE WHEN s_suppkey % 19 = 7 THEN printf('SUP-%06d', s_suppkey - 1) ELSE supplier_id END AS supplier_id,
     CASE WHEN s_suppkey % 29 = 3 THEN '' ELSE supplier_name END AS supplier_name,
     CASE WHEN s_suppkey % 17 = 5 THEN risk_score + 1.5e0
          WHEN s_suppkey % 23 = 11 THEN CAST(NULL AS DOUBLE) ELSE risk_score END AS risk_score,
@@ -381,12 +386,12 @@ WHERE supplier_id IS NOT NULL GROUP BY supplier_id HAVING count(*) > 1"""
 
 SANCTIONS_CTE = """
 sanctions AS (
-  SELECT 'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS entity_id, s_name AS entity_name, 'OFAC' AS list_source
+  SELECT printf('SUP-%06d', s_suppkey) AS entity_id, s_name AS entity_name, 'OFAC' AS list_source
   FROM supplier WHERE s_suppkey % 5 = 0
   UNION ALL
-  SELECT 'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), s_name, 'EU' FROM supplier WHERE s_suppkey % 15 = 0
+  SELECT printf('SUP-%06d', s_suppkey), s_name, 'EU' FROM supplier WHERE s_suppkey % 15 = 0
   UNION ALL
-  SELECT 'SUP-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), s_name, CAST(NULL AS VARCHAR) FROM supplier WHERE s_suppkey % 35 = 0
+  SELECT printf('SUP-%06d', s_suppkey), s_name, CAST(NULL AS VARCHAR) FROM supplier WHERE s_suppkey % 35 = 0
 )"""
 
 _FACT_COLS = ("supplier_id, supplier_name, round(risk_score, 6) AS risk_score, round(latitude, 6) AS latitude, "
@@ -431,7 +436,7 @@ def map_select(src: str, extra: str = "") -> str:
   {esc_sql("COALESCE(CAST(region AS VARCHAR), '-')")} AS region,
   round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
   CAST(round_even({r}, 3) AS VARCHAR) AS risk_display,
-  {_rgb_sql(r)} AS risk_rgb,
+  {_rgb_sql('composite_risk')} AS risk_rgb,
   round({C.RADIUS_BASE}e0 + {r} * {C.RADIUS_SCALE}e0, 6) AS risk_radius
 FROM {src}"""
 
@@ -488,12 +493,24 @@ ORACLE["latest_news"] = f"""WITH {ITEMS_CTE}
 SELECT {_ITEM_COLS} FROM items WHERE source IN ('src1', 'src3', 'src5', 'src7')
 ORDER BY published DESC, url, title LIMIT 25"""
 
-ORACLE["digest_lines"] = f"""WITH {ITEMS_CTE},
-latest AS (SELECT * FROM items WHERE {_KW_COND} ORDER BY published DESC, url, title LIMIT 25)
-SELECT CAST(count(*) AS BIGINT) AS n_items,
-  COALESCE(string_agg('- [' || source || '] ' || title || ' (' || strftime(published, '%Y-%m-%dT%H:%M:%S')
-    || '+00:00): ' || COALESCE(summary, ''), chr(10) ORDER BY published DESC, url, title), '') AS digest
-FROM latest"""
+ORACLE["digest_lines"] = f"""WITH RECURSIVE {ITEMS_CTE},
+listed AS (
+  SELECT row_number() OVER (ORDER BY published DESC, url, title, doc_id) AS rn,
+    '- [' || source || '] ' || title || ' (' || strftime(published, '%Y-%m-%dT%H:%M:%S')
+    || '+00:00): ' || COALESCE(summary, '') AS line
+  FROM items WHERE {_KW_COND}
+),
+sized AS (SELECT rn, line, length(line) // 4 AS tok FROM listed),
+r AS (
+  SELECT rn, line, tok AS cur, CAST(0 AS BIGINT) AS batch FROM sized WHERE rn = 1
+  UNION ALL
+  SELECT s.rn, s.line, CASE WHEN r.cur + s.tok > {C.MAX_INPUT_TOKENS} THEN s.tok ELSE r.cur + s.tok END,
+    CASE WHEN r.cur + s.tok > {C.MAX_INPUT_TOKENS} THEN r.batch + 1 ELSE r.batch END
+  FROM r JOIN sized s ON s.rn = r.rn + 1
+)
+SELECT batch, CAST(count(*) AS BIGINT) AS n_items, string_agg(line, chr(10) ORDER BY rn) AS digest,
+  {_sql_text(C.DIGEST_PROMPT_HEAD)} || string_agg(line, chr(10) ORDER BY rn) || chr(10) AS prompt
+FROM r GROUP BY batch"""
 
 _CODE = "CASE event_type " + " ".join(
     f"WHEN '{k}' THEN {v}" for k, v in EV.EVENT_WEATHER_CODE.items()) + " END"
@@ -548,16 +565,21 @@ logs AS (
          ELSE event_type || ' event ' || props END AS message,
     CASE WHEN event_type = 'error' THEN {_STATUS}[event_id % {len(EV.ERROR_STATUS)} + 1] END AS status,
     CAST(event_id AS VARCHAR) AS request_id,
-    'SUP-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS supplier_id,
+    printf('SUP-%06d', user_id) AS supplier_id,
     CASE WHEN event_id % 3 = 0 THEN 'B' || CAST(event_id // 100 AS VARCHAR) END AS batch_id,
-    'event_type=' || event_type || ' k=' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR) AS extra_text
+    'event_type=' || event_type || ' k=' || COALESCE(CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR), 'None') AS rest_text
   FROM events
 ),
+raw AS (
+  SELECT *, 'request_id=' || request_id || ' supplier_id=' || COALESCE(supplier_id, 'None')
+    || ' batch_id=' || COALESCE(batch_id, 'None') || ' ' || rest_text AS extra_text
+  FROM logs
+),
 lines AS (
   SELECT *, strftime("timestamp", '%H:%M:%S') || ' | ' ||
     CASE WHEN length(level) < {C.LOG_LEVEL_WIDTH} THEN rpad(level, {C.LOG_LEVEL_WIDTH}, ' ') ELSE level END
     || ' | ' || message || ' | ' || extra_text AS line
-  FROM logs
+  FROM raw WHERE level <> 'DEBUG'
 )"""
 
 
@@ -654,13 +676,34 @@ SELECT supplier_id || ' · ' || supplier_name AS label,
   round(arg_max(longitude, s_suppkey), 6) AS longitude
 FROM supplier_facts GROUP BY 1"""
 
-ORACLE["token_estimate"] = """SELECT conv_id, turn, role, CAST(length(text) // 4 AS BIGINT) AS tokens FROM conversations"""
+
+
+def _py_json(c: str) -> str:
+    """A text value as the JSON that the reference's rows are sized and sent
+    in: ASCII only, others as lower-case \\u escapes."""
+    return f"""COALESCE(array_to_string(list_transform(string_split(CAST(to_json({c}) AS VARCHAR), ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN x ELSE '\\u' || lpad(lower(to_hex(unicode(x))), 4, '0') END), ''), 'null')"""
+
+
+ROW_JSON_CTE = f"""
+json_rows AS (
+  SELECT conv_id, turn, role, '{{{{"conv_id": ' || conv_id || ', "turn": ' || turn || ', "role": ' || {_py_json('role')}
+    || ', "text": ' || {_py_json('text')} || '}}}}' AS row_json
+  FROM conversations
+)""".replace("{{", "{").replace("}}", "}")
+
+ORACLE["token_estimate"] = f"""WITH {ROW_JSON_CTE}
+SELECT conv_id, turn, role, CAST(length(row_json) // 4 AS BIGINT) AS tokens FROM json_rows"""
 
 _B = 256
-CHUNK_CTE = f"""RECURSIVE t AS (
-  SELECT conv_id, turn, CAST(length(text) // 4 AS BIGINT) AS tokens, COALESCE(length(text) // 4, 0) AS tok,
+
+
+def chunk_cte(_B: int) -> str:
+    return f"""RECURSIVE {ROW_JSON_CTE},
+t AS (
+  SELECT conv_id, turn, CAST(length(row_json) // 4 AS BIGINT) AS tokens, length(row_json) // 4 AS tok,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
-  FROM conversations
+  FROM json_rows
 ),
 r AS (
   SELECT conv_id, rn, turn, tokens, tok, LEAST(tok, {_B + 1}) AS cur, CAST(0 AS BIGINT) AS chunk_id FROM t WHERE rn = 1
@@ -671,6 +714,9 @@ r AS (
   FROM r JOIN t ON t.conv_id = r.conv_id AND t.rn = r.rn + 1
 )"""
 
+
+CHUNK_CTE = chunk_cte(_B)
+ORACLE["chunk_assign_default"] = f"WITH {chunk_cte(C.MAX_INPUT_TOKENS)}\nSELECT conv_id, turn, tokens, chunk_id FROM r"
 ORACLE["chunk_assign"] = f"WITH {CHUNK_CTE}\nSELECT conv_id, turn, tokens, chunk_id FROM r"
 
 ORACLE["chunk_stats"] = f"""WITH {CHUNK_CTE}
@@ -687,6 +733,16 @@ SELECT format('{{:,}}', total) AS total_suppliers_text, printf('%.3f', avg_risk)
 
 # --- incremental work -------------------------------------------------------
 
+ORACLE["new_files"] = """WITH h AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS content_sha256 FROM documents)
+SELECT * FROM h WHERE content_sha256 NOT IN (SELECT content_sha256 FROM h WHERE doc_id % 7 = 0)"""
+
+ORACLE["stream_news"] = f"WITH {ITEMS_CTE}\nSELECT title, url, source, published, summary FROM items WHERE {_KW_COND}"
+
+_LATIN = "text"
+for _raw, _rep in C.FOLD_REPLACEMENTS:
+    _LATIN = f"replace({_LATIN}, {_sql_text(_raw)}, {_sql_text(_rep)})"
+ORACLE["fold_text"] = f"SELECT doc_id, regexp_replace(nfc_normalize(strip_accents({_LATIN})), '[^\\x00-\\xFF]', '', 'g') AS text_latin1 FROM documents"
+
 ORACLE["stale_caches"] = f"""WITH last AS (SELECT user_id, max(ts) AS last_fetch FROM events GROUP BY user_id),
 now AS (SELECT max(ts) AS now FROM events)
 SELECT user_id, last_fetch,
@@ -706,14 +762,9 @@ ORACLE["retryable_errors"] = f"""WITH {LOGS_CTE}
 SELECT status, CAST(count(*) AS BIGINT) AS n, status IN ({', '.join(str(s) for s in C.RETRYABLE_STATUS)}) AS retryable
 FROM logs WHERE status IS NOT NULL GROUP BY status"""
 
-
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 ORACLE["prompts"] = f"""WITH {CHUNK_CTE},
-rows_ AS (SELECT r.conv_id, r.chunk_id, r.turn, c.role, c.text
-          FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn)
+rows_ AS (SELECT r.conv_id, r.chunk_id, r.turn, c.row_json
+          FROM r JOIN json_rows c ON c.conv_id = r.conv_id AND c.turn = r.turn)
 SELECT conv_id, chunk_id, CAST(count(*) AS BIGINT) AS n_rows,
-  {_sql_text(C.NARRATIVE_PROMPT)} || CAST(to_json(list({{'role': role, 'text': text}} ORDER BY turn)) AS VARCHAR) AS prompt
+  {_sql_text(C.NARRATIVE_PROMPT)} || '[' || string_agg(row_json, ', ' ORDER BY turn) || ']' || chr(10) AS prompt
 FROM rows_ GROUP BY conv_id, chunk_id"""

@@ -51,15 +51,3 @@ class Scenario:
         if extra:
             raise ScenarioError(f"unknown scenario fields: {sorted(extra)}")
         return cls(**data)
-
-
-def weight_table(spark: SparkSession, weightings=None) -> DataFrame:
-    """The weight presets as a small dimension table (one row per preset)."""
-    names = list(weightings or C.WEIGHTS)
-    rows = [(n, *C.WEIGHTS[n]) for n in names]
-    schema = T.StructType(
-        [T.StructField("weighting", T.StringType(), False)]
-        + [T.StructField(f"w_{c.removeprefix('component_')}", T.DoubleType(), False)
-           for c in C.COMPONENTS]
-    )
-    return spark.createDataFrame(rows, schema)

@@ -6,8 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # Settings every job wants regardless of cluster size: AQE re-plans joins and
 # coalesces shuffle partitions at runtime, and splits skewed join partitions
@@ -67,7 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we create a scratch folder of our own.
+    on a local master (tests) do we create a scratch folder of our own.  A
+    cluster's nodes could not read such a folder, so there it is an error.
     """
     sc = spark.sparkContext
     active = sc.getCheckpointDir()
@@ -75,40 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return active
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         current = tempfile.mkdtemp(prefix="tierwatch-ckpt-")
     sc.setCheckpointDir(current)
     return current
-
-
-# Above this planner size estimate a side is never broadcast (no count job).
-BROADCAST_MAX_ESTIMATE = 2 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (file sizes through the plan)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return None
-
-
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` provably holds at most ``max_rows`` rows.
-
-    A clearly large input (by the optimizer's size estimate) is rejected
-    without running anything; otherwise a count of at most ``max_rows + 1``
-    rows decides.  Without table statistics Spark estimates a join as the
-    product of its inputs, so pass the base table that bounds the row count
-    where there is one."""
-    est = estimated_bytes(df)
-    if est is not None and est > BROADCAST_MAX_ESTIMATE:
-        return False
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows
-    (see ``fits_broadcast``).  Beyond the bound the join falls back to a
-    shuffle join (which AQE may still turn into a broadcast from runtime
-    statistics)."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cache import column_cache
+from .tables import supplier_code
 
 NBSP = "\u00a0"
 EM_SPACE = "\u2003"
@@ -85,7 +86,7 @@ def faulty_facts(df: DataFrame, key: str) -> DataFrame:
 @column_cache
 def _faulty_columns(key: str) -> tuple:
     k = F.col(key)
-    prev_id = F.concat(F.lit("SUP-"), F.lpad((k - 1).cast("string"), 6, "0"))
+    prev_id = supplier_code(k - 1)
     return (
         k.alias(key),
         F.when(k % 19 == 7, prev_id).otherwise(F.col("supplier_id")).alias("supplier_id"),
@@ -138,8 +139,9 @@ def narratives_from_scored(scored: DataFrame, key: str) -> DataFrame:
          .otherwise(F.round(F.col("composite_risk"), 3)).alias("confidence"),
         (k * 2).alias("ordinal"),
     )
-    later = (base.where(k % 13 == 0)
-             .withColumn("recommendation", F.concat(F.lit("Escalate "), F.col("supplier_name")))
-             .withColumn("confidence", F.round(F.col("confidence") / 2, 3))
-             .withColumn("ordinal", F.col("ordinal") + 1))
-    return base.unionByName(later)
+    first = F.struct("recommendation", "confidence", "ordinal")
+    later = F.struct(F.concat(F.lit("Escalate "), F.col("supplier_name")).alias("recommendation"),
+                     F.round(F.col("confidence") / 2, 3).alias("confidence"),
+                     (F.col("ordinal") + 1).alias("ordinal"))
+    both = F.array_compact(F.array(first, F.when(k % 13 == 0, later)))
+    return base.select(key, "supplier_id", "supplier_name", "overall_risk", "key_risks", F.inline(both))

@@ -7,21 +7,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cache import column_cache
+from .tables import supplier_code
 
 # FIXED VALUES of the derivation (shared with the SQL oracle).
 EVENT_WEATHER_CODE = {"view": 0, "click": 61, "error": 95, "purchase": 3, "signup": 100}
 ERROR_STATUS = (500, 502, 503, 504, 401, 403, 429)
 ERROR_MESSAGES = (
-    "429 Too Many Requests",
-    "quota exceeded",
-    "504 Gateway Timeout",
-    "Deadline Exceeded",
-    "Pydantic validation error",
-    "401 Unauthorized api_key",
-    "author not found",
-    "Unknown random error",
+    "upstream said 429, slow down",
+    "daily quota used up",
+    "no answer: timeout after 30 s",
+    "schema check: validation failed for 3 rows",
+    "request refused: unauthorized",
+    "disk is full on node 7",
 )
-EVENT_LEVEL = {"error": "ERROR", "signup": "WARNING"}
+EVENT_LEVEL = {"error": "ERROR", "signup": "WARNING", "click": "DEBUG"}
 
 
 def _k():
@@ -65,12 +64,12 @@ def _log_columns() -> tuple:
                            (eid % len(ERROR_MESSAGES) + 1).cast("int"))
     level = F.coalesce(F.element_at(
         F.create_map(*[F.lit(x) for kv in EVENT_LEVEL.items() for x in kv]), et), F.lit("INFO"))
-    extra = F.map_filter(F.create_map(
+    extra = F.create_map(
         F.lit("request_id"), eid.cast("string"),
-        F.lit("supplier_id"), F.concat(F.lit("SUP-"), F.lpad(F.col("user_id").cast("string"), 6, "0")),
+        F.lit("supplier_id"), supplier_code(F.col("user_id")),
         F.lit("batch_id"), F.when(eid % 3 == 0, F.concat(F.lit("B"), F.floor(eid / 100).cast("string"))),
         F.lit("event_type"), et,
-        F.lit("k"), _k().cast("string")), lambda k, v: v.isNotNull())
+        F.lit("k"), _k().cast("string"))
     return (
         eid,
         F.col("ts").cast("timestamp").alias("timestamp"),

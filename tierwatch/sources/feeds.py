@@ -6,6 +6,7 @@ items (``DROPMALFORMED``); the feed name comes from the file name.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +42,23 @@ _RFC822 = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm
            "d MMM yyyy HH:mm xx")
 
 
+def _landed(spark: SparkSession, path) -> bool:
+    """Does any of the paths name a file (through Spark's own file reader)?"""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def read_feed(spark: SparkSession, path, row_tag: str = "item") -> DataFrame:
     """Raw entries of landed feed files with a ``source`` column taken from
-    the file name (``Supply Chain Dive.xml`` -> ``Supply Chain Dive``)."""
+    the file name (``Supply Chain Dive.xml`` -> ``Supply Chain Dive``).  A
+    source that never landed contributes nothing."""
+    if not _landed(spark, path):
+        return spark.createDataFrame([], T.StructType([*RSS_SCHEMA.fields, T.StructField("source", T.StringType())]))
     raw = (spark.read.format("xml").option("rowTag", row_tag)
            .option("mode", "DROPMALFORMED").schema(RSS_SCHEMA).load(path))
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cache import column_cache
-from ..session import estimated_bytes, fits_broadcast
 
 
 # FIXED VALUES of the derivation (shared with the SQL oracle).
@@ -22,37 +21,15 @@ AS_OF = "2001-12-31"          # scoring date for supplier_facts
 LINES_AS_OF = "1999-06-30"    # scoring date for line_exposures
 
 
-_LOADED: dict = {}
-# Per-supplier tables are broadcast to the lineitem side up to this many
-# rows (checked); beyond it the join is a shuffle join.
-PROFILE_BROADCAST_ROWS = 2_000_000
-# A scan smaller than this is never split further (dimension tables).
-SPLIT_MIN_BYTES = 4 << 20
-
-
-def widen_scan(df: DataFrame) -> DataFrame:
-    """Spread a large scan that yields fewer splits than the session has
-    task slots (one file with one row group is read by one task).
-
-    On a cluster the fact tables come in many files and row groups, so
-    this is a no-op there; it only adds a round-robin exchange for inputs
-    that would otherwise run every narrow stage in a single task."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots or (estimated_bytes(df) or 0) < SPLIT_MIN_BYTES:
-        return df
-    return df.repartition(slots)
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table ``name`` under ``sf_dir``, listed anew on every call (a
+    table may grow within a session)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table ``name`` under ``sf_dir``.  The resolved DataFrame is
-    reused within a session (file listing and footer reads happen once)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _LOADED.get(key)
-    if df is None:
-        df = widen_scan(spark.read.parquet(path))
-        _LOADED[key] = df
-    return df
+def supplier_code(k: Column) -> Column:
+    """SUP- and the key with at least six digits (longer keys stay whole)."""
+    return F.when(k.isNotNull(), F.format_string("SUP-%06d", k))
 
 
 def _supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +64,7 @@ def _profile_columns() -> tuple:
         "yyyy-MM-dd")
     return (
         k,
-        F.concat(F.lit("SUP-"), F.lpad(k.cast("string"), 6, "0")).alias("supplier_id"),
+        supplier_code(k).alias("supplier_id"),
         F.col("s_name").alias("supplier_name"),
         ((k % 100) / F.lit(100.0)).alias("risk_score"),
         (((k * 7919) % 18000) / F.lit(100.0) - F.lit(90.0)).alias("latitude"),
@@ -125,23 +102,17 @@ def supplier_facts(spark: SparkSession, sf_dir: str, keep_key: bool = False) ->
 
 
 def line_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per lineitem: the supplier's attributes, the line's spend and
-    ship date as the audit date.  The join on l_suppkey is skew-prone (one
-    supplier may own a large share of lines); AQE splits hot partitions and
-    broadcasts the profile side when its runtime size allows."""
+    """One row per lineitem: the supplier's attributes (null where the table
+    lacks it), the line's spend and ship date as the audit date.  The join on
+    l_suppkey is skew-prone (one supplier may own a large share of lines);
+    AQE splits hot partitions and broadcasts the profile side when its
+    runtime size allows."""
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("annual_spend_usd"),
-        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("last_audit_date"))
+        F.col("l_shipdate").cast("date").alias("last_audit_date"))
     prof = supplier_profile(spark, sf_dir).drop("last_audit_date")
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, "profile_fits")
-    fits = _LOADED.get(key)
-    if fits is None:      # checked once per session and input folder
-        # one profile row per supplier row: the supplier table bounds it
-        fits = fits_broadcast(load(spark, sf_dir, "supplier"), PROFILE_BROADCAST_ROWS)
-        _LOADED[key] = fits
-    prof = F.broadcast(prof) if fits else prof
-    return li.join(prof, F.col("l_suppkey") == F.col("s_suppkey"), "inner").drop("s_suppkey")
+    return li.join(prof, F.col("l_suppkey") == F.col("s_suppkey"), "left").drop("s_suppkey")
 
 
 def sanctions_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +120,8 @@ def sanctions_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier on OFAC, every 15th also on EU (fan-out), every 35th also on a
     list without a source name."""
     k = F.col("s_suppkey")
-    base = load(spark, sf_dir, "supplier").select(
-        k, F.concat(F.lit("SUP-"), F.lpad(k.cast("string"), 6, "0")).alias("entity_id"),
-        F.col("s_name").alias("entity_name"))
     parts = [(5, F.lit("OFAC")), (15, F.lit("EU")), (35, F.lit(None).cast("string"))]
-    out = None
-    for mod, src in parts:
-        p = base.where(k % mod == 0).select("entity_id", "entity_name", src.alias("list_source"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    entries = F.array_compact(F.array(*[
+        F.when(k % mod == 0, F.struct(src.alias("list_source"))) for mod, src in parts]))
+    return load(spark, sf_dir, "supplier").select(
+        supplier_code(k).alias("entity_id"), F.col("s_name").alias("entity_name"), F.inline(entries))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +54,9 @@ def register(new: DataFrame, ledger_path: str) -> None:
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    except Exception:  # noqa: BLE001 - no ledger yet
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":       # no ledger yet; anything else is an error
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 

@@ -1,8 +1,8 @@
 """Structured Streaming jobs: supplier uploads and news feeds.
 
-``stream_suppliers``: CSV files landing in a folder -> per micro-batch
-clean -> quality gate -> accepted rows scored, rejected batches and their
-failure rows written to quarantine.  Writes go to a ``batch_id=<n>``
+``stream_suppliers``: CSV files landing in a folder -> clean -> quality gate
+per file (one upload) -> rows of accepted files scored, rejected files and
+their failure rows written to quarantine.  Writes go to a ``batch_id=<n>``
 folder with overwrite, so a replayed batch (after a failure) replaces its
 own output instead of duplicating it.
 
@@ -22,6 +22,7 @@ from ..operators import cleanse, news, quality, scoring
 from ..scenario import Scenario
 from ..sources.feeds import RSS_SCHEMA, normalise_items
 
+FILE = "_upload"              # the landed file a row came from
 SUPPLIER_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in C.SUPPLIER_COLUMNS])
 
 
@@ -31,22 +32,28 @@ def _batch_path(root: str, batch_id: int) -> str:
 
 def supplier_batch(df: DataFrame, batch_id: int, scenario: Scenario, as_of: str, sinks: dict,
                    spend_max_value: float | None = None) -> None:
-    """One micro-batch: clean, gate, then score or quarantine.
+    """One micro-batch: clean, gate every file by itself (``FILE``; without
+    that column the batch is one upload), score the accepted rows.
 
-    The financial normaliser is the max of this batch unless a stored
+    The financial normaliser is the max of the accepted rows unless a stored
     ``spend_max_value`` is passed, so scores of different batches are
     only comparable with a fixed normaliser."""
+    if FILE not in df.columns:
+        df = df.withColumn(FILE, F.lit(""))
     cleaned = cleanse.clean_suppliers(df).persist()
     try:
-        n_fail = quality.failure_count(cleaned)
-        if n_fail:
-            quality.failures(cleaned).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-                _batch_path(sinks["failures"], batch_id))
-            cleaned.write.mode("overwrite").parquet(_batch_path(sinks["rejected"], batch_id))
-            return
-        cleaned.write.mode("overwrite").parquet(_batch_path(sinks["accepted"], batch_id))
-        scored = scoring.score(cleaned, scenario, as_of, spend_max_value=spend_max_value)
-        scored.write.mode("overwrite").parquet(_batch_path(sinks["scored"], batch_id))
+        bad = quality.failing_groups(cleaned, FILE).persist()
+        rejected = cleaned.join(bad, FILE, "left_semi")
+        accepted = cleaned.join(bad, FILE, "left_anti").drop(FILE)
+        if not bad.isEmpty():
+            quality.failures(rejected.drop(FILE)).withColumn("batch_id", F.lit(batch_id)).write.mode(
+                "overwrite").parquet(_batch_path(sinks["failures"], batch_id))
+            rejected.write.mode("overwrite").parquet(_batch_path(sinks["rejected"], batch_id))
+        if not accepted.isEmpty():
+            accepted.write.mode("overwrite").parquet(_batch_path(sinks["accepted"], batch_id))
+            scored = scoring.score(accepted, scenario, as_of, spend_max_value=spend_max_value)
+            scored.write.mode("overwrite").parquet(_batch_path(sinks["scored"], batch_id))
+        bad.unpersist()
     finally:
         cleaned.unpersist()
 
@@ -64,7 +71,7 @@ def stream_suppliers(spark: SparkSession, source_dir: str, sinks: dict, checkpoi
               .option("header", True).option("enforceSchema", False))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(source_dir)
+    stream = reader.csv(source_dir).withColumn(FILE, F.col("_metadata.file_path"))
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: supplier_batch(df, bid, scenario, as_of, sinks,
                                                            spend_max_value))
