@@ -35,6 +35,7 @@ from .toxicity import fold
 MAX_DOCS = 1500
 ROUNDS = 3
 MAX_PIECE = 12
+MAX_LEARNED = 64             # letters; longer runs are scored but not learned from
 START = "▁"                  # begins every word, as in the vocabulary
 UNKNOWN = "und"
 _RUNS = regex.compile(r"\p{L}+")
@@ -173,7 +174,7 @@ class Model:
     logs: np.ndarray            # (languages, pieces)
 
 
-_TOKEN_CACHE = 1 << 16
+_TOKEN_CACHE = 1 << 16       # words in one array step
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -185,7 +186,8 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
                                                   < int(1_000_000 * min(1.0, MAX_DOCS / n)) + 1))
     runs = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0)))
-    return known.where(keep).select("lang", runs.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = known.where(keep).select("lang", runs.alias("word")).where(F.length("word") <= MAX_LEARNED)
+    return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
 def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
