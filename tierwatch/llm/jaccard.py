@@ -38,8 +38,8 @@ from .common import by_size, cut, flat_strings, mix, pack, position_keys, shuffl
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-SAMPLE_DOCS = 4000          # of which shingles in at least SAMPLE_HITS documents count as frequent
-SAMPLE_HITS = 8
+SAMPLE_DOCS = 8000          # of which shingles in at least SAMPLE_HITS documents count as frequent
+SAMPLE_HITS = 4
 FREQUENT = 50_000
 TILE = 512
 _U = np.uint64
@@ -237,9 +237,10 @@ def exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 # ------------------------------------------------------ tiles with bitmaps
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    """Parity bits of hashed members; 2 to 4 bits a member, at least 64."""
+    """Parity bits of hashed members; 1 to 2 bits a member, at least 64: sets
+    with a similarity of 0.6 already differ in more bits than a link allows."""
     bits = 64
-    while bits < 2 * len(members):
+    while bits < len(members):
         bits *= 2
     spot, count = np.unique(mix(members) % _U(bits), return_counts=True)
     flags = np.zeros(bits, np.uint8)
