@@ -731,6 +731,13 @@ ORACLE["report_kpis"] = f"""WITH {BAL}, k AS (
 SELECT format('{{:,}}', total) AS total_suppliers_text, printf('%.3f', avg_risk) AS avg_risk_text,
   format('{{:,}}', high) AS high_risk_text, format('{{:,}}', crit) AS critical_text FROM k"""
 
+ORACLE["report_top"] = f"""WITH {BAL},
+top AS (SELECT * FROM scored ORDER BY composite_risk DESC, supplier_id ASC LIMIT 10)
+SELECT substr(supplier_id, 1, {C.REPORT_ID_WIDTH}) AS entity_id, substr(supplier_name, 1, {C.REPORT_NAME_WIDTH}) AS name,
+  printf('%.3f', composite_risk) AS risk, {band_sql('composite_risk')} AS band,
+  substr(region, 1, {C.REPORT_REGION_WIDTH}) AS region, round(composite_risk, 6) AS composite_risk
+FROM top"""
+
 # --- incremental work -------------------------------------------------------
 
 ORACLE["new_files"] = """WITH h AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS content_sha256 FROM documents)
