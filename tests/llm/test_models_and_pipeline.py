@@ -25,6 +25,36 @@ def test_stems_back_off_to_shorter_ones():
     assert m.weight("other") == 0.0
 
 
+def test_rare_insults_are_learned_beside_many_frequent_words(spark):
+    import random
+    import zlib
+    rng = random.Random(3)
+    words = " ".join({"".join(rng.choices("abcdefghijklmnop", k=10)) for _ in range(12_000)})     # over 60,000 stems
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    toxic, clean = ids[:4], ids[4:10]
+    rows = [(i, words + (" zorgwump" if i in toxic[:3] else "")) for i in toxic + clean]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in toxic + clean], "doc_id bigint, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert model.weight("zorgwump") >= toxicity.FLOOR
+    assert all(model.weight(w) < toxicity.FLOOR for w in words.split()[:50])
+
+
+def test_deciding_nodes_class_words_as_all_nodes(spark):
+    import random
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abé", k=rng.randint(3, 12))) for _ in range(3000)} | {"idiot", "clown"}
+    texts = [(rng.randint(0, 1), " ".join(rng.sample(sorted(words), 60)) + " clown") for _ in range(150)]
+    counts = toxicity._stem_counts(spark.createDataFrame(texts, "y int, text string")).where("hits >= 3")
+    fixed = {w + toxicity.END: 6.0 for w in toxicity.INSULTS}
+    whole = {**fixed, **toxicity.learn_nodes([tuple(r) for r in counts.collect()], 20, 30)}
+    few = {**fixed, **dict(toxicity.deciding_nodes(counts, 20, 30).collect())}
+    assert len(few) < len(whole)
+    a, b = toxicity.Model(whole, None), toxicity.Model(few, None)
+    for w in words:
+        x, y = a.weight(w), b.weight(w)
+        assert x == y or max(x, y) < toxicity.FLOOR
+
+
 def test_toxicity_without_labels_uses_fixed_values(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     rude = spark.createDataFrame([(1, "You are an idiot, a worthless moron.\nstupid scum."), (2, "a quiet day"), (3, None)],

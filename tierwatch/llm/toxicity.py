@@ -17,8 +17,10 @@ label and a logistic model (fitted on other labelled rows than the trie)
 turns the sums into a score.
 
 Learning uses at most ``MAX_ROWS`` labelled rows, chosen by the hash of the
-id; a row's fold is crc32(doc_id as text) mod 5 and fold 0 is never read.
-Scoring is one scan without shuffle, over whole texts.
+id, and every stem of at least ``SUPPORT`` toxic documents; only stems that
+decide nothing (neutral below a neutral one) are left out.  A row's fold is
+crc32(doc_id as text) mod 5 and fold 0 is never read.  Scoring is one scan
+without shuffle, over whole texts.
 
 Defined results: null or empty text has no matches and the model's base score;
 without labelled rows of both kinds the fixed insults and fixed weights decide;
@@ -31,6 +33,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +41,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, shuffle_width, small_batches
 
 MAX_ROWS = 40_000
-MAX_NODES = 60_000            # of the learned trie, strongest first
 STEMS = range(3, 11)          # stem lengths; a whole word ends in END
 END = "$"
 REACH = 3
 FLOOR = 1.5                   # smallest weight of an insult
+SUPPORT = 3                   # toxic documents of a learned stem
 
 # FIXED VALUES: small word lists of the grammar's closed classes
 INSULTS = ("idiot moron loser scum trash stupid pathetic worthless disgusting clown "
@@ -215,19 +218,48 @@ def _stem_counts(rows: DataFrame) -> DataFrame:
             .groupBy("stem").agg(F.sum("hits").alias("hits"), F.sum("others").alias("others")))
 
 
+def _walk(counts: Iterable[tuple[str, int, int]], scale: float, root: float, backing: float):
+    """(stem, log odds, log odds of its parent or None) of stems in text
+    order; a rate is drawn to that of the longest counted stem within it."""
+    path: list[tuple[str, float, float]] = []             # the stems that the last one starts with
+    for stem, hits, others in counts:
+        while path and not stem.startswith(path[-1][0]):
+            path.pop()
+        _, rate, above = path[-1] if path else ("", root, None)
+        rate = (hits + backing * rate) / (hits + others * scale + backing)
+        p = min(max(rate, 1e-4), 1 - 1e-4)
+        weight = math.log(p / (1 - p))
+        yield stem, weight, above
+        path.append((stem, rate, weight))
+
+
 def learn_nodes(counts: list[tuple[str, int, int]], toxic: int, clean: int,
                 root: float = 0.2, backing: float = 1.0) -> dict[str, float]:
     """Log odds of every counted stem; its rate is drawn to its parent's."""
+    return {stem: w for stem, w, _ in _walk(sorted(counts), (toxic + 1) / (clean + 1), root, backing)}
+
+
+def deciding_nodes(counts: DataFrame, toxic: int, clean: int,
+                   root: float = 0.2, backing: float = 1.0) -> DataFrame:
+    """(stem, weight) of the counted stems that decide a word's class: insults,
+    neutral stems below an insult and those of fixed insults.  A word whose
+    longest stem is left out finds a neutral one or none, which is the same.
+
+    A stem's parents share its first letters, so a task has all of them and
+    walks its stems in text order, holding one path."""
     scale = (toxic + 1) / (clean + 1)
-    rate: dict[str, float] = {}
-    out = {}
-    for stem, hits, others in sorted(counts, key=lambda c: (len(c[0]), c[0])):
-        shorter = (stem[:k] for k in range(len(stem) - 1, STEMS[0] - 1, -1))
-        parent = next((rate[x] for x in shorter if x in rate), root)
-        rate[stem] = (hits + backing * parent) / (hits + others * scale + backing)
-        p = min(max(rate[stem], 1e-4), 1 - 1e-4)
-        out[stem] = math.log(p / (1 - p))
-    return out
+    fixed = {w + END for w in INSULTS}
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        keep = ((s, w) for s, w, above in _walk(rows, scale, root, backing)
+                if w >= FLOOR or s in fixed or (above is not None and above >= FLOOR))
+        while part := list(islice(keep, 10_000)):
+            yield pa.record_batch([pa.array([s for s, _ in part], pa.string()),
+                                   pa.array([w for _, w in part], pa.float64())], ["stem", "weight"])
+    return (counts.select("stem", "hits", "others")
+            .repartition(shuffle_width(counts.sparkSession), F.substring("stem", 1, STEMS[0]))
+            .sortWithinPartitions("stem").mapInArrow(run, "stem string, weight double"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
@@ -253,9 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     sizes = {int(r[0]): r[1] for r in rows.where("fold <> 4").groupBy("y").count().collect()}
     nodes = {w + END: 6.0 for w in INSULTS}
     if sizes.get(1) and sizes.get(0):
-        counts = (_stem_counts(rows.where("fold <> 4")).where("hits >= 3")
-                  .orderBy(F.desc("hits"), "stem").limit(MAX_NODES).collect())        # <= MAX_NODES rows
-        nodes.update(learn_nodes([tuple(r) for r in counts], sizes[1], sizes[0]))
+        counts = _stem_counts(rows.where("fold <> 4")).where(F.col("hits") >= SUPPORT)
+        nodes.update(deciding_nodes(counts, sizes[1], sizes[0]).collect())      # bounded by MAX_ROWS
     model = Model(nodes, _FIXED_WEIGHTS)
 
     def run(batches):
