@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,47 @@ def test_suffix_dedup_equals_brute_force(docs, texts, empty):
     assert suffixdedup.digests(empty).count() == 0
 
 
+def test_suffix_dedup_of_hot_anchors_is_the_same(docs, texts):
+    whole = {r.doc_id: r.kept for r in suffixdedup.remove_repeats(docs).collect()}
+    for hot in (1, 3):
+        assert {r.doc_id: r.kept for r in suffixdedup.remove_repeats(docs, hot=hot).collect()} == whole
+
+
+def test_hot_anchor_meets_in_no_single_transform():
+    """A phrase in 6,000 different surroundings: its contexts are split."""
+    rng, buckets = np.random.default_rng(8), 8
+    phrase = b"the header that every page of all begins with"
+    texts = [bytes(rng.integers(97, 123, 60).astype(np.uint8)) + phrase + bytes(rng.integers(97, 123, 60).astype(np.uint8))
+             for _ in range(6000)]
+    texts[4000:4003] = [texts[10][:90], texts[20][:70] + b"?" * 60, texts[30]]
+    docs = pa.record_batch([pa.array([t.decode() for t in texts]), pa.array(range(6000), pa.int64())], ["text", "sort_id"])
+    halves = [docs.slice(0, 3000), docs.slice(3000)]
+
+    def rows(parts, *by):
+        t = pa.Table.from_batches(parts)
+        return t.sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches()
+    hashes = [suffixdedup.anchors(*suffixdedup.flat_strings(h.column("text")))[0] for h in halves]
+    assert np.unique(np.concatenate(hashes), return_counts=True)[1].max() > suffixdedup.HOT
+    ask = rows([b for h in halves for b in suffixdedup._ask(buckets)([h])], "bucket", "block")
+    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
+    meet = [b.cast(kinds) for b in [*suffixdedup._shared(suffixdedup.HOT)(ask), *(b for h in halves for b in suffixdedup._texts([h]))]]
+    sent = list(suffixdedup._send_contexts(buckets)(rows(meet, "block", "kind", "part")))
+    met = collections.Counter()
+    for b in sent:
+        if b.column("kind")[0].as_py() == 0:
+            p = suffixdedup.unpack(b.column("payload")[0].as_py())
+            if "context" in p.schema.names:
+                met.update(p.column("h").to_pylist())
+    assert max(met.values(), default=0) <= suffixdedup.HOT
+    gone = collections.Counter()
+    for b in suffixdedup._settle(rows(sent, "bucket", "block"), buckets):
+        for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+            gone[block] += sum(bin(m).count("1") for m in suffixdedup.unpack(payload).column("mask").to_pylist())
+    first = {}
+    want = sum(first.setdefault(t[i:i + 50], k) < k for k, t in enumerate(texts) for i in range(len(t) - 49))
+    assert sum(gone.values()) == want > 100
+
+
 def test_suffix_dedup_equal_ids_and_null_id(spark):
     t = "".join(chr(33 + i) for i in range(90))
     df = spark.createDataFrame([(3, t), (3, t), (None, t[:60]), (9, t)], "doc_id bigint, text string")

@@ -11,11 +11,16 @@ equal places.  The strings of one anchor occurrence are consecutive and form
 one context of at most 80 bytes.
 
     scan 1    blocks of documents send their anchor hashes, sorted, by range
-    shared    a range answers each block which of them occur twice or more
+    shared    a range answers each block which of them occur twice or more, and
+              which more than ``HOT`` times
     scan 2    block texts (compressed) meet the answers; contexts of shared
               anchors are sent on by anchor.  Of equal contexts in a block only
               the smallest document's go, the others are settled at once, so a
               passage of a third of all documents is one context per block
+    hot       an anchor of more than ``HOT`` occurrences (a phrase of many
+              documents in different surroundings) has no range of its own: its
+              strings of 50 bytes go on by their own hash, each once per block
+              and document, and the smallest document of each is known at once
     suffixes  all different contexts of an anchor range form one text; its
               suffixes are ordered, and intervals of the transform are extended
               backwards by one byte per round.  Round l finds every boundary
@@ -50,6 +55,8 @@ _BLOCK = 16 << 20
 _STEP = 1 << 18
 _HASHED = 1 << 13
 _TEXT = 512 << 10                       # bytes of contexts in one transform
+HOT = 4096                              # occurrences of an anchor whose contexts may meet in one transform
+_STRINGS = 1 << 20                      # strings of hot anchors held at once
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _TO_RANGE = "bucket int, block bigint, kind int, payload binary"
@@ -146,34 +153,48 @@ def _ask(buckets: int):
                 if bounds[b + 1] > bounds[b]:
                     steps = np.diff(h[x], prepend=_U(0))
                     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)   # 48 bits
-                    blob = pack(pa.record_batch([pa.array([planes.tobytes()], pa.binary()),
-                                                 pa.array([np.packbits(times[x] > 1).tobytes()], pa.binary())], ["h", "m"]))
+                    many = times[x] > 1
+                    blob = pack(pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in
+                                                 (planes, np.packbits(many), times[x][many].astype(np.uint32))], ["h", "m", "c"]))
                     yield _rows(("bucket", "block", "kind", "payload"), [b], [name], [0], [blob])
     return run
 
 
-def _shared(batches):
-    """Answers, per range: one bit for each hash that a block asked for."""
+def _shared(hot: int):
+    """Answers, per range: one bit for each hash that a block asked for, and
+    one more for each if any of them is hot."""
     def answer(bucket, held):
-        hashes, many = [], []
+        hashes, times = [], []
         for _, blob in held:
             p = unpack(blob)
             planes = np.frombuffer(p.column("h")[0].as_py(), np.uint8).reshape(6, -1)
             steps = np.zeros((planes.shape[1], 8), np.uint8)
             steps[:, :6] = planes.T
             hashes.append(np.cumsum(steps.view(_U).ravel(), dtype=_U))
-            many.append(np.unpackbits(np.frombuffer(p.column("m")[0].as_py(), np.uint8), count=planes.shape[1]))
-        every, flag = np.concatenate(hashes), np.concatenate(many) > 0
+            count = np.ones(planes.shape[1], np.uint32)
+            many = np.unpackbits(np.frombuffer(p.column("m")[0].as_py(), np.uint8), count=len(count)) > 0
+            count[many] = np.frombuffer(p.column("c")[0].as_py(), np.uint32)
+            times.append(count)
+        every, times = np.concatenate(hashes), np.concatenate(times)
         order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        twice = np.append(False, same) | np.append(same, False)
-        flag[order] |= twice
+        first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+        total = np.add.reduceat(times[order], first, dtype=np.int64)
+        size = np.diff(first, append=len(every))
+        flag, above = np.empty(len(every), bool), np.empty(len(every), bool)
+        flag[order] = np.repeat(total > 1, size)
+        above[order] = np.repeat(total > hot, size)
         at = 0
         for (block, _), h in zip(held, hashes):
-            bits = np.packbits(flag[at:at + len(h)]).tobytes()
+            x = slice(at, at + len(h))
+            bits = np.packbits(flag[x]).tobytes()
+            if above[x].any():
+                bits += np.packbits(above[x]).tobytes()
             at += len(h)
             yield _rows(("block", "kind", "part", "payload"), [block], [0], [bucket], [bits])
-    yield from _by_bucket(batches, answer)
+
+    def run(batches):
+        yield from _by_bucket(batches, answer)
+    return run
 
 
 def _by_bucket(batches, work):
@@ -219,15 +240,19 @@ def _send_contexts(buckets: int):
             h, start, count = anchors(raw, off)
             every = np.unique(h)
             bounds = _ranges(every, buckets)
-            flag = np.zeros(len(every), bool)
+            flag, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
             for b in range(buckets):
                 size = bounds[b + 1] - bounds[b]
                 if size:
                     if len(parts.get(b, ())) == 0:
                         raise RuntimeError("a block's texts and its answers do not belong together")
-                    flag[bounds[b]:bounds[b + 1]] = np.unpackbits(np.frombuffer(parts[b][0], np.uint8), count=size)
-            take = flag[np.searchsorted(every, h)]
-            h, start, count = h[take], start[take], count[take]
+                    bits, wide = np.frombuffer(parts[b][0], np.uint8), (size + 7) // 8
+                    flag[bounds[b]:bounds[b + 1]] = np.unpackbits(bits[:wide], count=size)
+                    if len(bits) > wide:
+                        hot[bounds[b]:bounds[b + 1]] = np.unpackbits(bits[wide:], count=size)
+            spot = np.searchsorted(every, h)
+            take = flag[spot]
+            h, start, count, hot = h[take], start[take], count[take], hot[spot][take]
             if not len(h):
                 continue
             length = count + MIN_LENGTH - 1
@@ -248,6 +273,10 @@ def _send_contexts(buckets: int):
                                              & ((np.int64(1) << count[gone]) - 1))], ["start", "mask"]))
                 yield _rows(("bucket", "block", "kind", "payload"), [0], [block], [1], [blob])
             order = order[own]
+            some = order[hot[order]]
+            if len(some):
+                yield from _send_strings(raw, block, start[some], count[some], ids[some], buckets)
+            order = order[~hot[order]]
             bounds = _ranges(h[order], buckets)
             for b in range(buckets):
                 x = order[bounds[b]:bounds[b + 1]]
@@ -263,6 +292,78 @@ def _send_contexts(buckets: int):
     return run
 
 
+def _strings(raw: np.ndarray, start: np.ndarray, count: np.ndarray, lowest: int, highest: int, ranges: int):
+    """(96 bits of hash as two arrays, first byte, occurrence) of the strings
+    of 50 bytes in contexts, as far as their range is in [lowest, highest)."""
+    out = [[], [], [], []]
+    for a in range(0, len(start), _HASHED):
+        s, c = start[a:a + _HASHED], count[a:a + _HASHED]
+        length = c + MIN_LENGTH - 1
+        gram = _gram_hashes(raw[ragged_index(s, length)])
+        at = ragged_index(np.cumsum(length) - length, c)
+        # three grams cover a string
+        x, y, z = gram[at], gram[at + GRAM], gram[at + MIN_LENGTH - GRAM]
+        name = mix(x * _BASE + mix(y) * (_BASE + _U(2)) + mix(z + _U(7)))
+        to = _string_range(name, ranges)
+        take = np.flatnonzero((to >= lowest) & (to < highest))
+        more = mix(mix(x + _U(3)) * _BASE + mix(y + _U(5)) + z * (_BASE + _U(4)))[take] >> _U(32)
+        for held, v in zip(out, (name[take], more.astype(np.uint32), ragged_index(s, c)[take],
+                                 np.repeat(np.arange(a, a + len(s)), c)[take])):
+            held.append(v)
+    return tuple(np.concatenate(v) for v in out)
+
+
+def _string_range(name: np.ndarray, ranges: int) -> np.ndarray:
+    return ((name >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+
+
+def _send_strings(raw, block, start, count, ids, buckets):
+    """The strings of a block's hot anchors by their hash: of each the rows of
+    its smallest document here, the others are settled at once.  Ranges of
+    strings follow those of anchors."""
+    ranges = -(-buckets // 4)
+    turns = min(int(count.sum()) // _STRINGS + 1, ranges)
+    edges = np.arange(turns + 1) * ranges // turns
+    for lowest, highest in zip(edges[:-1], edges[1:]):
+        name, more, first, of = _strings(raw, start, count, lowest, highest, ranges)
+        if not len(name):
+            continue
+        sid = ids[of]
+        order = np.lexsort((first, sid, more, name))
+        on, om, oi = name[order], more[order], sid[order]
+        new = np.append(True, (on[1:] != on[:-1]) | (om[1:] != om[:-1]))
+        own = oi == oi[np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone = first[order[~own]]
+        if len(gone):
+            blob = pack(pa.record_batch([pa.array(gone), pa.array(np.ones(len(gone), np.int64))], ["start", "mask"]))
+            yield _rows(("bucket", "block", "kind", "payload"), [0], [block], [1], [blob])
+        order = order[own]
+        bounds = np.searchsorted(_string_range(name[order], ranges), np.arange(lowest, highest + 1))
+        for b, a, z in zip(range(lowest, highest), bounds[:-1], bounds[1:]):
+            x = order[a:z]
+            if len(x):
+                blob = pack(pa.record_batch([pa.array(name[x].view(np.int64)), pa.array(more[x]), pa.array(sid[x]),
+                                             pa.array(first[x])], ["name", "more", "id", "start"]))
+                yield _rows(("bucket", "block", "kind", "payload"), [buckets + b], [block], [0], [blob])
+
+
+def _settle_strings(bucket, held):
+    """Which strings of hot anchors start in a smaller document."""
+    parts = [unpack(p) for _, p in held]
+    name, more, ids, start = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("name", "more", "id", "start"))
+    order = np.lexsort((ids, more, name))
+    new = np.append(True, (name[order][1:] != name[order][:-1]) | (more[order][1:] != more[order][:-1]))
+    gone = np.empty(len(name), bool)
+    gone[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    at = 0
+    for (block, _), p in zip(held, parts):
+        some = start[at:at + p.num_rows][gone[at:at + p.num_rows]]
+        at += p.num_rows
+        if len(some):
+            blob = pack(pa.record_batch([pa.array(some), pa.array(np.ones(len(some), np.int64))], ["start", "mask"]))
+            yield _rows(("block", "kind", "part", "payload"), [block], [0], [bucket], [blob])
+
+
 # ------------------------------------------- the transform and its intervals
 
 def suffix_order(text: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -333,9 +434,12 @@ def equal_strings(text: np.ndarray, room: np.ndarray, length: int) -> tuple[np.n
     return order, np.cumsum(known[:n]) - 1
 
 
-def _settle(batches):
+def _settle(batches, buckets: int):
     """Which strings of each asked context start in a smaller document."""
     def work(bucket, held):
+        if bucket >= buckets:
+            yield from _settle_strings(bucket, held)
+            return
         parts = [unpack(p) for _, p in held]
         sizes = [p.num_rows for p in parts]
         h, name, ids, start = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("h", "name", "id", "start"))
@@ -451,6 +555,10 @@ def _cut(batches):
             for blob in payloads:
                 p = unpack(blob)
                 start, mask = p.column("start").to_numpy(), p.column("mask").to_numpy()
+                one = mask == 1                     # single strings
+                np.add.at(cover, start[one], 1)
+                np.add.at(cover, start[one] + MIN_LENGTH, -1)
+                start, mask = start[~one], mask[~one]
                 bits = (mask[:, None] >> np.arange(_W)) & 1 == 1
                 first = bits.copy()
                 first[:, 1:] &= ~bits[:, :-1]
@@ -482,10 +590,11 @@ def _cut(batches):
                                "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, the ``carry`` columns, n_bytes, n_removed, n_spans, kept):
     ``kept`` are the remaining bytes, n_spans the maximal removed runs.
-    ``as_text`` gives ``kept`` as a string, without characters cut in part."""
+    ``as_text`` gives ``kept`` as a string, without characters cut in part;
+    ``hot`` changes the way of an anchor's strings and never results."""
     width = shuffle_width(docs.sparkSession)
     small_batches(docs.sparkSession, 2000)
     buckets = 4 * width
@@ -498,9 +607,9 @@ def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False) -> DataF
 
     def meet(answers, texts):
         return answers.unionByName(texts).repartition(width, "block").sortWithinPartitions("block", "kind", "part")
-    flags = to_range(bare.mapInArrow(_ask(buckets), _TO_RANGE)).mapInArrow(_shared, _TO_BLOCK)
+    flags = to_range(bare.mapInArrow(_ask(buckets), _TO_RANGE)).mapInArrow(_shared(hot), _TO_BLOCK)
     asked = meet(flags, bare.mapInArrow(_texts, _TO_BLOCK)).mapInArrow(_send_contexts(buckets), _TO_RANGE)
-    spans = to_range(asked).mapInArrow(_settle, _TO_BLOCK)
+    spans = to_range(asked).mapInArrow(lambda batches: _settle(batches, buckets), _TO_BLOCK)
     kinds = dict(src.dtypes)
     out = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)]
                     + ["n_bytes bigint", "n_removed bigint", "n_spans bigint", f"kept {'string' if as_text else 'binary'}"])
