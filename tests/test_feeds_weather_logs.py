@@ -62,6 +62,18 @@ def test_missing_feed_contributes_nothing(spark, tmp_path):
     assert read_feed(spark, str(tmp_path / "never.xml")).count() == 0
 
 
+def test_missing_feed_leaves_the_landed_ones(spark, tmp_path):
+    from tierwatch.sources.feeds import read_atom
+    never = str(tmp_path / "never.xml")
+    (tmp_path / "JOC.xml").write_text(RSS)
+    (tmp_path / "My Feed.xml").write_text(ATOM)
+    for read, path in ((read_feed, str(tmp_path / "JOC.xml")), (read_atom, str(tmp_path / "My Feed.xml"))):
+        want = sorted(map(str, read(spark, path).collect()))
+        assert want and sorted(map(str, read(spark, [path, never]).collect())) == want
+        assert sorted(map(str, read(spark, [never, path]).collect())) == want
+        assert read(spark, [never]).columns == read(spark, path).columns and read(spark, never).count() == 0
+
+
 def test_json_rows_are_ascii_and_keep_nulls(spark):
     import json
     from tierwatch.functions.text import row_json

@@ -42,38 +42,46 @@ _RFC822 = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm
            "d MMM yyyy HH:mm xx")
 
 
-def _landed(spark: SparkSession, path) -> bool:
-    """Does any of the paths name a file (through Spark's own file reader)?"""
-    try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+def _landed(spark: SparkSession, path) -> list[str]:
+    """Those of the paths that name a file (each by itself through Spark's own
+    file reader, which fails as soon as one path of a list is missing)."""
+    found = []
+    for p in [path] if isinstance(path, str) else path:
+        try:
+            spark.read.format("binaryFile").load(p)
+            found.append(p)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
+def _entries(spark: SparkSession, path, row_tag: str, schema: T.StructType) -> DataFrame:
+    """Entries of the landed files with a ``source`` column taken from the
+    file name."""
+    landed = _landed(spark, path)
+    if not landed:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source", T.StringType())]))
+    raw = (spark.read.format("xml").option("rowTag", row_tag)
+           .option("mode", "DROPMALFORMED").schema(schema).load(landed))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    return raw.withColumn("source", F.url_decode(name))
 
 
 def read_feed(spark: SparkSession, path, row_tag: str = "item") -> DataFrame:
     """Raw entries of landed feed files with a ``source`` column taken from
     the file name (``Supply Chain Dive.xml`` -> ``Supply Chain Dive``).  A
-    source that never landed contributes nothing."""
-    if not _landed(spark, path):
-        return spark.createDataFrame([], T.StructType([*RSS_SCHEMA.fields, T.StructField("source", T.StringType())]))
-    raw = (spark.read.format("xml").option("rowTag", row_tag)
-           .option("mode", "DROPMALFORMED").schema(RSS_SCHEMA).load(path))
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    return raw.withColumn("source", F.url_decode(name))
+    source that never landed contributes nothing, the others theirs."""
+    return _entries(spark, path, row_tag, RSS_SCHEMA)
 
 
 def read_atom(spark: SparkSession, path) -> DataFrame:
     """Atom feed files, mapped onto the RSS entry columns (link from its
-    href attribute, published -> pubDate, summary -> description)."""
-    raw = (spark.read.format("xml").option("rowTag", "entry")
-           .option("mode", "DROPMALFORMED").schema(ATOM_SCHEMA).load(path))
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    return raw.select(
+    href attribute, published -> pubDate, summary -> description); a source
+    that never landed contributes nothing, the others theirs."""
+    return _entries(spark, path, "entry", ATOM_SCHEMA).select(
         "title", F.col("link._href").alias("link"), F.col("published").alias("pubDate"),
-        "updated", F.col("summary").alias("description"), F.url_decode(name).alias("source"))
+        "updated", F.col("summary").alias("description"), "source")
 
 
 def parse_published(col) -> Column:
