@@ -44,11 +44,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a group: that of the smallest id; rows without id link to
-    nothing and stay."""
-    stays = (jaccard.link_components(docs).where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row a group: that of the smallest id, of its texts the one with the
+    smallest hash.  Texts of one id in different groups are decided each by
+    its own group; rows without id link to nothing and stay."""
+    named = docs.withColumn("_name", F.coalesce(F.sha2("text", 256), F.lit("")))
+    linked = jaccard.link_components(named, jaccard.WORDS, jaccard.PERCENT, "_name").where("doc_id = component_id")
+    alone = F.when(F.col("n_shingles") == 0, F.col("_name"))         # without shingles: a group by itself
+    stays = linked.groupBy("doc_id", "root", alone.alias("_alone")).agg(F.min("_name").alias("_name"))
+    kept = named.join(stays.select("doc_id", "_name"), ["doc_id", "_name"], "left_semi").dropDuplicates(["doc_id", "_name"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

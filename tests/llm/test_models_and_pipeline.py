@@ -137,6 +137,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def test_ngram_join_decides_each_text_of_an_id(spark):
+    import corpus_pipeline as cp
+    body, other, last = (" ".join(f"{w}{i}" for i in range(200)) for w in ("word", "other", "last"))
+    rows = [(1, body), (5, body + " end"), (5, other), (5, other + " end"), (5, other), (7, last), (7, body),
+            (8, "x"), (8, None), (8, ""), (None, "y")]
+    got = cp.ngram_join(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    left = sorted((r.doc_id, r.text) for r in got if r.doc_id in (1, 7))
+    assert left == [(1, body), (7, last)]
+    five = [r.text for r in got if r.doc_id == 5]
+    assert len(five) == 1 and five[0] in (other, other + " end")
+    assert {r.text for r in got if r.doc_id == 8} == {"x", None, ""} and [r.text for r in got if r.doc_id is None] == ["y"]
+
+
 def test_registered_queries_match_their_names():
     import __spark_entry__ as entry
     names = entry.queries()

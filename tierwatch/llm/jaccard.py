@@ -114,8 +114,8 @@ def _u64(a) -> pa.Array:
     return pa.array(np.asarray(a, _U).view(np.int64))
 
 
-def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, set_id, bits, prefix): prefix holds the hashes by which a
+def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray, *carry: str) -> DataFrame:
+    """(doc_id, n, set_id, bits, prefix, the ``carry`` strings): prefix holds the hashes by which a
     set meets others, in an order that puts ``frequent`` ones last."""
     def prefix(s: np.ndarray) -> bytes:
         late = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
@@ -123,13 +123,18 @@ def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray) -> Da
         return ordered[:len(s) - needed(len(s), percent) + 1 if len(s) else 0].tobytes()
 
     def run(batches):
-        for ids, sets in _each(batches, w):
-            yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
-                                   pa.array([set_name(s) for s in sets], pa.int64()),
-                                   pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                                   pa.array([prefix(s) for s in sets], pa.binary())],
-                                  ["doc_id", "n", "set_id", "bits", "prefix"])
-    return texts(docs).mapInArrow(run, "doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary")
+        for b in batches:
+            at = 0
+            for ids, sets in _each([b], w):
+                yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
+                                       pa.array([set_name(s) for s in sets], pa.int64()),
+                                       pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                                       pa.array([prefix(s) for s in sets], pa.binary()),
+                                       *(b.column(c).slice(at, len(ids)) for c in carry)],
+                                      ["doc_id", "n", "set_id", "bits", "prefix", *carry])
+                at += len(ids)
+    return texts(docs, *carry).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary",
+                                                          *(f"`{c}` string" for c in carry)]))
 
 
 def frequent_shingles(docs: DataFrame, w: int = WORDS) -> np.ndarray:
@@ -400,13 +405,14 @@ def _proved(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, percent:
     return cut(exact(pairs, _chosen_arrays(docs, chosen, w), percent), "tested")
 
 
-def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, *carry: str) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id
-    reachable by links of at least ``percent`` % Jaccard similarity."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    reachable by links of at least ``percent`` % Jaccard similarity.  With
+    ``carry`` (string columns), these and the component's own name, root."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
     small_batches(docs.sparkSession)
     named = docs.where("doc_id is not null")
-    sets = cut(set_table(docs, w, percent, frequent_shingles(named, w)), "sets")
+    sets = cut(set_table(docs, w, percent, frequent_shingles(named, w), *carry), "sets")
     linkable = sets.where("doc_id is not null")
     groups = cut(distinct_groups(cut(prefix_groups(linkable), "postings")), "groups")
     reps = cut(linkable.join(groups.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(
@@ -422,8 +428,9 @@ def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT) ->
     if not more.isEmpty():
         roots = components(tested.where("linked").unionByName(more))
     rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
-        "doc_id", "n", F.coalesce("root", "set_id").alias("root"))
+        "doc_id", "n", F.coalesce("root", "set_id").alias("root"), *carry)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        *(("root", *carry) if carry else ()))
