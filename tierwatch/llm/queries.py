@@ -8,10 +8,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, jaccard, langid, linededup, packing, quality, suffixdedup, toxicity
+from . import (alignment, bpe, chat, fingerprints, jaccard, langid, linededup, mixing, packing, quality, spelling,
+               suffixdedup, toxicity)
 from .common import read_table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -62,6 +64,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (alignment.align(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES, groups="sha256")
+            .withColumnRenamed("groups", "groups_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
     "op10_fingerprints": op10_fingerprints,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE: dict[str, str] = {
