@@ -11,7 +11,8 @@
               member of its groups, which collapses families of near copies and
               settles groups of up to three
     tiles     what is still apart in a group is cut into size-banded tiles;
-              only pairs of different components leave a tile pair
+              only pairs of different components leave a tile pair: at first
+              the nearest for each two components, then all that are left
     bitmaps   differing parity bits bound the symmetric difference from below,
               i.e. the overlap from above: pairs that can't link end here
     exact     the others are intersected as sorted arrays
@@ -42,6 +43,7 @@ SAMPLE_DOCS = 8000          # of which shingles in at least SAMPLE_HITS document
 SAMPLE_HITS = 4
 FREQUENT = 50_000
 TILE = 512
+WIDE = 8                    # bits a member of the second bitmaps
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -115,10 +117,12 @@ def _u64(a) -> pa.Array:
 
 
 def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray, *carry: str) -> DataFrame:
-    """(doc_id, n, set_id, bits, prefix, the ``carry`` strings): prefix holds the hashes by which a
+    """(doc_id, n, set_id, bits, wide, prefix, the ``carry`` strings): prefix holds the hashes by which a
     set meets others, in an order that puts ``frequent`` ones last."""
     def prefix(s: np.ndarray) -> bytes:
-        late = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
+        late = np.zeros(len(s), bool)
+        if len(frequent):                                       # sorted: a binary search for each member
+            late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         ordered = np.concatenate((s[~late], s[late])) if late.any() else s
         return ordered[:len(s) - needed(len(s), percent) + 1 if len(s) else 0].tobytes()
 
@@ -129,11 +133,12 @@ def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray, *carr
                 yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
                                        pa.array([set_name(s) for s in sets], pa.int64()),
                                        pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                                       pa.array([bitmap(s, WIDE).tobytes() for s in sets], pa.binary()),
                                        pa.array([prefix(s) for s in sets], pa.binary()),
                                        *(b.column(c).slice(at, len(ids)) for c in carry)],
-                                      ["doc_id", "n", "set_id", "bits", "prefix", *carry])
+                                      ["doc_id", "n", "set_id", "bits", "wide", "prefix", *carry])
                 at += len(ids)
-    return texts(docs, *carry).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary",
+    return texts(docs, *carry).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, wide binary, prefix binary",
                                                           *(f"`{c}` string" for c in carry)]))
 
 
@@ -241,16 +246,15 @@ def exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 # ------------------------------------------------------ tiles with bitmaps
 
-def bitmap(members: np.ndarray) -> np.ndarray:
-    """Parity bits of hashed members; 1 to 2 bits a member, at least 64: sets
-    with a similarity of 0.6 already differ in more bits than a link allows."""
+def bitmap(members: np.ndarray, each: int = 1) -> np.ndarray:
+    """Parity bits of hashed members; ``each`` to twice as many bits a member,
+    at least 64.  With one, sets of a similarity of 0.6 already differ in more
+    bits than a link allows; with eight, those of 0.78 do."""
     bits = 64
-    while bits < len(members):
+    while bits < each * len(members):
         bits *= 2
-    spot, count = np.unique(mix(members) % _U(bits), return_counts=True)
-    flags = np.zeros(bits, np.uint8)
-    flags[spot.astype(np.int64)] = count & 1
-    return np.packbits(flags, bitorder="little").view(_U)
+    flags = np.bincount((mix(members) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").view(_U)
 
 
 def fold(b: np.ndarray, words: int) -> np.ndarray:
@@ -288,15 +292,16 @@ def open_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(_open_pairs(percent), "a bigint, b bigint")
 
 
-def _tile_pairs(percent: int):
-    """Pairs of a tile pair that may link and are not in one component."""
+def _tile_pairs(percent: int, nearest: bool):
+    """Pairs of a tile pair that may link and are not in one component, with
+    their components; of each pair of components only the ``nearest``, or all."""
     def pairs(rows):
         left = [r for r in rows if r[3] == 0]
         right = [r for r in rows if r[3] == 1] or left
         by_width: dict[int, list] = {}
         for r in right:
             by_width.setdefault(len(r[6]) // 8, []).append(r)
-        out = set()
+        out = {}
         for words, many in by_width.items():
             maps = np.frombuffer(b"".join(r[6] for r in many), _U).reshape(len(many), words)
             size, root, name = (np.array([r[i] for r in many], np.int64) for i in (4, 5, 7))
@@ -307,9 +312,15 @@ def _tile_pairs(percent: int):
                 if width not in folded:
                     folded[width] = fold(maps, width)
                 apart = np.bitwise_count(folded[width] ^ fold(own, width)).sum(axis=1, dtype=np.int64)
-                may = may_link(size, r[4], apart, percent) & (root != r[5])
-                out.update((min(r[7], int(n)), max(r[7], int(n))) for n in name[may])
-        return out
+                may = np.flatnonzero(may_link(size, r[4], apart, percent) & (root != r[5]))
+                if nearest and len(may):                      # of each other component the nearest set
+                    may = may[np.lexsort((name[may], apart[may], root[may]))]
+                    may = may[np.append(True, root[may][1:] != root[may][:-1])]
+                for n, other, d in zip(name[may].tolist(), root[may].tolist(), apart[may].tolist()):
+                    a, b = ((r[7], r[5]), (n, other)) if r[7] < n else ((n, other), (r[7], r[5]))
+                    key = (min(r[5], other), max(r[5], other)) if nearest else (a[0], b[0])
+                    out[key] = min(out.get(key, (d, *a, *b)), (d, *a, *b))
+        return list(out.values())
 
     def run(batches):
         now, rows = None, []
@@ -317,8 +328,7 @@ def _tile_pairs(percent: int):
         def emit():
             got = pairs(rows)
             if got:
-                a, b = zip(*got)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*got)], ["apart", "a", "ra", "b", "rb"])
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("shingle", "i", "j", "side", "n", "root", "bits", "set_id"))):
                 if r[:3] != now:
@@ -331,10 +341,11 @@ def _tile_pairs(percent: int):
     return run
 
 
-def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``groups`` (shingle, set_id, n, root) that the
-    bitmaps can't rule out.  A group is cut into tiles of TILE sets by size;
-    a tile meets the tiles whose sizes may still match."""
+def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), with their components (ra, rb), of ``groups``
+    (shingle, set_id, n, root) that the bitmaps can't rule out; ``nearest``
+    gives one for each pair of components, the likeliest.  A group is cut into
+    tiles of TILE sets by size; a tile meets the tiles whose sizes may match."""
     place = Window.partitionBy("shingle").orderBy("n", "set_id")
     g = groups.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
     span = g.groupBy("shingle", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -346,18 +357,38 @@ def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int) -> Data
         met.where("i < j").select("shingle", "i", "j", F.col("j").alias("tile"), F.lit(1).alias("side")))
     dealt = g.join(bitmaps.select("set_id", "bits"), "set_id").join(sides, ["shingle", "tile"])
     width = shuffle_width(groups.sparkSession)
-    return (dealt.select("shingle", "i", "j", "side", "n", "root", "bits", "set_id")
-            .repartition(width, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side")
-            .mapInArrow(_tile_pairs(percent), "a bigint, b bigint").distinct())
+    met = (dealt.select("shingle", "i", "j", "side", "n", "root", "bits", "set_id")
+           .repartition(width, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side")
+           .mapInArrow(_tile_pairs(percent, nearest), "apart bigint, a bigint, ra bigint, b bigint, rb bigint"))
+    if not nearest:
+        return met.select("a", "b", "ra", "rb").distinct()
+    best = met.groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(
+        F.min(F.struct("apart", "a", "b", "ra", "rb")).alias("m"))
+    return best.select("m.a", "m.b", "m.ra", "m.rb")
 
 
 # ---------------------------------------------------------------- the join
 
-def _rooted(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return groups.withColumn("root", F.col("set_id"))
-    return (groups.join(roots, F.col("set_id") == F.col("node"), "left")
-            .select(*groups.columns, F.coalesce("root", "set_id").alias("root")))
+def _rooted(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    columns = [c for c in groups.columns if c != "root"]
+    return (groups.select(*columns).join(roots, F.col("set_id") == F.col("node"), "left")
+            .select(*columns, F.coalesce("root", "set_id").alias("root")))
+
+
+def _still_open(groups: DataFrame) -> DataFrame:
+    """The groups with sets of two components or more."""
+    ends = groups.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    return groups.join(ends, "shingle", "left_semi")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after links (a, b) between components."""
+    if links.isEmpty():
+        return roots
+    joined = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    moved = roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    alone = joined.join(roots, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return cut(moved.unionByName(alone), "roots")
 
 
 def _parents(groups: DataFrame, percent: int) -> DataFrame:
@@ -405,6 +436,15 @@ def _proved(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, percent:
     return cut(exact(pairs, _chosen_arrays(docs, chosen, w), percent), "tested")
 
 
+def _joined(pairs: DataFrame, tested: DataFrame, roots: DataFrame, docs: DataFrame, reps: DataFrame, w: int,
+            percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components after the links among ``pairs`` (a, b, ra, rb), and all pairs tested."""
+    fresh = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    proved = _proved(fresh, docs, reps, w, percent)
+    links = proved.where("linked").join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return _merged(roots, links), tested.select("a", "b").unionByName(proved.select("a", "b"))
+
+
 def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, *carry: str) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id
     reachable by links of at least ``percent`` % Jaccard similarity.  With
@@ -416,21 +456,25 @@ def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, *ca
     linkable = sets.where("doc_id is not null")
     groups = cut(distinct_groups(cut(prefix_groups(linkable), "postings")), "groups")
     reps = cut(linkable.join(groups.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "reps")
     near = cut(open_pairs(_parents(groups, percent), reps, percent), "near")
     tested = _proved(near, named, reps, w, percent)
     roots = components(tested.where("linked"))
-    apart = Window.partitionBy("shingle")
-    open_groups = cut(_rooted(groups.where("members > 3"), roots).withColumn("lo", F.min("root").over(apart))
-                      .withColumn("hi", F.max("root").over(apart)).where("lo <> hi").drop("lo", "hi"), "open")
-    rest = cut(tile_candidates(open_groups, reps, percent).join(tested, ["a", "b"], "left_anti"), "rest")
-    more = _proved(rest, named, reps, w, percent).where("linked")
-    if not more.isEmpty():
-        roots = components(tested.where("linked").unionByName(more))
+    # one pair for each two components first, then whatever is left of those that were refuted
+    open_groups = cut(_still_open(_rooted(groups.where("members > 3"), roots)), "open")
+    first = cut(tile_candidates(open_groups, reps, percent, nearest=True), "nearest")
+    roots, tested = _joined(first, tested, roots, named, reps, w, percent)
+    ends = first.select(F.col("ra").alias("set_id")).union(first.select("rb")).distinct()
+    apart = _rooted(ends, roots).select("root").distinct()
+    open_groups = cut(_still_open(_rooted(open_groups, roots).join(apart, "root", "left_semi")), "open")
+    wide = reps.select("set_id", F.col("wide").alias("bits"))
+    roots, _ = _joined(cut(tile_candidates(open_groups, wide, percent), "rest"), tested, roots, named, reps, w, percent)
+    roots = roots.withColumnRenamed("root", "r")
     rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
-        "doc_id", "n", F.coalesce("root", "set_id").alias("root"), *carry)
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        *(("root", *carry) if carry else ()))
+        "doc_id", "n", F.coalesce("r", "set_id").alias("root"), *carry)
+    whole = F.col("doc_id").isNotNull() & (F.col("n") > 0)       # the others are alone: no hot key of theirs in the join
+    least = rooted.where(whole).groupBy("root").agg(F.min("doc_id").alias("least"))
+    linked = rooted.where(whole).join(least, "root").select("doc_id", "n", "root", "least", *carry)
+    alone = rooted.where(~whole).select("doc_id", "n", "root", F.col("doc_id").alias("least"), *carry)
+    return linked.unionByName(alone).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), *(("root", *carry) if carry else ()))
