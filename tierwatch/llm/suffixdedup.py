@@ -51,7 +51,7 @@ from .common import block_name, by_size, flat_strings, hash_ragged, mix, pack, r
 MIN_LENGTH = 50
 GRAM = 20
 _W = MIN_LENGTH - GRAM + 1              # grams in a string
-_BLOCK = 16 << 20
+_BLOCK = 6 << 20
 _STEP = 1 << 18
 _HASHED = 1 << 13
 _TEXT = 512 << 10                       # bytes of contexts in one transform
@@ -597,7 +597,7 @@ def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False, hot: int
     ``hot`` changes the way of an anchor's strings and never results."""
     width = shuffle_width(docs.sparkSession)
     small_batches(docs.sparkSession, 2000)
-    buckets = 4 * width
+    buckets = 8 * width
     src = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text"),
                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("sort_id"))
     bare = src.select("text", "sort_id")
