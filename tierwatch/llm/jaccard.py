@@ -43,7 +43,7 @@ SAMPLE_DOCS = 8000          # of which shingles in at least SAMPLE_HITS document
 SAMPLE_HITS = 4
 FREQUENT = 50_000
 TILE = 512
-WIDE = 8                    # bits a member of the second bitmaps
+WIDE = 4                    # bits a member of the second bitmaps
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -117,7 +117,7 @@ def _u64(a) -> pa.Array:
 
 
 def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray, *carry: str) -> DataFrame:
-    """(doc_id, n, set_id, bits, wide, prefix, the ``carry`` strings): prefix holds the hashes by which a
+    """(doc_id, n, set_id, bits, prefix, the ``carry`` strings): prefix holds the hashes by which a
     set meets others, in an order that puts ``frequent`` ones last."""
     def prefix(s: np.ndarray) -> bytes:
         late = np.zeros(len(s), bool)
@@ -133,12 +133,11 @@ def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray, *carr
                 yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()),
                                        pa.array([set_name(s) for s in sets], pa.int64()),
                                        pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                                       pa.array([bitmap(s, WIDE).tobytes() for s in sets], pa.binary()),
                                        pa.array([prefix(s) for s in sets], pa.binary()),
                                        *(b.column(c).slice(at, len(ids)) for c in carry)],
-                                      ["doc_id", "n", "set_id", "bits", "wide", "prefix", *carry])
+                                      ["doc_id", "n", "set_id", "bits", "prefix", *carry])
                 at += len(ids)
-    return texts(docs, *carry).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, wide binary, prefix binary",
+    return texts(docs, *carry).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary",
                                                           *(f"`{c}` string" for c in carry)]))
 
 
@@ -249,7 +248,7 @@ def exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 def bitmap(members: np.ndarray, each: int = 1) -> np.ndarray:
     """Parity bits of hashed members; ``each`` to twice as many bits a member,
     at least 64.  With one, sets of a similarity of 0.6 already differ in more
-    bits than a link allows; with eight, those of 0.78 do."""
+    bits than a link allows; with four, those of 0.78 do."""
     bits = 64
     while bits < each * len(members):
         bits *= 2
@@ -391,6 +390,14 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(alone), "roots")
 
 
+def _rooted_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their present components ra and rb."""
+    for end in "ab":
+        now = roots.select(F.col("node").alias(end), F.col("root").alias("now"))
+        pairs = pairs.drop(f"r{end}").join(now, end, "left").withColumn(f"r{end}", F.coalesce("now", end)).drop("now")
+    return pairs
+
+
 def _parents(groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set with the smallest set within the size band and with the
     next smaller one of its groups."""
@@ -406,9 +413,10 @@ def _parents(groups: DataFrame, percent: int) -> DataFrame:
 FILTER_BITS = 1 << 23       # of the filter of documents whose arrays are wanted: 1 MB, whatever the corpus
 
 
-def _chosen_arrays(docs: DataFrame, chosen: DataFrame, w: int) -> DataFrame:
-    """(set_id, members) of the documents ``chosen`` (set_id, doc_id).  A bit
-    per hashed id, of fixed size, skips most others before the join."""
+def _chosen_arrays(docs: DataFrame, chosen: DataFrame, w: int, form=np.ndarray.tobytes) -> DataFrame:
+    """(set_id, members) of the documents ``chosen`` (set_id, doc_id); ``form``
+    makes the bytes of a set.  A bit per hashed id, of fixed size, skips most
+    other documents before the join."""
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     at = chosen.select((spot + 1).alias("p"))       # positions count from 1
     parts = at.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
@@ -424,7 +432,7 @@ def _chosen_arrays(docs: DataFrame, chosen: DataFrame, w: int) -> DataFrame:
                 yield b.filter(pa.array((flags[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
         for ids, sets in _each(wanted(), w):
             yield pa.record_batch([ids, pa.array([set_name(s) for s in sets], pa.int64()),
-                                   pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set_id", "members"])
+                                   pa.array([form(s) for s in sets], pa.binary())], ["doc_id", "set_id", "members"])
     rows = texts(docs).withColumn("p", spot).mapInArrow(run, "doc_id bigint, set_id bigint, members binary")
     return rows.join(chosen, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]).select("set_id", "members")
 
@@ -456,7 +464,7 @@ def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, *ca
     linkable = sets.where("doc_id is not null")
     groups = cut(distinct_groups(cut(prefix_groups(linkable), "postings")), "groups")
     reps = cut(linkable.join(groups.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "reps")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
     near = cut(open_pairs(_parents(groups, percent), reps, percent), "near")
     tested = _proved(near, named, reps, w, percent)
     roots = components(tested.where("linked"))
@@ -464,10 +472,12 @@ def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, *ca
     open_groups = cut(_still_open(_rooted(groups.where("members > 3"), roots)), "open")
     first = cut(tile_candidates(open_groups, reps, percent, nearest=True), "nearest")
     roots, tested = _joined(first, tested, roots, named, reps, w, percent)
-    ends = first.select(F.col("ra").alias("set_id")).union(first.select("rb")).distinct()
+    refuted = first.join(_rooted_pairs(first, roots).where("ra <> rb").select("a", "b"), ["a", "b"], "left_semi")
+    ends = refuted.select(F.col("ra").alias("set_id")).union(refuted.select("rb")).distinct()
     apart = _rooted(ends, roots).select("root").distinct()
     open_groups = cut(_still_open(_rooted(open_groups, roots).join(apart, "root", "left_semi")), "open")
-    wide = reps.select("set_id", F.col("wide").alias("bits"))
+    members = cut(reps.join(open_groups.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id"), "wide")
+    wide = _chosen_arrays(named, members, w, lambda s: bitmap(s, WIDE).tobytes()).withColumnRenamed("members", "bits")
     roots, _ = _joined(cut(tile_candidates(open_groups, wide, percent), "rest"), tested, roots, named, reps, w, percent)
     roots = roots.withColumnRenamed("root", "r")
     rooted = sets.join(roots, F.col("set_id") == F.col("node"), "left").select(
