@@ -91,13 +91,38 @@ def json_text(col) -> Column:
         F.octet_length(q) == F.length(q), q).otherwise(escaped)
 
 
+@column_cache
+def number_text(col) -> Column:
+    """A double in the shortest form that reads back as itself: plain between
+    1e-4 and 1e16, else with an exponent of two digits or more."""
+    x = _c(col).cast("double")
+    forms = [F.format_string(f"%.{p}e", x) for p in (14, 15, 16)]
+    back = [f.try_cast("double") == x for f in forms]
+    form = F.when(back[0], forms[0]).when(back[1], forms[1]).otherwise(forms[2])
+    sign = F.when(F.startswith(form, F.lit("-")), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(form, "e", 1), "[-.]", ""), "(?<=.)0+$", "")
+    power = F.substring_index(form, "e", -1).cast("int")
+    whole = F.rpad(F.substring(digits, 1, 17), power + 1, "0")
+    rest = F.substr(digits, power + 2)
+    plain = F.when(power >= 0, F.concat(whole, F.lit("."), F.when(F.length(rest) > 0, rest).otherwise("0"))).otherwise(
+        F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    tail = F.substring(digits, 2, 17)
+    exponent = F.concat(F.substring(digits, 1, 1), F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"),
+                        F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.when(F.abs(power) > 99, F.regexp_replace(exponent, "e([+-]).*$", F.concat(F.lit("e$1"), F.abs(power).cast("string")))
+                      ).otherwise(exponent)
+    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
+    return F.coalesce(special, F.concat(sign, F.when(power.between(-4, 15), plain).otherwise(exponent)))
+
+
 def row_json(df, cols: list[str] | None = None) -> Column:
     """A row as a JSON object, ``, `` and ``: `` between its parts, nulls kept."""
     kinds = dict(df.dtypes)
     parts = []
     for name in cols or df.columns:
         text = kinds[name] in ("string", "date") or kinds[name].startswith("timestamp")
-        value = json_text(name) if text else F.coalesce(F.col(name).cast("string"), F.lit("null"))
+        number = number_text(name) if kinds[name] in ("double", "float") else F.col(name).cast("string")
+        value = json_text(name) if text else F.coalesce(number, F.lit("null"))
         parts += [F.lit(("{" if not parts else ", ") + f'"{name}": '), value]
     return F.concat(*parts, F.lit("}"))
 

@@ -1,7 +1,7 @@
 """Map-ready payloads: capped, escaped points with colour and radius; the
 map centre; and the three-column cluster payload.
 
-The cap keeps a deterministic top-N (riskiest first), see ``ranking.top_n``.
+The cap keeps a deterministic top-N (riskiest first), see ``ranking.top_n_by_score``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions.bands import fill_risk, risk_display, risk_radius, risk_rgb
 from ..functions.text import html_escape
 from ..scenario import Scenario
-from .ranking import top_n
+from .ranking import top_n_by_score
 
 
 def risk_column(df: DataFrame) -> str:
@@ -27,8 +27,8 @@ def map_points(scored: DataFrame, scenario: Scenario | None = None,
     # Only the columns the payload needs travel through the cap.
     needed = [c for c in dict.fromkeys([rc, *tie_keys, "supplier_id", "supplier_name", "region",
                                         "latitude", "longitude"]) if c in scored.columns]
-    order = [F.col(rc).desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in tie_keys]
-    capped = top_n(scored.select(*needed), order, int(scenario.max_map_points))
+    ties = [F.col(k).asc_nulls_last() for k in tie_keys]
+    capped = top_n_by_score(scored.select(*needed), rc, ties, int(scenario.max_map_points))
     risk = fill_risk(rc)
     name = (F.col("supplier_name").cast("string") if "supplier_name" in scored.columns
             else F.lit(None).cast("string"))

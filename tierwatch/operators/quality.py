@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,6 +230,21 @@ def failing_groups(df: DataFrame, group: str, contract: Contract | None = None)
     return bad.distinct()
 
 
+def group_failures(df: DataFrame, group: str, contract: Contract | None = None) -> DataFrame:
+    """``failures`` of each group of rows by itself, with the group: an id is a
+    duplicate only where its own group repeats it."""
+    contract = contract or supplier_contract()
+    checks = _row_checks(df.drop(group), contract)
+    arr = F.array_compact(F.array(*[F.when(f, st) for f, st in checks]))
+    out = df.where(_any_failure(checks)).select(group, _key_col(df, contract).alias("supplier_id"), F.inline(arr))
+    for u in contract.unique:
+        again = df.where(F.col(u).isNotNull()).groupBy(group, u).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionByName(expand_counts(again).select(
+            group, F.col(u).cast("string").alias("supplier_id"), F.lit(u).alias("column"), F.lit("unique").alias("check"),
+            F.col(u).cast("string").alias("failure_case")))
+    return out
+
+
 def failures(df: DataFrame, contract: Contract | None = None) -> DataFrame:
     """Every failing value: (supplier_id, column, check, failure_case).
 
@@ -330,3 +345,33 @@ def gate(df: DataFrame, contract: Contract | None = None) -> DataFrame:
         df.unpersist()
         raise GateError(f"Supplier data failed schema validation: {n} error(s).", cases)
     return df
+
+
+def gate_write(df: DataFrame, path: str, contract: Contract | None = None) -> DataFrame:
+    """``gate`` into a table: the batch is written to ``<path>.staged`` while its
+    failing values are counted on the way (``observe``), and takes the place of
+    ``path`` only if it passes.  The input is read once and nothing is kept in
+    memory; ids are counted from the staged table's one column.  A rejected
+    batch stays staged, and the failures are read from there."""
+    contract = contract or supplier_contract()
+    spark = df.sparkSession
+    staged = path.rstrip("/") + ".staged"
+    seen = Observation("gate")
+    try:
+        (df.observe(seen, F.coalesce(F.sum(_row_failure_count(df, contract)), F.lit(0)).cast("bigint").alias("bad"))
+         .write.mode("overwrite").parquet(staged))
+    except Exception as exc:  # noqa: BLE001 - any materialisation error
+        raise GateError("Supplier data could not be materialised for validation.") from exc
+    table = spark.read.schema(df.schema).parquet(staged)
+    n = len(schema_failures(df, contract)) + int(seen.get["bad"])
+    for u in contract.unique:
+        if u in df.columns:
+            n += int(duplicate_keys(table, u).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    if n:
+        raise GateError(f"Supplier data failed schema validation: {n} error(s).", failures(table, contract))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(staged), hadoop(path)):
+        raise GateError("The accepted batch could not be published.")
+    return spark.read.schema(df.schema).parquet(path)

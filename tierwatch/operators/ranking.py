@@ -58,3 +58,23 @@ def top_n(df: DataFrame, order: list, n: int, ordered: bool = False) -> DataFram
     (each task keeps its first n rows).  ``ordered`` is kept for callers that
     rely on the order of the result, which a top-k always has."""
     return df.orderBy(*order).limit(n)
+
+
+HISTOGRAM = 4096
+
+
+def top_n_by_score(df: DataFrame, score: str, ties: list, n: int) -> DataFrame:
+    """Exact first ``n`` rows by ``score`` (a double, falling, nulls last, NaN
+    first) and ``ties``, for an n that may be large.
+
+    Scores are counted in bins of [0, 1] (what lies beyond, NaN and null have
+    bins of their own); the bin that holds the n-th row is a scalar subquery,
+    and only rows from that bin on are sorted: about n rows in all reach the
+    last task, not n of every task.  No job runs while the query is built."""
+    x = F.col(score)
+    bin_of = (F.when(x.isNull(), F.lit(-2)).when(F.isnan(x), F.lit(HISTOGRAM + 1))
+              .otherwise(F.floor(F.least(F.greatest(x, F.lit(-1.0 / HISTOGRAM)), F.lit(1.0)) * HISTOGRAM))).cast("int")
+    counts = df.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))          # <= HISTOGRAM + 4 rows
+    upto = counts.select("bin", F.sum("n").over(Window.orderBy(F.desc("bin"))).alias("upto"))
+    last = upto.where(F.col("upto") >= n).agg(F.coalesce(F.max("bin"), F.lit(-2))).scalar()
+    return df.where(bin_of >= last).orderBy(x.desc_nulls_last(), *ties).limit(n)

@@ -459,6 +459,9 @@ def new_files(spark, sf_dir):
     return incremental.new_files(hashes, ledger).select("doc_id", "length", "content_sha256")
 
 
+UPLOADS = 48
+
+
 @register("stream_suppliers")
 def stream_suppliers(spark, sf_dir):
     root = scratch_dir(spark, "uploads")
@@ -471,8 +474,12 @@ def stream_suppliers(spark, sf_dir):
     text(good).write.option("header", True).mode("append").csv(src)
     q = streams.stream_suppliers(spark, src, sinks, ckpt, Scenario(), tables.AS_OF)
     q.awaitTermination()
-    # the second upload comes as eight files, dealt by the key; each is judged by itself
-    text(faulty_suppliers(spark, sf_dir).repartition(8, "s_suppkey")).write.option("header", True).mode("append").csv(src)
+    # the second comes as one file for each remainder: some with another order
+    # of columns, some without the tier; each is judged by itself
+    faulty = faulty_suppliers(spark, sf_dir).withColumn("upload", F.col("s_suppkey") % UPLOADS)
+    for i, names in enumerate((SUPPLIER_OUT, SUPPLIER_OUT[::-1], [c for c in SUPPLIER_OUT if c != "tier"])):
+        part = faulty.where(F.col("upload") % 3 == i).select(*[F.col(c).cast("string") for c in names], "upload")
+        part.repartition(UPLOADS, "upload").write.option("header", True).mode("append").partitionBy("upload").csv(src)
     q = streams.stream_suppliers(spark, src, sinks, ckpt, Scenario(), tables.AS_OF)
     q.awaitTermination()
     scored = spark.read.parquet(sinks["scored"])
@@ -513,3 +520,85 @@ def retryable_errors(spark, sf_dir):
     logs_ = app_logs(spark, sf_dir).where(F.col("status").isNotNull())
     return (logs_.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("retryable", is_retryable("status")))
+
+
+# --- sources and rules by their own rows --------------------------------------
+
+from ..functions.text import row_json  # noqa: E402
+from ..sources import csv as csv_source  # noqa: E402
+
+
+@register("suppliers_from_csv")
+def suppliers_from_csv(spark, sf_dir):
+    """Dirty supplier files landed as CSV, read by header and cleaned."""
+    path = scratch_dir(spark, "suppliers-csv")
+    dirty = derived.dirty_text(tables.supplier_facts(spark, sf_dir, keep_key=True), "s_suppkey")
+    dirty.drop("s_suppkey").write.option("header", True).csv(path)
+    return rounded(cleanse.clean_suppliers(csv_source.read_suppliers(spark, path)))
+
+
+@register("clean_typed")
+def clean_typed(spark, sf_dir):
+    """Cleansing with a type override, on an input that lacks a column."""
+    dirty = derived.dirty_text(tables.supplier_facts(spark, sf_dir, keep_key=True), "s_suppkey").drop("longitude")
+    return rounded(cleanse.clean_suppliers(dirty, {"last_audit_date": "date"}))
+
+
+@register("sanctions_from_csv")
+def sanctions_from_csv(spark, sf_dir):
+    path = scratch_dir(spark, "sanctions-csv")
+    tables.sanctions_lists(spark, sf_dir).write.option("header", True).csv(path)
+    return rounded(screening.screen(tables.supplier_facts(spark, sf_dir), csv_source.read_sanctions(spark, path)))
+
+
+@register("schema_failures")
+def schema_failures(spark, sf_dir):
+    """A batch without the tier, with one column too many and one of another type."""
+    facts = tables.supplier_facts(spark, sf_dir).drop("tier")
+    return quality.failures(facts.withColumn("audited_by", F.lit("x")).withColumn(
+        "annual_spend_usd", F.col("annual_spend_usd").cast("string")))
+
+
+@register("gate_written")
+def gate_written(spark, sf_dir):
+    """The rows that pass the rules, taken through the gate into a table."""
+    good, _ = quality.split(tables.supplier_facts(spark, sf_dir))
+    return rounded(quality.gate_write(good, scratch_dir(spark, "gated")))
+
+
+@register("map_points_unscored")
+def map_points_unscored(spark, sf_dir):
+    """Without a composite the raw risk score is drawn."""
+    return rounded(geo.map_points(tables.supplier_facts(spark, sf_dir)))
+
+
+@register("supplier_rows_json")
+def supplier_rows_json(spark, sf_dir):
+    """Supplier rows as the prompt shows them, numbers in their shortest form."""
+    facts = tables.supplier_facts(spark, sf_dir).select(*SUPPLIER_OUT)
+    return facts.select("supplier_id", row_json(facts).alias("row_json"), narrative.row_tokens(facts).alias("tokens"))
+
+
+@register("worst_hour_payloads")
+def worst_hour_payloads(spark, sf_dir):
+    """Hourly forecasts as landed JSON documents, one a location."""
+    obs = ev.weather_observations(tables.load(spark, sf_dir, "events"))
+    hours = F.array_sort(F.collect_list(F.struct("hour", "event_id", "wind", "precip", "temp", "code")))
+    by_place = obs.groupBy("location_id").agg(hours.alias("h"))
+    hourly = F.struct(F.col("h.temp").alias("temperature_2m"), F.col("h.wind").alias("windspeed_10m"),
+                      F.col("h.precip").alias("precipitation_probability"), F.col("h.code").alias("weathercode"))
+    payloads = by_place.select("location_id", F.to_json(F.struct(hourly.alias("hourly")), {"ignoreNullFields": "false"}).alias("payload"))
+    return rounded(weather.worst_hour_arrays(weather.parse_weather(payloads)))
+
+
+SWEEP = (Scenario(), Scenario(weighting="financial_heavy"))
+
+
+@register("scenario_work")
+def scenario_work(spark, sf_dir):
+    """What a change of scenario leaves to do: suppliers stand for uploads, of
+    which every third has been scored under the first scenario."""
+    ids = tables.supplier_facts(spark, sf_dir, keep_key=True).select("s_suppkey", "supplier_id")
+    work = [ids.select(*incremental.result_keys(F.sha2("supplier_id", 256), sc)) for sc in SWEEP]
+    done = ids.where(F.col("s_suppkey") % 3 == 0).select(*incremental.result_keys(F.sha2("supplier_id", 256), SWEEP[0]))
+    return incremental.pending(work[0].unionByName(work[1]), done, ["upload_sha256", "scenario_key"])

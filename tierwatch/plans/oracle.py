@@ -20,7 +20,7 @@ def _sql_text(s: str) -> str:
 
 PROFILE_CTE = f"""
 sup_geo AS (
-  SELECT s.s_suppkey, s.s_name,
+  SELECT s.s_suppkey, s.s_name, s.s_nationkey,
     CASE WHEN r.r_name = 'ASIA' THEN 'APAC'
          WHEN r.r_name = 'AMERICA' AND n.n_nationkey % 2 = 0 THEN 'NA'
          WHEN r.r_name = 'AMERICA' THEN 'LATAM'
@@ -33,9 +33,9 @@ supplier_profile AS (
   SELECT s_suppkey,
     printf('SUP-%06d', s_suppkey) AS supplier_id,
     s_name AS supplier_name,
-    (s_suppkey % 100) / 100.0e0 AS risk_score,
-    ((s_suppkey * 7919) % 18000) / 100.0e0 - 90.0e0 AS latitude,
-    ((s_suppkey * 7919) % 36000) / 100.0e0 - 180.0e0 AS longitude,
+    ((s_suppkey * 37 + s_nationkey * 11) % 128) / 128.0e0 AS risk_score,
+    65.0e0 - s_nationkey * 4 - (s_suppkey % 16) / 8.0e0 AS latitude,
+    s_nationkey * 12 + (s_suppkey % 64) / 8.0e0 - 140.0e0 AS longitude,
     region,
     CAST((s_suppkey // 7) % 4 + 1 AS BIGINT) AS tier,
     CASE WHEN s_suppkey % 10 = 0 THEN NULL
@@ -775,3 +775,89 @@ rows_ AS (SELECT r.conv_id, r.chunk_id, r.turn, c.row_json
 SELECT conv_id, chunk_id, CAST(count(*) AS BIGINT) AS n_rows,
   {_sql_text(C.NARRATIVE_PROMPT)} || '[' || string_agg(row_json, ', ' ORDER BY turn) || ']' || chr(10) AS prompt
 FROM rows_ GROUP BY conv_id, chunk_id"""
+
+
+# --- sources and rules by their own rows --------------------------------------
+
+_CLEANED = f"""WITH {FACTS_KEYED_CTE},
+dirty AS ({dirty_sql('supplier_facts', 's_suppkey')}),
+cleaned AS ({clean_sql('dirty', 's_suppkey')})"""
+
+ORACLE["suppliers_from_csv"] = f"{_CLEANED} SELECT {_CLEAN_OUT.format(k='').lstrip(', ')} FROM cleaned"
+
+ORACLE["clean_typed"] = f"""{_CLEANED}
+SELECT s_suppkey, supplier_id, supplier_name, {R6('risk_score')}, {R6('latitude')}, region, tier,
+  {R6('annual_spend_usd')}, TRY_CAST(last_audit_date AS DATE) AS last_audit_date FROM cleaned"""
+
+ORACLE["sanctions_from_csv"] = ORACLE["sanctions_screen"]
+
+ORACLE["schema_failures"] = f"""WITH {FACTS_CTE}
+SELECT CAST(NULL AS VARCHAR) AS supplier_id, c AS "column", k AS "check", v AS failure_case
+FROM (VALUES ('tier', 'column_in_dataframe', 'tier'), ('annual_spend_usd', 'dtype(''double'')', 'string'),
+             ('audited_by', 'column_in_schema', 'audited_by')) AS t(c, k, v)"""
+
+ORACLE["gate_written"] = f"""WITH {FACTS_CTE}
+SELECT supplier_id, supplier_name, {R6('risk_score')}, {R6('latitude')}, {R6('longitude')},
+  region, tier, {R6('annual_spend_usd')}, last_audit_date FROM supplier_facts WHERE NOT ({_row_bad()})"""
+
+ORACLE["map_points_unscored"] = f"""WITH {FACTS_CTE},
+capped AS (SELECT *, risk_score AS composite_risk FROM supplier_facts ORDER BY risk_score DESC NULLS LAST, supplier_id LIMIT 50000)
+{map_select('capped')}"""
+
+
+def _json_sql(c: str, text: bool) -> str:
+    value = f"CAST(to_json({c}) AS VARCHAR)" if text else f"CAST({c} AS VARCHAR)"
+    return f"""'"{c}": ' || COALESCE({value}, 'null')"""
+
+
+_FACT_JSON = " || ', ' || ".join(_json_sql(c, c in C.STRING_COLUMNS) for c in C.SUPPLIER_COLUMNS)
+
+ORACLE["supplier_rows_json"] = f"""WITH {FACTS_CTE},
+j AS (SELECT supplier_id, '{{' || {_FACT_JSON} || '}}' AS row_json FROM supplier_facts)
+SELECT supplier_id, row_json, CAST(length(row_json) // 4 AS BIGINT) AS tokens FROM j"""
+
+ORACLE["worst_hour_payloads"] = f"""WITH {OBS_CTE},
+conditions(code, condition) AS (VALUES {_CONDITIONS}),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY hour, event_id) - 1 AS i FROM obs
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY COALESCE(wind, 0.0e0) DESC, i) AS rn FROM numbered
+),
+best AS (
+  SELECT location_id, CAST(i AS INTEGER) AS hour_index, COALESCE(temp, 20.0e0) AS temperature_c, COALESCE(wind, 0.0e0) AS wind_kmh,
+    COALESCE(precip, 0.0e0) AS precip_prob_pct, COALESCE(code, 0) AS weather_code
+  FROM ranked WHERE rn = 1
+)
+SELECT b.location_id, b.hour_index, round(b.temperature_c, 6) AS temperature_c, round(b.wind_kmh, 6) AS wind_kmh,
+  round(b.precip_prob_pct, 6) AS precip_prob_pct, b.weather_code,
+  COALESCE(c.condition, '{C.CONDITION_UNKNOWN}') AS condition, {risk_sql('b.wind_kmh', 'b.precip_prob_pct')} AS risk_level
+FROM best b LEFT JOIN conditions c ON b.weather_code = c.code"""
+
+
+def _scenario_work_sql() -> str:
+    from ..scenario import Scenario
+    from ..streaming.incremental import scenario_key
+    first, second = scenario_key(Scenario()), scenario_key(Scenario(weighting="financial_heavy"))
+    return f"""SELECT sha256(printf('SUP-%06d', s_suppkey)) AS upload_sha256, k AS scenario_key
+FROM supplier, (VALUES ('{first}'), ('{second}')) AS t(k) WHERE NOT (s_suppkey % 3 = 0 AND k = '{first}')"""
+
+
+ORACLE["scenario_work"] = _scenario_work_sql()
+
+_GATED = ", ".join(C.SUPPLIER_COLUMNS)
+
+# Uploads of the second batch: one a remainder, every third without the tier column.
+ORACLE["stream_suppliers"] = f"""WITH {FAULTY_CTE},
+first_batch AS (SELECT {_GATED} FROM supplier_facts WHERE NOT ({_row_bad()})),
+landed AS (SELECT *, s_suppkey % 48 AS upload FROM faulty),
+bad AS (
+  SELECT upload FROM landed WHERE upload % 3 = 2 OR ({_row_bad()})
+  UNION SELECT upload FROM landed WHERE supplier_id IS NOT NULL GROUP BY upload, supplier_id HAVING count(*) > 1
+),
+second_batch AS (SELECT {_GATED} FROM landed WHERE upload NOT IN (SELECT upload FROM bad)),
+{components_cte('first_batch', TB.AS_OF, 'c1')},
+{components_cte('second_batch', TB.AS_OF, 'c2')},
+both_batches AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+scored AS (SELECT *, {composite_expr(C.WEIGHTS['balanced'])} AS composite_risk FROM both_batches)
+SELECT {SUPPLIER_SELECT} FROM scored"""

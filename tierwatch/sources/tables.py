@@ -66,9 +66,9 @@ def _profile_columns() -> tuple:
         k,
         supplier_code(k).alias("supplier_id"),
         F.col("s_name").alias("supplier_name"),
-        ((k % 100) / F.lit(100.0)).alias("risk_score"),
-        (((k * 7919) % 18000) / F.lit(100.0) - F.lit(90.0)).alias("latitude"),
-        (((k * 7919) % 36000) / F.lit(100.0) - F.lit(180.0)).alias("longitude"),
+        ((k * 37 + F.col("s_nationkey") * 11) % 128 / F.lit(128.0)).alias("risk_score"),
+        (F.lit(65.0) - F.col("s_nationkey") * 4 - k % 16 / F.lit(8.0)).alias("latitude"),
+        (F.col("s_nationkey") * 12 + k % 64 / F.lit(8.0) - F.lit(140.0)).alias("longitude"),
         _region_label().alias("region"),
         ((F.floor(k / 7) % 4) + 1).cast("bigint").alias("tier"),
         F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(audit).alias("last_audit_date"),

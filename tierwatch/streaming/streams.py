@@ -1,7 +1,7 @@
 """Structured Streaming jobs: supplier uploads and news feeds.
 
-``stream_suppliers``: CSV files landing in a folder -> clean -> quality gate
-per file (one upload) -> rows of accepted files scored, rejected files and
+``stream_suppliers``: CSV files landing in a folder (read by their own headers)
+-> clean -> quality gate per file (one upload) -> rows of accepted files scored, rejected files and
 their failure rows written to quarantine.  Writes go to a ``batch_id=<n>``
 folder with overwrite, so a replayed batch (after a failure) replaces its
 own output instead of duplicating it.
@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..operators import cleanse, news, quality, scoring
 from ..scenario import Scenario
+from ..sources.csv import FILE, header_failures, parse_uploads, upload_lines
 from ..sources.feeds import RSS_SCHEMA, normalise_items
 
-FILE = "_upload"              # the landed file a row came from
 SUPPLIER_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in C.SUPPLIER_COLUMNS])
 
 
@@ -31,9 +31,10 @@ def _batch_path(root: str, batch_id: int) -> str:
 
 
 def supplier_batch(df: DataFrame, batch_id: int, scenario: Scenario, as_of: str, sinks: dict,
-                   spend_max_value: float | None = None) -> None:
+                   spend_max_value: float | None = None, header_cases: DataFrame | None = None) -> None:
     """One micro-batch: clean, gate every file by itself (``FILE``; without
-    that column the batch is one upload), score the accepted rows.
+    that column the batch is one upload), score the accepted rows.  Files with
+    ``header_cases`` are rejected for these, whatever their rows hold.
 
     The financial normaliser is the max of the accepted rows unless a stored
     ``spend_max_value`` is passed, so scores of different batches are
@@ -42,11 +43,17 @@ def supplier_batch(df: DataFrame, batch_id: int, scenario: Scenario, as_of: str,
         df = df.withColumn(FILE, F.lit(""))
     cleaned = cleanse.clean_suppliers(df).persist()
     try:
-        bad = quality.failing_groups(cleaned, FILE).persist()
+        if header_cases is None:
+            header_cases = cleaned.select(FILE, F.lit("").alias("supplier_id"), F.lit("").alias("column"),
+                                          F.lit("").alias("check"), F.lit("").alias("failure_case")).limit(0)
+        mislabelled = header_cases.select(FILE).distinct()
+        judged = cleaned.join(mislabelled, FILE, "left_anti")
+        bad = quality.failing_groups(judged, FILE).unionByName(mislabelled).distinct().persist()
         rejected = cleaned.join(bad, FILE, "left_semi")
         accepted = cleaned.join(bad, FILE, "left_anti").drop(FILE)
         if not bad.isEmpty():
-            quality.failures(rejected.drop(FILE)).withColumn("batch_id", F.lit(batch_id)).write.mode(
+            cases = quality.group_failures(judged.join(bad, FILE, "left_semi"), FILE).unionByName(header_cases)
+            cases.withColumn("batch_id", F.lit(batch_id)).write.mode(
                 "overwrite").parquet(_batch_path(sinks["failures"], batch_id))
             rejected.write.mode("overwrite").parquet(_batch_path(sinks["rejected"], batch_id))
         if not accepted.isEmpty():
@@ -58,6 +65,19 @@ def supplier_batch(df: DataFrame, batch_id: int, scenario: Scenario, as_of: str,
         cleaned.unpersist()
 
 
+def upload_batch(lines: DataFrame, batch_id: int, scenario: Scenario, as_of: str, sinks: dict,
+                 spend_max_value: float | None = None) -> None:
+    """One micro-batch of landed lines: every file's columns are taken by its
+    own header, and a header without a column, or with one more, is a verdict
+    on that file alone."""
+    lines = lines.persist()
+    try:
+        rows, headers = parse_uploads(lines, C.SUPPLIER_COLUMNS)
+        supplier_batch(rows, batch_id, scenario, as_of, sinks, spend_max_value, header_failures(headers, C.SUPPLIER_COLUMNS))
+    finally:
+        lines.unpersist()
+
+
 def stream_suppliers(spark: SparkSession, source_dir: str, sinks: dict, checkpoint: str,
                      scenario: Scenario | None = None, as_of: str = "2001-12-31",
                      available_now: bool = True, spend_max_value: float | None = None,
@@ -67,14 +87,12 @@ def stream_suppliers(spark: SparkSession, source_dir: str, sinks: dict, checkpoi
     scenario = scenario or Scenario()
     if spend_max_path and spend_max_value is None:
         spend_max_value = scoring.load_spend_max(spark, spend_max_path)
-    reader = (spark.readStream.schema(SUPPLIER_TEXT_SCHEMA)
-              .option("header", True).option("enforceSchema", False))
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(source_dir).withColumn(FILE, F.col("_metadata.file_path"))
+    stream = upload_lines(reader, source_dir)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: supplier_batch(df, bid, scenario, as_of, sinks,
-                                                           spend_max_value))
+              .foreachBatch(lambda df, bid: upload_batch(df, bid, scenario, as_of, sinks, spend_max_value))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="30 seconds")
