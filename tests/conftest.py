@@ -46,8 +46,8 @@ def scenario_four(suppliers):
     financial components are 12/12, 6/12, 3/12 and 2/12."""
     e = math.e
     return suppliers([
-        ("SUP-FIN", "Harbour Finance", 0.05, 1.3, 103.8, "NA", 4, e ** 12 - 1, "2025-03-22"),
-        ("SUP-GEO", "Ridge Minerals", 0.45, 47.4, 19.1, "EMEA", 3, e ** 6 - 1, "2025-04-11"),
-        ("SUP-OPS", "Quay Assembly", 0.35, 45.5, -73.6, "NA", 1, e ** 3 - 1, "2025-05-21"),
-        ("SUP-STALE", "Dune Textiles", 0.25, -33.4, -70.7, "LATAM", 2, e ** 2 - 1, None),
+        ("SPEND-1", "Harbour Finance", 0.05, 1.3, 103.8, "NA", 4, e ** 12 - 1, "2025-03-22"),
+        ("PLACE-1", "Ridge Minerals", 0.45, 47.4, 19.1, "EMEA", 3, e ** 6 - 1, "2025-04-11"),
+        ("LEVEL-1", "Quay Assembly", 0.35, 45.5, -73.6, "NA", 1, e ** 3 - 1, "2025-05-21"),
+        ("AUDIT-1", "Dune Textiles", 0.25, -33.4, -70.7, "LATAM", 2, e ** 2 - 1, None),
     ])

@@ -18,9 +18,9 @@ def _ranking(df):
 
 
 @pytest.mark.parametrize("weighting,first", [
-    ("financial_heavy", "SUP-FIN"),
-    ("operational_heavy", "SUP-OPS"),
-    ("geopolitical_heavy", "SUP-GEO"),
+    ("financial_heavy", "SPEND-1"),
+    ("operational_heavy", "LEVEL-1"),
+    ("geopolitical_heavy", "PLACE-1"),
 ])
 def test_each_preset_puts_its_supplier_first(scenario_four, weighting, first):
     out = scoring.score(scenario_four, Scenario(weighting=weighting), AS_OF)
@@ -29,15 +29,15 @@ def test_each_preset_puts_its_supplier_first(scenario_four, weighting, first):
 
 def test_components_and_composite(scenario_four):
     out = _by_id(scoring.score(scenario_four, Scenario(), AS_OF))
-    fin = out["SUP-FIN"]
+    fin = out["SPEND-1"]
     assert fin["component_financial"] == pytest.approx(1.0)
-    assert out["SUP-GEO"]["component_financial"] == pytest.approx(0.5)
-    assert out["SUP-STALE"]["component_financial"] == pytest.approx(2 / 12)
-    assert out["SUP-OPS"]["component_operational"] == pytest.approx(1.0)
+    assert out["PLACE-1"]["component_financial"] == pytest.approx(0.5)
+    assert out["AUDIT-1"]["component_financial"] == pytest.approx(2 / 12)
+    assert out["LEVEL-1"]["component_operational"] == pytest.approx(1.0)
     assert fin["component_operational"] == pytest.approx(0.0)
-    assert out["SUP-GEO"]["component_geopolitical"] == pytest.approx(0.8)
+    assert out["PLACE-1"]["component_geopolitical"] == pytest.approx(0.8)
     assert fin["component_geopolitical"] == pytest.approx(0.3)        # NA is not a null token
-    assert out["SUP-STALE"]["component_audit_staleness"] == pytest.approx(1.0)
+    assert out["AUDIT-1"]["component_audit_staleness"] == pytest.approx(1.0)
     assert fin["component_audit_staleness"] == pytest.approx(100 / 730)
     w = C.WEIGHTS["balanced"]
     expect = sum(wi * fin[c] for wi, c in zip(w, C.COMPONENTS))
@@ -56,15 +56,15 @@ def test_composite_is_clamped(suppliers):
 
 def test_thresholds_are_inclusive(scenario_four):
     full = _by_id(scoring.score(scenario_four, Scenario(), AS_OF))
-    v = full["SUP-GEO"]["composite_risk"]
+    v = full["PLACE-1"]["composite_risk"]
     out = scoring.score(scenario_four, Scenario(min_risk_threshold=v, max_risk_threshold=v), AS_OF)
-    assert [r["supplier_id"] for r in out.collect()] == ["SUP-GEO"]
+    assert [r["supplier_id"] for r in out.collect()] == ["PLACE-1"]
 
 
 def test_region_filter_runs_without_threshold_filter(scenario_four):
     sc = Scenario(regions=("NA",), min_risk_threshold=0.99, max_risk_threshold=1.0)
     out = scoring.score(scenario_four, sc, AS_OF, apply_filters=False)
-    assert sorted(r["supplier_id"] for r in out.collect()) == ["SUP-FIN", "SUP-OPS"]
+    assert sorted(r["supplier_id"] for r in out.collect()) == ["SPEND-1", "LEVEL-1"]
 
 
 def test_empty_region_list_keeps_unknown_regions(suppliers):
@@ -77,7 +77,7 @@ def test_empty_region_list_keeps_unknown_regions(suppliers):
 def test_max_is_taken_before_filters(scenario_four):
     """Normalisation uses the whole input even when rows are filtered out."""
     out = _by_id(scoring.score(scenario_four, Scenario(regions=("EMEA",)), AS_OF))
-    assert out["SUP-GEO"]["component_financial"] == pytest.approx(0.5)
+    assert out["PLACE-1"]["component_financial"] == pytest.approx(0.5)
 
 
 def test_null_nan_and_bad_dates(suppliers):
@@ -101,8 +101,8 @@ def test_sweep_and_rank(scenario_four):
     by_w = {}
     for r in rows:
         by_w.setdefault(r["weighting"], []).append((r["scenario_rank"], r["supplier_id"]))
-    assert sorted(by_w["financial_heavy"])[0][1] == "SUP-FIN"
-    assert sorted(by_w["operational_heavy"])[0][1] == "SUP-OPS"
+    assert sorted(by_w["financial_heavy"])[0][1] == "SPEND-1"
+    assert sorted(by_w["operational_heavy"])[0][1] == "LEVEL-1"
     for w, ranks in by_w.items():
         assert sorted(x for x, _ in ranks) == [1, 2, 3, 4]
 
@@ -163,7 +163,7 @@ def test_spend_max_snapshot(spark, scenario_four, tmp_path):
     path = scoring.store_spend_max(scenario_four, str(tmp_path / "snap"))
     snap = scoring.load_spend_max(spark, path)
     assert snap == pytest.approx(12.0)
-    one = scenario_four.where("supplier_id = 'SUP-GEO'")
+    one = scenario_four.where("supplier_id = 'PLACE-1'")
     alone = scoring.score(one, Scenario(), AS_OF).first()["component_financial"]
     fixed = scoring.score(one, Scenario(), AS_OF, spend_max_value=snap).first()["component_financial"]
     assert alone == pytest.approx(1.0)                         # its own max

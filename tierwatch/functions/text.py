@@ -96,9 +96,11 @@ def number_text(col) -> Column:
     """A double in the shortest form that reads back as itself: plain between
     1e-4 and 1e16, else with an exponent of two digits or more."""
     x = _c(col).cast("double")
-    forms = [F.format_string(f"%.{p}e", x) for p in (14, 15, 16)]
-    back = [f.try_cast("double") == x for f in forms]
-    form = F.when(back[0], forms[0]).when(back[1], forms[1]).otherwise(forms[2])
+    def shortest(places):
+        forms = [F.format_string(f"%.{p}e", x) for p in places]
+        return F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in forms[:-1]], forms[-1])
+    # numbers below the normal range have few digits, the others show theirs among 15 places
+    form = F.when(F.abs(x) < 2.3e-308, shortest(range(17))).otherwise(shortest((14, 15, 16)))
     sign = F.when(F.startswith(form, F.lit("-")), "-").otherwise("")
     digits = F.regexp_replace(F.regexp_replace(F.substring_index(form, "e", 1), "[-.]", ""), "(?<=.)0+$", "")
     power = F.substring_index(form, "e", -1).cast("int")

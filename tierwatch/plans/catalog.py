@@ -602,3 +602,26 @@ def scenario_work(spark, sf_dir):
     work = [ids.select(*incremental.result_keys(F.sha2("supplier_id", 256), sc)) for sc in SWEEP]
     done = ids.where(F.col("s_suppkey") % 3 == 0).select(*incremental.result_keys(F.sha2("supplier_id", 256), SWEEP[0]))
     return incremental.pending(work[0].unionByName(work[1]), done, ["upload_sha256", "scenario_key"])
+
+
+SESSION_TTL = 12 * 3600
+
+
+@register("session_stages")
+def session_stages(spark, sf_dir):
+    """Stages that users' sessions have to do again: purchases stand for
+    uploads, signups for scenarios, all other events ask for news.  The events
+    land in three parts, and state goes on from one to the next."""
+    from ..streaming import sessions
+    root = scratch_dir(spark, "sessions")
+    e = tables.load(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "upload").when(F.col("event_type") == "signup", "scenario").otherwise("news")
+    value = (F.when(kind == "upload", F.concat(F.lit("h"), (F.floor("value") % 2).cast("string")))
+             .when(kind == "scenario", F.when(F.col("event_id") % 2 == 0, "balanced").otherwise("financial_heavy")))
+    landed = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").cast("bigint").alias("seq"),
+                      F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), value.alias("value"))
+    day = F.dayofmonth("at")
+    for part in (landed.where(day <= 10), landed.where((day > 10) & (day <= 20)), landed.where(day > 20)):
+        part.write.mode("append").parquet(f"{root}/landing")
+        sessions.stream_sessions(spark, f"{root}/landing", f"{root}/work", f"{root}/_checkpoint", SESSION_TTL).awaitTermination()
+    return spark.read.schema(sessions.OUT_SCHEMA).parquet(f"{root}/work")

@@ -861,3 +861,28 @@ second_batch AS (SELECT {_GATED} FROM landed WHERE upload NOT IN (SELECT upload
 both_batches AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
 scored AS (SELECT *, {composite_expr(C.WEIGHTS['balanced'])} AS composite_risk FROM both_batches)
 SELECT {SUPPLIER_SELECT} FROM scored"""
+
+ORACLE["session_stages"] = f"""WITH RECURSIVE ev AS (
+  SELECT *, row_number() OVER (PARTITION BY session ORDER BY moment, seq) AS rn FROM (
+    SELECT CAST(user_id AS VARCHAR) AS session, CAST(event_id AS BIGINT) AS seq, ts AS moment,
+      CASE event_type WHEN 'purchase' THEN 'upload' WHEN 'signup' THEN 'scenario' ELSE 'news' END AS kind,
+      CASE event_type WHEN 'purchase' THEN 'h' || CAST(CAST(floor(value) AS BIGINT) % 2 AS VARCHAR)
+        WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'balanced' ELSE 'financial_heavy' END END AS value
+    FROM events)
+),
+fold AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS upload,
+    CAST(NULL AS VARCHAR) AS scenario, CAST(NULL AS TIMESTAMP) AS fetched, CAST([] AS VARCHAR[]) AS stages FROM ev
+  UNION ALL
+  SELECT e.session, e.rn, e.seq,
+    CASE WHEN e.kind = 'upload' AND e.value IS NOT NULL THEN e.value ELSE f.upload END,
+    CASE WHEN e.kind = 'scenario' THEN e.value ELSE f.scenario END,
+    CASE WHEN e.kind = 'upload' AND e.value IS NOT NULL AND e.value IS DISTINCT FROM f.upload THEN NULL
+         WHEN e.kind = 'news' AND (f.fetched IS NULL OR e.moment - f.fetched > INTERVAL {12 * 3600} SECOND) THEN e.moment ELSE f.fetched END,
+    CASE WHEN e.kind = 'upload' AND e.value IS NOT NULL AND e.value IS DISTINCT FROM f.upload THEN ['validate', 'score', 'text']
+         WHEN e.kind = 'scenario' AND e.value IS DISTINCT FROM f.scenario AND f.upload IS NOT NULL THEN ['score', 'text']
+         WHEN e.kind = 'news' AND (f.fetched IS NULL OR e.moment - f.fetched > INTERVAL {12 * 3600} SECOND) THEN ['news']
+         ELSE CAST([] AS VARCHAR[]) END
+  FROM fold f JOIN ev e ON e.session = f.session AND e.rn = f.rn + 1
+)
+SELECT session, seq, unnest(stages) AS stage FROM fold WHERE len(stages) > 0"""
