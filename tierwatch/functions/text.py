@@ -94,27 +94,33 @@ def json_text(col) -> Column:
 @column_cache
 def number_text(col) -> Column:
     """A double in the shortest form that reads back as itself: plain between
-    1e-4 and 1e16, else with an exponent of two digits or more."""
+    1e-4 and 1e16, else with an exponent of two digits or more.  Numbers below
+    the normal range (2.3e-308) may show more digits than they need, and of two
+    equally short forms it may be the other one (both read back as the number)."""
     x = _c(col).cast("double")
-    def shortest(places):
-        forms = [F.format_string(f"%.{p}e", x) for p in places]
-        return F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in forms[:-1]], forms[-1])
-    # numbers below the normal range have few digits, the others show theirs among 15 places
-    form = F.when(F.abs(x) < 2.3e-308, shortest(range(17))).otherwise(shortest((14, 15, 16)))
-    sign = F.when(F.startswith(form, F.lit("-")), "-").otherwise("")
+    forms = [F.format_string(f"%.{p}e", x) for p in (14, 15, 16)]
+    form = F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in forms[:-1]], forms[-1])
+    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
+    # a lambda's argument is computed once, however often it is used
+    return F.coalesce(special, F.element_at(F.transform(F.transform(F.array(form), _number_parts), _number_from_parts), 1))
+
+
+def _number_parts(form: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(F.substring_index(form, "e", 1), "[-.]", ""), "(?<=.)0+$", "")
-    power = F.substring_index(form, "e", -1).cast("int")
-    whole = F.rpad(F.substring(digits, 1, 17), power + 1, "0")
+    return F.struct(F.when(F.startswith(form, F.lit("-")), "-").otherwise("").alias("sign"), digits.alias("digits"),
+                    F.substring_index(form, "e", -1).cast("int").alias("power"))
+
+
+def _number_from_parts(n: Column) -> Column:
+    digits, power = n["digits"], n["power"]
     rest = F.substr(digits, power + 2)
-    plain = F.when(power >= 0, F.concat(whole, F.lit("."), F.when(F.length(rest) > 0, rest).otherwise("0"))).otherwise(
-        F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    plain = F.when(power >= 0, F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.when(F.length(rest) > 0, rest).otherwise("0"))
+                   ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
     tail = F.substring(digits, 2, 17)
+    size = F.abs(power).cast("string")
     exponent = F.concat(F.substring(digits, 1, 1), F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"),
-                        F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    exponent = F.when(F.abs(power) > 99, F.regexp_replace(exponent, "e([+-]).*$", F.concat(F.lit("e$1"), F.abs(power).cast("string")))
-                      ).otherwise(exponent)
-    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
-    return F.coalesce(special, F.concat(sign, F.when(power.between(-4, 15), plain).otherwise(exponent)))
+                        F.when(power < 0, "-").otherwise("+"), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
+    return F.concat(n["sign"], F.when(power.between(-4, 15), plain).otherwise(exponent))
 
 
 def row_json(df, cols: list[str] | None = None) -> Column:
