@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ from .mphash import PerfectHash
 BUCKETS = 256
 LEAF = 64            # blocks that one dense vector of counts adds up
 FAN = 16
-BLOCK = 4 << 20      # bytes of text in a block (one longer text is a block)
+BLOCK = 8 << 20      # bytes of text in a block (one longer text is a block)
 _BLANK_MARK = "▁"
+_OLD_LETTERS = "\u0250"       # below it all tables of letters and blanks agree
 
 _ASKED = "bucket int, block bigint, payload binary"
 _SIDE = "block bigint, kind int, part int, size bigint, payload binary, units binary"
@@ -54,6 +56,12 @@ _SIDE = "block bigint, kind int, part int, size bigint, payload binary, units bi
 
 # ------------------------------------------------------------------ the units
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def cut_units(raw: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Units of all texts, each text with a blank before it, and the number of
     units before each text.  Empty texts have none.  ``whole``: a text is a unit."""
@@ -76,7 +84,7 @@ def cut_units(raw: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[pa
                  | (b3 == 0xE2) & ((b2 == 0x80) | (b2 == 0x81))
                  | (b3 == 0xE3) & (b2 == 0x80))
         seen = (b1 > 32) & (b1 < 127) | (b1 >= 128) & ~white
-        starts = np.union1d(blank[seen], at[:-1][some])
+        starts = _distinct(np.concatenate((blank[seen], at[:-1][some])))
     bounds = np.append(starts, at[-1])
     units = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()),
                                                              pa.py_buffer(flat.tobytes())])
@@ -103,6 +111,27 @@ class _Spellings:
         return self.flat[ragged_index(self.start[ids], self.length[ids])]
 
 
+def _ranked(path: str):
+    """Encoder by ranks with the vocabulary of a byte-level file, several times
+    faster, or None where the file's merges aren't in the order of their ids."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    pre, bpe = model.get("pre_tokenizer") or {}, model["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in bpe.get("merges", ())]
+    made = [bpe["vocab"].get(x + y) for x, y in pairs]
+    plain = not model.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or None in made or made != sorted(made):
+        return None
+    spelled = _spelled_bytes()
+    special = {t["content"] for t in model.get("added_tokens", ())}
+    ranks = {bytes(spelled[c] for c in t): i for t, i in bpe["vocab"].items() if t not in special}
+    return tiktoken.Encoding("by ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Aligned:
     """The alignment of distinct units: counts, links and group texts of each."""
 
@@ -125,6 +154,7 @@ class Aligner:
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True                  # their strings are plain text
+        self.quick = _ranked(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         spelled = _spelled_bytes()
         entries = [b""] * (max(self.a.get_vocab().values()) + 1)
@@ -144,14 +174,17 @@ class Aligner:
     def units(self, raw: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         return cut_units(raw, off, self.crosses)
 
-    def _tokens(self, units: pa.Array):
-        strings = units.to_pylist()
-        a = [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
+    def _encode(self, strings: list[str]) -> tuple[list, list]:
+        a = [self.quick(s) if self.quick and max(s) < _OLD_LETTERS else None for s in strings]
+        rest = [i for i, ids in enumerate(a) if ids is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)):
+            a[i] = e.ids
         b = self.b.encode([s[1:] for s in strings], num_threads=1)        # B adds the blank
-        b = [ids if s != " " else [self.blank] for s, ids in zip(strings, b)]
-        return tuple(x for ids in (a, b) for x in (
-            np.fromiter((i for t in ids for i in t), np.int64, sum(map(len, ids))),
-            np.fromiter(map(len, ids), np.int64, len(ids))))
+        return a, [ids if s != " " else [self.blank] for s, ids in zip(strings, b)]
+
+    def _tokens(self, units: pa.Array):
+        return tuple(x for ids in self._encode(units.to_pylist()) for x in (
+            np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))))
 
     def align(self, units: pa.Array) -> Aligned:
         a, n_a, b, n_b = self._tokens(units)
@@ -174,7 +207,7 @@ class Aligner:
         n_a, n_b, size = n_a * good, n_b * good, size * good
         end_a, end_b, end = np.cumsum(self.a_bytes.length[a]), np.cumsum(self.b_bytes.length[b]), np.cumsum(size)
         # a piece of text between two neighbouring ends lies in one A and one B token: a link
-        ends = np.union1d(end_a, end_b)
+        ends = _distinct(np.concatenate((end_a, end_b)))
         links = (a[np.searchsorted(end_a, ends)] << 32) | b[np.searchsorted(end_b, ends)]
         link_off = np.concatenate(([0], np.searchsorted(ends, end, "right")))
         both = np.intersect1d(end_a, end_b, assume_unique=True)
@@ -217,7 +250,8 @@ class _Block:
         self.off = np.concatenate(([0], np.cumsum(count * ~bad)))
         ids = self.doc_id.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
         self.name = block_name(ids, self.off, self.codes, hash_strings(coded.dictionary))
-        pairs, self.link = np.unique(self.aligned.links, return_inverse=True)
+        pairs = _distinct(self.aligned.links)
+        self.link = np.searchsorted(pairs, self.aligned.links)
         bucket = (mix(pairs >> 32) % np.uint64(BUCKETS)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -229,13 +263,13 @@ class _Block:
     def documents(self) -> np.ndarray:
         """Number of the block's documents that hold each pair."""
         n = max(len(self.aligned.n_a), 1)
-        held = np.unique(self.doc * n + self.codes)               # (document, unit) once
+        held = _distinct(self.doc * n + self.codes)               # (document, unit) once
         doc, unit = held // n, held % n
         off = self.aligned.link_off
         size = off[unit + 1] - off[unit]
         pair = self.link[ragged_index(off[unit], size)]
         m = max(len(self.pairs), 1)
-        return np.bincount(np.unique(np.repeat(doc, size) * m + pair) % m, minlength=len(self.pairs))
+        return np.bincount(_distinct(np.repeat(doc, size) * m + pair) % m, minlength=len(self.pairs))
 
     def total(self, of_unit: np.ndarray) -> np.ndarray:
         """Sum of a number of each unit over every document."""
