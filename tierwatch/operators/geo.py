@@ -13,7 +13,9 @@ from .. import constants as C
 from ..functions.bands import fill_risk, risk_display, risk_radius, risk_rgb
 from ..functions.text import html_escape
 from ..scenario import Scenario
-from .ranking import top_n_by_score
+from .ranking import top_n, top_n_by_score
+
+FEW = 10_000        # rows that every task may send to the last one
 
 
 def risk_column(df: DataFrame) -> str:
@@ -28,7 +30,10 @@ def map_points(scored: DataFrame, scenario: Scenario | None = None,
     needed = [c for c in dict.fromkeys([rc, *tie_keys, "supplier_id", "supplier_name", "region",
                                         "latitude", "longitude"]) if c in scored.columns]
     ties = [F.col(k).asc_nulls_last() for k in tie_keys]
-    capped = top_n_by_score(scored.select(*needed), rc, ties, int(scenario.max_map_points))
+    n = int(scenario.max_map_points)
+    slim = scored.select(*needed)
+    capped = (top_n(slim, [F.col(rc).desc_nulls_last(), *ties], n) if n <= FEW
+              else top_n_by_score(slim, rc, ties, n))
     risk = fill_risk(rc)
     name = (F.col("supplier_name").cast("string") if "supplier_name" in scored.columns
             else F.lit(None).cast("string"))
