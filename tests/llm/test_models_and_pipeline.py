@@ -153,5 +153,5 @@ def test_ngram_join_decides_each_text_of_an_id(spark):
 def test_registered_queries_match_their_names():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
