@@ -64,7 +64,7 @@ def test_thresholds_are_inclusive(scenario_four):
 def test_region_filter_runs_without_threshold_filter(scenario_four):
     sc = Scenario(regions=("NA",), min_risk_threshold=0.99, max_risk_threshold=1.0)
     out = scoring.score(scenario_four, sc, AS_OF, apply_filters=False)
-    assert sorted(r["supplier_id"] for r in out.collect()) == ["SPEND-1", "LEVEL-1"]
+    assert sorted(r["supplier_id"] for r in out.collect()) == ["LEVEL-1", "SPEND-1"]
 
 
 def test_empty_region_list_keeps_unknown_regions(suppliers):

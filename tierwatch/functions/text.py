@@ -99,7 +99,7 @@ def number_text(col) -> Column:
     equally short forms it may be the other one (both read back as the number)."""
     x = _c(col).cast("double")
     forms = [F.format_string(f"%.{p}e", x) for p in (14, 15, 16)]
-    form = F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in forms[:-1]], forms[-1])
+    form = F.when(x.isNotNull(), F.coalesce(*[F.when(f.try_cast("double") == x, f) for f in forms[:-1]], forms[-1]))
     special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
     # a lambda's argument is computed once, however often it is used
     return F.coalesce(special, F.element_at(F.transform(F.transform(F.array(form), _number_parts), _number_from_parts), 1))
