@@ -3,7 +3,6 @@ import random
 
 import pytest
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tierwatch.operators import chunking, narrative, quality, report, scoring
@@ -26,22 +25,45 @@ def _greedy(tokens, budget):
     return out
 
 
-def test_slice_summaries_compose_like_the_serial_scan():
+def _random_pieces(rng):
+    """(budget, rows of several keys in order, the rows cut into pieces)"""
+    budget = rng.choice([1, 5, 10, 50])
+    rows = [(k, rng.choice([0, 0, 1, 2, 3, 7, 12, 60])) for k in "abc"[:rng.randint(1, 3)] for _ in range(rng.randint(1, 40))]
+    cuts = sorted(rng.sample(range(1, len(rows)), k=min(len(rows) - 1, rng.randint(0, 6)))) if len(rows) > 1 else []
+    return budget, rows, [rows[a:b] for a, b in zip([0] + cuts, cuts + [len(rows)])]
+
+
+def test_transfer_functions_compose_like_the_serial_scan():
     rng = random.Random(7)
-    for _ in range(300):
-        budget = rng.choice([1, 5, 10, 50])
-        t = [rng.choice([0, 0, 1, 2, 3, 7, 12, 60]) for _ in range(rng.randint(1, 40))]
-        expect = _greedy(t, budget)
-        cuts = sorted(rng.sample(range(1, len(t)), k=min(len(t) - 1, rng.randint(0, 4)))) if len(t) > 1 else []
-        bounds = [0] + cuts + [len(t)]
-        state, base, got = chunking.EMPTY, 0, []
-        for a, b in zip(bounds, bounds[1:]):
-            piece = np.array(t[a:b], dtype=np.int64)
-            got.extend(chunking.label_slice(piece, state, base, budget).tolist())
-            s = chunking.summarize_slice(piece, budget)
-            state, c = chunking.apply_summary(s, state, budget)
-            base += c
-        assert got == expect, (t, budget, bounds)
+    for _ in range(500):
+        budget, rows, pieces = _random_pieces(rng)
+        expect = [c for k in "abc" for c in _greedy([t for kk, t in rows if kk == k], budget)]
+        parts = [chunking.summarize([tuple(map(list, zip(*p[i:i + 3]))) for i in range(0, len(p), 3)], budget) for p in pieces]
+        carry, got = None, []
+        for piece, part in zip(pieces, parts):
+            keys, tokens = map(list, zip(*piece))
+            ids, end = chunking.label(keys, tokens, carry, budget)
+            carry = chunking.apply(part, carry, budget)
+            assert carry == end, (rows, budget)
+            got += ids
+        assert got == expect, (rows, budget)
+        while len(parts) > 1:                                   # any order of composing gives the same function
+            i = rng.randrange(len(parts) - 1)
+            parts[i:i + 2] = [chunking.compose(parts[i], parts[i + 1], budget)]
+        for state in range(budget + 2):
+            into = chunking.Carry(rows[0][0], state, 5)
+            assert chunking.apply(parts[0], into, budget) == chunking.label(*map(list, zip(*rows)), into, budget)[1]
+        assert len(parts[0].reach) <= budget + 2
+
+
+def test_one_key_over_a_tree_of_partitions(spark):
+    rng = random.Random(11)
+    rows = [(None if i % 997 == 0 else "x" * (i % 5), i, rng.choice([0, 1, 4, 9, 30]), "hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "text string, o int, t long, k string")
+    out = chunking.chunk(df, "k", "o", "t", budget=20, num_partitions=23, fan=3)
+    got = sorted((r["o"], r["chunk_id"], r["text"]) for r in out.collect())
+    assert [g[1] for g in got] == _greedy([r[2] for r in rows], 20) and [g[2] for g in got] == [r[0] for r in rows]
+    assert chunking.chunk(df.limit(0), "k", "o", "t", 20).collect() == []
 
 
 def test_chunk_on_spark_matches_serial(spark):

@@ -7,133 +7,209 @@ case it starts a new chunk; an oversized row therefore gets its own chunk.
 The rule is a left-to-right scan, so a key's rows cannot simply be split.
 Instead:
 
-1. range-partition on (key, order): every key is cut into slices of
-   bounded size, a hot key into many slices; the result is checkpointed so
-   the slice ids (partition ids) are fixed;
-2. each slice is summarised as a function *start state -> (end state,
-   chunk starts)*.  States above the budget all behave alike, so the
-   domain is 0..budget+1 plus "empty".  The function only depends on the
-   rows up to the first point where the slice alone overflows the budget,
-   plus the outcome of a fresh chunk starting at each of those rows, so
-   the summary holds at most min(rows, budget + 2) entries;
-3. per key, the slice summaries are folded in order (one summary per
-   slice, not the rows) -> start state and chunk offset of every slice;
-4. every slice is relabelled from its start state.
-
-Steps 2 and 4 run once per partition (``mapInPandas``), not once per key.
+1. range-partition on (key, order) and sort within partitions: a hot key
+   becomes many partitions; the result is checkpointed, so partitions and
+   their order are fixed;
+2. every partition is summarised as a transfer function *incoming carry ->
+   outgoing carry*, where a carry is (key, state, chunk number) of the row
+   before.  Only a partition that lies inside one key depends on its carry:
+   its function is a step function of the state (0..budget+1) with at most
+   budget + 2 steps.  Any other partition has a constant outcome;
+3. the functions compose associatively, so a tree of blocks of ``FAN``
+   partitions composes them upwards and hands the carries downwards: no task
+   sees more than FAN functions and the depth is the logarithm of the
+   partitions;
+4. every partition is relabelled from its carry.
+
+Steps 2 and 4 read Arrow batches one after the other and keep only the carry
+(step 2: and one step function) between them.  The rows are shuffled once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, ship_package
 
-EMPTY = -1
-
-
-def _next_start(t: np.ndarray, budget: int):
-    """prefix sums and, for a chunk starting at row j, the row where the
-    next chunk starts (>= len(t) when none)."""
-    m = len(t)
-    prefix = np.concatenate([[0], np.cumsum(t, dtype=np.int64)])  # prefix[i] = sum t[:i]
-    nxt = np.searchsorted(prefix, prefix[:-1] + budget, side="right") - 1
-    return prefix, np.maximum(nxt, np.arange(m) + 1)
-
-
-def _fresh_outcomes(t: np.ndarray, budget: int):
-    """For each row j: (end state, chunk starts after j) when a chunk starts
-    at j.  Backward recursion over the next chunk start."""
-    m = len(t)
-    prefix, nxt = _next_start(t, budget)
-    nxt_l, pre = nxt.tolist(), prefix.tolist()
-    end, cnt = [0] * m, [0] * m
-    cap, total = budget + 1, pre[m]
+#: Partitions or blocks that one task of the tree composes.
+FAN = 64
+
+
+class Carry(NamedTuple):
+    """The chunk of the row before: its key, its tokens so far (at most
+    budget + 1: states beyond the budget behave alike) and its number."""
+    key: str
+    state: int
+    chunk: int
+
+
+class Part(NamedTuple):
+    """Transfer function of consecutive rows.  ``last``, ``state`` and
+    ``chunk`` are the outcome when the first row starts a chunk.  When all
+    rows have one key, a chunk carried in with state s ends in front of step
+    k, the first whose ``reach`` exceeds budget - s; then the state is
+    ``ends[k]`` and ``starts[k]`` chunks have started.  Beyond all steps the
+    carried chunk goes on with ``total`` more tokens.  Rows of several keys
+    have no steps: their outcome is the same for every carry."""
+    first: str
+    last: str
+    state: int
+    chunk: int
+    total: int
+    reach: np.ndarray
+    ends: np.ndarray
+    starts: np.ndarray
+
+
+_NONE = np.empty(0, dtype=np.int64)
+
+
+def label(keys: list, tokens: list, carry: Carry | None, budget: int) -> tuple[list[int], Carry | None]:
+    """Chunk number of every row and the carry after the last one."""
+    key, state, chunk = carry or (None, 0, 0)
+    out = []
+    for k, t in zip(keys, tokens):
+        if k != key:
+            key, state, chunk = k, t, 0
+        elif state + t > budget:
+            state, chunk = t, chunk + 1
+        else:
+            state += t
+        state = min(state, budget + 1)
+        out.append(chunk)
+    return out, carry if key is None else Carry(key, state, chunk)
+
+
+def steps_of(key: str, tokens: list, budget: int) -> Part:
+    """The transfer function of rows of one key."""
+    t = np.asarray(tokens, dtype=np.int64)
+    m, cap = len(t), budget + 1
+    sums = np.concatenate([[0], np.cumsum(t)])
+    after = np.maximum(np.searchsorted(sums, sums[:-1] + budget, side="right") - 1, np.arange(1, m + 1)).tolist()
+    ends, starts = [0] * m, [1] * m                       # a chunk started at row j, backwards
     for j in range(m - 1, -1, -1):
-        k = nxt_l[j]
-        if k < m:
-            end[j] = end[k]
-            cnt[j] = cnt[k] + 1
+        n = after[j]
+        if n < m:
+            ends[j], starts[j] = ends[n], starts[n] + 1
         else:
-            end[j] = min(total - pre[j], cap)
-    return prefix, end, cnt
-
-
-def summarize_slice(t: np.ndarray, budget: int) -> dict:
-    prefix, end, cnt = _fresh_outcomes(t, budget)
-    m = len(t)
-    # Rows that can be the first chunk start for some start state: those
-    # up to and including the first row where the slice alone overflows.
-    over = int(np.searchsorted(prefix[1:], budget, side="right"))
-    w = min(m, over + 1)
-    return {
-        "win_prefix": prefix[1:w + 1].tolist(),   # sum t[:k+1]
-        "win_end": end[:w],
-        "win_cnt": cnt[:w],
-        "total": int(prefix[m]),
-        "empty_end": int(end[0]),
-        "empty_cnt": int(cnt[0]),
-    }
-
-
-def apply_summary(s: dict, state: int, budget: int) -> tuple[int, int]:
-    """(end state, chunk starts inside the slice) from ``state``."""
-    if state == EMPTY:
-        return int(s["empty_end"]), int(s["empty_cnt"])
-    win = np.asarray(s["win_prefix"], dtype=np.int64)
-    k = int(np.searchsorted(win, budget - state, side="right"))
-    if k < len(win):
-        return int(s["win_end"][k]), int(s["win_cnt"][k]) + 1
-    return min(state + int(s["total"]), budget + 1), 0
-
-
-def label_slice(t: np.ndarray, state: int, base: int, budget: int) -> np.ndarray:
-    """Chunk id of every row of a slice given its start state and offset:
-    follow the chain of chunk starts, then a cumulative sum."""
-    m = len(t)
-    prefix, nxt = _next_start(t, budget)
-    starts = np.zeros(m, dtype=np.int64)
-    if state == EMPTY:
-        k = int(nxt[0]) if m else m
+            ends[j] = min(int(sums[m] - sums[j]), cap)
+    return _part(key, key, ends[0], starts[0] - 1, int(sums[m]), sums[1:], np.array(ends), np.array(starts), budget)
+
+
+def _part(first, last, state, chunk, total, reach, ends, starts, budget) -> Part:
+    """Steps up to the first that every state takes, each outcome once."""
+    reach, at = np.unique(reach, return_index=True)       # of equal reaches only the first is ever taken
+    ends, starts = ends[at], starts[at]
+    w = int(np.searchsorted(reach, budget, side="right")) + 1
+    reach, ends, starts = reach[:w], ends[:w], starts[:w]
+    keep = np.ones(len(reach), dtype=bool)
+    keep[:-1] = (ends[1:] != ends[:-1]) | (starts[1:] != starts[:-1])
+    return Part(first, last, int(state), int(chunk), min(int(total), budget + 1), reach[keep], ends[keep], starts[keep])
+
+
+def _through(p: Part, states: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(states after, chunks started) for chunks of p's key carried in."""
+    at = np.searchsorted(p.reach, budget - states, side="right")
+    hit = at < len(p.reach)
+    at = np.minimum(at, len(p.reach) - 1)
+    return (np.where(hit, p.ends[at], np.minimum(states + p.total, budget + 1)), np.where(hit, p.starts[at], 0))
+
+
+def apply(p: Part, carry: Carry | None, budget: int) -> Carry:
+    if carry is None or carry.key != p.first or not len(p.reach):
+        return Carry(p.last, p.state, p.chunk)
+    state, started = _through(p, np.array([carry.state]), budget)
+    return Carry(p.last, int(state[0]), carry.chunk + int(started[0]))
+
+
+def compose(a: Part, b: Part, budget: int) -> Part:
+    """The transfer function of a's rows followed by b's."""
+    out = apply(b, Carry(a.last, a.state, a.chunk), budget)
+    if not (len(a.reach) and len(b.reach) and a.first == b.first):
+        return Part(a.first, out.key, out.state, out.chunk, 0, _NONE, _NONE, _NONE)
+    ends, started = _through(b, a.ends, budget)
+    reach, starts = a.reach, a.starts + started
+    if a.total <= budget:                                  # small states pass a: then b's steps decide
+        reach = np.concatenate([reach, a.total + b.reach])
+        ends, starts = np.concatenate([ends, b.ends]), np.concatenate([starts, b.starts])
+    return _part(a.first, out.key, out.state, out.chunk, a.total + b.total, reach, ends, starts, budget)
+
+
+def summarize(batches, budget: int) -> Part | None:
+    """The transfer function of (keys, tokens) batches in order."""
+    whole = carry = None
+    for keys, tokens in batches:
+        if not keys:
+            continue
+        if (whole is None or len(whole.reach)) and keys[0] == keys[-1]:
+            part = steps_of(keys[0], tokens, budget)
+        else:                                              # several keys: only the outcome counts
+            out = label(keys, tokens, None, budget)[1]
+            part = Part(keys[0], out.key, out.state, out.chunk, 0, _NONE, _NONE, _NONE)
+        carry = label(keys, tokens, carry, budget)[1]
+        whole = part if whole is None else compose(whole, part, budget)._replace(
+            last=carry.key, state=carry.state, chunk=carry.chunk)
+    return whole
+
+
+_PART_SCHEMA = ("_pid int, first string, last string, state bigint, chunk bigint, total bigint, "
+                "reach array<bigint>, ends array<bigint>, starts array<bigint>")
+_CARRY_SCHEMA = "_pid int, c_key string, c_state bigint, c_chunk bigint"
+
+
+def _part_rows(pids, parts) -> pd.DataFrame:
+    return pd.DataFrame([(pid, *p) for pid, p in zip(pids, parts)], columns=["_pid", *Part._fields])
+
+
+def _parts(pdf: pd.DataFrame) -> Iterator[tuple[int, Part]]:
+    for row in pdf.sort_values("_pid")[["_pid", *Part._fields]].itertuples(index=False, name=None):
+        yield row[0], Part(*row[1:6], *(np.asarray(x, dtype=np.int64) for x in row[6:]))
+
+
+def _block(level: DataFrame, fan: int) -> DataFrame:
+    return level.withColumn("_block", F.floor(F.col("_pid") / fan).cast("int"))
+
+
+def _carries(level: DataFrame, n: int, budget: int, fan: int) -> DataFrame:
+    """(_pid, carry into it) for all but the first of n transfer functions."""
+
+    def up(key, pdf):
+        whole = None
+        for _, p in _parts(pdf):
+            whole = p if whole is None else compose(whole, p, budget)
+        return _part_rows([key[0]], [whole])
+
+    def down(key, pdf, into):
+        carry, out = None, []
+        if len(into):
+            carry = Carry(into["c_key"].iloc[0], int(into["c_state"].iloc[0]), int(into["c_chunk"].iloc[0]))
+        for pid, p in _parts(pdf):
+            if carry is not None:
+                out.append((pid, *carry))
+            carry = apply(p, carry, budget)
+        return pd.DataFrame(out, columns=["_pid", "c_key", "c_state", "c_chunk"])
+
+    if n > fan:                                            # read twice: upwards and downwards
+        level = level.checkpoint(eager=False)
+        blocks = _block(level, fan).groupBy("_block").applyInPandas(up, _PART_SCHEMA)
+        into = _carries(blocks, -(-n // fan), budget, fan)
     else:
-        k = int(np.searchsorted(prefix[1:], budget - state, side="right"))
-    nxt_l = nxt.tolist()
-    while k < m:
-        starts[k] = 1
-        k = nxt_l[k]
-    return base + np.cumsum(starts)
-
-
-_SUMMARY_SCHEMA = T.StructType([
-    T.StructField("_key", T.StringType()),
-    T.StructField("_pid", T.IntegerType()),
-    T.StructField("win_prefix", T.ArrayType(T.LongType())),
-    T.StructField("win_end", T.ArrayType(T.LongType())),
-    T.StructField("win_cnt", T.ArrayType(T.LongType())),
-    T.StructField("total", T.LongType()),
-    T.StructField("empty_end", T.LongType()),
-    T.StructField("empty_cnt", T.LongType()),
-])
-_START_SCHEMA = T.StructType([
-    T.StructField("_key", T.StringType()),
-    T.StructField("_pid", T.IntegerType()),
-    T.StructField("_start", T.LongType()),
-    T.StructField("_base", T.LongType()),
-])
-
-
-def _whole_partition(batches) -> pd.DataFrame | None:
-    """All Arrow batches of one (bounded) partition as one frame."""
-    frames = [b for b in batches if len(b)]
-    return pd.concat(frames, ignore_index=True) if frames else None
+        into = level.sparkSession.createDataFrame([], _CARRY_SCHEMA)
+    # a block without carry still hands one from member to member
+    return (_block(level, fan).groupBy("_block").cogroup(into.groupBy("_pid"))
+            .applyInPandas(lambda key, pdf, c: down(key, pdf, c), _CARRY_SCHEMA))
 
 
 def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
-          name: str = "chunk_id", num_partitions: int | None = None) -> DataFrame:
+          name: str = "chunk_id", num_partitions: int | None = None, fan: int = FAN) -> DataFrame:
     """``df`` plus ``name``: the 0-based chunk index of each row within its key."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -142,66 +218,44 @@ def chunk(df: DataFrame, key: str, order: str, tokens: str, budget: int,
     # Internal key, never null: "v" + key, or "n" for a null key.
     ikey = F.when(F.col(key).isNull(), F.lit("n")).otherwise(
         F.concat(F.lit("v"), F.col(key).cast("string")))
+    by = [F.col("_key").asc_nulls_last(), F.col(order).asc_nulls_last()]
     ranged = (df.withColumn("_key", ikey)
               .withColumn("_tok", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
-              .repartitionByRange(n, F.col("_key").asc_nulls_last(), F.col(order).asc_nulls_last())
+              .repartitionByRange(n, *by).sortWithinPartitions(*by)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
 
-    def summarize(batches):
-        pdf = _whole_partition(batches)
-        if pdf is None:
-            return
-        pdf = pdf.sort_values(["_key", "_ord"], kind="mergesort")
-        rows = []
-        for k, g in pdf.groupby("_key", sort=False, dropna=False):
-            s = summarize_slice(g["_tok"].to_numpy(dtype=np.int64), budget)
-            rows.append({"_key": k, "_pid": int(g["_pid"].iloc[0]), **s})
-        yield pd.DataFrame(rows)
-
-    summaries = (ranged.select("_key", "_pid", F.col(order).alias("_ord"), "_tok")
-                 .mapInPandas(summarize, _SUMMARY_SCHEMA))
-
-    def fold(batches):
-        pdf = _whole_partition(batches)
-        if pdf is None:
-            return
-        pdf = pdf.sort_values(["_key", "_pid"], kind="mergesort")
-        out = []
-        for k, g in pdf.groupby("_key", sort=False, dropna=False):
-            state, base = EMPTY, 0
-            for rec in g.to_dict("records"):
-                out.append((k, rec["_pid"], state, base))
-                state, c = apply_summary(rec, state, budget)
-                base += c
-        yield pd.DataFrame(out, columns=["_key", "_pid", "_start", "_base"])
-
-    # One small record per slice; all slices of a key meet in one partition.
-    starts = (summaries.repartition(n, "_key").mapInPandas(fold, _START_SCHEMA))
-
-    # Each slice has exactly one start record, so whatever join the planner
-    # picks (broadcast either way, or a shuffle on the slice key) keeps all
-    # rows of a slice inside one partition.
-    joined = ranged.join(starts, ["_key", "_pid"], "inner")
-
-    out_schema = T.StructType([f for f in joined.schema.fields
-                               if f.name not in ("_start", "_base", "_tok")]
-                              + [T.StructField(name, T.LongType())])
-    cols = [f.name for f in out_schema.fields]
+    def summary(batches):
+        pid = []
+
+        def columns():
+            for b in batches:
+                pid[:] = b["_pid"].to_pylist()[:1] or pid
+                yield b["_key"].to_pylist(), b["_tok"].to_pylist()
+        part = summarize(columns(), budget)
+        if part is not None:
+            yield pa.RecordBatch.from_pandas(_part_rows(pid, [part]), schema=to_arrow, preserve_index=False)
+
+    lists = pa.list_(pa.int64())
+    to_arrow = pa.schema([("_pid", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("state", pa.int64()),
+                          ("chunk", pa.int64()), ("total", pa.int64()), ("reach", lists), ("ends", lists), ("starts", lists)])
+    parts = ranged.select("_pid", "_key", "_tok").mapInArrow(summary, _PART_SCHEMA)
+
+    # At most one carry a partition, so its size is bounded by their number; a
+    # broadcast join leaves partitions and their order as they are.
+    joined = ranged.join(F.broadcast(_carries(parts, n, budget, fan)), "_pid", "left")
+    kept = [*df.columns]
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def relabel(batches):
-        pdf = _whole_partition(batches)
-        if pdf is None:
-            return
-        pdf = pdf.sort_values(["_key", "_pid", order], kind="mergesort")
-        labels = np.empty(len(pdf), dtype=np.int64)
-        pos = 0
-        for _, g in pdf.groupby(["_key", "_pid"], sort=False, dropna=False):
-            labels[pos:pos + len(g)] = label_slice(
-                g["_tok"].to_numpy(dtype=np.int64), int(g["_start"].iloc[0]),
-                int(g["_base"].iloc[0]), budget)
-            pos += len(g)
-        pdf[name] = labels
-        yield pdf[cols]
-
-    return joined.mapInPandas(relabel, out_schema).drop("_key", "_pid")
+        carry = begun = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if not begun:
+                begun, got = True, [b[c][0].as_py() for c in ("c_key", "c_state", "c_chunk")]
+                carry = Carry(*got) if got[0] is not None else None
+            ids, carry = label(b["_key"].to_pylist(), b["_tok"].to_pylist(), carry, budget)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(ids, pa.int64())], names=[*kept, name])
+
+    return joined.mapInArrow(relabel, schema)
