@@ -1,10 +1,13 @@
 import datetime as dt
 import random
+import unicodedata
 
 import pytest
 
 from pyspark.sql import functions as F
 
+from tierwatch import constants as C
+from tierwatch.functions.text import fold_text
 from tierwatch.operators import chunking, narrative, quality, report, scoring
 from tierwatch.scenario import Scenario
 from tierwatch.streaming import incremental, streams
@@ -125,8 +128,18 @@ def test_report_tables(scenario_four):
     assert len(top) == 4 and all(len(r["name"]) <= 40 for r in top)
 
 
+def test_fold_text_equals_the_normal_form_on_every_code_point(spark):
+    fold = lambda v: unicodedata.normalize("NFKD", v).encode("latin-1", "ignore").decode("latin-1")
+    listed = {raw for raw, _ in C.FOLD_REPLACEMENTS}
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c) not in listed]
+    texts = ["a" + "".join(chars[i:i + 64]) + "\u0323\u0301\u0302z" for i in range(0, len(chars), 64)] + ["", "\U0001d400\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", fold_text("s").alias("s"))
+    assert [r["s"] for r in df.orderBy("i").collect()] == [fold(t) for t in texts]
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    assert spark.createDataFrame([(None,)], "s string").select(fold_text("s")).first()[0] is None
+
+
 def test_fold_text(spark):
-    from tierwatch.functions.text import fold_text
     df = spark.createDataFrame([("Café — “quoted” ≥ 5€ ★",)], "s string")
     assert df.select(fold_text("s")).first()[0] == "Cafe - \"quoted\" >= 5EUR  "
 

@@ -1,18 +1,18 @@
 """String column functions: whitespace repair, null tokens, tolerant numbers,
 HTML escaping, latin-1 folding and token estimates.
 
-All are Column -> Column and stay JVM-side except ``fold_text``'s NFKD
-step, which Spark has no built-in for (one Arrow-batched pandas UDF).
+All are Column -> Column and stay JVM-side; ``fold_text`` applies a table of
+code points that the driver builds once by rule.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
 from .cache import column_cache
@@ -135,13 +135,34 @@ def row_json(df, cols: list[str] | None = None) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd_latin1(s: pd.Series) -> pd.Series:
-    def fold(v):
-        if v is None:
-            return None
-        return unicodedata.normalize("NFKD", v).encode("latin-1", "ignore").decode("latin-1")
-    return s.map(fold)
+@lru_cache
+def _latin1_table() -> tuple[str, str, dict[str, str]]:
+    """What becomes of each code point by NFKD and then Latin-1: characters with
+    one successor (last: Latin-1 ones without any), these successors, and those
+    with several.  Marks, which alone are reordered by the normal form, never
+    fit Latin-1, so a text folds character by character."""
+    before, after, gone, several = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        folded = unicodedata.normalize("NFKD", char).encode("latin-1", "ignore").decode("latin-1") if not 0xD800 <= code <= 0xDFFF else ""
+        if len(folded) > 1:
+            several[char] = folded
+        elif folded and folded != char:
+            before.append(char)
+            after.append(folded)
+        elif not folded and code <= 0xFF:                 # the micro sign is a Greek letter
+            gone.append(char)
+    return "".join(before + gone), "".join(after), several
+
+
+def _nfkd_latin1(c: Column) -> Column:
+    before, after, several = _latin1_table()
+    listed = [F.split(F.lit("\n".join(x)), "\n") for x in (several.keys(), several.values())]
+    table = F.map_from_arrays(*listed)
+    single = F.translate(c, before, after)
+    expanded = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(F.octet_length(x) <= 1, x).otherwise(
+        F.coalesce(F.try_element_at(table, x), x))), "")
+    return F.regexp_replace(F.when(single.rlike("[" + "".join(several) + "]"), expanded).otherwise(single), r"[^\x00-\xFF]", "")
 
 
 @column_cache
@@ -161,6 +182,5 @@ def fold_text(col, width: int | None = None) -> Column:
     if width is not None:
         c = F.substring(c, 1, width)
     plain = replace_typography(c)
-    # ASCII text is its own folding: only other texts go through Python
-    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(
-        _nfkd_latin1(F.when(F.octet_length(plain) != F.length(plain), plain)))
+    # ASCII text is its own folding
+    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(_nfkd_latin1(plain))

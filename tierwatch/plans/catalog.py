@@ -625,3 +625,32 @@ def session_stages(spark, sf_dir):
         part.write.mode("append").parquet(f"{root}/landing")
         sessions.stream_sessions(spark, f"{root}/landing", f"{root}/work", f"{root}/_checkpoint", SESSION_TTL).awaitTermination()
     return spark.read.schema(sessions.OUT_SCHEMA).parquet(f"{root}/work")
+
+
+def _lines_by_upload(spark, sf_dir):
+    """Lines as uploads, one a year of shipping; the later years are added to
+    the state of the earlier ones."""
+    from ..streaming import rollup_state
+    root = scratch_dir(spark, "rollups")
+    lines = tables.line_exposures(spark, sf_dir).withColumn("upload", F.year("last_audit_date").cast("string"))
+    for part in (lines.where("upload <= '1995'"), lines.where("upload > '1995'")):
+        rollup_state.add(part, "upload", Scenario(), tables.LINES_AS_OF, root)
+    return rollup_state, rollup_state.load(spark, root, Scenario(), tables.LINES_AS_OF)
+
+
+@register("kpis_by_upload")
+def kpis_by_upload(spark, sf_dir):
+    state, rollup = _lines_by_upload(spark, sf_dir)
+    return rounded(state.kpis(rollup))
+
+
+@register("regions_by_upload")
+def regions_by_upload(spark, sf_dir):
+    state, rollup = _lines_by_upload(spark, sf_dir)
+    return rounded(state.region_rollup(rollup))
+
+
+@register("bands_by_upload")
+def bands_by_upload(spark, sf_dir):
+    state, rollup = _lines_by_upload(spark, sf_dir)
+    return state.band_counts(rollup)

@@ -886,3 +886,8 @@ fold AS (
   FROM fold f JOIN ev e ON e.session = f.session AND e.rn = f.rn + 1
 )
 SELECT session, seq, unnest(stages) AS stage FROM fold WHERE len(stages) > 0"""
+
+
+ORACLE["kpis_by_upload"] = ORACLE["line_kpis"]
+ORACLE["regions_by_upload"] = ORACLE["line_region_rollup"]
+ORACLE["bands_by_upload"] = ORACLE["band_counts"].replace(BAL, LINES_SCORED)
