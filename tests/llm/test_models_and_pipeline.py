@@ -137,6 +137,26 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    """Names that operators add or use themselves, beside one with a blank."""
+    import corpus_pipeline as cp
+    names = ["score", "kept", "sort_id", "n_bytes", "_name", "_rest", "n_lines", "root", "n", "bits", "_scored", "my own", "doc"]
+    body = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text, *[f"{c}{i}" for c in names], 3) for i, text in enumerate([body, body + " end", "a short one", None, ""], 1)]
+    ddl = "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in names) + ", n_chars int"
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = spark.createDataFrame(rows, ddl)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, held, str(tmp_path))
+        assert out.schema.simpleString() == held.schema.simpleString()
+        out.write.parquet(f"{tmp_path}/{name}")
+        held = spark.read.parquet(f"{tmp_path}/{name}")
+        for r in held.collect():
+            assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
+    assert {r.doc_id for r in held.collect()} == {1, 3, 4, 5}
+    assert {p.doc_id for p in cp.STAGES[-1][1](spark, held, str(tmp_path)).collect()} == {1, 3, 4, 5}
+
+
 def test_ngram_join_decides_each_text_of_an_id(spark):
     import corpus_pipeline as cp
     body, other, last = (" ".join(f"{w}{i}" for i in range(200)) for w in ("word", "other", "last"))
