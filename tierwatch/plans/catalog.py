@@ -486,18 +486,22 @@ def stream_suppliers(spark, sf_dir):
     return rounded(scored.select(*SUPPLIER_OUT, *scoring.C.COMPONENTS, "composite_risk"))
 
 
-@register("stream_news")
-def stream_news(spark, sf_dir):
-    root = scratch_dir(spark, "feeds")
-    src, sink, ckpt = f"{root}/landing", f"{root}/items", f"{root}/_checkpoint"
-    items = news_items(spark, sf_dir)
-    landed = items.select(
+def _as_feed(items: DataFrame) -> DataFrame:
+    """Items as the elements of a feed file."""
+    return items.select(
         F.when(F.col("title") != "Untitled", F.col("title")).alias("title"),
         F.lit(None).cast("string").alias("link"),
         F.date_format("published", "EEE, d MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"),
         F.lit(None).cast("string").alias("updated"),
         F.col("summary").alias("description"),
         "source")
+
+
+@register("stream_news")
+def stream_news(spark, sf_dir):
+    root = scratch_dir(spark, "feeds")
+    src, sink, ckpt = f"{root}/landing", f"{root}/items", f"{root}/_checkpoint"
+    landed = _as_feed(news_items(spark, sf_dir))
     landed.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(src)
     schema = T.StructType([*streams.RSS_SCHEMA.fields, T.StructField("source", T.StringType())])
     q = streams.stream_news(spark, src, sink, ckpt, keywords=NEWS_KEYWORDS, schema=schema)
@@ -654,3 +658,38 @@ def regions_by_upload(spark, sf_dir):
 def bands_by_upload(spark, sf_dir):
     state, rollup = _lines_by_upload(spark, sf_dir)
     return state.band_counts(rollup)
+
+
+# Landed out of order: the newest part comes second, older ones before and after.
+def _thirds(df: DataFrame, at: str) -> list[DataFrame]:
+    day = F.coalesce(F.dayofmonth(at), F.lit(1))
+    return [df.where(part) for part in ((day > 10) & (day <= 20), day > 20, day <= 10)]
+
+
+@register("stream_recent_logs")
+def stream_recent_logs(spark, sf_dir):
+    """The buffer of the newest log lines after three landings."""
+    from ..streaming import recent
+    root = scratch_dir(spark, "log-buffer")
+    records = raw_logs(spark, sf_dir)
+    for part in _thirds(records, "timestamp"):
+        part.write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(records.schema).parquet(f"{root}/landing")
+        recent.stream_recent_logs(stream, f"{root}/buffer", f"{root}/_checkpoint", ordinal="event_id").awaitTermination()
+    newest = recent.read_buffer(spark, f"{root}/buffer", records.schema)
+    return logops.normalise_logs(logops.format_logs(newest)).select(
+        "event_id", "request_id", "supplier_id", "batch_id", "line")
+
+
+@register("stream_latest_news")
+def stream_latest_news(spark, sf_dir):
+    """The buffer of the latest news of some sources after feeds landed in three parts."""
+    from ..streaming import recent
+    root = scratch_dir(spark, "news-buffer")
+    schema = T.StructType([*streams.RSS_SCHEMA.fields, T.StructField("source", T.StringType())])
+    for part in _thirds(news_items(spark, sf_dir), "published"):
+        _as_feed(part).write.format("xml").option("rowTag", "item").option("rootTag", "channel").mode("append").save(f"{root}/landing")
+        items = streams.news_stream_frame(spark, f"{root}/landing", schema=schema)
+        recent.stream_latest_news(items, f"{root}/buffer", f"{root}/_checkpoint", NEWS_SOURCES).awaitTermination()
+    newest = recent.read_buffer(spark, f"{root}/buffer", items.schema)
+    return newest.select("title", "url", "source", F.col("published").cast("timestamp_ntz").alias("published"), "summary")

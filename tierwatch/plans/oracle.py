@@ -891,3 +891,9 @@ SELECT session, seq, unnest(stages) AS stage FROM fold WHERE len(stages) > 0"""
 ORACLE["kpis_by_upload"] = ORACLE["line_kpis"]
 ORACLE["regions_by_upload"] = ORACLE["line_region_rollup"]
 ORACLE["bands_by_upload"] = ORACLE["band_counts"].replace(BAL, LINES_SCORED)
+
+ORACLE["stream_recent_logs"] = ORACLE["recent_logs"]
+
+ORACLE["stream_latest_news"] = f"""WITH {ITEMS_CTE}
+SELECT title, url, source, published, summary FROM items WHERE source IN ('src1', 'src3', 'src5', 'src7')
+ORDER BY published DESC, url, title LIMIT 25"""

@@ -2,7 +2,8 @@
 freshness, as ledger tables instead of session dictionaries.
 
 * ``file_hashes`` / ``new_files``: SHA-256 of every landed file
-  (``binaryFile``), anti-joined with a ledger of hashes already processed;
+  (``binaryFile``, large files block by block), anti-joined with a ledger of
+  hashes already processed;
 * ``pending``: work keys not yet in a done-ledger (left anti join);
 * ``stale``: never fetched, or older than the TTL (strictly greater).
 """
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +30,44 @@ LEDGER_SCHEMA = T.StructType([
 ])
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, length, modificationTime, content_sha256) of landed files."""
+WHOLE = 64 << 20            # bytes; larger files are never one value
+BLOCK = 4 << 20
+
+
+def _block_hashes(batches):
+    """SHA-256 of the files of each batch, read in blocks."""
+    from pyarrow import fs
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            store, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))      # paths come unescaped
+            digest = hashlib.sha256()
+            with store.open_input_stream(at) as f:
+                while block := f.read(BLOCK):
+                    digest.update(block)
+            out.append(digest.hexdigest())
+        yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "content_sha256"])
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str | None = None, whole: int = WHOLE) -> DataFrame:
+    """(path, length, modificationTime, content_sha256) of landed files.
+
+    Files of up to ``whole`` bytes are hashed as values inside the JVM; larger
+    ones, of any size, in blocks of BLOCK bytes, so a task holds one block and
+    no file is read twice.  Blocks are read through Arrow's file systems (local
+    and mounted folders, HDFS, object stores); for a store only Spark can
+    read, set ``whole`` to what one value may hold (2 GB at most).  Empty files
+    are not listed: Spark's scan passes over them."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
-    return files.select("path", "length", "modificationTime",
-                        F.sha2(F.col("content"), 256).alias("content_sha256"))
+    about = ["path", "length", "modificationTime"]
+    # the length filter reaches the scan: contents of the others aren't read
+    values = files.where(F.col("length") <= whole).select(*about, F.sha2(F.col("content"), 256).alias("content_sha256"))
+    blocks = files.where(F.col("length") > whole).select(*about).mapInArrow(
+        _block_hashes, "path string, length bigint, modificationTime timestamp, content_sha256 string")
+    return values.unionByName(blocks)
 
 
 def new_files(hashes: DataFrame, ledger: DataFrame | None) -> DataFrame:
