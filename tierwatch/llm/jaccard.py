@@ -340,13 +340,30 @@ def _tile_pairs(percent: int, nearest: bool):
     return run
 
 
+def _in_band(groups: DataFrame, percent: int) -> DataFrame:
+    """The rows that may have a partner: a set of another component, near
+    enough in size to link, is in their group.
+
+    Sizes fall into classes so wide that sets that link are in the same or in
+    neighbouring ones; classes are taken in pairs, once from the even and once
+    from the odd ones on, so that any two neighbours are a pair."""
+    width = max(float(np.log(100 / percent)), 1e-6) * (1 + 1e-9)      # rounding never parts two neighbours
+    size = F.floor(F.log("n") / width)
+    apart = F.lit(False)
+    for k in (0, 1):
+        band = Window.partitionBy("shingle", F.floor((size + k) / 2))
+        apart = apart | (F.min("root").over(band) != F.max("root").over(band))
+    return groups.withColumn("_apart", apart).where("_apart").drop("_apart")
+
+
 def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Distinct pairs (a, b), with their components (ra, rb), of ``groups``
     (shingle, set_id, n, root) that the bitmaps can't rule out; ``nearest``
-    gives one for each pair of components, the likeliest.  A group is cut into
-    tiles of TILE sets by size; a tile meets the tiles whose sizes may match."""
+    gives one for each pair of components, the likeliest.  What a group holds
+    beside sets without a partner in size is cut into tiles of TILE sets by
+    size; a tile meets the tiles whose sizes may match."""
     place = Window.partitionBy("shingle").orderBy("n", "set_id")
-    g = groups.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
+    g = _in_band(groups, percent).withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
     span = g.groupBy("shingle", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left = span.select("shingle", F.col("tile").alias("i"), F.col("high").alias("top"))
     right = span.select("shingle", F.col("tile").alias("j"), F.col("low").alias("bottom"))
@@ -354,7 +371,7 @@ def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int, nearest
                                             & (100 * F.col("top") >= percent * F.col("bottom"))).select("shingle", "i", "j")
     sides = met.select("shingle", "i", "j", F.col("i").alias("tile"), F.lit(0).alias("side")).unionByName(
         met.where("i < j").select("shingle", "i", "j", F.col("j").alias("tile"), F.lit(1).alias("side")))
-    dealt = g.join(bitmaps.select("set_id", "bits"), "set_id").join(sides, ["shingle", "tile"])
+    dealt = g.join(sides, ["shingle", "tile"]).join(bitmaps.select("set_id", "bits"), "set_id")      # bitmaps move last, and once
     width = shuffle_width(groups.sparkSession)
     met = (dealt.select("shingle", "i", "j", "side", "n", "root", "bits", "set_id")
            .repartition(width, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side")
