@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierwatch.llm import bpe, chat, fingerprints, jaccard, linededup, packing, quality, suffixdedup
-from tierwatch.llm.graph import components
+from tierwatch.llm.graph import components, stars
 from tierwatch.llm.queries import BYTE_RANKS, CONTROL_TEXT, WORD_BPE
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -353,3 +353,15 @@ def test_single_document_is_its_own_next(spark):
     df = spark.createDataFrame([(4, "abcdef")], "doc_id bigint, text string")
     r = fingerprints.compare_neighbours(df).collect()
     assert len(r) == 1 and r[0].edited_sha256 == sha("abcabc") and r[0].near_next == 1.0
+
+
+def test_groups_are_shuffled_once_for_both_size_classes(spark):
+    groups = spark.createDataFrame([(1, 7, 100, 7), (1, 8, 90, 8), (1, 9, 10, 9)], "shingle bigint, set_id bigint, n bigint, root bigint")
+    band = jaccard._in_band(groups, 80)
+    assert band._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.set_id for r in band.collect()} == {7, 8}
+
+
+def test_stars_leave_out_roots_and_take_repeated_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (9, 9), (5, 4)], "a bigint, b bigint")
+    assert sorted(map(tuple, stars(edges).collect())) == [(2, 1), (3, 1), (5, 4)]

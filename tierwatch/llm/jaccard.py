@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_size, cut, flat_strings, mix, pack, position_keys, shuffle_width, small_batches, texts, unpack
-from .graph import components
+from .graph import stars
 
 WORDS, PERCENT = 5, 80
 SAMPLE_DOCS = 8000          # of which shingles in at least SAMPLE_HITS documents count as frequent
@@ -222,7 +222,7 @@ def distinct_groups(groups: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- exact comparison
 
-def _linked(percent: int):
+def _linked(percent: int, carry: tuple = ()):
     def run(batches):
         for batch in batches:
             keep = []
@@ -230,17 +230,17 @@ def _linked(percent: int):
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())],
-                                  ["a", "b", "linked"])
+            yield pa.record_batch([*(batch.column(c) for c in ("a", "b", *carry)), pa.array(keep, pa.bool_())],
+                                  ["a", "b", *carry, "linked"])
     return run
 
 
-def exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of set pairs, by sorted-array intersection."""
+def exact(pairs: DataFrame, arrays: DataFrame, percent: int, *carry: str) -> DataFrame:
+    """(a, b, the bigint columns ``carry``, linked) of set pairs, by sorted-array intersection."""
     x = arrays.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     y = arrays.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
-    return (pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-            .mapInArrow(_linked(percent), "a bigint, b bigint, linked boolean"))
+    return (pairs.select("a", "b", *carry).join(x, "a").join(y, "b").select("a", "b", *carry, "x", "y")
+            .mapInArrow(_linked(percent, carry), "a bigint, b bigint, " + "".join(f"{c} bigint, " for c in carry) + "linked boolean"))
 
 
 # ------------------------------------------------------ tiles with bitmaps
@@ -350,6 +350,7 @@ def _in_band(groups: DataFrame, percent: int) -> DataFrame:
     width = max(float(np.log(100 / percent)), 1e-6) * (1 + 1e-9)      # rounding never parts two neighbours
     size = F.floor(F.log("n") / width)
     apart = F.lit(False)
+    groups = groups.repartition("shingle")       # both windows are served by one shuffle
     for k in (0, 1):
         band = Window.partitionBy("shingle", F.floor((size + k) / 2))
         apart = apart | (F.min("root").over(band) != F.max("root").over(band))
@@ -359,18 +360,18 @@ def _in_band(groups: DataFrame, percent: int) -> DataFrame:
 def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Distinct pairs (a, b), with their components (ra, rb), of ``groups``
     (shingle, set_id, n, root) that the bitmaps can't rule out; ``nearest``
-    gives one for each pair of components, the likeliest.  What a group holds
-    beside sets without a partner in size is cut into tiles of TILE sets by
-    size; a tile meets the tiles whose sizes may match."""
+    gives one for each pair of components, the likeliest.  A group is cut into
+    tiles of TILE sets by size; a tile meets the tiles whose sizes may match."""
     place = Window.partitionBy("shingle").orderBy("n", "set_id")
-    g = _in_band(groups, percent).withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
+    g = groups.repartition("shingle").withColumn(      # numbers, spans and their join follow from one shuffle
+        "tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int"))
     span = g.groupBy("shingle", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left = span.select("shingle", F.col("tile").alias("i"), F.col("high").alias("top"))
     right = span.select("shingle", F.col("tile").alias("j"), F.col("low").alias("bottom"))
     met = left.join(right, "shingle").where((F.col("i") <= F.col("j"))
                                             & (100 * F.col("top") >= percent * F.col("bottom"))).select("shingle", "i", "j")
-    sides = met.select("shingle", "i", "j", F.col("i").alias("tile"), F.lit(0).alias("side")).unionByName(
-        met.where("i < j").select("shingle", "i", "j", F.col("j").alias("tile"), F.lit(1).alias("side")))
+    first, second = F.struct(F.col("i").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("j").alias("tile"), F.lit(1).alias("side"))
+    sides = met.select("shingle", "i", "j", F.inline(F.when(F.col("i") < F.col("j"), F.array(first, second)).otherwise(F.array(first))))
     dealt = g.join(sides, ["shingle", "tile"]).join(bitmaps.select("set_id", "bits"), "set_id")      # bitmaps move last, and once
     width = shuffle_width(groups.sparkSession)
     met = (dealt.select("shingle", "i", "j", "side", "n", "root", "bits", "set_id")
@@ -391,17 +392,12 @@ def _rooted(groups: DataFrame, roots: DataFrame) -> DataFrame:
             .select(*columns, F.coalesce("root", "set_id").alias("root")))
 
 
-def _still_open(groups: DataFrame) -> DataFrame:
-    """The groups with sets of two components or more."""
-    ends = groups.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    return groups.join(ends, "shingle", "left_semi")
-
-
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` after links (a, b) between components."""
+    """``roots`` (node, root; a node without a row is its own root) after links (a, b) between components."""
+    links = cut(links, "links")
     if links.isEmpty():
         return roots
-    joined = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    joined = stars(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
     moved = roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
     alone = joined.join(roots, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
     return cut(moved.unionByName(alone), "roots")
@@ -454,19 +450,24 @@ def _chosen_arrays(docs: DataFrame, chosen: DataFrame, w: int, form=np.ndarray.t
     return rows.join(chosen, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]).select("set_id", "members")
 
 
-def _proved(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """The distinct values of two columns, in one scan."""
+    return pairs.select(F.explode(F.array(a, b)).alias(name)).distinct()
+
+
+def _proved(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, percent: int, *carry: str) -> DataFrame:
     """``pairs`` compared exactly; arrays exist for their sets only."""
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    ends = _ends(pairs, "a", "b", "set_id")
     chosen = cut(reps.join(ends, "set_id").select("set_id", "doc_id"), "chosen")
-    return cut(exact(pairs, _chosen_arrays(docs, chosen, w), percent), "tested")
+    return cut(exact(pairs, _chosen_arrays(docs, chosen, w), percent, *carry), "tested")
 
 
 def _joined(pairs: DataFrame, tested: DataFrame, roots: DataFrame, docs: DataFrame, reps: DataFrame, w: int,
             percent: int) -> tuple[DataFrame, DataFrame]:
     """Components after the links among ``pairs`` (a, b, ra, rb), and all pairs tested."""
-    fresh = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    proved = _proved(fresh, docs, reps, w, percent)
-    links = proved.where("linked").join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    fresh = cut(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+    proved = _proved(fresh, docs, reps, w, percent, "ra", "rb")
+    links = proved.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return _merged(roots, links), tested.select("a", "b").unionByName(proved.select("a", "b"))
 
 
@@ -484,15 +485,13 @@ def link_components(docs: DataFrame, w: int = WORDS, percent: int = PERCENT, *ca
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
     near = cut(open_pairs(_parents(groups, percent), reps, percent), "near")
     tested = _proved(near, named, reps, w, percent)
-    roots = components(tested.where("linked"))
+    roots = stars(tested.where("linked"))
     # one pair for each two components first, then whatever is left of those that were refuted
-    open_groups = cut(_still_open(_rooted(groups.where("members > 3"), roots)), "open")
+    open_groups = cut(_in_band(_rooted(groups.where("members > 3"), roots), percent), "open")
     first = cut(tile_candidates(open_groups, reps, percent, nearest=True), "nearest")
     roots, tested = _joined(first, tested, roots, named, reps, w, percent)
-    refuted = first.join(_rooted_pairs(first, roots).where("ra <> rb").select("a", "b"), ["a", "b"], "left_semi")
-    ends = refuted.select(F.col("ra").alias("set_id")).union(refuted.select("rb")).distinct()
-    apart = _rooted(ends, roots).select("root").distinct()
-    open_groups = cut(_still_open(_rooted(open_groups, roots).join(apart, "root", "left_semi")), "open")
+    apart = _ends(_rooted_pairs(first, roots).where("ra <> rb"), "ra", "rb", "root")      # refuted: still two components
+    open_groups = cut(_in_band(_rooted(open_groups, roots).join(apart, "root", "left_semi"), percent), "open")
     members = cut(reps.join(open_groups.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id"), "wide")
     wide = _chosen_arrays(named, members, w, lambda s: bitmap(s, WIDE).tobytes()).withColumnRenamed("members", "bits")
     roots, _ = _joined(cut(tile_candidates(open_groups, wide, percent), "rest"), tested, roots, named, reps, w, percent)
