@@ -175,3 +175,14 @@ def test_registered_queries_match_their_names():
     names = entry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_pieces_are_found_by_hash_and_only_within_words():
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    others = pieces.hashes[:500] + np.uint64(1)
+    h = np.concatenate((pieces.hashes[::7], others))
+    want = [int(np.flatnonzero(pieces.hashes == x)[0]) if x in pieces.hashes else -1 for x in h[-700:]]
+    assert pieces.find(h)[-700:].tolist() == want
+    words = ["\u2581the", "\u2581a"]
+    _, _, table = langid._lattice(words, pieces)
+    assert all(t[-1] == -1 for t in table[1:]) and (langid.forward(words, pieces, np.zeros((2, pieces.size))).shape == (2, 2))

@@ -19,7 +19,7 @@ sorts first; repeated rows are scored each; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -41,14 +41,29 @@ UNKNOWN = "und"
 _RUNS = regex.compile(r"\p{L}+")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+_SHIFT = 44
 _FLOOR = -16.0               # log probability of a symbol that no piece covers
 
 
 @dataclass
 class Pieces:
-    """The vocabulary as sorted hashes."""
+    """The vocabulary as sorted hashes, and whether any begins with some bits."""
     hashes: np.ndarray
     size: int
+    begun: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.begun = np.zeros(1 << (64 - _SHIFT), bool)
+        self.begun[(self.hashes >> _U(_SHIFT)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        some = np.flatnonzero(self.begun[(h >> _U(_SHIFT)).astype(np.int64)])      # few others get to the search
+        at = np.minimum(np.searchsorted(self.hashes, h[some]), self.size - 1)
+        good = self.hashes[at] == h[some]
+        out[some[good]] = at[good]
+        return out
 
 
 def _hashes(codes: np.ndarray, length: int, before: np.ndarray | None) -> np.ndarray:
@@ -93,9 +108,10 @@ def _lattice(words: list[str], pieces: Pieces):
         if len(codes) < k:
             break
         h = _hashes(codes, k, h)
-        at = np.minimum(np.searchsorted(pieces.hashes, h), pieces.size - 1)
-        got = np.where((pieces.hashes[at] == h) & (room[:len(h)] >= k), at, -1)
-        ids.append(np.append(got, np.full(k - 1, -1, np.int64)))
+        whole = np.flatnonzero(room[:len(h)] >= k)                 # runs within a word
+        got = np.full(len(codes), -1, np.int64)
+        got[whole] = pieces.find(h[whole])
+        ids.append(got)
     return starts, sizes, ids
 
 
@@ -111,26 +127,28 @@ def forward(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
         return np.zeros((len(p), 0))
     order = np.argsort(-np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
     starts, sizes, ids = _lattice([words[i] for i in order], pieces)
-    return _forward(starts, sizes, ids, p)[0][:, np.argsort(order)]
+    return _forward(starts, sizes, ids, p)[:, np.argsort(order)]
 
 
 def _forward(starts, sizes, ids, p):
     n, top = len(starts), int(sizes[0])
-    history = [np.zeros((len(p), n))]
-    total = np.zeros((len(p), n))
+    logs = np.vstack((p.T, np.full((1, len(p)), _FLOOR)))         # a row a piece; the last, -1, for no piece
+    history = [np.zeros((n, len(p)))]
+    total = np.zeros((n, len(p)))
     for t in range(1, top + 1):
         live = int(np.searchsorted(-sizes, -t, "right"))        # words of at least t symbols come first
-        parts = []
-        for k in range(1, min(t, len(ids)) + 1):
+        alpha = history[t - 1][:live] + logs[ids[0][starts[:live] + t - 1]]
+        for k in range(2, min(t, len(ids)) + 1):
             piece = ids[k - 1][starts[:live] + t - k]
-            parts.append(history[t - k][:, :live] + _logs(p, piece, k == 1))
-        alpha = np.logaddexp.reduce(parts, axis=0)
+            some = np.flatnonzero(piece >= 0)                     # most longer runs are no piece
+            if len(some):
+                alpha[some] = np.logaddexp(alpha[some], history[t - k][some] + logs[piece[some]])
         history.append(alpha)
         if t > MAX_PIECE:
             history[t - MAX_PIECE - 1] = None
         ended = slice(int(np.searchsorted(-sizes, -t, "left")), live)
-        total[:, ended] = alpha[:, ended]
-    return total, history
+        total[ended] = alpha[ended]
+    return total.T
 
 
 def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
@@ -245,7 +263,8 @@ def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
                 some = np.flatnonzero(sizes)
                 lettered[at + some] = True
                 if count and len(flat):
-                    each = forward(flat, pieces, model.logs)
+                    once = pa.array(flat).dictionary_encode()     # signs around them make many words of a run
+                    each = forward(once.dictionary.to_pylist(), pieces, model.logs)[:, once.indices.to_numpy()]
                     value[:, at + some] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some], axis=1)
             codes = coded.indices.to_numpy(zero_copy_only=False)
             bounds = off - off[0]
