@@ -365,3 +365,19 @@ def test_groups_are_shuffled_once_for_both_size_classes(spark):
 def test_stars_leave_out_roots_and_take_repeated_edges(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (9, 9), (5, 4)], "a bigint, b bigint")
     assert sorted(map(tuple, stars(edges).collect())) == [(2, 1), (3, 1), (5, 4)]
+
+
+def test_packing_encodes_without_offsets(monkeypatch):
+    import tokenizers
+    path, words = public_tokenizers.path("word_bpe_49k.json"), ["plain", "caf\u00e9", "<unk>", "\u4f60\u597d"]
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)]
+
+    real = tokenizers.Tokenizer
+
+    class Only:
+        @staticmethod
+        def from_file(path):
+            inner = real.from_file(path)
+            return type("T", (), {"encode_batch_fast": inner.encode_batch_fast})
+    monkeypatch.setattr(tokenizers, "Tokenizer", Only)
+    assert packing._word_encoder(path)()(pa.array(words)).to_pylist() == want

@@ -92,17 +92,21 @@ def hash_ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
                 seed: int = 0) -> np.ndarray:
     """Multilinear 64-bit hash of each run ``values[start:start+length]``
     (order and length count; runs are non-overlapping or not)."""
-    n = len(starts)
-    out = np.zeros(n, U64)
-    if n == 0:
-        return out
+    return _hash_runs(values[ragged_index(starts, lengths)] if len(starts) else values, lengths, seed)
+
+
+def _hash_runs(values: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """``hash_ragged`` of runs that follow each other."""
+    out = np.zeros(len(lengths), U64)
     total = int(lengths.sum())
     if total:
-        ends = np.cumsum(lengths)
-        first = ends - lengths
-        pos = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-        keys = position_keys(int(lengths.max()), seed)
-        part = (values[pos + np.repeat(starts, lengths)].astype(U64) + U64(1)) * keys[pos]
+        first = np.cumsum(lengths) - lengths
+        small = np.int32 if total < 1 << 31 else np.int64
+        pos = np.arange(total, dtype=small)
+        pos -= np.repeat(first.astype(small), lengths)
+        part = values.astype(U64)
+        part += U64(1)
+        part *= position_keys(int(lengths.max()), seed)[pos]
         full = lengths > 0
         out[full] = np.add.reduceat(part, first[full])
     return mix(out + lengths.astype(U64) * U64(0xA0761D6478BD642F) + U64(seed + 1))
@@ -114,7 +118,7 @@ def hash_strings(arr: pa.Array, seed: int = 0) -> np.ndarray:
     step = 1 << 18
     for at in range(0, len(arr), step):
         flat, off = flat_strings(arr.slice(at, step))
-        out[at:at + step] = hash_ragged(flat, off[:-1], np.diff(off), seed)
+        out[at:at + step] = _hash_runs(flat, np.diff(off), seed)
     return out
 
 

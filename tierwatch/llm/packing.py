@@ -19,6 +19,7 @@ rows are packed as often as they occur; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,11 @@ def _word_encoder(path: str):
         def encode(words: pa.Array) -> pa.Array:
             sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for at in range(0, len(words), 20_000):
-                ids = [e.ids for e in tokenizer.encode_batch(words.slice(at, 20_000).to_pylist(),
-                                                             add_special_tokens=False)]
+                ids = [e.ids for e in tokenizer.encode_batch_fast(words.slice(at, 20_000).to_pylist(),
+                                                                  add_special_tokens=False)]     # ids only, no offsets
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 sizes.append(n)
-                flat.append(np.fromiter((i for w in ids for i in w), np.int32, int(n.sum())))
+                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
             return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
         return encode
