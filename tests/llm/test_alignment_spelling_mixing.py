@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tierwatch.llm import alignment, mixing, spelling
@@ -261,3 +262,10 @@ def test_mix_of_awkward_rows(spark, docs):
     _check_mix(made, lambda s, t: math.inf)
     assert mixing.mix_documents(docs.limit(0)).collect() == []
     _check_mix(docs, lambda s, t: 0.1 * t + 5)
+
+
+def test_first_pass_aligns_without_group_texts():
+    aligner = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    units = pa.array([" caf\u00e9", " \u4f60\u597d", " plain", " "])
+    whole, links = aligner.align(units), aligner.align(units, spelled=False)
+    assert links.text is None and links.links.tolist() == whole.links.tolist() and links.link_off.tolist() == whole.link_off.tolist()

@@ -175,7 +175,7 @@ class Aligner:
         return cut_units(raw, off, self.crosses)
 
     def _encode(self, strings: list[str]) -> tuple[list, list]:
-        a = [self.quick(s) if self.quick and max(s) < _OLD_LETTERS else None for s in strings]
+        a = [self.quick(s) if self.quick and (s.isascii() or max(s) < _OLD_LETTERS) else None for s in strings]
         rest = [i for i, ids in enumerate(a) if ids is None]
         for i, e in zip(rest, self.a.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)):
             a[i] = e.ids
@@ -186,7 +186,8 @@ class Aligner:
         return tuple(x for ids in self._encode(units.to_pylist()) for x in (
             np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))))
 
-    def align(self, units: pa.Array) -> Aligned:
+    def align(self, units: pa.Array, spelled: bool = True) -> Aligned:
+        """Of all ``units``; ``spelled``: with the group texts, else for the links only."""
         a, n_a, b, n_b = self._tokens(units)
         flat, off = flat_strings(units)
         size = np.diff(off)
@@ -210,6 +211,8 @@ class Aligner:
         ends = _distinct(np.concatenate((end_a, end_b)))
         links = (a[np.searchsorted(end_a, ends)] << 32) | b[np.searchsorted(end_b, ends)]
         link_off = np.concatenate(([0], np.searchsorted(ends, end, "right")))
+        if not spelled:
+            return Aligned(n_a, n_b, None, links, link_off, None, None, good)
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         n_groups = np.diff(np.concatenate(([0], np.searchsorted(both, end, "right"))))
         # group texts: A ids, then B ids of a group, each with the sign that follows it
@@ -236,12 +239,12 @@ class Aligner:
 class _Block:
     """A block of documents, aligned: its distinct pairs in bucket order."""
 
-    def __init__(self, batch: pa.RecordBatch, aligner: Aligner):
+    def __init__(self, batch: pa.RecordBatch, aligner: Aligner, spelled: bool = True):
         self.doc_id = batch.column("doc_id")
         units, upto = aligner.units(*flat_strings(batch.column("text")))
         coded = units.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.aligned = aligner.align(coded.dictionary)
+        self.aligned = aligner.align(coded.dictionary, spelled)
         count = np.diff(upto)
         doc = np.repeat(np.arange(len(count)), count)
         bad = np.zeros(len(count), bool)
@@ -290,7 +293,7 @@ def _requests(a_path: str, b_path: str):
     def run(batches):
         aligner = _aligner(a_path, b_path)
         for batch in by_size(batches, "text", BLOCK):
-            block = _Block(batch, aligner)
+            block = _Block(batch, aligner, spelled=False)
             number, b = block.documents(), block.bounds
             rows = [(i, pack(pa.record_batch([block.pairs[b[i]:b[i + 1]], number[b[i]:b[i + 1]]], ["pair", "n"])))
                     for i in range(BUCKETS) if b[i + 1] > b[i]]
