@@ -282,3 +282,12 @@ def test_ledger_errors_other_than_absence_are_raised(spark, tmp_path):
     assert incremental.read_ledger(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception):
         incremental.read_ledger(spark, "nosuchscheme://x/y").count()
+
+
+def test_fold_text_searches_by_a_short_pattern(spark):
+    """A class of every character with several successors is searched one by one, at each character."""
+    text = "a\u00e9\ufb03 \u00bd\U0001f100\U0001f600z"
+    folded = spark.createDataFrame([(text * 3,)], "s string").select(fold_text("s").alias("s"))
+    assert folded.first()[0] == unicodedata.normalize("NFKD", text).encode("latin-1", "ignore").decode("latin-1") * 3
+    plan = folded._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" in plan and max(len(p) for p in plan.split("RLIKE")[1].split(")")[:1]) < 100

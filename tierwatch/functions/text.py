@@ -139,7 +139,7 @@ def row_json(df, cols: list[str] | None = None) -> Column:
 def _latin1_table() -> tuple[str, str, dict[str, str]]:
     """What becomes of each code point by NFKD and then Latin-1: characters with
     one successor (last: Latin-1 ones without any), these successors, and those
-    with several.  Marks, which alone are reordered by the normal form, never
+    with several (``_folded_run`` finds them).  Marks, which alone are reordered by the normal form, never
     fit Latin-1, so a text folds character by character."""
     before, after, gone, several = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
@@ -155,14 +155,39 @@ def _latin1_table() -> tuple[str, str, dict[str, str]]:
     return "".join(before + gone), "".join(after), several
 
 
+@lru_cache
+def _several_pages() -> tuple[str, str, str]:
+    """Latin-1 characters that stay, as ranges of a pattern; page of each 256
+    code points (0: none), and the successors by page and place, line by line."""
+    several = {ord(c): folded for c, folded in _latin1_table()[2].items()}
+    pages = sorted({code >> 8 for code in several})
+    place = [pages.index(k) + 1 if k in pages else 0 for k in range((sys.maxunicode >> 8) + 1)]
+    lines = [several.get((k << 8) + i, "") for k in pages for i in range(256)]
+    edges = [-1, *sorted(code for code in several if code <= 0xFF), 0x100]
+    kept = "".join(f"\\x{a + 1:02X}-\\x{b - 1:02X}" for a, b in zip(edges, edges[1:]) if b - a > 1)
+    return kept, ",".join(map(str, place)), "\n".join(lines)
+
+
+def _folded_run(run: Column) -> Column:
+    """A run of characters that stay, or what becomes of any other character."""
+    _, place, lines = _several_pages()
+    code = F.ascii(run)                                      # code point of the first character
+    page = F.element_at(F.split(F.lit(place), ",").cast("array<int>"), F.shiftright(code, 8) + 1)
+    found = F.element_at(F.split(F.lit(lines), "\n"), (page - 1) * 256 + F.pmod(code, F.lit(256)) + 1)
+    found = F.when((page > 0) & (F.length(found) > 0), found)
+    return F.coalesce(found, F.when(code <= 0xFF, run).otherwise(""))
+
+
+def _once(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _nfkd_latin1(c: Column) -> Column:
-    before, after, several = _latin1_table()
-    listed = [F.split(F.lit("\n".join(x)), "\n") for x in (several.keys(), several.values())]
-    table = F.map_from_arrays(*listed)
-    single = F.translate(c, before, after)
-    expanded = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(F.octet_length(x) <= 1, x).otherwise(
-        F.coalesce(F.try_element_at(table, x), x))), "")
-    return F.regexp_replace(F.when(single.rlike("[" + "".join(several) + "]"), expanded).otherwise(single), r"[^\x00-\xFF]", "")
+    before, after, _ = _latin1_table()
+    kept = _several_pages()[0]
+    return _once(F.translate(c, before, after), lambda single: F.when(single.rlike(f"[^{kept}]"), F.array_join(
+        F.transform(F.regexp_extract_all(single, F.lit(f"[{kept}]+|[^{kept}]"), F.lit(0)), _folded_run), "")).otherwise(single))
 
 
 @column_cache
@@ -181,6 +206,5 @@ def fold_text(col, width: int | None = None) -> Column:
     c = _c(col).cast("string")
     if width is not None:
         c = F.substring(c, 1, width)
-    plain = replace_typography(c)
     # ASCII text is its own folding
-    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(_nfkd_latin1(plain))
+    return _once(replace_typography(c), lambda plain: F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(_nfkd_latin1(plain)))
