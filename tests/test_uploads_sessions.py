@@ -135,3 +135,26 @@ def test_session_state_goes_on_between_batches(spark, tmp_path):
     got = [(r["seq"], r["stage"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq", "stage").collect()]
     assert got == [(0, "score"), (0, "text"), (0, "validate"), (1, "news"), (5, "news"), (6, "score"), (6, "text"), (6, "validate"),
                    (7, "news")]
+
+
+def test_session_without_work_makes_no_frame():
+    import numpy as np
+    import pandas as pd
+    from tierwatch.streaming import sessions
+
+    class State:
+        exists, get, held = False, None, None
+
+        def update(self, value):
+            self.held = value
+
+    def frame(*rows):
+        return pd.DataFrame(rows, columns=["session", "seq", "at", "kind", "value"]).astype({"value": object})
+    state, fold = State(), sessions._fold(3600)
+    assert list(fold(("s",), iter([frame(("s", 1, 10, "scenario", "balanced"))]), state)) == []
+    assert state.held == (None, "balanced", None)
+    parts = [frame(("s", 9, sessions._NO_TIME, "upload", "g"), ("s", 4, 20, "news", None), ("s", 3, 20, "upload", "h")),
+             frame(("s", 2, 10, "upload", np.nan), ("s", 5, 20, "upload", None))]
+    rows = [tuple(r) for df in fold(("s",), iter(parts), State()) for r in df.itertuples(index=False)]
+    assert rows == [("s", 3, "validate"), ("s", 3, "score"), ("s", 3, "text"), ("s", 4, "news"),
+                    ("s", 9, "validate"), ("s", 9, "score"), ("s", 9, "text")]

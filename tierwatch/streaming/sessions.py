@@ -17,8 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
@@ -44,24 +46,32 @@ def steps(state: tuple, kind: str, value: str | None, at_us: int,
     return state, ()
 
 
+_NO_TIME = (1 << 63) - 1        # events without a time come last
+
+
 def _fold(ttl_seconds: int):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(parts)).sort_values(["at", "seq"], kind="stable")     # one session, one batch
+        held = list(parts)                                    # one session, one batch
+        at, seq, kind, value = (np.concatenate([p[c].to_numpy() for p in held]) for c in ("at", "seq", "kind", "value"))
+        order = np.lexsort((seq, at))                         # stable, missing values last
         now = state.get if state.exists else (None, None, None)
         out = []
-        micros = events["at"].astype("datetime64[us]").astype("int64")
-        for seq, at, kind, value in zip(events["seq"], micros, events["kind"], events["value"]):
+        micros = np.where(at == _NO_TIME, np.iinfo(np.int64).min, at)
+        for seq, at, kind, value in zip(*(x[order].tolist() for x in (seq, micros, kind, value))):
             now, stages = steps(tuple(now), kind, None if pd.isna(value) else value, int(at), ttl_seconds)
             out += [(key[0], int(seq), s) for s in stages]
         state.update(now)
-        yield pd.DataFrame(out, columns=["session", "seq", "stage"])
+        if out:                                               # frames cost more than the fold of a session
+            yield pd.DataFrame(out, columns=["session", "seq", "stage"])
     return run
 
 
 def session_work(events: DataFrame, ttl_seconds: int = C.NEWS_TTL_SECONDS) -> DataFrame:
     """(session, seq, stage): the stages that each event of a stream of
     ``EVENT_SCHEMA`` rows asks for."""
-    return events.groupBy("session").applyInPandasWithState(
+    # times as numbers: a column of timestamps costs every session a conversion
+    micros = events.select("session", "seq", F.coalesce(F.unix_micros("at"), F.lit(_NO_TIME)).alias("at"), "kind", "value")
+    return micros.groupBy("session").applyInPandasWithState(
         _fold(ttl_seconds), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
