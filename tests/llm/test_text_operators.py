@@ -2,15 +2,17 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tierwatch.llm import bpe, chat, fingerprints, jaccard, linededup, packing, quality, suffixdedup
+from tierwatch.llm import bpe, chat, common, fingerprints, jaccard, linededup, packing, quality, suffixdedup, wordmap
 from tierwatch.llm.graph import components, stars
 from tierwatch.llm.queries import BYTE_RANKS, CONTROL_TEXT, WORD_BPE
 
@@ -381,3 +383,78 @@ def test_packing_encodes_without_offsets(monkeypatch):
             return type("T", (), {"encode_batch_fast": inner.encode_batch_fast})
     monkeypatch.setattr(tokenizers, "Tokenizer", Only)
     assert packing._word_encoder(path)()(pa.array(words)).to_pylist() == want
+
+
+def _most_traced(work):
+    tracemalloc.start()
+    work()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_ids_of_a_block_are_joined_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    values = pa.array([rng.integers(0, 1 << 20, k % 4).tolist() for k in range(1000)], pa.list_(pa.int32()))
+    sizes = np.append(rng.integers(0, 900, 4000), [0, 40_000])
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    codes = rng.integers(0, 1000, int(offsets[-1])).astype(np.int32)
+    tail = np.array([2], np.int32)
+
+    def joined():
+        parts = list(bpe.join_ids(None, values, offsets, codes, tail))
+        assert [a for a, _, _ in parts] == [0] + [b for _, b, _ in parts][:-1]      # gapless, in order
+        return [x for _, _, ids in parts for x in ids.to_pylist()]
+    held = joined()
+    words = values.to_pylist()
+    for i in (0, 1, 1717, 4000, 4001):
+        want = [x for c in codes[offsets[i]:offsets[i + 1]] for x in words[c]] + [2]
+        assert np.frombuffer(held[i], "<u4").tolist() == want
+    # the parts are handed on, so a block of 1.8 million words takes what one part takes
+    assert _most_traced(lambda: collections.deque(bpe.join_ids(None, values, offsets, codes, tail), 0)) < 30
+    monkeypatch.setattr(bpe, "_SLICE", 1000)
+    assert joined() == held
+
+
+@pytest.mark.parametrize("split", [None, pc.ascii_split_whitespace])
+def test_words_of_a_block_are_coded_in_small_parts(monkeypatch, split):
+    rng = np.random.default_rng(4)
+    texts = ["", "one"] + [" ".join(f"w{x}" for x in rng.integers(0, 3000, 300)) for _ in range(3000)] + ["", "last one"]
+    column = pa.array(texts if split else [t.split() for t in texts])
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), column], ["doc_id", "words"])
+    pool, usual = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        docs, counts, codes, vocab, bounds, name = wordmap._coded(batch, 7, split)
+        most = pool.max_memory() / 1e6
+    finally:
+        pa.set_memory_pool(usual)
+    assert most < 6                                         # 900,000 words
+    words = vocab.to_pylist()
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(set(words)) == len(words)
+    assert [words[c] for c in codes] == " ".join(texts).split()
+    monkeypatch.setattr(wordmap, "_PART", 1 << 40)
+    whole = wordmap._coded(batch, 7, split)
+    assert whole[5] == name and whole[3].equals(vocab) and (whole[2] == codes).all() and (whole[4] == bounds).all()
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    """At the end of a task, also of one that fails or is left early."""
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(1)
+    monkeypatch.setattr(common.pa, "system_memory_pool", Pool)
+
+    def failing(batches):
+        yield next(iter(batches))
+        raise ValueError
+    assert list(common.tidy(lambda batches: (b for b in batches))([1, 2])) == [1, 2] and len(freed) == 1
+    with pytest.raises(ValueError):
+        list(common.tidy(failing)([1]))
+    assert len(freed) == 2
+    early = common.tidy(iter)([1, 2])
+    next(early)
+    early.close()
+    assert len(freed) == 3

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import flat_strings, ragged_index, texts
 from .wordmap import map_words
 
-_SLICE = 1 << 21        # ids assembled at a time
+_SLICE = 1 << 18        # ids assembled at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,19 +69,21 @@ def join_ids(rows, values, offsets, codes, tail: np.ndarray):
     else:
         off = values.offsets.to_numpy().astype(np.int64)
         starts, lens, flat = off[:-1], np.diff(off), values.values.to_numpy()
-    word_sizes = lens[codes]
-    upto = np.concatenate(([0], np.cumsum(word_sizes)))
-    sizes = upto[offsets[1:]] - upto[offsets[:-1]]
-    for a, b in doc_slices(sizes, _SLICE):
-        c = codes[offsets[a]:offsets[b]]
-        ids = flat[ragged_index(starts[c], lens[c])]
-        bounds = np.concatenate(([0], np.cumsum(sizes[a:b])))
-        if len(tail):
-            ids = np.insert(ids, np.repeat(bounds[1:], len(tail)), np.tile(tail, b - a))
-            bounds = bounds + len(tail) * np.arange(b - a + 1)
-        data = ids.astype("<u4").tobytes()
-        off = pa.py_buffer((bounds * 4).astype(np.int32).tobytes())
-        yield a, b, pa.Array.from_buffers(pa.binary(), b - a, [None, off, pa.py_buffer(data)])
+    for first, last in doc_slices(np.diff(offsets), _SLICE):      # by words, then by their ids
+        words = codes[offsets[first]:offsets[last]]
+        upto = np.concatenate(([0], np.cumsum(lens[words])))
+        at = offsets[first:last + 1] - offsets[first]
+        sizes = upto[at[1:]] - upto[at[:-1]]
+        for a, b in doc_slices(sizes, _SLICE):
+            c = words[at[a]:at[b]]
+            ids = flat[ragged_index(starts[c], lens[c])]
+            bounds = np.concatenate(([0], np.cumsum(sizes[a:b])))
+            if len(tail):
+                ids = np.insert(ids, np.repeat(bounds[1:], len(tail)), np.tile(tail, b - a))
+                bounds = bounds + len(tail) * np.arange(b - a + 1)
+            data = ids.astype("<u4").tobytes()
+            off = pa.py_buffer((bounds * 4).astype(np.int32).tobytes())
+            yield first + a, first + b, pa.Array.from_buffers(pa.binary(), b - a, [None, off, pa.py_buffer(data)])
 
 
 def _finish(rows, values, offsets, codes):

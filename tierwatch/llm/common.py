@@ -4,7 +4,7 @@ hashes of ragged strings and small compressed payloads."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,19 @@ def texts(df: DataFrame, *extra: str) -> DataFrame:
 
 # -------------------------------------------------------------- worker side
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, handing freed memory back to the system at its
+    end: Spark keeps a worker for further tasks, of further steps too, and what
+    one task had for a moment would else count against all of them."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()
+    return tidied
+
+
 def flat_strings(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array without nulls."""
     if isinstance(arr, pa.ChunkedArray):
@@ -115,7 +128,7 @@ def _hash_runs(values: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray
 def hash_strings(arr: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hash of every string of an Arrow array, in bounded slices."""
     out = np.empty(len(arr), U64)
-    step = 1 << 18
+    step = 1 << 15
     for at in range(0, len(arr), step):
         flat, off = flat_strings(arr.slice(at, step))
         out[at:at + step] = _hash_runs(flat, np.diff(off), seed)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, flat_strings, mix, pack, position_keys, shuffle_width, small_batches, texts, unpack
+from .common import by_size, cut, flat_strings, mix, pack, position_keys, shuffle_width, small_batches, texts, tidy, unpack
 from .graph import stars
 
 WORDS, PERCENT = 5, 80
@@ -137,7 +137,7 @@ def set_table(docs: DataFrame, w: int, percent: int, frequent: np.ndarray, *carr
                                        *(b.column(c).slice(at, len(ids)) for c in carry)],
                                       ["doc_id", "n", "set_id", "bits", "prefix", *carry])
                 at += len(ids)
-    return texts(docs, *carry).mapInArrow(run, ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary",
+    return texts(docs, *carry).mapInArrow(tidy(run), ", ".join(["doc_id bigint, n bigint, set_id bigint, bits binary, prefix binary",
                                                           *(f"`{c}` string" for c in carry)]))
 
 
@@ -149,7 +149,7 @@ def frequent_shingles(docs: DataFrame, w: int = WORDS) -> np.ndarray:
         for _, sets in _each(batches, w):
             yield pa.record_batch([_u64(np.concatenate(sets))], ["s"])
     sample = texts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0))
-    rows = (sample.mapInArrow(run, "s bigint").groupBy("s").count().where(F.col("count") >= SAMPLE_HITS)
+    rows = (sample.mapInArrow(tidy(run), "s bigint").groupBy("s").count().where(F.col("count") >= SAMPLE_HITS)
             .orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").collect())       # <= FREQUENT values
     return np.sort(np.array([r[0] for r in rows], np.int64).view(_U))
 
@@ -205,9 +205,9 @@ def _groups(batches):
 def prefix_groups(sets: DataFrame) -> DataFrame:
     """(shingle, set_id, n): sets that share a prefix shingle with another."""
     width = shuffle_width(sets.sparkSession)
-    dealt = sets.select("set_id", "n", "prefix").mapInArrow(_postings(4 * width), "bucket int, blob binary")
+    dealt = sets.select("set_id", "n", "prefix").mapInArrow(tidy(_postings(4 * width)), "bucket int, blob binary")
     return (dealt.repartition(width, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_groups, "shingle bigint, set_id bigint, n bigint"))
+            .mapInArrow(tidy(_groups), "shingle bigint, set_id bigint, n bigint"))
 
 
 def distinct_groups(groups: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def exact(pairs: DataFrame, arrays: DataFrame, percent: int, *carry: str) -> Dat
     x = arrays.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     y = arrays.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
     return (pairs.select("a", "b", *carry).join(x, "a").join(y, "b").select("a", "b", *carry, "x", "y")
-            .mapInArrow(_linked(percent, carry), "a bigint, b bigint, " + "".join(f"{c} bigint, " for c in carry) + "linked boolean"))
+            .mapInArrow(tidy(_linked(percent, carry)), "a bigint, b bigint, " + "".join(f"{c} bigint, " for c in carry) + "linked boolean"))
 
 
 # ------------------------------------------------------ tiles with bitmaps
@@ -288,7 +288,7 @@ def open_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the bitmaps (set_id, n, bits) can't rule out."""
     x = bitmaps.select(F.col("set_id").alias("a"), "n", F.col("bits").alias("x"))
     y = bitmaps.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(_open_pairs(percent), "a bigint, b bigint")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(tidy(_open_pairs(percent)), "a bigint, b bigint")
 
 
 def _tile_pairs(percent: int, nearest: bool):
@@ -376,7 +376,7 @@ def tile_candidates(groups: DataFrame, bitmaps: DataFrame, percent: int, nearest
     width = shuffle_width(groups.sparkSession)
     met = (dealt.select("shingle", "i", "j", "side", "n", "root", "bits", "set_id")
            .repartition(width, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "side")
-           .mapInArrow(_tile_pairs(percent, nearest), "apart bigint, a bigint, ra bigint, b bigint, rb bigint"))
+           .mapInArrow(tidy(_tile_pairs(percent, nearest)), "apart bigint, a bigint, ra bigint, b bigint, rb bigint"))
     if not nearest:
         return met.select("a", "b", "ra", "rb").distinct()
     best = met.groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(
@@ -446,7 +446,7 @@ def _chosen_arrays(docs: DataFrame, chosen: DataFrame, w: int, form=np.ndarray.t
         for ids, sets in _each(wanted(), w):
             yield pa.record_batch([ids, pa.array([set_name(s) for s in sets], pa.int64()),
                                    pa.array([form(s) for s in sets], pa.binary())], ["doc_id", "set_id", "members"])
-    rows = texts(docs).withColumn("p", spot).mapInArrow(run, "doc_id bigint, set_id bigint, members binary")
+    rows = texts(docs).withColumn("p", spot).mapInArrow(tidy(run), "doc_id bigint, set_id bigint, members binary")
     return rows.join(chosen, ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"]).select("set_id", "members")
 
 

@@ -45,8 +45,8 @@ def _word_encoder(path: str):
 
         def encode(words: pa.Array) -> pa.Array:
             sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for at in range(0, len(words), 20_000):
-                ids = [e.ids for e in tokenizer.encode_batch_fast(words.slice(at, 20_000).to_pylist(),
+            for at in range(0, len(words), 4_000):
+                ids = [e.ids for e in tokenizer.encode_batch_fast(words.slice(at, 4_000).to_pylist(),
                                                                   add_special_tokens=False)]     # ids only, no offsets
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 sizes.append(n)

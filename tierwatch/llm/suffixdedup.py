@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_name, by_size, flat_strings, hash_ragged, mix, pack, ragged_index, shuffle_width, small_batches, unpack
+from .common import block_name, by_size, flat_strings, hash_ragged, mix, pack, ragged_index, shuffle_width, small_batches, tidy, unpack
 
 MIN_LENGTH = 50
 GRAM = 20
@@ -607,13 +607,13 @@ def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False, hot: int
 
     def meet(answers, texts):
         return answers.unionByName(texts).repartition(width, "block").sortWithinPartitions("block", "kind", "part")
-    flags = to_range(bare.mapInArrow(_ask(buckets), _TO_RANGE)).mapInArrow(_shared(hot), _TO_BLOCK)
-    asked = meet(flags, bare.mapInArrow(_texts, _TO_BLOCK)).mapInArrow(_send_contexts(buckets), _TO_RANGE)
-    spans = to_range(asked).mapInArrow(lambda batches: _settle(batches, buckets), _TO_BLOCK)
+    flags = to_range(bare.mapInArrow(tidy(_ask(buckets)), _TO_RANGE)).mapInArrow(tidy(_shared(hot)), _TO_BLOCK)
+    asked = meet(flags, bare.mapInArrow(tidy(_texts), _TO_BLOCK)).mapInArrow(tidy(_send_contexts(buckets)), _TO_RANGE)
+    spans = to_range(asked).mapInArrow(tidy(lambda batches: _settle(batches, buckets)), _TO_BLOCK)
     kinds = dict(src.dtypes)
     out = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)]
                     + ["n_bytes bigint", "n_removed bigint", "n_spans bigint", f"kept {'string' if as_text else 'binary'}"])
-    return meet(spans, src.mapInArrow(_texts, _TO_BLOCK)).mapInArrow(_cut_texts if as_text else _cut, out)
+    return meet(spans, src.mapInArrow(tidy(_texts), _TO_BLOCK)).mapInArrow(tidy(_cut_texts if as_text else _cut), out)
 
 
 def digests(docs: DataFrame) -> DataFrame:

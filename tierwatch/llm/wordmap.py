@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_name, hash_strings, pack, shuffle_width, small_batches, unpack
+from .common import block_name, hash_strings, pack, shuffle_width, small_batches, tidy, unpack
 
 _REQUEST = "bucket int, block bigint, payload binary"
 _ANSWER = "block bigint, kind int, part int, size bigint, payload binary"
 _FLUSH = 16 << 20
+_PART = 1 << 20           # bytes of a block that are cut into words at a time
 BLOCK_ROWS = 5000         # documents in a block, unless Arrow's own limit in bytes comes first
 
 Encode = Callable[[pa.Array], pa.Array]
@@ -39,18 +40,27 @@ Finish = Callable[[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray], Iterator[p
 def _coded(batch: pa.RecordBatch, buckets: int, split: Split | None):
     """Documents without words, counts per document, codes, word list in
     bucket order, bucket bounds and the block's name."""
-    words = batch.column("words")
-    if split is not None:
-        words = split(words)
-    counts = np.diff(words.offsets.to_numpy())
-    coded = words.flatten().dictionary_encode()
-    vocab = coded.dictionary
+    column = batch.column("words")
+    step = max(1, len(column) * _PART // max(1, column.nbytes))
+    counts, indices, found = [], [], []
+    for at in range(0, len(column), step):
+        words = column.slice(at, step)
+        if split is not None:
+            words = split(words)
+        counts.append(np.diff(words.offsets.to_numpy()))
+        part = words.flatten().dictionary_encode()
+        indices.append(part.indices.to_numpy(zero_copy_only=False))
+        found.append(part.dictionary)
+    counts, sizes = np.concatenate(counts), [len(f) for f in found]
+    merged = pa.concat_arrays(found).dictionary_encode()
+    vocab = merged.dictionary
     hashes = hash_strings(vocab)
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((hashes, bucket))
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    code = np.split(rank[merged.indices.to_numpy(zero_copy_only=False)], np.cumsum(sizes)[:-1])
+    codes = np.concatenate([c[i] for c, i in zip(code, indices)])
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     docs = batch.drop_columns(["words"])
     ids = docs.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -58,85 +68,96 @@ def _coded(batch: pa.RecordBatch, buckets: int, split: Split | None):
 
 
 def _requests(buckets: int, split: Split | None):
+    def requests(batch):
+        _, _, _, vocab, bounds, block = _coded(batch, buckets, split)
+        rows = [(b, block, pack(pa.record_batch([vocab.slice(bounds[b], bounds[b + 1] - bounds[b])], ["w"])))
+                for b in range(buckets) if bounds[b + 1] > bounds[b]]
+        bucket, names, payload = zip(*rows) if rows else ((), (), ())
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(names, pa.int64()),
+                                pa.array(payload, pa.binary())], ["bucket", "block", "payload"])
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            _, _, _, vocab, bounds, block = _coded(batch, buckets, split)
-            rows = [(b, block, pack(pa.record_batch([vocab.slice(bounds[b], bounds[b + 1] - bounds[b])], ["w"])))
-                    for b in range(buckets) if bounds[b + 1] > bounds[b]]
-            if rows:
-                bucket, names, payload = zip(*rows)
-                yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(names, pa.int64()),
-                                       pa.array(payload, pa.binary())], ["bucket", "block", "payload"])
+            if batch.num_rows:
+                yield requests(batch)            # of its own, so that no block's words wait for the next block
     return run
 
 
 def _answers(make_encode: Callable[[], Encode]):
     def run(batches):
         encode = make_encode()
-        held, size = [], 0
+        asked, held, size = [], [], 0
 
         def flush():
-            coded = pa.concat_arrays([w for _, _, w in held]).dictionary_encode()
+            coded = pa.concat_arrays(held).dictionary_encode()
+            held.clear()
             values = encode(coded.dictionary)
             at = 0
-            for bucket, block, w in held:
-                mine = values.take(coded.indices.slice(at, len(w)))
-                at += len(w)
+            for bucket, block, n in asked:
+                mine = values.take(coded.indices.slice(at, n))
+                at += n
                 payload = pack(pa.record_batch([mine], ["v"]))
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([0], pa.int32()),
-                                       pa.array([bucket], pa.int32()), pa.array([len(w)], pa.int64()),
+                                       pa.array([bucket], pa.int32()), pa.array([n], pa.int64()),
                                        pa.array([payload], pa.binary())],
                                       ["block", "kind", "part", "size", "payload"])
+            asked.clear()
 
         for batch in batches:
-            for bucket, block, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "payload"))):
-                w = unpack(payload).column(0)
-                held.append((bucket, block, w))
-                size += w.nbytes
+            payloads = batch.column("payload")
+            for i, (bucket, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block")))):
+                held.append(unpack(payloads[i].as_py()).column(0))
+                asked.append((bucket, block, len(held[-1])))
+                size += held[-1].nbytes
                 if size >= _FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
     return run
 
 
 def _positions(buckets: int, split: Split | None):
+    def positions(batch):
+        docs, counts, codes, vocab, _, block = _coded(batch, buckets, split)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        blob = pack(docs.append_column("codes", pa.ListArray.from_arrays(offsets, pa.array(codes))))
+        return pa.record_batch([pa.array([block], pa.int64()), pa.array([1], pa.int32()),
+                                pa.array([0], pa.int32()), pa.array([len(vocab)], pa.int64()),
+                                pa.array([blob], pa.binary())],
+                               ["block", "kind", "part", "size", "payload"])
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            docs, counts, codes, vocab, _, block = _coded(batch, buckets, split)
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            blob = pack(docs.append_column("codes", pa.ListArray.from_arrays(offsets, pa.array(codes))))
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([1], pa.int32()),
-                                   pa.array([0], pa.int32()), pa.array([len(vocab)], pa.int64()),
-                                   pa.array([blob], pa.binary())],
-                                  ["block", "kind", "part", "size", "payload"])
+            if batch.num_rows:
+                yield positions(batch)
     return run
 
 
 def _meet(finish: Finish):
     def run(batches):
         block, values = None, {}
+
+        def meeting(payload, size):
+            parts = [unpack(p).column(0) for p in values.values()]
+            if sum(map(len, parts)) != size:
+                raise RuntimeError("a block's documents and word answers do not belong together")
+            table = pa.concat_arrays(parts) if parts else None
+            del parts
+            docs = unpack(payload)
+            codes = docs.column("codes")
+            yield from finish(docs.drop_columns(["codes"]), table, codes.offsets.to_numpy(), codes.values.to_numpy())
+
         for batch in batches:
-            for name, kind, part, size, payload in zip(*(batch.column(c).to_pylist()
-                                                         for c in ("block", "kind", "part", "size", "payload"))):
+            payloads = batch.column("payload")           # one at a time becomes an object of its own
+            for i, (name, kind, part, size) in enumerate(zip(*(batch.column(c).to_pylist()
+                                                               for c in ("block", "kind", "part", "size")))):
                 if name != block:
                     block, values = name, {}
                 if kind == 0:
-                    values.setdefault(part, payload)      # equal blocks ask twice
-                    continue
-                parts = [unpack(p).column(0) for p in values.values()]
-                if sum(map(len, parts)) != size:
-                    raise RuntimeError("a block's documents and word answers do not belong together")
-                docs = unpack(payload)
-                codes = docs.column("codes")
-                table = pa.concat_arrays(parts) if parts else None
-                offsets = codes.offsets.to_numpy()
-                yield from finish(docs.drop_columns(["codes"]), table, offsets, codes.values.to_numpy())
+                    values.setdefault(part, payloads[i].as_py())      # equal blocks ask twice
+                else:
+                    yield from meeting(payloads[i].as_py(), size)
     return run
 
 
@@ -152,9 +173,9 @@ def map_words(docs: DataFrame, words: Column, make_encode: Callable[[], Encode],
     n = shuffle_width(spark)
     small_batches(spark, BLOCK_ROWS)
     src = docs.select("doc_id", words.alias("words"))
-    asked = src.mapInArrow(_requests(n, split), _REQUEST).repartition(n, "bucket")
-    answered = asked.mapInArrow(_answers(make_encode), _ANSWER)
-    placed = src.mapInArrow(_positions(n, split), _ANSWER)
+    asked = src.mapInArrow(tidy(_requests(n, split)), _REQUEST).repartition(n, "bucket")
+    answered = asked.mapInArrow(tidy(_answers(make_encode)), _ANSWER)
+    placed = src.mapInArrow(tidy(_positions(n, split)), _ANSWER)
     return (answered.unionByName(placed).repartition(n, "block")
             .sortWithinPartitions("block", "kind", "part")
-            .mapInArrow(_meet(finish), schema))
+            .mapInArrow(tidy(_meet(finish)), schema))
