@@ -52,9 +52,9 @@ MIN_LENGTH = 50
 GRAM = 20
 _W = MIN_LENGTH - GRAM + 1              # grams in a string
 _BLOCK = 6 << 20
-_STEP = 1 << 18
+_STEP = 1 << 16
 _HASHED = 1 << 13
-_TEXT = 512 << 10                       # bytes of contexts in one transform
+_TEXT = 256 << 10                       # bytes of contexts in one transform
 HOT = 4096                              # occurrences of an anchor whose contexts may meet in one transform
 _STRINGS = 1 << 20                      # strings of hot anchors held at once
 _U = np.uint64
@@ -202,12 +202,13 @@ def _by_bucket(batches, work):
     equal blocks ask once."""
     now, held = None, {}
     for batch in batches:
-        for b, block, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "payload"))):
+        payloads = batch.column("payload")
+        for i, (b, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block")))):
             if b != now and held:
                 yield from work(now, list(held.items()))
                 held = {}
             now = b
-            held[block] = payload
+            held[block] = payloads[i].as_py()
     if held:
         yield from work(now, list(held.items()))
 
@@ -221,74 +222,78 @@ def _meetings(batches):
     """(answers by part, docs, raw, offsets, block) per block."""
     now, parts = None, {}
     for batch in batches:
-        for block, kind, part, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "payload"))):
+        payloads = batch.column("payload")
+        for i, (block, kind, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part")))):
             if block != now:
                 now, parts = block, {}
             if kind == 0:
-                parts.setdefault(part, []).append(payload)
+                parts.setdefault(part, []).append(payloads[i].as_py())
             else:
-                docs = unpack(payload)
-                raw, off = flat_strings(docs.column("text"))
-                yield parts, docs, raw, off, block
+                docs = unpack(payloads[i].as_py())
+                yield parts, docs, *flat_strings(docs.column("text")), block
+                del docs
 
 
 # ------------------------------------------------------------- the contexts
 
 def _send_contexts(buckets: int):
-    def run(batches):
-        for parts, docs, raw, off, block in _meetings(batches):
-            h, start, count = anchors(raw, off)
-            every = np.unique(h)
-            bounds = _ranges(every, buckets)
-            flag, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
-            for b in range(buckets):
-                size = bounds[b + 1] - bounds[b]
-                if size:
-                    if len(parts.get(b, ())) == 0:
-                        raise RuntimeError("a block's texts and its answers do not belong together")
-                    bits, wide = np.frombuffer(parts[b][0], np.uint8), (size + 7) // 8
-                    flag[bounds[b]:bounds[b + 1]] = np.unpackbits(bits[:wide], count=size)
-                    if len(bits) > wide:
-                        hot[bounds[b]:bounds[b + 1]] = np.unpackbits(bits[wide:], count=size)
-            spot = np.searchsorted(every, h)
-            take = flag[spot]
-            h, start, count, hot = h[take], start[take], count[take], hot[spot][take]
-            if not len(h):
+    def send(parts, docs, raw, off, block):
+        h, start, count = anchors(raw, off)
+        every = np.unique(h)
+        bounds = _ranges(every, buckets)
+        flag, hot = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        for b in range(buckets):
+            size = bounds[b + 1] - bounds[b]
+            if size:
+                if len(parts.get(b, ())) == 0:
+                    raise RuntimeError("a block's texts and its answers do not belong together")
+                bits, wide = np.frombuffer(parts[b][0], np.uint8), (size + 7) // 8
+                flag[bounds[b]:bounds[b + 1]] = np.unpackbits(bits[:wide], count=size)
+                if len(bits) > wide:
+                    hot[bounds[b]:bounds[b + 1]] = np.unpackbits(bits[wide:], count=size)
+        spot = np.searchsorted(every, h)
+        take = flag[spot]
+        h, start, count, hot = h[take], start[take], count[take], hot[spot][take]
+        if not len(h):
+            return
+        length = count + MIN_LENGTH - 1
+        doc = np.searchsorted(off, start, "right") - 1
+        ids = docs.column("sort_id").to_numpy()[doc]
+        name = np.empty(len(h), _U)
+        for a in range(0, len(h), _HASHED):
+            x = slice(a, a + _HASHED)
+            name[x] = hash_ragged(raw, start[x], length[x], 7)
+        order = np.lexsort((ids, name, h))
+        oh, on, oi = h[order], name[order], ids[order]
+        new = np.append(True, (oh[1:] != oh[:-1]) | (on[1:] != on[:-1]))
+        least = oi[np.flatnonzero(new)][np.cumsum(new) - 1]
+        own = oi == least                       # the smallest document of each context in this block
+        gone = order[~own]
+        if len(gone):
+            blob = pack(pa.record_batch([pa.array(start[gone]), pa.array(np.full(len(gone), (1 << 31) - 1, np.int64)
+                                         & ((np.int64(1) << count[gone]) - 1))], ["start", "mask"]))
+            yield _rows(("bucket", "block", "kind", "payload"), [0], [block], [1], [blob])
+        order = order[own]
+        some = order[hot[order]]
+        if len(some):
+            yield from _send_strings(raw, block, start[some], count[some], ids[some], buckets)
+        order = order[~hot[order]]
+        bounds = _ranges(h[order], buckets)
+        for b in range(buckets):
+            x = order[bounds[b]:bounds[b + 1]]
+            if not len(x):
                 continue
-            length = count + MIN_LENGTH - 1
-            doc = np.searchsorted(off, start, "right") - 1
-            ids = docs.column("sort_id").to_numpy()[doc]
-            name = np.empty(len(h), _U)
-            for a in range(0, len(h), _HASHED):
-                x = slice(a, a + _HASHED)
-                name[x] = hash_ragged(raw, start[x], length[x], 7)
-            order = np.lexsort((ids, name, h))
-            oh, on, oi = h[order], name[order], ids[order]
-            new = np.append(True, (oh[1:] != oh[:-1]) | (on[1:] != on[:-1]))
-            least = oi[np.flatnonzero(new)][np.cumsum(new) - 1]
-            own = oi == least                       # the smallest document of each context in this block
-            gone = order[~own]
-            if len(gone):
-                blob = pack(pa.record_batch([pa.array(start[gone]), pa.array(np.full(len(gone), (1 << 31) - 1, np.int64)
-                                             & ((np.int64(1) << count[gone]) - 1))], ["start", "mask"]))
-                yield _rows(("bucket", "block", "kind", "payload"), [0], [block], [1], [blob])
-            order = order[own]
-            some = order[hot[order]]
-            if len(some):
-                yield from _send_strings(raw, block, start[some], count[some], ids[some], buckets)
-            order = order[~hot[order]]
-            bounds = _ranges(h[order], buckets)
-            for b in range(buckets):
-                x = order[bounds[b]:bounds[b + 1]]
-                if not len(x):
-                    continue
-                data = raw[ragged_index(start[x], length[x])].tobytes()
-                ends = np.concatenate(([0], np.cumsum(length[x]))).astype(np.int32)
-                context = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-                blob = pack(pa.record_batch([pa.array(h[x].view(np.int64)), pa.array(name[x].view(np.int64)),
-                                             pa.array(ids[x]), pa.array(start[x]), context],
-                                            ["h", "name", "id", "start", "context"]))
-                yield _rows(("bucket", "block", "kind", "payload"), [b], [block], [0], [blob])
+            data = raw[ragged_index(start[x], length[x])].tobytes()
+            ends = np.concatenate(([0], np.cumsum(length[x]))).astype(np.int32)
+            context = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+            blob = pack(pa.record_batch([pa.array(h[x].view(np.int64)), pa.array(name[x].view(np.int64)),
+                                         pa.array(ids[x]), pa.array(start[x]), context],
+                                        ["h", "name", "id", "start", "context"]))
+            yield _rows(("bucket", "block", "kind", "payload"), [b], [block], [0], [blob])
+
+    def run(batches):
+        for meeting in _meetings(batches):
+            yield from send(*meeting)            # of its own, so that no block's arrays wait for the next block
     return run
 
 
@@ -548,46 +553,50 @@ def _cut_texts(batches):
         yield batch.set_column(at, "kept", _whole_characters(batch.column("kept")))
 
 
+def _without(parts, docs, raw, off, _) -> pa.RecordBatch:
+    cover = np.zeros(len(raw) + 1, np.int32)
+    for payloads in parts.values():
+        for blob in payloads:
+            p = unpack(blob)
+            start, mask = p.column("start").to_numpy(), p.column("mask").to_numpy()
+            one = mask == 1                     # single strings
+            np.add.at(cover, start[one], 1)
+            np.add.at(cover, start[one] + MIN_LENGTH, -1)
+            start, mask = start[~one], mask[~one]
+            bits = (mask[:, None] >> np.arange(_W)) & 1 == 1
+            first = bits.copy()
+            first[:, 1:] &= ~bits[:, :-1]
+            last = bits.copy()
+            last[:, :-1] &= ~bits[:, 1:]
+            s, k = np.nonzero(first)
+            np.add.at(cover, start[s] + k, 1)
+            s, k = np.nonzero(last)
+            np.add.at(cover, start[s] + k + MIN_LENGTH, -1)
+    np.cumsum(cover, out=cover)
+    gone = cover[:-1] > 0
+    del cover
+    filled = np.flatnonzero(np.diff(off) > 0)
+    heads = off[filled]
+    removed, spans = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1]
+    begin[heads] = gone[heads]
+    if len(heads):
+        removed[filled] = np.add.reduceat(gone, heads, dtype=np.int64)
+        spans[filled] = np.add.reduceat(begin, heads, dtype=np.int64)
+    del begin
+    ends = np.concatenate(([0], np.cumsum(np.diff(off) - removed))).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(removed), [None, pa.py_buffer(ends.tobytes()),
+                                                             pa.py_buffer(raw[~gone].tobytes())])
+    return pa.record_batch([*(docs.column(c) for c in docs.schema.names if c not in ("sort_id", "text")),
+                            pa.array(np.diff(off)), pa.array(removed), pa.array(spans), kept],
+                           [*(c for c in docs.schema.names if c not in ("sort_id", "text")),
+                            "n_bytes", "n_removed", "n_spans", "kept"])
+
+
 def _cut(batches):
-    for parts, docs, raw, off, _ in _meetings(batches):
-        cover = np.zeros(len(raw) + 1, np.int32)
-        for payloads in parts.values():
-            for blob in payloads:
-                p = unpack(blob)
-                start, mask = p.column("start").to_numpy(), p.column("mask").to_numpy()
-                one = mask == 1                     # single strings
-                np.add.at(cover, start[one], 1)
-                np.add.at(cover, start[one] + MIN_LENGTH, -1)
-                start, mask = start[~one], mask[~one]
-                bits = (mask[:, None] >> np.arange(_W)) & 1 == 1
-                first = bits.copy()
-                first[:, 1:] &= ~bits[:, :-1]
-                last = bits.copy()
-                last[:, :-1] &= ~bits[:, 1:]
-                s, k = np.nonzero(first)
-                np.add.at(cover, start[s] + k, 1)
-                s, k = np.nonzero(last)
-                np.add.at(cover, start[s] + k + MIN_LENGTH, -1)
-        np.cumsum(cover, out=cover)
-        gone = cover[:-1] > 0
-        del cover
-        filled = np.flatnonzero(np.diff(off) > 0)
-        heads = off[filled]
-        removed, spans = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
-        begin = gone.copy()
-        begin[1:] &= ~gone[:-1]
-        begin[heads] = gone[heads]
-        if len(heads):
-            removed[filled] = np.add.reduceat(gone, heads, dtype=np.int64)
-            spans[filled] = np.add.reduceat(begin, heads, dtype=np.int64)
-        del begin
-        ends = np.concatenate(([0], np.cumsum(np.diff(off) - removed))).astype(np.int32)
-        kept = pa.Array.from_buffers(pa.binary(), len(removed), [None, pa.py_buffer(ends.tobytes()),
-                                                                 pa.py_buffer(raw[~gone].tobytes())])
-        yield pa.record_batch([*(docs.column(c) for c in docs.schema.names if c not in ("sort_id", "text")),
-                               pa.array(np.diff(off)), pa.array(removed), pa.array(spans), kept],
-                              [*(c for c in docs.schema.names if c not in ("sort_id", "text")),
-                               "n_bytes", "n_removed", "n_spans", "kept"])
+    for meeting in _meetings(batches):
+        yield _without(*meeting)
 
 
 def remove_repeats(docs: DataFrame, *carry: str, as_text: bool = False, hot: int = HOT) -> DataFrame:
